@@ -118,6 +118,17 @@ LOCAL_SAMPLING_DEFAULTS = {"temperature": 0.05, "top_p": 1.0}
 # Retry policy of the hosted responder: attempts, first wait (s), growth factor.
 RETRY_ATTEMPTS, RETRY_FIRST_WAIT, RETRY_FACTOR = 5, 10.0, 2.0
 
+# Chat formats (public model prompt formats), one block per format.
+CHATML = {"start": "<|im_start|>", "end": "<|im_end|>", "default_system": "You are a helpful assistant."}
+INST = {"bos": "<s>", "eos": "</s>", "inst_open": "[INST] ", "inst_close": " [/INST]",
+        "sys_open": "<<SYS>>\n", "sys_close": "\n<</SYS>>\n\n"}
+HEADER = {"bos": "<|begin_of_text|>", "header_open": "<|start_header_id|>", "header_close": "<|end_header_id|>\n\n",
+          "eot": "<|eot_id|>", "knowledge_line": "Cutting Knowledge Date: December 2023\n",
+          "date_prefix": "Today Date: ", "default_date": "26 Jul 2024"}
+TURN = {"bos": "<bos>", "start": "<start_of_turn>", "end": "<end_of_turn>\n", "assistant_role": "model"}
+INSTRUCTION_RESPONSE = {"bos": "<s>", "eos": "</s>", "user_header": "\n\n### 指示:\n",
+                        "response_header": "\n\n### 応答:\n"}
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

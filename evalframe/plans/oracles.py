@@ -136,3 +136,29 @@ few_shot_pairs AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
+
+
+def render_sql(template: str, **slots: str) -> str:
+    """SQL twin of ``functions.prompts.render``."""
+    from evalframe.functions.prompts import template_parts
+
+    parts = []
+    for kind, val in template_parts(template):
+        parts.append(lit(val) if kind == "lit" else f"CAST({slots[val]} AS VARCHAR)")
+    return "(" + " || ".join(parts) + ")"
+
+
+MSG_RANKED = f"""
+msg_first AS (
+  SELECT conv_id, arg_min(role, turn) AS first_role, arg_min(text, turn) AS first_text, count(*) AS n_msgs
+  FROM conversations GROUP BY conv_id),
+msg_ranked AS (
+  SELECT c.conv_id, c.turn, c.role, c.text, f.first_role, f.first_text, f.n_msgs,
+         CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS BIGINT) AS rn,
+         (f.first_role = 'system') AS has_sys
+  FROM conversations c JOIN msg_first f ON c.conv_id = f.conv_id),
+msg_rest AS (
+  SELECT *, rn - CASE WHEN has_sys THEN 1 ELSE 0 END AS idx, (has_sys AND rn = 0) AS is_sys_head,
+         CASE WHEN has_sys AND rn = 1 AND coalesce(first_text, '') <> ''
+              THEN first_text || chr(10) || chr(10) || text ELSE text END AS folded
+  FROM msg_ranked)"""
