@@ -102,15 +102,15 @@ ROUTING_RULES = (
 )
 # Only this family runs on the batch engine; the others are local wrappers.
 BATCH_CAPABLE_FAMILIES = ("qwen2_vl_vllm",)
-# Hosted-API parameter defaults, filled only for absent keys.
+# Hosted-API parameter defaults, filled only for absent keys (in this order).
 API_PARAM_DEFAULTS = {
-    "max_completion_tokens": 1024, "n": 1, "presence_penalty": 0.0, "frequency_penalty": 0.0,
-    "logprobs": False, "seed": 42, "temperature": 0.0, "top_p": 1.0,
+    "max_completion_tokens": 1024, "n": 1, "presence_penalty": 0, "frequency_penalty": 0, "logit_bias": None,
+    "logprobs": False, "top_logprobs": None, "seed": 42, "temperature": 0.0, "top_p": 1.0,
 }
-# Batch-engine parameter defaults, filled only for absent keys.
+# Batch-engine parameter defaults, filled only for absent keys (in this order).
 BATCH_PARAM_DEFAULTS = {
-    "max_tokens": 1024, "temperature": 0.0, "top_p": 1.0, "n": 1, "presence_penalty": 0.0,
-    "frequency_penalty": 0.0, "repetition_penalty": 1.0, "logprobs": False, "seed": 42,
+    "max_tokens": 1024, "temperature": 0, "top_p": 1.0, "n": 1, "presence_penalty": 0,
+    "frequency_penalty": 0, "repetition_penalty": 1.0, "logit_bias": None, "logprobs": False, "seed": 42,
 }
 # Local-model defaults; temperature and top_p only apply when sampling.
 LOCAL_PARAM_DEFAULTS = {"max_new_tokens": 1024, "do_sample": True, "num_beams": 1}

@@ -1 +1,113 @@
-"""Registered queries."""
+"""Registered queries: image assets.
+
+The page table stands in for an asset store: ``images/{page_id}.jpg`` holds the
+page's bytes, and pages with ``page_id % 4 = 0`` are absent from the store.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalframe.functions import assets as E
+from evalframe.operators import assets as A
+from evalframe.plans import fixtures as fx
+from evalframe.plans import oracles as O
+from evalframe.plans.catalog import register
+
+BASE = "/data/assets"
+
+_REFS_SQL = """
+refs AS (
+  SELECT page_id AS id,
+         CASE WHEN page_id % 3 = 0 THEN 'images/' || CAST(page_id AS VARCHAR) || '.jpg'
+              WHEN page_id % 5 = 0 THEN '/abs/images/' || CAST(page_id AS VARCHAR) || '.jpg'
+              ELSE url END AS ref
+  FROM pages),
+store AS (
+  SELECT '/data/assets/images/' || CAST(page_id AS VARCHAR) || '.jpg' AS path, encode(html) AS content
+  FROM pages WHERE page_id % 4 <> 0)"""
+
+_RESOLVED_SQL = """
+CASE WHEN starts_with(ref, 'http://') OR starts_with(ref, 'https://') THEN ref
+     WHEN starts_with(ref, '/') THEN ref ELSE '/data/assets/' || ref END"""
+
+
+def refs(spark: SparkSession, sf: str) -> DataFrame:
+    pg = fx.table(spark, sf, "pages")
+    pid = F.col("page_id")
+    rel = F.concat(F.lit("images/"), pid.cast("string"), F.lit(".jpg"))
+    return pg.select(pid.alias("id"), F.when(pid % 3 == 0, rel)
+                     .when(pid % 5 == 0, F.concat(F.lit("/abs/"), rel))
+                     .otherwise(F.col("url")).alias("ref"))
+
+
+def store(spark: SparkSession, sf: str) -> DataFrame:
+    pg = fx.table(spark, sf, "pages").where(F.col("page_id") % 4 != 0)
+    return pg.select(F.concat(F.lit(BASE + "/images/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("path"),
+                     F.col("html").cast("binary").alias("content"))
+
+
+def _resolved(spark, sf):
+    r = refs(spark, sf)
+    return r.withColumn("path", F.when(E.is_url("ref"), F.col("ref")).otherwise(E.resolve_path(F.lit(BASE), "ref")))
+
+
+@register("is_url", O.with_(_REFS_SQL) + """
+SELECT id, ref, starts_with(ref, 'http://') OR starts_with(ref, 'https://') AS is_url FROM refs""")
+def is_url(spark: SparkSession, sf: str) -> DataFrame:
+    return refs(spark, sf).select("id", "ref", E.is_url("ref").alias("is_url"))
+
+
+@register("resolve_path", O.with_(_REFS_SQL) + f"SELECT id, {_RESOLVED_SQL} AS path FROM refs")
+def resolve_path(spark: SparkSession, sf: str) -> DataFrame:
+    return _resolved(spark, sf).select("id", "path")
+
+
+@register("missing_assets", O.with_(_REFS_SQL) + f"""
+SELECT id, path FROM (SELECT id, {_RESOLVED_SQL} AS path FROM refs) r
+WHERE NOT (starts_with(path, 'http://') OR starts_with(path, 'https://'))
+  AND NOT EXISTS (SELECT 1 FROM store s WHERE s.path = r.path)""")
+def missing_assets(spark: SparkSession, sf: str) -> DataFrame:
+    return A.missing_assets(_resolved(spark, sf).select("id", "path"), store(spark, sf).select("path")).select("id", "path")
+
+
+@register("data_url", "SELECT page_id AS id, 'data:image/jpeg;base64,' || to_base64(encode(html)) AS data_url FROM pages")
+def data_url(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.asset_bytes(spark, sf).select("id", E.data_url("content").alias("data_url"))
+
+
+@register("attach_images", O.with_(_REFS_SQL) + f"""
+SELECT r.id, r.path, CASE WHEN s.content IS NOT NULL THEN 'data:image/jpeg;base64,' || to_base64(s.content) END AS data_url
+FROM (SELECT id, {_RESOLVED_SQL} AS path FROM refs) r LEFT JOIN store s ON r.path = s.path""")
+def attach_images(spark: SparkSession, sf: str) -> DataFrame:
+    return A.attach_data_urls(_resolved(spark, sf).select("id", "path"), store(spark, sf)).select("id", "path", "data_url")
+
+
+_DOC_IMG_SQL = """
+doc_j AS (
+  SELECT doc_id AS id, unnest(range(1, CAST(doc_id % 4 AS INTEGER) + 1)) AS j FROM documents WHERE doc_id % 5 <> 0),
+doc_refs AS (
+  SELECT id, j, 'img/' || CAST(id AS VARCHAR) || '_' || CAST(j AS VARCHAR) AS ref FROM doc_j),
+doc_store AS (
+  SELECT '/data/assets/' || ref AS path FROM doc_refs WHERE (id + j) % 3 <> 0)"""
+
+
+def doc_store(spark: SparkSession, sf: str) -> DataFrame:
+    ph = fx.placeholder_text(spark, sf)
+    ex = ph.select("id", F.posexplode("images").alias("pos", "ref"))
+    return ex.where((F.col("id") + F.col("pos") + 1) % 3 != 0).select(
+        F.concat(F.lit(BASE + "/"), F.col("ref")).alias("path"))
+
+
+@register("resolve_assets", O.with_(_DOC_IMG_SQL) + """
+SELECT d.doc_id AS id,
+       coalesce(string_agg(CASE WHEN r.ref IS NOT NULL THEN '/data/assets/' || r.ref END, ',' ORDER BY r.j), '') AS resolved,
+       CAST(count(r.ref) - count(s.path) AS INTEGER) AS n_missing
+FROM documents d LEFT JOIN doc_refs r ON r.id = d.doc_id
+     LEFT JOIN doc_store s ON s.path = '/data/assets/' || r.ref
+GROUP BY d.doc_id""")
+def resolve_assets(spark: SparkSession, sf: str) -> DataFrame:
+    ph = fx.placeholder_text(spark, sf).select("id", "images")
+    out = A.resolve_assets(ph, doc_store(spark, sf), "id", "images", BASE)
+    return out.select("id", F.array_join("resolved_images", ",").alias("resolved"), "n_missing")
