@@ -55,10 +55,15 @@ def registry(spark: SparkSession, rows: Sequence[tuple] | None = None, data_root
     return spark.createDataFrame(list(rows) if rows is not None else default_registry_rows(data_root), REGISTRY_SCHEMA)
 
 
-def run_matrix(tasks: DataFrame, sub_tasks: DataFrame) -> DataFrame:
-    """Every requested task x every requested sub_task (J1).  Both inputs are
-    request lists (a handful of rows each), not data."""
-    return tasks.crossJoin(sub_tasks)
+def run_matrix(requests: DataFrame, tasks_col: str = "tasks", sub_tasks_col: str = "sub_tasks") -> DataFrame:
+    """Every requested task x every requested sub_task.
+
+    Each request row carries its own short lists (bounded by the task label
+    space), so the product is a per-row expansion with ``explode``; no join.
+    """
+    return (requests.withColumn("task", F.explode(tasks_col))
+            .withColumn("sub_task", F.explode(sub_tasks_col))
+            .drop(tasks_col, sub_tasks_col))
 
 
 def resolve_runs(requests: DataFrame, reg: DataFrame, keys: Sequence[str] = ("lang", "task", "sub_task")) -> tuple[DataFrame, DataFrame]:
