@@ -1,0 +1,201 @@
+"""End-to-end evaluation plans.
+
+Every plan has the same shape:
+
+    items -> prompt / system / few-shot / conversation columns (map-side)
+          -> responder (mapInPandas, once per row)
+          -> parse + tag -> WRITE the result table (partitioned by run)
+          -> read the written rows back -> score (one partial+final aggregate)
+          -> write the score table
+
+The write in the middle is deliberate: the model call is the expensive,
+non-deterministic step, so its output is persisted once and everything after
+it reads the persisted rows.  A lazy plan with two actions would call the
+model twice, and a lost executor after the write costs nothing but a re-read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalframe.functions import chat as D
+from evalframe.functions import parsing as P
+from evalframe.functions import prompts as C
+from evalframe.operators import fewshot as FS
+from evalframe.operators import metrics as M
+from evalframe.operators.respond import respond
+from evalframe.session import scratch_dir
+from evalframe.sinks import writers as W
+
+
+@dataclass
+class Run:
+    """Run metadata; becomes the result table's partition columns."""
+    task: str
+    sub_task: str
+    lang: str
+    model_type: str
+    model_name: str
+    system_texts: dict[str, str] = field(default_factory=lambda: dict(C.SYSTEM_TEXTS))
+    templates: dict[str, str] = field(default_factory=lambda: dict(C.TEMPLATES))
+
+
+def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    if few_shot is None:
+        return items.withColumn("few_shot", F.array().cast(FS.FEW_SHOT_TYPE))
+    return FS.attach_few_shot(items, few_shot, keys)
+
+
+def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
+                         results_root: str | None, keep: Sequence[str], images_col: str | None = None,
+                         responder_partitions: int | None = None) -> DataFrame:
+    """Responder -> parse -> tag -> write; returns the written rows, re-read."""
+    if responder_partitions:
+        prompted = prompted.repartition(responder_partitions)
+    visible = [c for c in prompted.columns if c not in ("messages", "few_shot")]
+    answered = respond(prompted, make_responder, prompt_col="zero_shot", images_col=images_col, messages_col="messages",
+                       pass_columns=visible)
+    parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
+    tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
+                       model_name=run.model_name)
+    cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error"]
+                              + list(W.RESULT_PARTITIONS)))
+    root = results_root or scratch_dir(spark, "results")
+    W.write_results(tagged.select(*cols), root)
+    back = W.read_results(spark, root, tagged.select(*cols).schema)
+    return back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
+                      & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
+
+
+def _finish_scores(spark: SparkSession, scores: DataFrame, scores_root: str | None) -> DataFrame:
+    if scores_root is None:
+        return scores
+    W.write_scores(scores, scores_root)
+    return W.read_results(spark, scores_root, scores.schema)
+
+
+# ---------------------------------------------------------------------------
+# P1 selection, P7 multiple choice
+# ---------------------------------------------------------------------------
+
+def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
+                   few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = ("sub_subtask",),
+                   sub_subtasks: Sequence[str] | None = None, results_root: str | None = None,
+                   scores_root: str | None = None, keep: Sequence[str] = ("id",), multi_choice: bool = False,
+                   responder_partitions: int | None = None) -> DataFrame:
+    """Choice selection (P1) / multiple choice (P7): accuracy per sub_subtask.
+
+    ``items`` has ``sub_subtask``, ``object`` (selection), ``all_ids_with_term``,
+    ``correct_ids`` and optionally ``image``.
+    """
+    items = C.select_sub_subtasks(items, sub_subtasks)
+    if multi_choice:
+        zero_shot = C.prompt_multi_choice("all_ids_with_term", run.templates["multi_choice"])
+        system = F.lit(run.system_texts["multi_choice"])
+    else:
+        zero_shot = C.prompt_selection("object", "all_ids_with_term", run.templates["selection"])
+        system = C.system_instruction("sub_subtask", run.system_texts["selection"], run.system_texts["selection_random"])
+    images = "image" if "image" in items.columns else None
+    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({"zero_shot": zero_shot, "system": system})
+    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", images))
+    keep = list(dict.fromkeys(list(keep) + ["sub_subtask", "correct_ids"]))
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images,
+                                   responder_partitions)
+    scored = results.select(*M.RUN_KEYS, P.gold_or_none("correct_ids").alias("gold"),
+                            (P.code_int("parsed") if multi_choice else P.code_selection("parsed")).alias("pred"))
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+
+
+# ---------------------------------------------------------------------------
+# P2 generation
+# ---------------------------------------------------------------------------
+
+def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
+                    few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
+                    results_root: str | None = None, keep: Sequence[str] = ("id", "object"),
+                    with_images: bool = False) -> DataFrame:
+    """Free-text generation (P2): results only, no metric.  Perception items
+    carry ``image`` (mandatory there); commonsense items have none."""
+    if with_images and "image" not in items.columns:
+        raise ValueError("perception generation items need an 'image' column")
+    images = "image" if with_images else None
+    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+        "zero_shot": C.prompt_generation("object", run.templates["generation"]),
+        "system": F.lit(run.system_texts["generation"]),
+    })
+    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", images))
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images)
+    return C.answer_columns(results, "generation")
+
+
+# ---------------------------------------------------------------------------
+# P3 / P4 pair rating
+# ---------------------------------------------------------------------------
+
+def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
+                     votes: DataFrame | None = None, few_shot: DataFrame | None = None,
+                     few_shot_keys: Sequence[str] = (), results_root: str | None = None,
+                     scores_root: str | None = None, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """Pair rating: accuracy (P4) and, with long-form ``votes`` (``item``,
+    ``vote``), the vote-distribution distance and its average (P3).
+
+    ``items`` has ``id``, ``object``, ``term`` and ``naturalness`` (gold).
+    Votes are aggregated per item (partial aggregation) and joined on the item
+    key; both sides are hash-partitioned on it, so the join adds one shuffle of
+    the item side only.
+    """
+    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+        "zero_shot": C.prompt_pair_rating("object", "term", F.lit(run.lang),
+                                          {run.lang: run.templates[f"pair_rating_{run.lang}"]}),
+        "system": F.lit(run.system_texts["pair_rating"]),
+    })
+    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
+    keep = list(dict.fromkeys(list(keep) + ["naturalness"]))
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep)
+    scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"))
+    if votes is None:
+        return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+    stats = M.vote_stats(votes).withColumnRenamed("item", "id")
+    with_d = M.with_distance(scored.join(stats, "id", "left"))
+    scores = M.distance_scores(with_d, by=list(M.RUN_KEYS))
+    return _finish_scores(spark, scores, scores_root)
+
+
+# ---------------------------------------------------------------------------
+# P5 yes/no, P6 A/B
+# ---------------------------------------------------------------------------
+
+def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
+                few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
+                results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
+                strict: bool = False) -> DataFrame:
+    """Yes/no classification (P5): ``items`` has ``term`` and ``label`` (0/1)."""
+    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+        "zero_shot": C.prompt_yes_no("term", run.templates["yes_no"]),
+        "system": F.lit(run.system_texts["yes_no"]),
+    })
+    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["label"])
+    scored = results.select(*M.RUN_KEYS, P.gold_label("label").alias("gold"), P.code_yes_no("parsed", strict).alias("pred"))
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+
+
+def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
+             few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
+             results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
+             strict: bool = False) -> DataFrame:
+    """A/B classification (P6): ``items`` has ``all_ids_with_term`` (``A:..``,
+    ``B:..``) and ``correct_ids``."""
+    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+        "zero_shot": C.prompt_a_b("all_ids_with_term", run.templates["a_b"]),
+        "system": F.lit(run.system_texts["a_b"]),
+    })
+    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["correct_ids"])
+    scored = results.select(*M.RUN_KEYS, P.gold_first("correct_ids").alias("gold"), P.code_a_b("parsed", strict).alias("pred"))
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)

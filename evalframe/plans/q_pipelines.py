@@ -1 +1,304 @@
-"""Registered queries."""
+"""Registered queries: the responder (F1, F2) and end-to-end plans.
+
+The model is a replay responder that answers with each item's recorded
+response, so the whole chain (prompting, conversation assembly, the
+``mapInPandas`` call, persistence, read-back, parsing, scoring) runs for real
+and its scores are comparable with SQL over the same recorded answers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalframe.constants import TASK_COMBINATIONS
+from evalframe.operators import fewshot as FS
+from evalframe.operators import runs as R
+from evalframe.operators.respond import NotFoundError, ReplayResponder, respond
+from evalframe.plans import fixtures as fx
+from evalframe.plans import oracles as O
+from evalframe.plans import pipelines as PL
+from evalframe.plans.catalog import register
+from evalframe.plans.q_runs import matrix
+from evalframe.plans.q_scoring import _acc_sql
+
+MODEL = "replay-model"
+
+
+def _round(df: DataFrame) -> DataFrame:
+    cols = {c: F.round(c, 9) for c in ("accuracy", "average_distance") if c in df.columns}
+    return df.withColumns(cols)
+
+
+def _fs_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return FS.few_shot_sets(fx.few_shot_pairs(spark, sf), ["fs_id"])
+
+
+# ---------------------------------------------------------------------------
+# F1 / F2
+# ---------------------------------------------------------------------------
+
+@register("respond", O.with_(O.CHOICE_ITEMS) + """
+SELECT id, recorded_response AS raw_response, CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS error
+FROM choice_responses""")
+def respond_query(spark: SparkSession, sf: str) -> DataFrame:
+    items = fx.choice_responses(spark, sf).select("id", "recorded_response", F.col("object").alias("prompt"))
+    out = respond(items, ReplayResponder)
+    return out.select("id", "raw_response", "attempts", "error")
+
+
+class FlakyResponder:
+    """Fails ``id % 7`` times before answering; ``id % 11 == 0`` is not found."""
+
+    def __init__(self):
+        self.calls: dict[int, int] = {}
+
+    def respond(self, requests):
+        if len(requests) > 1:
+            if any(r["row"]["id"] % 11 == 0 or r["row"]["id"] % 7 > 0 for r in requests):
+                raise RuntimeError("batch failed")
+        out = []
+        for r in requests:
+            i = r["row"]["id"]
+            if i % 11 == 0:
+                raise NotFoundError("no such model")
+            n = self.calls.get(i, 0)
+            self.calls[i] = n + 1
+            if n < i % 7:
+                raise RuntimeError("rate limited")
+            out.append(r["row"]["recorded_response"])
+        return out
+
+
+@register("retry_schedule", O.with_(O.CHOICE_ITEMS) + """
+SELECT id,
+       CASE WHEN id % 11 = 0 OR id % 7 >= 5 THEN NULL ELSE recorded_response END AS raw_response,
+       CAST(att AS INTEGER) AS attempts,
+       CASE WHEN id % 11 = 0 THEN 0e0 ELSE 10e0 * (pow(2, att - 1) - 1) END AS waited_s,
+       CASE WHEN id % 11 = 0 THEN 'not_found' WHEN id % 7 >= 5 THEN 'exhausted' END AS error_kind
+FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 1 WHEN id % 7 >= 5 THEN 5 ELSE id % 7 + 1 END AS att FROM choice_responses)""")
+def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    items = fx.choice_responses(spark, sf).select("id", "recorded_response", F.col("object").alias("prompt"))
+    out = respond(items, FlakyResponder, sleep=lambda s: None)
+    return out.select("id", "raw_response", "attempts", "waited_s",
+                      F.split("error", ":").getItem(0).alias("error_kind"))
+
+
+# ---------------------------------------------------------------------------
+# fixture items per task family
+# ---------------------------------------------------------------------------
+
+def selection_items(spark, sf):
+    return fx.choice_responses(spark, sf).withColumn("fs_id", F.col("id") % 1000)
+
+
+def generation_items(spark, sf, with_images: bool):
+    it = fx.choice_items(spark, sf).withColumn(
+        "recorded_response", F.concat(F.lower("object"), F.lit(" looks smooth and cool")))
+    if with_images:
+        it = it.withColumn("image", F.array(F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".jpg"))))
+    return it.withColumn("fs_id", F.col("id") % 1000)
+
+
+def pair_items(spark, sf):
+    return fx.pair_rating_items(spark, sf).withColumn("naturalness", ((F.col("id") % 5) + 1).cast("int"))
+
+
+def yes_no_items(spark, sf):
+    return fx.yes_no_items(spark, sf).withColumn("term", F.concat(F.lit("word"), F.col("id").cast("string")))
+
+
+def a_b_items(spark, sf):
+    return fx.a_b_items(spark, sf).withColumn("all_ids_with_term", F.array(
+        F.concat(F.lit("A:rough"), F.col("id").cast("string")), F.concat(F.lit("B:smooth"), F.col("id").cast("string"))))
+
+
+_GEN_SQL = """
+SELECT id, object, {task} AS task, 'generation' AS sub_task, 'ja' AS lang, 'api' AS model_type, 'replay-model' AS model_name,
+       lower(object) || ' looks smooth and cool' AS original_response
+FROM choice_items"""
+
+_SEL_SCORES_SQL = f"""
+SELECT 'perception' AS task, 'selection' AS sub_task, sub_subtask, '{{lang}}' AS lang, 'api' AS model_type,
+       'replay-model' AS model_name, {_acc_sql('gold', 'pred')}
+FROM (SELECT sub_subtask, coalesce(correct_ids[1], -1) AS gold,
+             {O.code_int_sql(O.extract_sql('recorded_response'))} AS pred FROM choice_responses)
+GROUP BY sub_subtask"""
+
+_MC_SCORES_SQL = f"""
+SELECT 'taxonomic' AS task, 'multiple_choice_classification' AS sub_task, sub_subtask, 'ja' AS lang, 'api' AS model_type,
+       'replay-model' AS model_name, {_acc_sql('gold', 'pred')}
+FROM (SELECT sub_subtask, coalesce(correct_ids[1], -1) AS gold,
+             {O.code_int_sql(O.extract_sql('recorded_response'))} AS pred FROM choice_responses WHERE sub_subtask <> 'random')
+GROUP BY sub_subtask"""
+
+_PAIR_SQL = f"""
+pair_scored AS (
+  SELECT p.id, CAST(p.id % 5 + 1 AS INTEGER) AS gold, {O.code_int_sql(O.extract_sql('p.recorded_response'))} AS pred,
+         v.vote_mean, v.vote_sd, v.unanimous
+  FROM pair_items p LEFT JOIN vote_stats v ON p.id = v.item),
+pair_d AS (
+  SELECT *, {O.distance_sql('gold', 'pred', 'vote_mean', 'vote_sd', 'unanimous')} AS distribution_distance FROM pair_scored)"""
+
+_P3_SQL = f"""
+SELECT 'commonsense' AS task, 'classification' AS sub_task, CAST(NULL AS VARCHAR) AS sub_subtask, 'ja' AS lang,
+       'api' AS model_type, 'replay-model' AS model_name, {_acc_sql('gold', 'pred')},
+       round(avg(distribution_distance), 9) AS average_distance, count(distribution_distance) AS n_distance
+FROM pair_d"""
+
+_P4_SQL = f"""
+SELECT 'commonsense' AS task, 'classification' AS sub_task, CAST(NULL AS VARCHAR) AS sub_subtask, 'en' AS lang,
+       'api' AS model_type, 'replay-model' AS model_name, {_acc_sql('gold', 'pred')}
+FROM pair_d"""
+
+_P5_SQL = f"""
+SELECT 'taxonomic' AS task, 'yes_no_classification' AS sub_task, CAST(NULL AS VARCHAR) AS sub_subtask, 'ja' AS lang,
+       'api' AS model_type, 'replay-model' AS model_name, {_acc_sql('gold', 'pred')}
+FROM (SELECT CAST(label AS INTEGER) AS gold,
+             CASE {O.extract_sql('recorded_response')} WHEN 'no' THEN 0 WHEN 'yes' THEN 1 ELSE -100 END AS pred
+      FROM yes_no_items)"""
+
+_P6_SQL = f"""
+SELECT 'taxonomic' AS task, 'a_b_classification' AS sub_task, CAST(NULL AS VARCHAR) AS sub_subtask, 'ja' AS lang,
+       'api' AS model_type, 'replay-model' AS model_name, {_acc_sql('gold', 'pred')}
+FROM (SELECT correct_ids[1] AS gold,
+             CASE {O.extract_sql('recorded_response')} WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE -100 END AS pred
+      FROM a_b_items)"""
+
+SCORE_COLS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name", "accuracy", "n_rows", "n_invalid")
+
+
+def _run(task, sub_task, lang):
+    return PL.Run(task=task, sub_task=sub_task, lang=lang, model_type="api", model_name=MODEL)
+
+
+def p1(spark, sf, lang="en"):
+    return PL.eval_selection(spark, selection_items(spark, sf), _run("perception", "selection", lang), ReplayResponder,
+                             few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"])
+
+
+def p2(spark, sf, task="perception"):
+    res = PL.eval_generation(spark, generation_items(spark, sf, task == "perception"), _run(task, "generation", "ja"),
+                             ReplayResponder, few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"])
+    return res.select("id", "object", "task", "sub_task", "lang", "model_type", "model_name", "original_response")
+
+
+def p3(spark, sf):
+    return PL.eval_pair_rating(spark, pair_items(spark, sf), _run("commonsense", "classification", "ja"), ReplayResponder,
+                               votes=fx.votes_long(spark, sf))
+
+
+def p4(spark, sf):
+    return PL.eval_pair_rating(spark, pair_items(spark, sf), _run("commonsense", "classification", "en"), ReplayResponder)
+
+
+def p5(spark, sf):
+    return PL.eval_yes_no(spark, yes_no_items(spark, sf), _run("taxonomic", "yes_no_classification", "ja"), ReplayResponder)
+
+
+def p6(spark, sf):
+    return PL.eval_a_b(spark, a_b_items(spark, sf), _run("taxonomic", "a_b_classification", "ja"), ReplayResponder)
+
+
+def p7(spark, sf):
+    items = selection_items(spark, sf).where(F.col("sub_subtask") != "random")
+    return PL.eval_selection(spark, items, _run("taxonomic", "multiple_choice_classification", "ja"), ReplayResponder,
+                             few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"], multi_choice=True)
+
+
+@register("eval_selection", O.with_(O.CHOICE_ITEMS) + _SEL_SCORES_SQL.replace('{lang}', 'en'))
+def eval_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p1(spark, sf)).select(*SCORE_COLS)
+
+
+@register("eval_generation", O.with_(O.CHOICE_ITEMS) + _GEN_SQL.replace('{task}', "'perception'"))
+def eval_generation(spark: SparkSession, sf: str) -> DataFrame:
+    return p2(spark, sf, "perception")
+
+
+@register("eval_generation_text", O.with_(O.CHOICE_ITEMS) + _GEN_SQL.replace('{task}', "'commonsense'"))
+def eval_generation_text(spark: SparkSession, sf: str) -> DataFrame:
+    return p2(spark, sf, "commonsense")
+
+
+@register("eval_pair_rating_votes", O.with_(O.VOTES, O.PAIR_ITEMS, _PAIR_SQL) + _P3_SQL)
+def eval_pair_rating_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p3(spark, sf)).select(*SCORE_COLS, "average_distance", "n_distance")
+
+
+@register("eval_pair_rating", O.with_(O.VOTES, O.PAIR_ITEMS, _PAIR_SQL) + _P4_SQL)
+def eval_pair_rating(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p4(spark, sf)).select(*SCORE_COLS)
+
+
+@register("eval_yes_no", O.with_(O.YES_NO) + _P5_SQL)
+def eval_yes_no(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p5(spark, sf)).select(*SCORE_COLS)
+
+
+@register("eval_a_b", O.with_(O.A_B) + _P6_SQL)
+def eval_a_b(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p6(spark, sf)).select(*SCORE_COLS)
+
+
+@register("eval_multi_choice", O.with_(O.CHOICE_ITEMS) + _MC_SCORES_SQL)
+def eval_multi_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(p7(spark, sf)).select(*SCORE_COLS)
+
+
+# ---------------------------------------------------------------------------
+# A whole run over the resolved requests
+# ---------------------------------------------------------------------------
+
+def _with_distance_cols(df: DataFrame) -> DataFrame:
+    if "average_distance" not in df.columns:
+        df = df.withColumns({"average_distance": F.lit(None).cast("double"), "n_distance": F.lit(0).cast("long")})
+    return _round(df).select(*SCORE_COLS, "average_distance", "n_distance")
+
+
+PIPELINE_FOR = {
+    ("ja", "perception", "generation"): lambda s, sf: p2(s, sf, "perception"),
+    ("ja", "commonsense", "generation"): lambda s, sf: p2(s, sf, "commonsense"),
+    ("ja", "perception", "selection"): lambda s, sf: p1(s, sf, "ja"),
+    ("en", "perception", "selection"): lambda s, sf: p1(s, sf, "en"),
+    ("ja", "commonsense", "classification"): p3,
+    ("en", "commonsense", "classification"): p4,
+    ("ja", "taxonomic", "yes_no_classification"): p5,
+    ("ja", "taxonomic", "a_b_classification"): p6,
+    ("ja", "taxonomic", "multiple_choice_classification"): p7,
+}
+assert set(PIPELINE_FOR) == set(TASK_COMBINATIONS)
+
+
+def eval_run_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolve the requested combinations first (unknown ones are reported by
+    ``missing_runs``), then run each distinct valid combination once.  The
+    distinct combinations are configuration (at most the registry's nine
+    rows), so they are read on the driver; the rows stay in Spark."""
+    resolved, _missing = R.resolve_runs(matrix(spark, sf), R.registry(spark))
+    combos = [tuple(r) for r in resolved.select("lang", "task", "sub_task").distinct().collect()]
+    scores = None
+    for combo in sorted(combos):
+        out = PIPELINE_FOR[combo](spark, sf)
+        if combo[2] == "generation":
+            continue  # results only, no score rows
+        out = _with_distance_cols(out)
+        scores = out if scores is None else scores.unionByName(out)
+    return scores
+
+
+_P8_SQL = (O.with_(O.CHOICE_ITEMS, O.VOTES, O.PAIR_ITEMS, _PAIR_SQL, O.YES_NO, O.A_B)
+           + "\n UNION ALL \n".join([
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_SEL_SCORES_SQL.replace('{lang}', 'ja')})",
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_SEL_SCORES_SQL.replace('{lang}', 'en')})",
+               f"SELECT * FROM ({_P3_SQL})",
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_P4_SQL})",
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_P5_SQL})",
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_P6_SQL})",
+               f"SELECT *, CAST(NULL AS DOUBLE) AS average_distance, CAST(0 AS BIGINT) AS n_distance FROM ({_MC_SCORES_SQL})",
+           ]))
+
+
+@register("eval_run", _P8_SQL)
+def eval_run(spark: SparkSession, sf: str) -> DataFrame:
+    return eval_run_scores(spark, sf)
