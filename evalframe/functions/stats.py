@@ -31,10 +31,15 @@ def vote_mean_array(votes: Column | str) -> Column:
 
 
 def vote_std_array(votes: Column | str) -> Column:
-    """Sample standard deviation, ddof=1 (H4, array form); one vote -> null."""
+    """Sample standard deviation, ddof=1 (H4, array form); one vote -> null.
+
+    Two passes like numpy: the mean is computed once and bound through a
+    one-element array, then the squared deviations are summed.
+    """
     v = _col(votes)
-    mean = vote_mean_array(v)
-    ss = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean))
+    ss = F.aggregate(
+        F.array(vote_mean_array(v)), F.lit(0.0),
+        lambda _acc, m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") - m) * (x.cast("double") - m)))
     return F.sqrt(F.try_divide(ss, (F.size(v) - 1).cast("double")))
 
 

@@ -13,7 +13,10 @@ A responder is any object with
 where each request has ``prompt`` (text or rendered chat string), ``messages``
 (optional), ``images`` (optional) and ``row`` (the input row as a dict).
 Raise ``NotFoundError`` for a permanent failure (no retry) and any other
-exception for a transient one.
+exception for a transient one.  Optional class attributes: ``input_columns``
+(row columns it reads; default all) and ``wants_messages`` (default True).
+Pipelines send only those columns to Python, so wide or nested item columns
+stay in the JVM.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ class NotFoundError(Exception):
 class ReplayResponder:
     """Answers with a recorded response column (re-scoring past runs, tests)."""
 
+    input_columns = ("recorded_response",)
+    wants_messages = False
+
     def __init__(self, column: str = "recorded_response"):
         self.column = column
 
@@ -47,6 +53,9 @@ class EchoChoiceResponder:
     """Deterministic stand-in model: answers with the first option id found
     in the prompt's ``Options:`` line, else ``yes``."""
 
+    input_columns = ()
+    wants_messages = False
+
     def respond(self, requests: list[dict]) -> list[str]:
         out = []
         for r in requests:
@@ -81,14 +90,22 @@ def _call_with_retry(responder: Any, req: dict, max_attempts: int, first_wait: f
 def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str = "prompt",
             images_col: str | None = None, messages_col: str | None = None, pass_columns: Sequence[str] | None = None,
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
-            factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True) -> DataFrame:
+            factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
+            min_partitions: int | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
     ``batch=True`` first sends a whole Arrow batch to the responder; if that
     call fails, the rows of that batch fall back to the per-row retry loop
     (F2).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
+
+    Model calls dominate the cost of this stage, so when the input has fewer
+    partitions than ``min_partitions`` (default: the cluster's parallelism)
+    the rows are spread round-robin first; a large input keeps its partitions.
     """
+    want = min_partitions if min_partitions is not None else df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(out_col, T.StringType(), True),
         T.StructField("attempts", T.IntegerType(), False),
@@ -100,15 +117,14 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = make_responder()
         for pdf in batches:
-            rows = pdf[visible].to_dict("records") if visible else [{}] * len(pdf)
-            reqs = []
-            for idx, row in enumerate(rows):
-                reqs.append({
-                    "prompt": pdf[prompt_col].iat[idx] if prompt_col in pdf else None,
-                    "images": list(pdf[images_col].iat[idx]) if images_col and pdf[images_col].iat[idx] is not None else None,
-                    "messages": pdf[messages_col].iat[idx] if messages_col else None,
-                    "row": row,
-                })
+            n = len(pdf)
+            rows = pdf[visible].to_dict("records") if visible else [{}] * n
+            prompts = pdf[prompt_col].tolist() if prompt_col in pdf else [None] * n
+            images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
+                      if images_col else [None] * n)
+            msgs = pdf[messages_col].tolist() if messages_col else [None] * n
+            reqs = [{"prompt": p, "images": im, "messages": m, "row": r}
+                    for p, im, m, r in zip(prompts, images, msgs, rows)]
             answers: list = [None] * len(reqs)
             attempts = [0] * len(reqs)
             waited = [0.0] * len(reqs)

@@ -54,20 +54,32 @@ def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[
 def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
                          results_root: str | None, keep: Sequence[str], images_col: str | None = None,
                          responder_partitions: int | None = None) -> DataFrame:
-    """Responder -> parse -> tag -> write; returns the written rows, re-read."""
+    """Responder -> parse -> tag -> write; returns the written rows, re-read.
+
+    Only the columns the result table keeps, the prompt, and what the
+    responder declares it reads cross into Python; nested few-shot arrays and
+    messages stay in the JVM unless the responder asks for them.
+    """
+    wants_messages = getattr(make_responder, "wants_messages", True)
+    inputs = getattr(make_responder, "input_columns", None)
+    if inputs is None:
+        inputs = [c for c in prompted.columns if c not in ("messages", "few_shot")]
+    needed = list(dict.fromkeys(list(keep) + ["zero_shot"] + list(inputs)
+                                + ([images_col] if images_col else []) + (["messages"] if wants_messages else [])))
+    narrow = prompted.select(*needed)
     if responder_partitions:
-        prompted = prompted.repartition(responder_partitions)
-    visible = [c for c in prompted.columns if c not in ("messages", "few_shot")]
-    answered = respond(prompted, make_responder, prompt_col="zero_shot", images_col=images_col, messages_col="messages",
-                       pass_columns=visible)
+        narrow = narrow.repartition(responder_partitions)
+    answered = respond(narrow, make_responder, prompt_col="zero_shot", images_col=images_col,
+                       messages_col="messages" if wants_messages else None, pass_columns=list(inputs))
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name)
     cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error"]
                               + list(W.RESULT_PARTITIONS)))
     root = results_root or scratch_dir(spark, "results")
-    W.write_results(tagged.select(*cols), root)
-    back = W.read_results(spark, root, tagged.select(*cols).schema)
+    out = tagged.select(*cols)
+    W.write_results(out, root)
+    back = W.read_results(spark, root, out.schema)
     return back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
                       & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
 

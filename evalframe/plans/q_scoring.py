@@ -215,9 +215,10 @@ FROM (SELECT item, gold, pred, list_avg(votes) AS mu,
              list_min(votes) = list_max(votes) AS unanimous
       FROM vote_arrays)""")
 def distribution_distance_array(spark: SparkSession, sf: str) -> DataFrame:
-    va = fx.vote_arrays(spark, sf)
-    d = S.distribution_distance("gold", "pred", S.vote_mean_array("votes"), S.vote_std_array("votes"),
-                                S.vote_unanimous_array("votes"))
+    va = fx.vote_arrays(spark, sf).select(
+        "item", "gold", "pred", S.vote_mean_array("votes").alias("mu"), S.vote_std_array("votes").alias("sd"),
+        S.vote_unanimous_array("votes").alias("unanimous"))
+    d = S.distribution_distance("gold", "pred", "mu", "sd", "unanimous")
     return va.select("item", r9(d).alias("distribution_distance"))
 
 

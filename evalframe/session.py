@@ -50,12 +50,43 @@ def get_session(master: str | None = None, app_name: str = "evalframe", shuffle_
 
 
 def apply_required_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL options the plans depend on (idempotent)."""
+    """Set the runtime SQL options the plans depend on and make the package
+    importable on executors (idempotent)."""
     for k, v in REQUIRED_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static or unmodifiable in this deployment
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the executors' Python path (like ``--py-files``).
+
+    Python code that runs in tasks (the responder, ``mapInPandas``
+    functions) imports ``evalframe``; the package is zipped once per driver
+    process and registered once per application.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="evalframe-pyfiles-")
+    zpath = os.path.join(out_dir, "evalframe.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
