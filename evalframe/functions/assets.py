@@ -22,14 +22,25 @@ def is_url(path: Column | str) -> Column:
     return expr
 
 
+def normalize_path(path: Column | str) -> Column:
+    """``pathlib``'s lexical normalisation: repeated slashes collapse, ``.``
+    segments and a trailing slash are dropped (``..`` is kept)."""
+    x = F.regexp_replace(_col(path), "/+", "/")
+    x = F.regexp_replace(x, r"^(\./)+", "")
+    x = F.regexp_replace(x, r"/\.(?=/|$)", "")
+    x = F.regexp_replace(x, r"(?<=.)/$", "")
+    return F.when(x == F.lit(""), F.lit(".")).otherwise(x)
+
+
 def resolve_path(base: Column | str, path: Column | str) -> Column:
-    """``base / path`` as ``pathlib`` joins it: an absolute path wins, an empty
-    base leaves the path alone, trailing slashes on the base collapse (E2)."""
-    b = F.regexp_replace(_col(base), "/+$", "")
+    """``Path(base) / path`` (E2): an absolute path wins, an empty base leaves
+    the path alone, and the result is normalised like ``pathlib``."""
+    b = _col(base)
     p = _col(path)
-    return (F.when(p.startswith("/"), p)
-            .when(b.isNull() | (b == F.lit("")), F.when(_col(base).startswith("/"), F.concat(F.lit("/"), p)).otherwise(p))
-            .otherwise(F.concat(b, F.lit("/"), p)))
+    joined = (F.when(p.startswith("/"), p)
+              .when(b.isNull() | (b == F.lit("")), p)
+              .otherwise(F.concat(b, F.lit("/"), p)))
+    return normalize_path(joined)
 
 
 def data_url(content: Column | str) -> Column:

@@ -27,7 +27,7 @@ TEMPLATES = {
                        "1. natural  2. somewhat natural  3. somewhat unnatural  4. unnatural  5. not a quality word\n"
                        "Answer: "),
     "pair_rating_ja": ("対象: {object}\n語: {term}\nこの組み合わせは自然ですか。\n"
-                       "1. 自然  2. やや自然  3. やや不自然  4. 不自然  5. 質感を表す語ではない\n回答: "),
+                       "1. 自然  2. やや自然  3. やや不自然  4. 不自然  5. 物の性質を表す語ではない\n回答: "),
     "yes_no": "Word: {term}\nDoes this word describe a material quality? Reply yes or no.\nAnswer: ",
     "a_b": "Which option describes a material quality?\n{choices}\nAnswer: ",
     "multi_choice": "Which option describes a material quality? {choices}\nAnswer: ",
