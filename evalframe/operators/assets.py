@@ -25,13 +25,17 @@ def read_assets(spark: SparkSession, root: str, glob: str | None = None, with_co
     return df.select(*cols)
 
 
-def explode_refs(items: DataFrame, id_col: str, images_col: str, base_dir: str | None) -> DataFrame:
+def explode_refs(items: DataFrame, id_col: str, images_col: str, base_dir: str | None,
+                 keep_empty: bool = False) -> DataFrame:
     """One row per (item, position, reference), resolved against ``base_dir``;
-    URLs are kept as they are."""
-    ex = items.select(id_col, F.posexplode_outer(images_col).alias("pos", "ref")).where(F.col("ref").isNotNull())
+    URLs are kept as they are.  ``keep_empty`` keeps one null row for items
+    without references."""
+    ex = items.select(id_col, F.posexplode_outer(images_col).alias("pos", "ref"))
+    if not keep_empty:
+        ex = ex.where(F.col("ref").isNotNull())
     resolved = F.when(is_url("ref"), F.col("ref"))
     resolved = resolved.otherwise(resolve_path(F.lit(base_dir), "ref")) if base_dir is not None else resolved.otherwise(F.col("ref"))
-    return ex.withColumn("path", resolved)
+    return ex.withColumn("path", F.when(F.col("ref").isNotNull(), resolved))
 
 
 def missing_assets(refs: DataFrame, manifest: DataFrame, path_col: str = "path") -> DataFrame:
@@ -49,24 +53,21 @@ def resolve_assets(items: DataFrame, manifest: DataFrame, id_col: str = "id", im
                    base_dir: str | None = None) -> DataFrame:
     """Per item: resolved image paths in order, and how many are missing.
 
-    Explode with position, left-join the manifest's path column, and regroup by
-    item; a group is one item's image list.  The harness raised on the first
-    missing file; here ``n_missing`` reports it so a caller can fail or filter.
+    Explode with position (items without images keep one empty row), left-join
+    the manifest's path column, and regroup by item: one shuffle for the join
+    (none when the planner broadcasts a small manifest) and one for the
+    regroup.  A group is one item's image list.  The harness raised on the
+    first missing file; ``n_missing`` reports it so a caller can fail or filter.
     """
-    refs = explode_refs(items, id_col, images_col, base_dir)
+    refs = explode_refs(items, id_col, images_col, base_dir, keep_empty=True)
     files = manifest.select(F.col("path").alias("_file")).distinct().withColumn("_exists", F.lit(True))
-    checked = refs.join(files, refs["path"] == files["_file"], "left").withColumn(
-        "_exists", F.coalesce("_exists", is_url("path")))
+    checked = refs.join(files, refs["path"] == files["_file"], "left")
+    missing = F.col("path").isNotNull() & ~F.coalesce(F.col("_exists"), is_url("path"))
     grouped = checked.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("_refs"),
-        F.sum(F.when(F.col("_exists"), 0).otherwise(1)).cast("int").alias("n_missing"),
-    )
-    out = grouped.select(id_col, F.transform("_refs", lambda r: r["path"]).alias("resolved_images"), "n_missing")
-    return items.select(id_col).join(out, id_col, "left").select(
-        id_col,
-        F.coalesce("resolved_images", F.array().cast("array<string>")).alias("resolved_images"),
-        F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
+        F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("pos", "path")))).alias("_refs"),
+        F.sum(F.when(missing, 1).otherwise(0)).cast("int").alias("n_missing"),
     )
+    return grouped.select(id_col, F.transform("_refs", lambda r: r["path"]).alias("resolved_images"), "n_missing")
 
 
 def attach_data_urls(refs: DataFrame, assets: DataFrame, path_col: str = "path") -> DataFrame:
