@@ -6,8 +6,9 @@ recorded responses, votes, few-shot pairs and conversations from them with
 plain column expressions.  Each derivation has a DuckDB twin in
 ``plans.oracles`` so the two engines can be compared on the same rows.
 
-All derivations are map-side projections except ``messages`` and
-``few_shot_sets`` (one bounded group per conversation).
+All derivations are map-side projections except ``messages`` (one group per
+conversation: a chat prompt is one value per conversation) and
+``few_shot_pairs`` (an equi-join on the next turn).
 """
 
 from __future__ import annotations
@@ -177,23 +178,21 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def few_shot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn answered by the next (assistant) turn is one example."""
-    from pyspark.sql import Window
+    """A user turn answered by the next (assistant) turn is one example.
 
+    ``turn`` is the message's position in its conversation (0, 1, 2, ...), so
+    "the next turn" is an equi-join on ``(conv_id, turn + 1)``.  Its key is
+    unique per row, so a conversation holding a large share of all turns
+    spreads over many tasks instead of one window partition.
+    """
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-    )
-    return nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        F.col("conv_id").alias("fs_id"),
-        F.col("turn").alias("ord"),
-        F.col("text").alias("user"),
-        F.col("next_text").alias("assistant"),
-        F.lit(None).cast("array<string>").alias("images"),
-    )
+    users = c.where(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("next_turn"), F.col("turn").alias("ord"), F.col("text").alias("user"))
+    answers = c.where(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("assistant"))
+    return users.join(answers, ["conv_id", "next_turn"]).select(
+        F.col("conv_id").alias("fs_id"), "ord", "user", "assistant",
+        F.lit(None).cast("array<string>").alias("images"))
 
 
 # ---------------------------------------------------------------------------

@@ -30,12 +30,33 @@ REQUIRED_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of executors, tens of TB of input).
+# Shuffle partitions start high and AQE coalesces them to the advisory size, so
+# small runs do not pay for them; skewed partitions are split at run time.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # the responder's Arrow batches: small enough to bound Python memory per task
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.task.maxFailures": "8",
+}
+
+
 def get_session(master: str | None = None, app_name: str = "evalframe", shuffle_partitions: int | None = None,
-                extra_conf: dict[str, str] | None = None) -> SparkSession:
+                extra_conf: dict[str, str] | None = None, cluster: bool = False) -> SparkSession:
+    """Build (or reuse) a session with the options the plans rely on;
+    ``cluster=True`` adds ``CLUSTER_CONF``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(REQUIRED_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.setdefault("spark.sql.execution.arrow.pyspark.enabled", "true")
