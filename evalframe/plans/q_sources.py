@@ -69,6 +69,24 @@ def read_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return _choice_out(R.read_dataset(spark, path, CHOICE_FILE_SCHEMA))
 
 
+@register("read_json_array", _CHOICE_OUT_SQL)
+def read_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: JSON documents each holding an array of records.
+
+    The table is written as many documents of at most 1000 records (one per
+    file, grouped by ``id div 1000``), so neither the writer nor the reader
+    ever holds more than one bounded document per task.
+    """
+    path = scratch_dir(spark, "json-array") + "/items.json"
+    items = fx.choice_items(spark, sf).select(*[f.name for f in CHOICE_FILE_SCHEMA.fields])
+    docs = items.groupBy(F.floor(F.col("id") / 1000).alias("chunk")).agg(
+        F.to_json(F.collect_list(F.struct(*[f.name for f in CHOICE_FILE_SCHEMA.fields]))).alias("value"))
+    docs.write.mode("overwrite").partitionBy("chunk").text(path)
+    back = (spark.read.schema(CHOICE_FILE_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST")
+            .option("recursiveFileLookup", "true").json(path))
+    return _choice_out(back)
+
+
 _DOC_SQL = f"""
 SELECT doc_id,
        CASE WHEN lang IN ({_NA_LIST}) THEN NULL ELSE lang END AS lang,
