@@ -8,7 +8,9 @@ Every plan has the same shape:
           -> read the written rows back -> score (one partial+final aggregate)
           -> write the score table
 
-The write in the middle is deliberate: the model call is the expensive,
+The result table is Parquet by default (typed, columnar, splittable; set
+``RESULTS_FORMAT = "json"`` or export with ``sinks.writers.write_jsonl`` for
+JSON Lines).  The write in the middle is deliberate: the model call is the expensive,
 non-deterministic step, so its output is persisted once and everything after
 it reads the persisted rows.  A lazy plan with two actions would call the
 model twice, and a lost executor after the write costs nothing but a re-read.
@@ -51,9 +53,12 @@ def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[
     return FS.attach_few_shot(items, few_shot, keys)
 
 
+RESULTS_FORMAT = "parquet"
+
+
 def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
                          results_root: str | None, keep: Sequence[str], images_col: str | None = None,
-                         responder_partitions: int | None = None) -> DataFrame:
+                         responder_partitions: int | None = None, results_format: str | None = None) -> DataFrame:
     """Responder -> parse -> tag -> write; returns the written rows, re-read.
 
     Only the columns the result table keeps, the prompt, and what the
@@ -77,9 +82,10 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error"]
                               + list(W.RESULT_PARTITIONS)))
     root = results_root or scratch_dir(spark, "results")
+    fmt = results_format or RESULTS_FORMAT
     out = tagged.select(*cols)
-    W.write_results(out, root)
-    back = W.read_results(spark, root, out.schema)
+    W.write_results(out, root, fmt=fmt)
+    back = W.read_results(spark, root, out.schema, fmt=fmt)
     return back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
                       & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
 
