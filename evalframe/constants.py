@@ -129,6 +129,31 @@ TURN = {"bos": "<bos>", "start": "<start_of_turn>", "end": "<end_of_turn>\n", "a
 INSTRUCTION_RESPONSE = {"bos": "<s>", "eos": "</s>", "user_header": "\n\n### 指示:\n",
                         "response_header": "\n\n### 応答:\n"}
 
+# How each wrapper family assembles a request:
+# (vision, system handling, placeholder handling, text chat format, default system text).
+# system handling: "role" system turn, "user" system text as a user turn,
+#   "fold" system text prefixed to the first user turn, "flat" one flat text.
+# placeholder handling: "check" count only, "strip" check then remove,
+#   "fill" check then add only the missing images, "none" text-only model.
+MODEL_PROFILES = {
+    "gpt4o": (True, "role", "check", None, None),
+    "llava": (True, "role", "strip", None, None),
+    "llava_next": (True, "role", "strip", None, None),
+    "llava_onevision": (True, "role", "strip", None, None),
+    "idefics2": (True, "role", "fill", None, None),
+    "idefics3": (True, "role", "fill", None, None),
+    "qwen2_vl": (True, "role", "strip", None, None),
+    "qwen2_vl_vllm": (True, "role", "strip", None, None),
+    "mllama_instruct": (True, "user", "strip", None, None),
+    "molmo": (True, "flat", "strip", "flat", None),
+    "llama3_instruct": (False, "role", "none", "header", None),
+    "llama2_instruct": (False, "role", "none", "inst", None),
+    "gemma2_instruct": (False, "fold", "none", "turn", None),
+    "qwen2_instruct": (False, "role", "none", "chatml", "You are a helpful assistant."),
+    "qwen2_5_instruct": (False, "role", "none", "chatml", "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."),
+    "llm_jp_3_instruct": (False, "role", "none", "instruction_response", None),
+}
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

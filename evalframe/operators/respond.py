@@ -91,7 +91,8 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             images_col: str | None = None, messages_col: str | None = None, pass_columns: Sequence[str] | None = None,
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
-            min_partitions: int | None = None) -> DataFrame:
+            min_partitions: int | None = None, skip_col: str | None = None,
+            batch_size: int | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
     ``batch=True`` first sends a whole Arrow batch to the responder; if that
@@ -102,6 +103,10 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     Model calls dominate the cost of this stage, so when the input has fewer
     partitions than ``min_partitions`` (default: the cluster's parallelism)
     the rows are spread round-robin first; a large input keeps its partitions.
+    Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
+    0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
+    GPU batch); by default one call gets a whole Arrow batch
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
     want = min_partitions if min_partitions is not None else df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
@@ -123,24 +128,31 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
                       if images_col else [None] * n)
             msgs = pdf[messages_col].tolist() if messages_col else [None] * n
-            reqs = [{"prompt": p, "images": im, "messages": m, "row": r}
-                    for p, im, m, r in zip(prompts, images, msgs, rows)]
-            answers: list = [None] * len(reqs)
-            attempts = [0] * len(reqs)
-            waited = [0.0] * len(reqs)
-            errors: list = [None] * len(reqs)
-            done = False
-            if batch and reqs:
-                try:
-                    got = responder.respond(reqs)
-                    if len(got) == len(reqs):
-                        answers, attempts, done = list(got), [1] * len(reqs), True
-                except Exception:  # noqa: BLE001 - fall back to per-row retry
-                    done = False
-            if not done:
-                for j, req in enumerate(reqs):
-                    answers[j], attempts[j], errors[j], waited[j] = _call_with_retry(
-                        responder, req, max_attempts, first_wait, factor, sleep)
+            skip = pdf[skip_col].fillna(False).astype(bool).tolist() if skip_col else [False] * n
+            all_reqs = [{"prompt": p, "images": im, "messages": m, "row": r}
+                        for p, im, m, r in zip(prompts, images, msgs, rows)]
+            live = [j for j in range(n) if not skip[j]]
+            answers: list = [None] * n
+            attempts = [0] * n
+            waited = [0.0] * n
+            errors: list = ["placeholder_mismatch" if s else None for s in skip]
+            step = batch_size or max(len(live), 1)
+            for lo in range(0, len(live), step):
+                chunk = live[lo:lo + step]
+                done = False
+                if batch:
+                    try:
+                        got = responder.respond([all_reqs[j] for j in chunk])
+                        if len(got) == len(chunk):
+                            for j, a in zip(chunk, got):
+                                answers[j], attempts[j] = a, 1
+                            done = True
+                    except Exception:  # noqa: BLE001 - fall back to per-row retry
+                        done = False
+                if not done:
+                    for j in chunk:
+                        answers[j], attempts[j], errors[j], waited[j] = _call_with_retry(
+                            responder, all_reqs[j], max_attempts, first_wait, factor, sleep)
             yield pdf.assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
                                 "attempts": pd.Series(attempts, index=pdf.index, dtype="int32"),
                                 "waited_s": pd.Series(waited, index=pdf.index, dtype="float64"),

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from evalframe.functions import chat as D
 from evalframe.functions import parsing as P
 from evalframe.functions import prompts as C
+from evalframe.functions import requests as R
 from evalframe.operators import fewshot as FS
 from evalframe.operators import metrics as M
 from evalframe.operators.respond import respond
@@ -43,6 +44,7 @@ class Run:
     lang: str
     model_type: str
     model_name: str
+    family: str | None = None
     system_texts: dict[str, str] = field(default_factory=lambda: dict(C.SYSTEM_TEXTS))
     templates: dict[str, str] = field(default_factory=lambda: dict(C.TEMPLATES))
 
@@ -56,35 +58,79 @@ def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[
 RESULTS_FORMAT = "parquet"
 
 
+def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, typed: bool) -> tuple[DataFrame, str | None]:
+    """Messages, the prompt sent, the images sent and the placeholder check.
+
+    With ``run.family`` set (see ``functions.routing.route_model``) the
+    family's request profile decides system handling, placeholder handling
+    and the chat format; otherwise part-form (``typed``) or text-form
+    messages with a system turn are built and the prompt is the rendered item
+    text.
+    """
+    if run.family:
+        cols = R.prepare_request(run.family, "system", "few_shot", "zero_shot", images_col)
+        out = prompted.withColumns(cols).withColumn("prompt", F.coalesce("prompt_text", "zero_shot"))
+        return out, "request_images"
+    msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed)
+    out = prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": F.lit(False)})
+    return out, images_col
+
+
+def _done_ids(spark: SparkSession, root: str, run: Run, key: str, fmt: str) -> DataFrame | None:
+    """Keys already answered for this run in an existing result table."""
+    try:
+        prior = spark.read.format(fmt).load(root)
+    except Exception:  # noqa: BLE001 - no table yet
+        return None
+    if key not in prior.columns:
+        return None
+    flt = F.lit(True)
+    for k in ("task", "sub_task", "lang", "model_type", "model_name"):
+        flt = flt & (F.col(k) == getattr(run, k))
+    return prior.where(flt).select(key).distinct()
+
+
 def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
                          results_root: str | None, keep: Sequence[str], images_col: str | None = None,
-                         responder_partitions: int | None = None, results_format: str | None = None) -> DataFrame:
-    """Responder -> parse -> tag -> write; returns the written rows, re-read.
+                         responder_partitions: int | None = None, results_format: str | None = None,
+                         typed: bool = True, resume: bool = False) -> DataFrame:
+    """Request assembly -> responder -> parse -> tag -> write; returns the
+    written rows of this run, re-read.
 
     Only the columns the result table keeps, the prompt, and what the
     responder declares it reads cross into Python; nested few-shot arrays and
-    messages stay in the JVM unless the responder asks for them.
+    messages stay in the JVM unless the responder asks for them.  Rows whose
+    text has more image placeholders than images are not sent (error
+    ``placeholder_mismatch``; the harness raised).  ``resume=True`` skips keys
+    already in this run's results (``left_anti`` on ``keep[0]``) and appends,
+    so a re-run after a crash calls the model only for the missing rows.
     """
+    root = results_root or scratch_dir(spark, "results")
+    fmt = results_format or RESULTS_FORMAT
+    if resume:
+        done = _done_ids(spark, root, run, keep[0], fmt)
+        if done is not None:
+            prompted = prompted.join(done, keep[0], "left_anti")
+    req, sent_images = _request_columns(prompted, run, images_col, typed)
     wants_messages = getattr(make_responder, "wants_messages", True)
     inputs = getattr(make_responder, "input_columns", None)
     if inputs is None:
         inputs = [c for c in prompted.columns if c not in ("messages", "few_shot")]
-    needed = list(dict.fromkeys(list(keep) + ["zero_shot"] + list(inputs)
-                                + ([images_col] if images_col else []) + (["messages"] if wants_messages else [])))
-    narrow = prompted.select(*needed)
+    needed = list(dict.fromkeys(list(keep) + ["zero_shot", "prompt", "placeholder_error"] + list(inputs)
+                                + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])))
+    narrow = req.select(*needed)
     if responder_partitions:
         narrow = narrow.repartition(responder_partitions)
-    answered = respond(narrow, make_responder, prompt_col="zero_shot", images_col=images_col,
-                       messages_col="messages" if wants_messages else None, pass_columns=list(inputs))
+    answered = respond(narrow, make_responder, prompt_col="prompt", images_col=sent_images,
+                       messages_col="messages" if wants_messages else None, pass_columns=list(inputs),
+                       skip_col="placeholder_error")
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name)
     cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error"]
                               + list(W.RESULT_PARTITIONS)))
-    root = results_root or scratch_dir(spark, "results")
-    fmt = results_format or RESULTS_FORMAT
     out = tagged.select(*cols)
-    W.write_results(out, root, fmt=fmt)
+    W.write_results(out, root, fmt=fmt, mode="append" if resume else "overwrite")
     back = W.read_results(spark, root, out.schema, fmt=fmt)
     return back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
                       & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
@@ -105,7 +151,7 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
                    few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = ("sub_subtask",),
                    sub_subtasks: Sequence[str] | None = None, results_root: str | None = None,
                    scores_root: str | None = None, keep: Sequence[str] = ("id",), multi_choice: bool = False,
-                   responder_partitions: int | None = None) -> DataFrame:
+                   responder_partitions: int | None = None, resume: bool = False) -> DataFrame:
     """Choice selection (P1) / multiple choice (P7): accuracy per sub_subtask.
 
     ``items`` has ``sub_subtask``, ``object`` (selection), ``all_ids_with_term``,
@@ -120,10 +166,9 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
         system = C.system_instruction("sub_subtask", run.system_texts["selection"], run.system_texts["selection_random"])
     images = "image" if "image" in items.columns else None
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({"zero_shot": zero_shot, "system": system})
-    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", images))
     keep = list(dict.fromkeys(list(keep) + ["sub_subtask", "correct_ids"]))
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images,
-                                   responder_partitions)
+                                   responder_partitions, resume=resume)
     scored = results.select(*M.RUN_KEYS, P.gold_or_none("correct_ids").alias("gold"),
                             (P.code_int("parsed") if multi_choice else P.code_selection("parsed")).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
@@ -136,7 +181,7 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
 def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                     few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
                     results_root: str | None = None, keep: Sequence[str] = ("id", "object"),
-                    with_images: bool = False) -> DataFrame:
+                    with_images: bool = False, resume: bool = False) -> DataFrame:
     """Free-text generation (P2): results only, no metric.  Perception items
     carry ``image`` (mandatory there); commonsense items have none."""
     if with_images and "image" not in items.columns:
@@ -146,8 +191,7 @@ def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_respon
         "zero_shot": C.prompt_generation("object", run.templates["generation"]),
         "system": F.lit(run.system_texts["generation"]),
     })
-    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", images))
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images)
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images, resume=resume)
     return C.answer_columns(results, "generation")
 
 
@@ -158,7 +202,7 @@ def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_respon
 def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                      votes: DataFrame | None = None, few_shot: DataFrame | None = None,
                      few_shot_keys: Sequence[str] = (), results_root: str | None = None,
-                     scores_root: str | None = None, keep: Sequence[str] = ("id",)) -> DataFrame:
+                     scores_root: str | None = None, keep: Sequence[str] = ("id",), resume: bool = False) -> DataFrame:
     """Pair rating: accuracy (P4) and, with long-form ``votes`` (``item``,
     ``vote``), the vote-distribution distance and its average (P3).
 
@@ -172,9 +216,8 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
                                           {run.lang: run.templates[f"pair_rating_{run.lang}"]}),
         "system": F.lit(run.system_texts["pair_rating"]),
     })
-    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
     keep = list(dict.fromkeys(list(keep) + ["naturalness"]))
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep)
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, typed=False, resume=resume)
     scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"))
     if votes is None:
         return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
@@ -191,14 +234,14 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
 def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                 few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
                 results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
-                strict: bool = False) -> DataFrame:
+                strict: bool = False, resume: bool = False) -> DataFrame:
     """Yes/no classification (P5): ``items`` has ``term`` and ``label`` (0/1)."""
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
         "zero_shot": C.prompt_yes_no("term", run.templates["yes_no"]),
         "system": F.lit(run.system_texts["yes_no"]),
     })
-    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["label"])
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["label"],
+                                   typed=False, resume=resume)
     scored = results.select(*M.RUN_KEYS, P.gold_label("label").alias("gold"), P.code_yes_no("parsed", strict).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
 
@@ -206,14 +249,14 @@ def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder:
 def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
              few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
              results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
-             strict: bool = False) -> DataFrame:
+             strict: bool = False, resume: bool = False) -> DataFrame:
     """A/B classification (P6): ``items`` has ``all_ids_with_term`` (``A:..``,
     ``B:..``) and ``correct_ids``."""
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
         "zero_shot": C.prompt_a_b("all_ids_with_term", run.templates["a_b"]),
         "system": F.lit(run.system_texts["a_b"]),
     })
-    prompted = prompted.withColumn("messages", D.conversation("system", "few_shot", "zero_shot", None, typed=False))
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["correct_ids"])
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["correct_ids"],
+                                   typed=False, resume=resume)
     scored = results.select(*M.RUN_KEYS, P.gold_first("correct_ids").alias("gold"), P.code_a_b("parsed", strict).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)

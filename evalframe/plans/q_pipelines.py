@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.constants import TASK_COMBINATIONS
+from evalframe.constants import MODEL_PROFILES, TASK_COMBINATIONS
+from evalframe.functions import requests as RQ
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
 from evalframe.operators.respond import NotFoundError, ReplayResponder, respond
@@ -302,3 +303,66 @@ _P8_SQL = (O.with_(O.CHOICE_ITEMS, O.VOTES, O.PAIR_ITEMS, _PAIR_SQL, O.YES_NO, O
 @register("eval_run", _P8_SQL)
 def eval_run(spark: SparkSession, sf: str) -> DataFrame:
     return eval_run_scores(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# per-family request assembly
+# ---------------------------------------------------------------------------
+
+FAMILIES = tuple(MODEL_PROFILES)
+_TEXT_FAMILIES = tuple(f for f, p in MODEL_PROFILES.items() if not p[0])
+_VISION_FAMILIES = tuple(f for f, p in MODEL_PROFILES.items() if p[0])
+_FILL_FAMILIES = tuple(f for f, p in MODEL_PROFILES.items() if p[2] == "fill")
+_USER_FIRST = tuple(f for f, p in MODEL_PROFILES.items() if p[1] in ("user", "fold"))
+_FOLD = tuple(f for f, p in MODEL_PROFILES.items() if p[1] == "fold")
+_PROMPTED = tuple(f for f, p in MODEL_PROFILES.items() if p[3] is not None)
+SYSTEM_TEXT = "Answer briefly."
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(O.lit(v) for v in values) + ")"
+
+
+@register("model_requests", O.with_(O.FEW_SHOT_PAIRS) + f"""
+, ph AS (
+  SELECT doc_id AS id, text || repeat('<image>', CAST(doc_id % 3 AS INTEGER)) AS text,
+         CASE WHEN doc_id % 5 = 0 THEN CAST(NULL AS VARCHAR[])
+              ELSE list_transform(range(1, CAST(doc_id % 4 AS INTEGER) + 1),
+                                  lambda j: 'img/' || CAST(doc_id AS VARCHAR) || '_' || CAST(j AS VARCHAR)) END AS images
+  FROM documents),
+shots AS (SELECT fs_id, count(*) AS n FROM few_shot_pairs GROUP BY fs_id),
+base AS (
+  SELECT ph.id, ph.images, coalesce(s.n, 0) AS n_shots,
+         CAST((length(ph.text) - length(replace(ph.text, '<image>', ''))) / 7 AS INTEGER) AS n_tok,
+         [{', '.join(O.lit(f) for f in FAMILIES)}][ph.id % {len(FAMILIES)} + 1] AS family
+  FROM ph LEFT JOIN shots s ON s.fs_id = ph.id % 1000)
+SELECT id, family,
+       CAST(CASE WHEN family IN {_in(_FOLD)} THEN 2 * n_shots + 1 ELSE 2 * n_shots + 2 END AS INTEGER) AS n_msgs,
+       CASE WHEN family IN {_in(_USER_FIRST)} THEN 'user' ELSE 'system' END AS first_role,
+       CAST(CASE WHEN family IN {_in(_TEXT_FAMILIES)} THEN 0
+                 WHEN family IN {_in(_FILL_FAMILIES)} THEN
+                      CASE WHEN images IS NULL OR n_tok > len(images) THEN 0 ELSE len(images) - n_tok END
+                 ELSE coalesce(len(images), 0) END AS INTEGER) AS n_images,
+       CASE WHEN family IN {_in(_VISION_FAMILIES)} THEN coalesce(images IS NOT NULL AND n_tok > len(images), false)
+            ELSE false END AS placeholder_error,
+       family IN {_in(_PROMPTED)} AS has_prompt_text
+FROM base""")
+def model_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every family's request profile over the same items: documents with
+    image placeholders and image lists, few-shot sets, one system text.  A
+    run is one model, so each family is planned on its own rows (one
+    filtered branch per family; the few-shot broadcast is shared)."""
+    ph = fx.placeholder_text(spark, sf).withColumn("fs_id", F.col("id") % 1000)
+    base = FS.attach_few_shot(ph, _fs_sets(spark, sf), ["fs_id"]).withColumns({
+        "system": F.lit(SYSTEM_TEXT),
+        "family": F.get(F.array(*[F.lit(f) for f in FAMILIES]), (F.col("id") % len(FAMILIES)).cast("int")),
+    })
+    out = None
+    for fam in FAMILIES:
+        cols = RQ.prepare_request(fam, "system", "few_shot", "text", "images")
+        sub = base.where(F.col("family") == fam).withColumns(cols).select(
+            "id", "family", F.size("messages").alias("n_msgs"), F.col("messages")[0]["role"].alias("first_role"),
+            F.size("request_images").alias("n_images"), "placeholder_error",
+            F.col("prompt_text").isNotNull().alias("has_prompt_text"))
+        out = sub if out is None else out.unionByName(sub)
+    return out

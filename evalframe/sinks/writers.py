@@ -21,7 +21,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.json(path)
 
 
-def write_results(df: DataFrame, root: str, fmt: str = "json") -> None:
+def write_results(df: DataFrame, root: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """Result rows partitioned by run (B2).  With dynamic partition overwrite
     a re-run replaces only its own (task, ..., model) partitions.
 
@@ -29,7 +29,7 @@ def write_results(df: DataFrame, root: str, fmt: str = "json") -> None:
     clustering on it would funnel the whole run through a single task.  Each
     task writes one file per run it holds instead."""
     cols = [c for c in RESULT_PARTITIONS if c in df.columns]
-    w = df.write.mode("overwrite").partitionBy(*cols)
+    w = df.write.mode(mode).partitionBy(*cols)
     if fmt == "json":
         w.option("ignoreNullFields", "false").json(root)
     else:

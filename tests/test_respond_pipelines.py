@@ -93,3 +93,79 @@ def test_eval_run_covers_every_scored_task(spark):
                    ("commonsense", "classification", "ja"), ("commonsense", "classification", "en"),
                    ("taxonomic", "yes_no_classification", "ja"), ("taxonomic", "a_b_classification", "ja"),
                    ("taxonomic", "multiple_choice_classification", "ja")}
+
+
+class _AlwaysYes:
+    input_columns = ()
+    wants_messages = False
+
+    def respond(self, requests):
+        return ["yes"] * len(requests)
+
+
+def test_resume_answers_only_missing_rows(spark, tmp_dir):
+    items = Q.yes_no_items(spark, SF_SMALL)
+    run = PL.Run("taxonomic", "yes_no_classification", "ja", "api", "m")
+    root = os.path.join(tmp_dir, "results")
+    PL.eval_yes_no(spark, items.where(F.col("id") % 2 == 0), run, ReplayResponder, results_root=root)
+    PL.eval_yes_no(spark, items, run, _AlwaysYes, results_root=root, resume=True)
+    rows = spark.read.parquet(root).select("id", "zero_shot", "raw_response").collect()
+    recorded = {r["id"]: r["recorded_response"] for r in items.collect()}
+    assert sorted(r["id"] for r in rows) == sorted(recorded)          # each item exactly once
+    for r in rows:
+        assert r["raw_response"] == (recorded[r["id"]] if r["id"] % 2 == 0 else "yes")
+
+
+def test_request_profiles(spark):
+    from evalframe.constants import TURN
+    from evalframe.functions.requests import prepare_request
+
+    df = spark.createDataFrame(
+        [("Sys", [(0, " u1 ", "a1", None)], "look <image> here", ["i1", "i2", "i3"]),
+         ("Sys", [], "<image><image>", ["i1"])],
+        "system string, few_shot array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>, "
+        "zero_shot string, images array<string>")
+
+    def get(family):
+        return df.withColumns(prepare_request(family, "system", "few_shot", "zero_shot", "images")).collect()
+
+    g = get("gemma2_instruct")
+    assert g[0]["prompt_text"] == (TURN["bos"] + TURN["start"] + "user\nSys\n\n u1" + TURN["end"] + TURN["start"] + "model\na1"
+                                   + TURN["end"] + TURN["start"] + "user\nlook <image> here" + TURN["end"]
+                                   + TURN["start"] + "model\n")
+    assert g[0]["request_images"] == [] and g[0]["placeholder_error"] is False
+    i = get("idefics2")
+    assert i[0]["request_images"] == ["i1", "i2"] and i[1]["placeholder_error"] is True
+    m = get("mllama_instruct")
+    assert m[0]["messages"][0]["role"] == "user" and m[0]["messages"][-1]["content"][-1]["text"] == "look  here"
+    assert [p["image"] for p in m[0]["messages"][-1]["content"][:-1]] == ["i1", "i2", "i3"]
+    f = get("molmo")
+    assert f[0]["prompt_text"] == "Sys\n\n u1 \na1\n\nlook  here"
+    q = get("qwen2_5_instruct")
+    assert q[1]["prompt_text"].startswith("<|im_start|>system\nSys<|im_end|>\n")
+    with pytest.raises(ValueError):
+        prepare_request("nope", "system", "few_shot", "zero_shot")
+
+
+def test_placeholder_mismatch_rows_are_not_sent(spark):
+    items = spark.createDataFrame([(1, "a <image> <image>", ["x"], "0"), (2, "b", ["x"], "1")],
+                                  "id long, zero_shot string, images array<string>, recorded_response string")
+    items = items.withColumns({"system": F.lit("S"), "few_shot": F.array().cast(
+        "array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>")})
+    run = PL.Run("perception", "generation", "ja", "api", "m", family="gpt4o")
+    out = {r["id"]: r for r in PL._respond_and_persist(spark, items, run, ReplayResponder, None, ["id"], "images").collect()}
+    assert out[1]["error"] == "placeholder_mismatch" and out[1]["raw_response"] is None and out[1]["attempts"] == 0
+    assert out[2]["raw_response"] == "1"
+
+
+class _BatchRecorder:
+    input_columns = ()
+
+    def respond(self, requests):
+        return [str(len(requests))] * len(requests)
+
+
+def test_batch_size_caps_calls(spark):
+    df = spark.range(50).select("id", F.lit("p").alias("prompt")).coalesce(1)
+    got = {r["raw_response"] for r in respond(df, _BatchRecorder, batch_size=8, min_partitions=1).collect()}
+    assert got <= {"8", "2"} and "8" in got
