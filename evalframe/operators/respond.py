@@ -91,7 +91,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             images_col: str | None = None, messages_col: str | None = None, pass_columns: Sequence[str] | None = None,
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
-            min_partitions: int | None = None, skip_col: str | None = None,
+            partitions: int | None = None, skip_col: str | None = None,
             batch_size: int | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
@@ -100,17 +100,21 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     (F2).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
 
-    Model calls dominate the cost of this stage, so when the input has fewer
-    partitions than ``min_partitions`` (default: the cluster's parallelism)
-    the rows are spread round-robin first; a large input keeps its partitions.
+    Model calls dominate the cost of this stage, so its input (already
+    narrowed to the columns the responder reads) is spread round-robin over
+    ``partitions`` tasks -- by default one per core of the cluster -- which
+    gives every core an even share of calls whatever the input file layout or
+    key skew.  Size ``partitions`` to the item count for large runs (e.g.
+    items / 1000) so a retried task stays small.  ``partitions=0`` keeps the
+    input partitioning.
     Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
     0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
     GPU batch); by default one call gets a whole Arrow batch
     (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
-    want = min_partitions if min_partitions is not None else df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
+    n_parts = partitions if partitions is not None else df.sparkSession.sparkContext.defaultParallelism
+    if n_parts:
+        df = df.repartition(n_parts)
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(out_col, T.StringType(), True),
         T.StructField("attempts", T.IntegerType(), False),

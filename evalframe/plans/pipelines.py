@@ -119,11 +119,9 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     needed = list(dict.fromkeys(list(keep) + ["zero_shot", "prompt", "placeholder_error"] + list(inputs)
                                 + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])))
     narrow = req.select(*needed)
-    if responder_partitions:
-        narrow = narrow.repartition(responder_partitions)
     answered = respond(narrow, make_responder, prompt_col="prompt", images_col=sent_images,
                        messages_col="messages" if wants_messages else None, pass_columns=list(inputs),
-                       skip_col="placeholder_error")
+                       skip_col="placeholder_error", partitions=responder_partitions)
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name)

@@ -167,5 +167,5 @@ class _BatchRecorder:
 
 def test_batch_size_caps_calls(spark):
     df = spark.range(50).select("id", F.lit("p").alias("prompt")).coalesce(1)
-    got = {r["raw_response"] for r in respond(df, _BatchRecorder, batch_size=8, min_partitions=1).collect()}
+    got = {r["raw_response"] for r in respond(df, _BatchRecorder, batch_size=8, partitions=1).collect()}
     assert got <= {"8", "2"} and "8" in got
