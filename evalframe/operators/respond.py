@@ -11,7 +11,8 @@ A responder is any object with
     respond(requests: list[dict]) -> list[str]
 
 where each request has ``prompt`` (text or rendered chat string), ``messages``
-(optional), ``images`` (optional) and ``row`` (the input row as a dict).
+(optional), ``images`` (optional), ``gen_params`` (optional, normalised for
+the backend) and ``row`` (the input row as a dict).
 Raise ``NotFoundError`` for a permanent failure (no retry) and any other
 exception for a transient one.  Optional class attributes: ``input_columns``
 (row columns it reads; default all) and ``wants_messages`` (default True).
@@ -92,7 +93,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
             partitions: int | None = None, skip_col: str | None = None,
-            batch_size: int | None = None) -> DataFrame:
+            batch_size: int | None = None, params_col: str | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
     ``batch=True`` first sends a whole Arrow batch to the responder; if that
@@ -110,7 +111,9 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
     0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
     GPU batch); by default one call gets a whole Arrow batch
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``).  ``params_col`` (a
+    ``map<string,string>`` of generation parameters) reaches the responder as
+    ``request["gen_params"]``.
     """
     n_parts = partitions if partitions is not None else df.sparkSession.sparkContext.defaultParallelism
     if n_parts:
@@ -132,9 +135,11 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
                       if images_col else [None] * n)
             msgs = pdf[messages_col].tolist() if messages_col else [None] * n
+            gps = ([dict(x) if x is not None else None for x in pdf[params_col].tolist()]
+                   if params_col else [None] * n)
             skip = pdf[skip_col].fillna(False).astype(bool).tolist() if skip_col else [False] * n
-            all_reqs = [{"prompt": p, "images": im, "messages": m, "row": r}
-                        for p, im, m, r in zip(prompts, images, msgs, rows)]
+            all_reqs = [{"prompt": p, "images": im, "messages": m, "row": r, "gen_params": g}
+                        for p, im, m, r, g in zip(prompts, images, msgs, rows, gps)]
             live = [j for j in range(n) if not skip[j]]
             answers: list = [None] * n
             attempts = [0] * n

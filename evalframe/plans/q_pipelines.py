@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.constants import MODEL_PROFILES, TASK_COMBINATIONS
+from evalframe.constants import DEFAULT_GEN_PARAMS, MODEL_PROFILES, TASK_COMBINATIONS
 from evalframe.functions import requests as RQ
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
@@ -170,7 +170,8 @@ SCORE_COLS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_na
 
 
 def _run(task, sub_task, lang):
-    return PL.Run(task=task, sub_task=sub_task, lang=lang, model_type="api", model_name=MODEL)
+    return PL.Run(task=task, sub_task=sub_task, lang=lang, model_type="api", model_name=MODEL,
+                  gen_params=dict(DEFAULT_GEN_PARAMS))
 
 
 def p1(spark, sf, lang="en"):

@@ -169,3 +169,27 @@ def test_batch_size_caps_calls(spark):
     df = spark.range(50).select("id", F.lit("p").alias("prompt")).coalesce(1)
     got = {r["raw_response"] for r in respond(df, _BatchRecorder, batch_size=8, partitions=1).collect()}
     assert got <= {"8", "2"} and "8" in got
+
+
+class _ParamsEcho:
+    input_columns = ()
+    wants_messages = False
+
+    def respond(self, requests):
+        return [";".join(f"{k}={v}" for k, v in sorted(r["gen_params"].items())) for r in requests]
+
+
+@pytest.mark.parametrize("backend", ["api", "vllm", "hf"])
+def test_gen_params_reach_responder(spark, backend):
+    from tests.test_params_routing import py_defaults, text
+    from evalframe.constants import DEFAULT_GEN_PARAMS
+    from evalframe.functions.params import value_text
+
+    items = Q.yes_no_items(spark, SF_SMALL).limit(5)
+    run = PL.Run("taxonomic", "yes_no_classification", "ja", backend, "m", gen_params=dict(DEFAULT_GEN_PARAMS))
+    rows = PL._respond_and_persist(spark, items.withColumns({
+        "zero_shot": F.lit("q"), "system": F.lit("s"),
+        "few_shot": F.array().cast("array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>")}),
+        run, _ParamsEcho, None, ["id"], typed=False).collect()
+    want = text(py_defaults({k: value_text(v) for k, v in DEFAULT_GEN_PARAMS.items()}, backend))
+    assert {r["raw_response"].replace("None", "null") for r in rows} == {want}
