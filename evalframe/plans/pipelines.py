@@ -25,6 +25,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalframe.functions import assets as A
 from evalframe.functions import chat as D
 from evalframe.functions import params as GP
 from evalframe.functions import parsing as P
@@ -47,6 +48,7 @@ class Run:
     model_name: str
     family: str | None = None
     gen_params: dict[str, Any] | None = None
+    image_dir: str | None = None
     system_texts: dict[str, str] = field(default_factory=lambda: dict(C.SYSTEM_TEXTS))
     templates: dict[str, str] = field(default_factory=lambda: dict(C.TEMPLATES))
 
@@ -72,9 +74,15 @@ def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, type
     if run.family:
         cols = R.prepare_request(run.family, "system", "few_shot", "zero_shot", images_col)
         out = prompted.withColumns(cols).withColumn("prompt", F.coalesce("prompt_text", "zero_shot"))
-        return out, "request_images"
-    msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed)
-    out = prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": F.lit(False)})
+        images_col = "request_images"
+    else:
+        msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed)
+        out = prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": F.lit(False)})
+    if images_col and run.image_dir:
+        # paths relative to the run's image directory, URLs untouched (E1, E2); the
+        # responder reads the bytes at the call site, so image bytes never shuffle
+        out = out.withColumn(images_col, F.transform(images_col, lambda x: F.when(A.is_url(x), x).otherwise(
+            A.resolve_path(F.lit(run.image_dir), x))))
     return out, images_col
 
 

@@ -272,16 +272,21 @@ PIPELINE_FOR = {
 assert set(PIPELINE_FOR) == set(TASK_COMBINATIONS)
 
 
-def eval_run_scores(spark: SparkSession, sf: str) -> DataFrame:
+def eval_run_scores(spark: SparkSession, sf: str, max_parallel: int = 4) -> DataFrame:
     """Resolve the requested combinations first (unknown ones are reported by
     ``missing_runs``), then run each distinct valid combination once.  The
     distinct combinations are configuration (at most the registry's nine
-    rows), so they are read on the driver; the rows stay in Spark."""
+    rows), so they are read on the driver; the rows stay in Spark.  The runs
+    are independent, so up to ``max_parallel`` of them submit their jobs
+    concurrently from driver threads and share the cluster's task slots."""
+    from concurrent.futures import ThreadPoolExecutor
+
     resolved, _missing = R.resolve_runs(matrix(spark, sf), R.registry(spark))
-    combos = [tuple(r) for r in resolved.select("lang", "task", "sub_task").distinct().collect()]
+    combos = sorted(tuple(r) for r in resolved.select("lang", "task", "sub_task").distinct().collect())
+    with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
+        outs = list(pool.map(lambda c: (c, PIPELINE_FOR[c](spark, sf)), combos))
     scores = None
-    for combo in sorted(combos):
-        out = PIPELINE_FOR[combo](spark, sf)
+    for combo, out in outs:
         if combo[2] == "generation":
             continue  # results only, no score rows
         out = _with_distance_cols(out)

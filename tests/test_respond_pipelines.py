@@ -193,3 +193,20 @@ def test_gen_params_reach_responder(spark, backend):
         run, _ParamsEcho, None, ["id"], typed=False).collect()
     want = text(py_defaults({k: value_text(v) for k, v in DEFAULT_GEN_PARAMS.items()}, backend))
     assert {r["raw_response"].replace("None", "null") for r in rows} == {want}
+
+
+class _ImagesEcho:
+    input_columns = ()
+    wants_messages = False
+
+    def respond(self, requests):
+        return [",".join(r["images"] or []) for r in requests]
+
+
+def test_image_paths_resolved_against_image_dir(spark):
+    items = spark.createDataFrame([(1, ["a/x.jpg", "http://h/y.png", "/abs/z.jpg"])], "id long, image array<string>")
+    items = items.withColumns({"zero_shot": F.lit("q"), "system": F.lit("s"), "few_shot": F.array().cast(
+        "array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>")})
+    run = PL.Run("perception", "generation", "ja", "api", "m", image_dir="/data/img/")
+    row = PL._respond_and_persist(spark, items, run, _ImagesEcho, None, ["id"], "image").collect()[0]
+    assert row["raw_response"] == "/data/img/a/x.jpg,http://h/y.png,/abs/z.jpg"
