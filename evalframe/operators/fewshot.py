@@ -34,11 +34,23 @@ def few_shot_bytes():
                        + F.coalesce(F.octet_length(x["assistant"]), F.lit(0)) + F.lit(16))
 
 
-def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], max_rows: int = 100_000) -> DataFrame:
+def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], max_rows: int = 100_000,
+                    require_broadcast: bool = False) -> DataFrame:
     """Attach each item's few-shot list (J3); items without one get ``[]``.
 
     The set frame is broadcast only when its row count and byte size are
     proven small; otherwise the planner shuffles both sides on the keys.
+    ``require_broadcast=True`` raises instead of falling back: use it when
+    every item shares one key (one few-shot list per run), where the
+    fallback would be a join on a single hot key.
     """
-    joined = join_small(items, sets, list(keys), "left", max_rows=max_rows, size_expr=few_shot_bytes())
+    from evalframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, fits_broadcast
+
+    size = few_shot_bytes()
+    if require_broadcast:
+        if not fits_broadcast(sets, max_rows, DEFAULT_MAX_BROADCAST_BYTES, size):
+            raise ValueError("few-shot sets too large to attach to every item")
+        joined = items.join(F.broadcast(sets), list(keys), "left")
+    else:
+        joined = join_small(items, sets, list(keys), "left", max_rows=max_rows, size_expr=size)
     return joined.withColumn("few_shot", F.coalesce(F.col("few_shot"), F.array().cast(FEW_SHOT_TYPE)))

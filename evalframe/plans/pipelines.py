@@ -31,6 +31,7 @@ from evalframe.functions import params as GP
 from evalframe.functions import parsing as P
 from evalframe.functions import prompts as C
 from evalframe.functions import requests as R
+from evalframe.functions import stats as ST
 from evalframe.operators import fewshot as FS
 from evalframe.operators import metrics as M
 from evalframe.operators.respond import respond
@@ -55,6 +56,8 @@ class Run:
 
 def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     if few_shot is None:
+        if "few_shot" in items.columns:   # attached by the caller
+            return items
         return items.withColumn("few_shot", F.array().cast(FS.FEW_SHOT_TYPE))
     return FS.attach_few_shot(items, few_shot, keys)
 
@@ -216,9 +219,12 @@ def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_respon
 def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                      votes: DataFrame | None = None, few_shot: DataFrame | None = None,
                      few_shot_keys: Sequence[str] = (), results_root: str | None = None,
-                     scores_root: str | None = None, keep: Sequence[str] = ("id",), resume: bool = False) -> DataFrame:
-    """Pair rating: accuracy (P4) and, with long-form ``votes`` (``item``,
-    ``vote``), the vote-distribution distance and its average (P3).
+                     scores_root: str | None = None, keep: Sequence[str] = ("id",), resume: bool = False,
+                     votes_col: str | None = None) -> DataFrame:
+    """Pair rating: accuracy (P4) and, with votes, the vote-distribution
+    distance and its average (P3).  Votes come either long-form as ``votes``
+    (``item``, ``vote``; aggregated per item) or as an array column of each
+    item (``votes_col``, e.g. ``naturalness_by_worker``; no grouping at all).
 
     ``items`` has ``id``, ``object``, ``term`` and ``naturalness`` (gold).
     Votes are aggregated per item (partial aggregation) and joined on the item
@@ -230,9 +236,14 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
                                           {run.lang: run.templates[f"pair_rating_{run.lang}"]}),
         "system": F.lit(run.system_texts["pair_rating"]),
     })
-    keep = list(dict.fromkeys(list(keep) + ["naturalness"]))
+    keep = list(dict.fromkeys(list(keep) + ["naturalness"] + ([votes_col] if votes_col else [])))
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, typed=False, resume=resume)
-    scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"))
+    scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"),
+                            *([votes_col] if votes_col else []))
+    if votes_col:
+        with_d = scored.withColumns({"vote_mean": ST.vote_mean_array(votes_col), "vote_sd": ST.vote_std_array(votes_col),
+                                     "unanimous": ST.vote_unanimous_array(votes_col)})
+        return _finish_scores(spark, M.distance_scores(M.with_distance(with_d), by=list(M.RUN_KEYS)), scores_root)
     if votes is None:
         return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
     stats = M.vote_stats(votes).withColumnRenamed("item", "id")
