@@ -42,6 +42,7 @@ class ReplayResponder:
 
     input_columns = ("recorded_response",)
     wants_messages = False
+    reuse_across_tasks = True
 
     def __init__(self, column: str = "recorded_response"):
         self.column = column
@@ -66,6 +67,17 @@ class EchoChoiceResponder:
         return out
 
 
+_WORKER_RESPONDERS: dict[str, Any] = {}
+
+
+def _worker_responder(make_responder: Callable[[], Any]) -> Any:
+    """One responder per Python worker process and factory."""
+    key = f"{getattr(make_responder, '__module__', '')}.{getattr(make_responder, '__qualname__', repr(make_responder))}"
+    if key not in _WORKER_RESPONDERS:
+        _WORKER_RESPONDERS[key] = make_responder()
+    return _WORKER_RESPONDERS[key]
+
+
 def retry_waits(attempts: int, first_wait: float = RETRY_FIRST_WAIT, factor: float = RETRY_FACTOR) -> list[float]:
     """Waits between ``attempts`` consecutive failed attempts (none after the last)."""
     return [first_wait * factor ** i for i in range(max(attempts - 1, 0))]
@@ -102,12 +114,15 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     responder as ``request["row"]``.
 
     Model calls dominate the cost of this stage, so its input (already
-    narrowed to the columns the responder reads) is spread round-robin over
-    ``partitions`` tasks -- by default one per core of the cluster -- which
-    gives every core an even share of calls whatever the input file layout or
-    key skew.  Size ``partitions`` to the item count for large runs (e.g.
-    items / 1000) so a retried task stays small.  ``partitions=0`` keeps the
-    input partitioning.
+    narrowed to the columns the responder reads) is redistributed first.  By
+    default with ``REBALANCE``: AQE cuts it into partitions of the advisory
+    size and splits skewed ones, so tasks stay small and even at any scale and
+    a retried task redoes little.  ``partitions=n`` spreads rows round-robin
+    over exactly ``n`` tasks instead (small but expensive runs: one task per
+    model slot); ``partitions=0`` keeps the input partitioning.  A responder
+    class with ``reuse_across_tasks = True`` is built once per Python worker
+    process (workers are reused across tasks), so model weights load once per
+    worker rather than once per task.
     Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
     0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
     GPU batch); by default one call gets a whole Arrow batch
@@ -115,9 +130,11 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     ``map<string,string>`` of generation parameters) reaches the responder as
     ``request["gen_params"]``.
     """
-    n_parts = partitions if partitions is not None else df.sparkSession.sparkContext.defaultParallelism
-    if n_parts:
-        df = df.repartition(n_parts)
+    if partitions is None:
+        df = df.hint("rebalance")
+    elif partitions:
+        df = df.repartition(partitions)
+    reuse = bool(getattr(make_responder, "reuse_across_tasks", False))
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(out_col, T.StringType(), True),
         T.StructField("attempts", T.IntegerType(), False),
@@ -127,7 +144,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     visible = list(pass_columns) if pass_columns is not None else list(df.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        responder = make_responder()
+        responder = _worker_responder(make_responder) if reuse else make_responder()
         for pdf in batches:
             n = len(pdf)
             rows = pdf[visible].to_dict("records") if visible else [{}] * n

@@ -48,9 +48,11 @@ def test_failures_become_error_rows(spark):
 
 def test_echo_responder_spreads_partitions(spark):
     df = spark.range(200).select(F.col("id"), F.lit("Object: x\nOptions: 3:a, 4:b\nAnswer: ").alias("prompt")).coalesce(1)
-    out = respond(df, EchoChoiceResponder)
-    assert out.rdd.getNumPartitions() >= 2
+    out = respond(df, EchoChoiceResponder, partitions=4)
+    assert out.rdd.getNumPartitions() == 4
     assert {r["raw_response"] for r in out.collect()} == {"3"}
+    plan = respond(df, EchoChoiceResponder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
 
 
 def _py_extract(s):
