@@ -3,6 +3,8 @@ renderings of the same messages."""
 
 from __future__ import annotations
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evalframe.constants import CHATML, HEADER, INST, INSTRUCTION_RESPONSE, TURN
@@ -154,3 +156,25 @@ def test_system_message_empty_gives_no_turn(spark):
     df = spark.createDataFrame([("",), (None,), ("x",)], "s string")
     assert [r[0] for r in df.select(F.size(D.system_message("s"))).collect()] == [0, 0, 1]
     assert df.select(D.system_as_user("s")).collect()[2][0][0]["role"] == "user"
+
+
+_ROLE = st.sampled_from(["system", "user", "assistant"])
+_TEXT = st.text(alphabet=st.sampled_from(list("ab \n\t\u3000<>")), max_size=6)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.tuples(_ROLE, _TEXT), max_size=5), min_size=1, max_size=8))
+def test_chat_formats_property(spark, convs):
+    rows = [(i, [{"role": r, "content": c} for r, c in msgs]) for i, msgs in enumerate(convs)]
+    df = spark.createDataFrame(rows, "i int, m array<struct<role:string,content:string>>")
+    out = df.select("i", D.chat_chatml("m").alias("chatml"), D.chat_inst("m").alias("inst"),
+                    D.chat_header("m").alias("header"), D.chat_turn(D.fold_system_into_first_user("m")).alias("turn"),
+                    D.chat_instruction_response("m").alias("ir")).collect()
+    for r in out:
+        msgs = convs[r["i"]]
+        if msgs:
+            assert r["chatml"] == py_chatml(msgs)
+        assert r["inst"] == py_inst(msgs)
+        assert r["header"] == py_header(msgs)
+        assert r["turn"] == py_turn(py_fold(msgs))
+        assert r["ir"] == (py_ir(msgs) if msgs else INSTRUCTION_RESPONSE["bos"])
