@@ -127,3 +127,11 @@ def left_truncate(tokens: Column | str, n: Column | str | int) -> Column:
     t = _col(tokens)
     nn = F.lit(n) if isinstance(n, int) else _col(n)
     return F.when(nn.isNull() | (nn == 0), t).otherwise(F.slice(t, F.greatest(F.lit(1), F.size(t) - nn + 1), nn))
+
+
+def normalized_params(spark, params: Mapping[str, Any], backend: str) -> dict[str, str | None]:
+    """Normalise one run's parameters for its backend (F3-F5) with the same
+    expressions, evaluated once on a one-row frame: the result is
+    configuration (a handful of keys), not per-row data."""
+    row = spark.range(1).select(gen_params_defaults(params_map(params), F.lit(backend)).alias("p")).first()
+    return dict(row["p"])

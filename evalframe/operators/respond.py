@@ -105,7 +105,8 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
             partitions: int | None = None, skip_col: str | None = None,
-            batch_size: int | None = None, params_col: str | None = None) -> DataFrame:
+            batch_size: int | None = None, params_col: str | None = None,
+            gen_params: dict[str, Any] | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
     ``batch=True`` first sends a whole Arrow batch to the responder; if that
@@ -113,26 +114,28 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     (F2).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
 
-    Model calls dominate the cost of this stage, so its input (already
-    narrowed to the columns the responder reads) is redistributed first.  By
-    default with ``REBALANCE``: AQE cuts it into partitions of the advisory
-    size and splits skewed ones, so tasks stay small and even at any scale and
-    a retried task redoes little.  ``partitions=n`` spreads rows round-robin
-    over exactly ``n`` tasks instead (small but expensive runs: one task per
-    model slot); ``partitions=0`` keeps the input partitioning.  A responder
-    class with ``reuse_across_tasks = True`` is built once per Python worker
-    process (workers are reused across tasks), so model weights load once per
-    worker rather than once per task.
+    Model calls dominate the cost of this stage, and their cost is per row,
+    not per byte, so its input (already narrowed to the columns the responder
+    reads) is spread round-robin over ``partitions`` tasks -- by default
+    ``spark.sql.shuffle.partitions``, the knob a cluster sizes to its data
+    (``session.CLUSTER_CONF``).  Round-robin gives every task an even share
+    whatever the input layout or key skew; pass ``partitions`` sized to the
+    item count (e.g. items / 1000) so a retried task redoes few calls, or
+    ``partitions=0`` to keep the input partitioning.  A responder class with
+    ``reuse_across_tasks = True`` is built once per Python worker process
+    (workers are reused across tasks), so model weights load once per worker
+    rather than once per task.
     Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
     0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
     GPU batch); by default one call gets a whole Arrow batch
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``).  ``params_col`` (a
-    ``map<string,string>`` of generation parameters) reaches the responder as
-    ``request["gen_params"]``.
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``).  Generation
+    parameters reach the responder as ``request["gen_params"]``: the run's
+    ``gen_params`` dict (a fresh copy per request), or per row from
+    ``params_col`` (a ``map<string,string>``) when they vary by row.
     """
     if partitions is None:
-        df = df.hint("rebalance")
-    elif partitions:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions:
         df = df.repartition(partitions)
     reuse = bool(getattr(make_responder, "reuse_across_tasks", False))
     out_schema = T.StructType(list(df.schema.fields) + [
@@ -152,8 +155,10 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
                       if images_col else [None] * n)
             msgs = pdf[messages_col].tolist() if messages_col else [None] * n
-            gps = ([dict(x) if x is not None else None for x in pdf[params_col].tolist()]
-                   if params_col else [None] * n)
+            if params_col:
+                gps = [dict(x) if x is not None else None for x in pdf[params_col].tolist()]
+            else:
+                gps = [dict(gen_params) if gen_params is not None else None for _ in range(n)]
             skip = pdf[skip_col].fillna(False).astype(bool).tolist() if skip_col else [False] * n
             all_reqs = [{"prompt": p, "images": im, "messages": m, "row": r, "gen_params": g}
                         for p, im, m, r, g in zip(prompts, images, msgs, rows, gps)]

@@ -125,22 +125,18 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
         if done is not None:
             prompted = prompted.join(done, keep[0], "left_anti")
     req, sent_images = _request_columns(prompted, run, images_col, typed)
-    params_col = None
-    if run.gen_params is not None:
-        # normalised for the backend exactly as the wrapper would
-        req = req.withColumn("gen_params", GP.gen_params_defaults(GP.params_map(run.gen_params), F.lit(run.model_type)))
-        params_col = "gen_params"
+    # normalised once for the backend exactly as the wrapper would
+    gen_params = GP.normalized_params(spark, run.gen_params, run.model_type) if run.gen_params is not None else None
     wants_messages = getattr(make_responder, "wants_messages", True)
     inputs = getattr(make_responder, "input_columns", None)
     if inputs is None:
         inputs = [c for c in prompted.columns if c not in ("messages", "few_shot")]
     needed = list(dict.fromkeys(list(keep) + ["zero_shot", "prompt", "placeholder_error"] + list(inputs)
-                                + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])
-                                + ([params_col] if params_col else [])))
+                                + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])))
     narrow = req.select(*needed)
     answered = respond(narrow, make_responder, prompt_col="prompt", images_col=sent_images,
                        messages_col="messages" if wants_messages else None, pass_columns=list(inputs),
-                       skip_col="placeholder_error", partitions=responder_partitions, params_col=params_col)
+                       skip_col="placeholder_error", partitions=responder_partitions, gen_params=gen_params)
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name)

@@ -26,6 +26,11 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast only from measured sizes: no plan-time (estimated) broadcast;
+    # AQE broadcasts a join side whose materialized shuffle output is small,
+    # and explicit hints are used only after a proven bound (operators/joins.py).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -40,7 +45,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # the responder's Arrow batches: small enough to bound Python memory per task
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.task.maxFailures": "8",
