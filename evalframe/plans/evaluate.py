@@ -56,11 +56,12 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
              model_name: str, make_responder: Callable[[], Any], save_dir: str, data_root: str = "data",
              registry_rows: Sequence[tuple] | None = None, family: str | None = None, image_dir: str | None = None,
              sub_subtasks: Sequence[str] | None = None, rename: Mapping[str, str] | None = None,
-             strict: bool = False) -> DataFrame | None:
+             strict: bool = False, max_parallel: int = 1) -> DataFrame | None:
     """Run every requested (task, sub_task) for one model and language.
 
     Returns the score rows of the scored combinations (generation has none),
     read back from ``{save_dir}/scores``; ``None`` if only generation ran.
+    ``max_parallel > 1`` runs that many combinations concurrently.
     """
     reg = R.registry(spark, registry_rows, data_root)
     req = spark.createDataFrame([(lang, list(tasks), list(sub_tasks))],
@@ -74,8 +75,9 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
             by_combo[(r["lang"], r["task"], r["sub_task"])].append(r)
 
     results_root, scores_root = f"{save_dir.rstrip('/')}/results", f"{save_dir.rstrip('/')}/scores"
-    scores: DataFrame | None = None
-    for (lg, task, sub_task), rows in sorted(by_combo.items()):
+
+    def run_combo(item: tuple[tuple[str, str, str], list]) -> DataFrame | None:
+        (lg, task, sub_task), rows = item
         schema = ITEM_SCHEMAS[(task, sub_task)]
         items = None
         examples = None
@@ -97,9 +99,9 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
         common = dict(results_root=results_root, keep=keep)
         if sub_task == "generation":
             PL.eval_generation(spark, items, run, make_responder, with_images=(task == "perception"), **common)
-            continue
+            return None
         if sub_task == "selection":
-            out = PL.eval_selection(spark, items, run, make_responder, scores_root=None, **common)
+            out = PL.eval_selection(spark, items, run, make_responder, **common)
         elif sub_task == "multiple_choice_classification":
             out = PL.eval_selection(spark, items, run, make_responder, multi_choice=True, **common)
         elif sub_task == "classification":
@@ -111,8 +113,23 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
             out = PL.eval_a_b(spark, items, run, make_responder, strict=strict, **common)
         else:
             raise ValueError(f"no plan for {task}/{sub_task}")
-        out = _score_frame(out)
-        scores = out if scores is None else scores.unionByName(out)
+        return _score_frame(out)
+
+    # Each combination writes its own partitions of the result table (dynamic
+    # partition overwrite stages every job separately), so combinations may
+    # run concurrently and share the cluster; scores are written once, after.
+    combos = sorted(by_combo.items())
+    if max_parallel > 1 and len(combos) > 1:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            outs = list(pool.map(run_combo, combos))
+    else:
+        outs = [run_combo(c) for c in combos]
+    scores: DataFrame | None = None
+    for out in outs:
+        if out is not None:
+            scores = out if scores is None else scores.unionByName(out)
     if scores is None:
         return None
     W.write_scores(scores, scores_root)

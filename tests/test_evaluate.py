@@ -87,3 +87,17 @@ def test_evaluate_scores(spark, data_root, tmp_dir):
     assert yn["accuracy"] == pytest.approx(1 / 3) and yn["n_invalid"] == 1
     results = spark.read.parquet(os.path.join(out, "results"))
     assert results.where("task = 'perception'").count() == 4 and results.where("task = 'commonsense'").count() == 3
+
+
+def test_evaluate_concurrent_combinations(spark, data_root, tmp_dir):
+    gen = os.path.join(data_root, "commonsense", "generation")
+    _write(os.path.join(gen, "ja.jsonl"), [{"image_id": "1", "object": "cup", "terms": ["smooth"]},
+                                          {"image_id": "2", "object": "silk", "terms": ["soft"]}])
+    _write(os.path.join(gen, "few_shot_ja.jsonl"), [{"user": "u", "assistant": "a"}])
+    out = os.path.join(tmp_dir, "out")
+    scores = evaluate(spark, ["commonsense"], ["classification", "generation"], "ja", "api", "m", KeyedResponder, out,
+                      data_root=data_root, max_parallel=2).collect()
+    assert [(r["task"], r["sub_task"], r["n_rows"]) for r in scores] == [("commonsense", "classification", 3)]
+    results = spark.read.parquet(os.path.join(out, "results"))
+    assert results.where("sub_task = 'generation'").count() == 2
+    assert results.where("sub_task = 'classification'").count() == 3
