@@ -101,3 +101,16 @@ def test_evaluate_concurrent_combinations(spark, data_root, tmp_dir):
     results = spark.read.parquet(os.path.join(out, "results"))
     assert results.where("sub_task = 'generation'").count() == 2
     assert results.where("sub_task = 'classification'").count() == 3
+
+
+def test_command_line(spark, data_root, tmp_dir, capsys):
+    from evalframe.__main__ import main
+
+    main(["--task", "taxonomic", "--sub-task", "yes_no_classification", "--lang", "ja", "--model-type", "api",
+          "--model-name", "gpt-4o", "--responder", "tests.test_evaluate:KeyedResponder",
+          "--save-dir", os.path.join(tmp_dir, "cli"), "--data-root", data_root])
+    assert "yes_no_classification" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["--task", "taxonomic", "--sub-task", "yes_no_classification", "--lang", "ja", "--model-type", "vllm",
+              "--model-name", "gpt-4o", "--responder", "tests.test_evaluate:KeyedResponder",
+              "--save-dir", os.path.join(tmp_dir, "cli2"), "--data-root", data_root])
