@@ -218,20 +218,12 @@ def placeholder_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``doc_id % 4`` images (``doc_id % 5 = 0`` gives no image list at all)."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    n_tok = (i % 3).cast("int")
-    n_img = (i % 4).cast("int")
+    names = F.transform(F.sequence(F.lit(1), F.lit(3)),
+                        lambda j: F.concat(F.lit("img/"), i.cast("string"), F.lit("_"), j.cast("string")))
     return d.select(
         i.alias("id"),
-        F.concat(F.col("text"), F.repeat(F.lit("<image>"), n_tok)).alias("text"),
-        F.when(i % 5 == 0, F.lit(None).cast("array<string>"))
-         .otherwise(F.transform(F.sequence(F.lit(1), n_img + 1), lambda j: F.concat(F.lit("img/"), i.cast("string"), F.lit("_"), j.cast("string"))))
-         .alias("images_raw"),
-        n_img.alias("n_img"),
-    ).select(
-        "id", "text",
-        # sequence(1, n+1) has n+1 elements: drop the last to get n images
-        F.when(F.col("images_raw").isNull(), F.lit(None).cast("array<string>"))
-         .otherwise(F.slice("images_raw", 1, F.col("n_img"))).alias("images"),
+        F.concat(F.col("text"), F.repeat(F.lit("<image>"), (i % 3).cast("int"))).alias("text"),
+        F.when(i % 5 == 0, F.lit(None).cast("array<string>")).otherwise(F.slice(names, 1, (i % 4).cast("int"))).alias("images"),
     )
 
 
