@@ -56,13 +56,19 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
              model_name: str, make_responder: Callable[[], Any], save_dir: str, data_root: str = "data",
              registry_rows: Sequence[tuple] | None = None, family: str | None = None, image_dir: str | None = None,
              sub_subtasks: Sequence[str] | None = None, rename: Mapping[str, str] | None = None,
-             strict: bool = False, max_parallel: int = 1) -> DataFrame | None:
+             strict: bool = False, max_parallel: int = 1, resume: bool = False) -> DataFrame | None:
     """Run every requested (task, sub_task) for one model and language.
 
     Returns the score rows of the scored combinations (generation has none),
     read back from ``{save_dir}/scores``; ``None`` if only generation ran.
     ``max_parallel > 1`` runs that many combinations concurrently.
+    ``resume=True`` answers only items missing from ``{save_dir}/results``
+    (keyed by sub_subtask and the item id) and appends them; it runs the
+    combinations one after another, since appends to one table from
+    concurrent jobs are not isolated the way partition overwrites are.
     """
+    if resume and max_parallel > 1:
+        raise ValueError("resume appends to the result table: use max_parallel=1")
     reg = R.registry(spark, registry_rows, data_root)
     req = spark.createDataFrame([(lang, list(tasks), list(sub_tasks))],
                                 "lang string, tasks array<string>, sub_tasks array<string>")
@@ -96,7 +102,8 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
         run = PL.Run(task=task, sub_task=sub_task, lang=lg, model_type=model_type, model_name=model_name,
                      family=family, gen_params=gp, image_dir=image_dir)
         keep = [f.name for f in schema.fields] + ["sub_subtask"]
-        common = dict(results_root=results_root, keep=keep)
+        common = dict(results_root=results_root, keep=keep, resume=resume,
+                      resume_keys=["sub_subtask", schema.fields[0].name])
         if sub_task == "generation":
             PL.eval_generation(spark, items, run, make_responder, with_images=(task == "perception"), **common)
             return None

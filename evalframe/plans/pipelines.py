@@ -89,24 +89,35 @@ def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, type
     return out, images_col
 
 
-def _done_ids(spark: SparkSession, root: str, run: Run, key: str, fmt: str) -> DataFrame | None:
+def _done_keys(spark: SparkSession, root: str, run: Run, keys: Sequence[str], fmt: str) -> DataFrame | None:
     """Keys already answered for this run in an existing result table."""
     try:
         prior = spark.read.format(fmt).load(root)
     except Exception:  # noqa: BLE001 - no table yet
         return None
-    if key not in prior.columns:
+    if any(k not in prior.columns for k in keys):
         return None
     flt = F.lit(True)
     for k in ("task", "sub_task", "lang", "model_type", "model_name"):
         flt = flt & (F.col(k) == getattr(run, k))
-    return prior.where(flt).select(key).distinct()
+    return prior.where(flt).select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+
+
+def _skip_done(prompted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left_anti`` on the keys, null-safe (``sub_subtask`` is null outside
+    selection and multiple choice)."""
+    cond = None
+    for k in keys:
+        c = prompted[k].eqNullSafe(done[f"_done_{k}"])
+        cond = c if cond is None else cond & c
+    return prompted.join(done, cond, "left_anti")
 
 
 def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
                          results_root: str | None, keep: Sequence[str], images_col: str | None = None,
                          responder_partitions: int | None = None, results_format: str | None = None,
-                         typed: bool = True, resume: bool = False) -> DataFrame:
+                         typed: bool = True, resume: bool = False,
+                         resume_keys: Sequence[str] | None = None) -> DataFrame:
     """Request assembly -> responder -> parse -> tag -> write; returns the
     written rows of this run, re-read.
 
@@ -115,15 +126,17 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     messages stay in the JVM unless the responder asks for them.  Rows whose
     text has more image placeholders than images are not sent (error
     ``placeholder_mismatch``; the harness raised).  ``resume=True`` skips keys
-    already in this run's results (``left_anti`` on ``keep[0]``) and appends,
-    so a re-run after a crash calls the model only for the missing rows.
+    already in this run's results (null-safe ``left_anti`` on ``resume_keys``,
+    default ``keep[0]``) and appends, so a re-run after a crash calls the model
+    only for the missing rows.
     """
     root = results_root or scratch_dir(spark, "results")
     fmt = results_format or RESULTS_FORMAT
     if resume:
-        done = _done_ids(spark, root, run, keep[0], fmt)
+        rkeys = list(resume_keys or [keep[0]])
+        done = _done_keys(spark, root, run, rkeys, fmt)
         if done is not None:
-            prompted = prompted.join(done, keep[0], "left_anti")
+            prompted = _skip_done(prompted, done, rkeys)
     req, sent_images = _request_columns(prompted, run, images_col, typed)
     # normalised once for the backend exactly as the wrapper would
     gen_params = GP.normalized_params(spark, run.gen_params, run.model_type) if run.gen_params is not None else None
@@ -164,7 +177,8 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
                    few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = ("sub_subtask",),
                    sub_subtasks: Sequence[str] | None = None, results_root: str | None = None,
                    scores_root: str | None = None, keep: Sequence[str] = ("id",), multi_choice: bool = False,
-                   responder_partitions: int | None = None, resume: bool = False) -> DataFrame:
+                   responder_partitions: int | None = None, resume: bool = False,
+                   resume_keys: Sequence[str] | None = None) -> DataFrame:
     """Choice selection (P1) / multiple choice (P7): accuracy per sub_subtask.
 
     ``items`` has ``sub_subtask``, ``object`` (selection), ``all_ids_with_term``,
@@ -181,7 +195,7 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({"zero_shot": zero_shot, "system": system})
     keep = list(dict.fromkeys(list(keep) + ["sub_subtask", "correct_ids"]))
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images,
-                                   responder_partitions, resume=resume)
+                                   responder_partitions, resume=resume, resume_keys=resume_keys)
     scored = results.select(*M.RUN_KEYS, P.gold_or_none("correct_ids").alias("gold"),
                             (P.code_int("parsed") if multi_choice else P.code_selection("parsed")).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
@@ -194,7 +208,8 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
 def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                     few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
                     results_root: str | None = None, keep: Sequence[str] = ("id", "object"),
-                    with_images: bool = False, resume: bool = False) -> DataFrame:
+                    with_images: bool = False, resume: bool = False,
+                    resume_keys: Sequence[str] | None = None) -> DataFrame:
     """Free-text generation (P2): results only, no metric.  Perception items
     carry ``image`` (mandatory there); commonsense items have none."""
     if with_images and "image" not in items.columns:
@@ -204,7 +219,8 @@ def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_respon
         "zero_shot": C.prompt_generation("object", run.templates["generation"]),
         "system": F.lit(run.system_texts["generation"]),
     })
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images, resume=resume)
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images, resume=resume,
+                                   resume_keys=resume_keys)
     return C.answer_columns(results, "generation")
 
 
@@ -216,7 +232,7 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
                      votes: DataFrame | None = None, few_shot: DataFrame | None = None,
                      few_shot_keys: Sequence[str] = (), results_root: str | None = None,
                      scores_root: str | None = None, keep: Sequence[str] = ("id",), resume: bool = False,
-                     votes_col: str | None = None) -> DataFrame:
+                     resume_keys: Sequence[str] | None = None, votes_col: str | None = None) -> DataFrame:
     """Pair rating: accuracy (P4) and, with votes, the vote-distribution
     distance and its average (P3).  Votes come either long-form as ``votes``
     (``item``, ``vote``; aggregated per item) or as an array column of each
@@ -233,7 +249,8 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
         "system": F.lit(run.system_texts["pair_rating"]),
     })
     keep = list(dict.fromkeys(list(keep) + ["naturalness"] + ([votes_col] if votes_col else [])))
-    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, typed=False, resume=resume)
+    results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, typed=False,
+                                   resume=resume, resume_keys=resume_keys)
     scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"),
                             *([votes_col] if votes_col else []))
     if votes_col:
@@ -255,14 +272,14 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
 def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                 few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
                 results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
-                strict: bool = False, resume: bool = False) -> DataFrame:
+                strict: bool = False, resume: bool = False, resume_keys: Sequence[str] | None = None) -> DataFrame:
     """Yes/no classification (P5): ``items`` has ``term`` and ``label`` (0/1)."""
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
         "zero_shot": C.prompt_yes_no("term", run.templates["yes_no"]),
         "system": F.lit(run.system_texts["yes_no"]),
     })
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["label"],
-                                   typed=False, resume=resume)
+                                   typed=False, resume=resume, resume_keys=resume_keys)
     scored = results.select(*M.RUN_KEYS, P.gold_label("label").alias("gold"), P.code_yes_no("parsed", strict).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
 
@@ -270,7 +287,7 @@ def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder:
 def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
              few_shot: DataFrame | None = None, few_shot_keys: Sequence[str] = (),
              results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
-             strict: bool = False, resume: bool = False) -> DataFrame:
+             strict: bool = False, resume: bool = False, resume_keys: Sequence[str] | None = None) -> DataFrame:
     """A/B classification (P6): ``items`` has ``all_ids_with_term`` (``A:..``,
     ``B:..``) and ``correct_ids``."""
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
@@ -278,6 +295,6 @@ def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Ca
         "system": F.lit(run.system_texts["a_b"]),
     })
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["correct_ids"],
-                                   typed=False, resume=resume)
+                                   typed=False, resume=resume, resume_keys=resume_keys)
     scored = results.select(*M.RUN_KEYS, P.gold_first("correct_ids").alias("gold"), P.code_a_b("parsed", strict).alias("pred"))
     return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)

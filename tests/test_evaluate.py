@@ -39,7 +39,7 @@ def _write(path, rows):
 
 
 def _sel(obj, correct, k):
-    return {"image_id": "007", "image": ["img/a.jpg"], "object": obj, "correct_ids": correct,
+    return {"image_id": f"00{len(obj)}{obj}", "image": ["img/a.jpg"], "object": obj, "correct_ids": correct,
             "all_ids_with_term": [f"{i}:w{i}" for i in range(k)]}
 
 
@@ -114,3 +114,35 @@ def test_command_line(spark, data_root, tmp_dir, capsys):
         main(["--task", "taxonomic", "--sub-task", "yes_no_classification", "--lang", "ja", "--model-type", "vllm",
               "--model-name", "gpt-4o", "--responder", "tests.test_evaluate:KeyedResponder",
               "--save-dir", os.path.join(tmp_dir, "cli2"), "--data-root", data_root])
+
+
+class CountingKeyed(KeyedResponder):
+    """Marks answers so a test can tell which run produced a row."""
+
+    def respond(self, requests):
+        return [a + " (second run)" for a in super().respond(requests)]
+
+
+SUBS = ["choice2_ans1", "random"]
+
+
+def test_evaluate_resume(spark, data_root, tmp_dir):
+    out = os.path.join(tmp_dir, "out")
+    base = os.path.join(data_root, "perception", "selection", "choice2_ans1", "ja.jsonl")
+    full = open(base, encoding="utf-8").read()
+    with open(base, "w", encoding="utf-8") as f:      # first run sees only the first item
+        f.write(full.splitlines()[0] + "\n")
+    evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+             sub_subtasks=SUBS)
+    with open(base, "w", encoding="utf-8") as f:
+        f.write(full)
+    with pytest.raises(ValueError):
+        evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+                 resume=True, max_parallel=2, sub_subtasks=SUBS)
+    scores = {r["sub_subtask"]: r for r in evaluate(spark, ["perception"], ["selection"], "ja", "api", "m",
+                                                    CountingKeyed, out, data_root=data_root, resume=True,
+                                                    sub_subtasks=SUBS).collect()}
+    assert scores["choice2_ans1"]["n_rows"] == 2 and scores["random"]["n_rows"] == 2
+    rows = spark.read.parquet(os.path.join(out, "results")).select("sub_subtask", "object", "raw_response").collect()
+    second = {(r["sub_subtask"], r["object"]) for r in rows if r["raw_response"].endswith("(second run)")}
+    assert second == {("choice2_ans1", "pan")}      # only the item missing after the first run was asked
