@@ -1,4 +1,4 @@
-"""evalframe: model-evaluation pipelines expressed as Spark DataFrame plans.
+"""evalframe: model evaluation expressed as Spark DataFrame plans.
 
 Layout
 ------

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
-from evalframe.plans import pipelines as PL
+from evalframe.plans import task_plans as PL
 from evalframe.schemas import ITEM_SCHEMAS
 from evalframe.sinks import writers as W
 from evalframe.sources import readers as RD

@@ -18,7 +18,7 @@ from evalframe.operators import runs as R
 from evalframe.operators.respond import NotFoundError, ReplayResponder, respond
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
-from evalframe.plans import pipelines as PL
+from evalframe.plans import task_plans as PL
 from evalframe.plans.catalog import register
 from evalframe.plans.q_runs import matrix
 from evalframe.plans.q_scoring import _acc_sql

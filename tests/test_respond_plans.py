@@ -11,8 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from evalframe.operators.respond import EchoChoiceResponder, NotFoundError, ReplayResponder, respond, retry_waits
-from evalframe.plans import pipelines as PL
-from evalframe.plans import q_pipelines as Q
+from evalframe.plans import task_plans as PL
+from evalframe.plans import q_task_plans as Q
 from tests.conftest import SF_SMALL
 
 # responders defined here run inside Python workers, which cannot import tests
