@@ -14,6 +14,7 @@ from evalframe.operators import assets as A
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans.catalog import register
+from evalframe.session import scratch_dir
 
 BASE = "/data/assets"
 
@@ -111,3 +112,19 @@ def resolve_assets(spark: SparkSession, sf: str) -> DataFrame:
     ph = fx.placeholder_text(spark, sf).select("id", "images")
     out = A.resolve_assets(ph, doc_store(spark, sf), "id", "images", BASE)
     return out.select("id", F.array_join("resolved_images", ",").alias("resolved"), "n_missing")
+
+
+@register("read_asset_files", """
+SELECT page_id AS id, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length,
+       'data:image/jpeg;base64,' || to_base64(encode(html || chr(10))) AS data_url
+FROM pages""")
+def read_asset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 on real files: every page's bytes become one file (the text sink
+    ends it with a newline), listed and read back with the ``binaryFile``
+    source, then encoded (E4).  The id comes from the file's directory."""
+    root = scratch_dir(spark, "asset-files")
+    pages = fx.table(spark, sf, "pages").select("page_id", "html")
+    pages.write.mode("overwrite").partitionBy("page_id").text(root)
+    files = A.read_assets(spark, root, glob="part-*")
+    return files.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("id"), "length",
+                        E.data_url("content").alias("data_url"))
