@@ -52,17 +52,33 @@ def _score_frame(df: DataFrame) -> DataFrame:
     return df.select(*SCORE_COLUMNS)
 
 
+FAMILY_OF_SUB_TASK = {"selection": "selection", "generation": "generation"}
+
+
+def _export(spark: SparkSession, results_root: str, out: str, combos: list, model_type: str, model_name: str) -> None:
+    """JSON Lines export of this call's runs, one family at a time."""
+    results = W.read_results(spark, results_root, fmt="parquet")
+    for lg, task, sub_task in combos:
+        family = FAMILY_OF_SUB_TASK.get(sub_task, "classification")
+        mine = results.where((F.col("lang") == lg) & (F.col("task") == task) & (F.col("sub_task") == sub_task)
+                             & (F.col("model_type") == model_type) & (F.col("model_name") == model_name))
+        W.export_jsonl(mine, out, family)
+
+
 def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str], lang: str, model_type: str,
              model_name: str, make_responder: Callable[[], Any], save_dir: str, data_root: str = "data",
              registry_rows: Sequence[tuple] | None = None, family: str | None = None, image_dir: str | None = None,
              sub_subtasks: Sequence[str] | None = None, rename: Mapping[str, str] | None = None,
-             strict: bool = False, max_parallel: int = 1, resume: bool = False) -> DataFrame | None:
+             strict: bool = False, max_parallel: int = 1, resume: bool = False,
+             export_jsonl: bool = False) -> DataFrame | None:
     """Run every requested (task, sub_task) for one model and language.
 
     Returns the score rows of the scored combinations (generation has none),
     read back from ``{save_dir}/scores``; ``None`` if only generation ran.
     ``max_parallel > 1`` runs that many combinations concurrently.
-    ``resume=True`` answers only items missing from ``{save_dir}/results``
+    ``export_jsonl=True`` also writes each run's result rows to
+    ``{save_dir}/jsonl`` as JSON Lines with the task family's answer-column
+    names.  ``resume=True`` answers only items missing from ``{save_dir}/results``
     (keyed by sub_subtask and the item id) and appends them; it runs the
     combinations one after another, since appends to one table from
     concurrent jobs are not isolated the way partition overwrites are.
@@ -137,6 +153,8 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
     for out in outs:
         if out is not None:
             scores = out if scores is None else scores.unionByName(out)
+    if export_jsonl:
+        _export(spark, results_root, f"{save_dir.rstrip('/')}/jsonl", list(by_combo), model_type, model_name)
     if scores is None:
         return None
     W.write_scores(scores, scores_root)

@@ -92,7 +92,7 @@ def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, type
 def _done_keys(spark: SparkSession, root: str, run: Run, keys: Sequence[str], fmt: str) -> DataFrame | None:
     """Keys already answered for this run in an existing result table."""
     try:
-        prior = spark.read.format(fmt).load(root)
+        prior = W.read_results(spark, root, fmt=fmt)
     except Exception:  # noqa: BLE001 - no table yet
         return None
     if any(k not in prior.columns for k in keys):

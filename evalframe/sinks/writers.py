@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe.sources.readers import read_dataset
@@ -43,11 +44,14 @@ def write_scores(df: DataFrame, root: str) -> None:
 
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType | None = None, fmt: str = "json") -> DataFrame:
-    """Read a partitioned result table back; partition values stay strings."""
+    """Read a partitioned result table back; partition values stay strings
+    (also when a partition column holds only nulls and would read as VOID)."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.format(fmt).load(root)
+    df = r.format(fmt).load(root)
+    cols = {c: F.col(c).cast("string") for c in RESULT_PARTITIONS if c in df.columns}
+    return df.withColumns(cols) if schema is None and cols else df
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
@@ -60,3 +64,15 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overw
 def convert_to_jsonl(spark: SparkSession, src: str, schema: T.StructType | str, dest: str) -> None:
     """JSON / CSV / TSV -> JSON Lines directory."""
     write_jsonl(read_dataset(spark, src, schema), dest)
+
+
+def export_jsonl(results: DataFrame, path: str, family: str) -> None:
+    """Result rows as JSON Lines with the task family's answer-column names
+    (C12: selection ``original_response`` / ``response``, classification
+    ``original_model_inference`` / ``model_inference``, generation
+    ``original_response`` only), partitioned by run like the result table."""
+    from evalframe.functions.prompts import answer_columns
+
+    out = answer_columns(results, family)
+    cols = [c for c in RESULT_PARTITIONS if c in out.columns]
+    out.write.mode("overwrite").partitionBy(*cols).option("ignoreNullFields", "false").json(path)

@@ -146,3 +146,16 @@ def test_evaluate_resume(spark, data_root, tmp_dir):
     rows = spark.read.parquet(os.path.join(out, "results")).select("sub_subtask", "object", "raw_response").collect()
     second = {(r["sub_subtask"], r["object"]) for r in rows if r["raw_response"].endswith("(second run)")}
     assert second == {("choice2_ans1", "pan")}      # only the item missing after the first run was asked
+
+
+def test_export_jsonl_names(spark, data_root, tmp_dir):
+    out = os.path.join(tmp_dir, "out")
+    evaluate(spark, ["taxonomic"], ["yes_no_classification"], "ja", "api", "m", KeyedResponder, out,
+             data_root=data_root, export_jsonl=True)
+    evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+             sub_subtasks=SUBS, export_jsonl=True)
+    yn = spark.read.json(os.path.join(out, "jsonl", "task=taxonomic"))
+    assert {"original_model_inference", "model_inference", "zero_shot"} <= set(yn.columns)
+    sel = spark.read.json(os.path.join(out, "jsonl", "task=perception"))
+    assert {"original_response", "response"} <= set(sel.columns) and "parsed" not in sel.columns
+    assert yn.count() == 3 and sel.count() == 4
