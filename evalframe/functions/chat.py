@@ -93,12 +93,20 @@ def few_shot_messages(few_shot: Column | str, typed: bool = True) -> Column:
 
 
 def conversation(system: Column | str | None, few_shot: Column | str | None, text: Column | str,
-                 images: Column | str | None = None, typed: bool = True) -> Column:
-    """system ++ few-shot ++ user, each optional part skipped when empty."""
+                 images: Column | str | None = None, typed: bool = True,
+                 few_shot_msgs: Column | str | None = None) -> Column:
+    """system ++ few-shot ++ user, each optional part skipped when empty.
+
+    ``few_shot_msgs`` takes few-shot messages already built once per few-shot
+    set (``operators.fewshot.with_messages``) instead of rebuilding them for
+    every item row.
+    """
     parts = []
     if system is not None:
         parts.append(system_message(system, typed))
-    if few_shot is not None:
+    if few_shot_msgs is not None:
+        parts.append(_col(few_shot_msgs))
+    elif few_shot is not None:
         parts.append(few_shot_messages(few_shot, typed))
     parts.append(user_message(text, images, typed))
     return F.concat(*parts)

@@ -27,11 +27,21 @@ def few_shot_sets(examples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return examples.groupBy(*keys).agg(F.array_sort(F.collect_list(ex)).alias("few_shot"))
 
 
-def few_shot_bytes():
-    """Bytes of one few-shot set row (for the broadcast bound)."""
+def few_shot_bytes(copies: int = 1):
+    """Bytes of one few-shot set row (for the broadcast bound); ``copies``
+    counts the texts again for each derived column carrying them."""
     return F.aggregate(F.col("few_shot"), F.lit(0).cast("long"),
                        lambda acc, x: acc + F.coalesce(F.octet_length(x["user"]), F.lit(0))
-                       + F.coalesce(F.octet_length(x["assistant"]), F.lit(0)) + F.lit(16))
+                       + F.coalesce(F.octet_length(x["assistant"]), F.lit(0)) + F.lit(16)) * F.lit(copies)
+
+
+def with_messages(sets: DataFrame, typed: bool) -> DataFrame:
+    """Build each set's few-shot messages once, on the (small) set frame, so
+    the per-item work after the join is a concatenation (invariant hoisting:
+    the harness rebuilt them for every item)."""
+    from evalframe.functions.chat import few_shot_messages
+
+    return sets.withColumn("few_shot_messages", few_shot_messages("few_shot", typed))
 
 
 def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], max_rows: int = 100_000,
@@ -46,11 +56,15 @@ def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], max_
     """
     from evalframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, fits_broadcast
 
-    size = few_shot_bytes()
+    size = few_shot_bytes(2 if "few_shot_messages" in sets.columns else 1)
     if require_broadcast:
         if not fits_broadcast(sets, max_rows, DEFAULT_MAX_BROADCAST_BYTES, size):
             raise ValueError("few-shot sets too large to attach to every item")
         joined = items.join(F.broadcast(sets), list(keys), "left")
     else:
         joined = join_small(items, sets, list(keys), "left", max_rows=max_rows, size_expr=size)
-    return joined.withColumn("few_shot", F.coalesce(F.col("few_shot"), F.array().cast(FEW_SHOT_TYPE)))
+    filled = {"few_shot": F.coalesce(F.col("few_shot"), F.array().cast(FEW_SHOT_TYPE))}
+    if "few_shot_messages" in sets.columns:
+        msg_type = sets.schema["few_shot_messages"].dataType.simpleString()
+        filled["few_shot_messages"] = F.coalesce(F.col("few_shot_messages"), F.array().cast(msg_type))
+    return joined.withColumns(filled)

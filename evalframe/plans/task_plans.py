@@ -54,12 +54,12 @@ class Run:
     templates: dict[str, str] = field(default_factory=lambda: dict(C.TEMPLATES))
 
 
-def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[str], typed: bool = True) -> DataFrame:
     if few_shot is None:
         if "few_shot" in items.columns:   # attached by the caller
             return items
         return items.withColumn("few_shot", F.array().cast(FS.FEW_SHOT_TYPE))
-    return FS.attach_few_shot(items, few_shot, keys)
+    return FS.attach_few_shot(items, FS.with_messages(few_shot, typed), keys)
 
 
 RESULTS_FORMAT = "parquet"
@@ -79,7 +79,9 @@ def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, type
         out = prompted.withColumns(cols).withColumn("prompt", F.coalesce("prompt_text", "zero_shot"))
         images_col = "request_images"
     else:
-        msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed)
+        hoisted = "few_shot_messages" if "few_shot_messages" in prompted.columns else None
+        msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed,
+                              few_shot_msgs=hoisted)
         out = prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": F.lit(False)})
     if images_col and run.image_dir:
         # paths relative to the run's image directory, URLs untouched (E1, E2); the
@@ -143,7 +145,7 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     wants_messages = getattr(make_responder, "wants_messages", True)
     inputs = getattr(make_responder, "input_columns", None)
     if inputs is None:
-        inputs = [c for c in prompted.columns if c not in ("messages", "few_shot")]
+        inputs = [c for c in prompted.columns if c not in ("messages", "few_shot", "few_shot_messages")]
     needed = list(dict.fromkeys(list(keep) + ["zero_shot", "prompt", "placeholder_error"] + list(inputs)
                                 + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])))
     narrow = req.select(*needed)
@@ -243,7 +245,7 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
     key; both sides are hash-partitioned on it, so the join adds one shuffle of
     the item side only.
     """
-    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+    prompted = _with_few_shot(items, few_shot, few_shot_keys, typed=False).withColumns({
         "zero_shot": C.prompt_pair_rating("object", "term", F.lit(run.lang),
                                           {run.lang: run.templates[f"pair_rating_{run.lang}"]}),
         "system": F.lit(run.system_texts["pair_rating"]),
@@ -274,7 +276,7 @@ def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder:
                 results_root: str | None = None, scores_root: str | None = None, keep: Sequence[str] = ("id",),
                 strict: bool = False, resume: bool = False, resume_keys: Sequence[str] | None = None) -> DataFrame:
     """Yes/no classification (P5): ``items`` has ``term`` and ``label`` (0/1)."""
-    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+    prompted = _with_few_shot(items, few_shot, few_shot_keys, typed=False).withColumns({
         "zero_shot": C.prompt_yes_no("term", run.templates["yes_no"]),
         "system": F.lit(run.system_texts["yes_no"]),
     })
@@ -290,7 +292,7 @@ def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Ca
              strict: bool = False, resume: bool = False, resume_keys: Sequence[str] | None = None) -> DataFrame:
     """A/B classification (P6): ``items`` has ``all_ids_with_term`` (``A:..``,
     ``B:..``) and ``correct_ids``."""
-    prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({
+    prompted = _with_few_shot(items, few_shot, few_shot_keys, typed=False).withColumns({
         "zero_shot": C.prompt_a_b("all_ids_with_term", run.templates["a_b"]),
         "system": F.lit(run.system_texts["a_b"]),
     })

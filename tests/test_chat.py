@@ -178,3 +178,19 @@ def test_chat_formats_property(spark, convs):
         assert r["header"] == py_header(msgs)
         assert r["turn"] == py_turn(py_fold(msgs))
         assert r["ir"] == (py_ir(msgs) if msgs else INSTRUCTION_RESPONSE["bos"])
+
+
+def test_hoisted_few_shot_messages_equal_per_row(spark):
+    from evalframe.operators import fewshot as FS
+
+    ex = spark.createDataFrame([("k", 1, "u1", "a1"), ("k", 0, "u0", "a0"), ("j", 0, "v", "b")],
+                               "key string, ord long, user string, assistant string")
+    items = spark.createDataFrame([(1, "k", "q1"), (2, "j", "q2"), (3, "none", "q3")], "id int, key string, t string")
+    for typed in (True, False):
+        sets = FS.with_messages(FS.few_shot_sets(ex, ["key"]), typed)
+        joined = FS.attach_few_shot(items, sets, ["key"])
+        rows = joined.select("id", D.conversation(F.lit("S"), "few_shot", "t", typed=typed).alias("a"),
+                             D.conversation(F.lit("S"), "few_shot", "t", typed=typed,
+                                            few_shot_msgs="few_shot_messages").alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows)
+        assert {r["id"]: len(r["b"]) for r in rows} == {1: 6, 2: 4, 3: 2}
