@@ -112,6 +112,8 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
             examples = ex if examples is None else examples.unionByName(ex)
         items = items.withColumn("_fs_key", F.coalesce("sub_subtask", F.lit("")))
         sets = FS.few_shot_sets(examples, ["_fs_key"])
+        if family is None:   # a family profile assembles its own messages
+            sets = FS.with_messages(sets, typed=sub_task in ("selection", "multiple_choice_classification", "generation"))
         # one few-shot list per sub_subtask, shared by all its items: broadcast or fail
         items = FS.attach_few_shot(items, sets, ["_fs_key"], require_broadcast=True).drop("_fs_key")
         gp = rows[0]["gen_params"].asDict() if rows[0]["gen_params"] is not None else None
