@@ -133,3 +133,15 @@ def test_few_shot_file_order(spark, tmp_dir):
     ex = R.read_few_shot(spark, src).withColumn("k", F.lit(1))
     fs = few_shot_sets(ex, ["k"]).collect()[0]["few_shot"]
     assert [x["user"] for x in fs] == [f"u{i}" for i in range(30)]
+
+
+def test_few_shot_json_array_order(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "fs.json")
+    with open(src, "w") as f:
+        json.dump([{"user": f"u{i}", "assistant": f"a{i}", "images": [f"i{i}.jpg"] if i % 2 else None}
+                   for i in range(12)], f)
+    from evalframe.operators.fewshot import few_shot_sets
+    ex = R.read_few_shot(spark, src).withColumn("k", F.lit(1))
+    fs = few_shot_sets(ex, ["k"]).collect()[0]["few_shot"]
+    assert [x["user"] for x in fs] == [f"u{i}" for i in range(12)]
+    assert fs[1]["images"] == ["i1.jpg"] and fs[0]["images"] is None
