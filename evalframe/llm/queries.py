@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalframe.llm import token_files
+from evalframe.llm import packing, piece_bpe, token_files
 from evalframe.llm.common import prepare, read_table
 from evalframe.session import scratch_dir
 
@@ -22,6 +22,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded again."""
+    return piece_bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, written as token-id files and read back."""
     path = scratch_dir(spark, "token-files")
@@ -29,8 +34,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of at most 4096 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word", 1, 4096)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_files,)
+    f.__name__: f for f in (op1_piece_bpe, op6_token_files, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
