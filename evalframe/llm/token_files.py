@@ -10,8 +10,9 @@ Spark's committed writer, so any file system of the cluster can hold them:
   its SHA-256 (an empty dictionary if there was too little to train on);
   ``width`` is the bytes of one id (2 if all ids of the vocabulary fit).
 * ``blocks``: rows ``(shard, block, dictionary_hash, first_doc_id,
-  last_doc_id, n_docs, n_tokens, doc_ids, counts, ends, payload)`` in ascending
-  doc_id order within a shard.  ``payload`` is the documents' frames one after
+  last_doc_id, n_docs, before, n_tokens, doc_ids, counts, ends, payload)`` in
+  ascending doc_id order within a shard; ``before``: ids of the shard's earlier
+  blocks.  ``payload`` is the documents' frames one after
   another; ``doc_ids`` (int64), ``counts`` (tokens, int64) and ``ends`` (end
   of each frame in ``payload``, int64) are little-endian arrays: the offset
   index.  ``ids_of`` reads one document by decompressing its frame alone.
@@ -45,13 +46,13 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 4 << 20, 64 << 10
 LEVEL = 3
 # A block closes at so many documents or compressed bytes.
 BLOCK_DOCS, BLOCK_BYTES = 2_048, 4 << 20
-# Characters of text a shard holds, about.
-SHARD_CHARS = 2e6
+# Documents of a shard, about.
+SHARD_DOCS = 500
 _LEAST_ID = -(1 << 63)
 
 _ENCODED = "shard int, doc_id long, n_tokens long, frame binary"
 _BLOCKS = ("shard int, block int, dictionary_hash string, first_doc_id long, last_doc_id long, n_docs long, "
-           "n_tokens long, doc_ids binary, counts binary, ends binary, payload binary")
+           "before long, n_tokens long, doc_ids binary, counts binary, ends binary, payload binary")
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def train_dictionary(docs: DataFrame, tokens: Tokens) -> bytes:
     """A dictionary from a bounded sample: ``SAMPLE_DOCS`` texts of the
     smallest hashes, each cut to its share of ``SAMPLE_BYTES``."""
     share = SAMPLE_BYTES // SAMPLE_DOCS
-    rows = (docs.select(F.substring("text", 1, share).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = (docs.select(F.substring("text", 1, share).alias("text"), F.xxhash64("doc_id").alias("h"))
             .where("text is not null").orderBy("h", "text").limit(SAMPLE_DOCS).collect())
     parts = [tokens.serialized(r["text"])[:share] for r in rows]
     size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 8)
@@ -96,14 +97,16 @@ def write(docs: DataFrame, path: str, tokens: Tokens) -> None:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    bounds = np.array(range_bounds(docs, "doc_id", shard_count(spark, size, SHARD_CHARS)), dtype=np.int64)
+    bounds = np.array(range_bounds(docs, "doc_id", shard_count(spark, docs.count(), SHARD_DOCS)), dtype=np.int64)
     dictionary = train_dictionary(docs, tokens)
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycle_collection():
-            compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zstd_dict(dictionary), write_content_size=True).compress
+            shared = _zstd_dict(dictionary)
+            if shared is not None:
+                shared.precompute_compress(level=LEVEL)
+            compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
             for b in batches:
                 ids = b.column(0).fill_null(_LEAST_ID).to_numpy(zero_copy_only=False)
                 raw = [tokens.serialized(t) for t in text_list(b.column(1))]
@@ -113,12 +116,12 @@ def write(docs: DataFrame, path: str, tokens: Tokens) -> None:
                     pa.array([compress(r) for r in raw], pa.binary())], ["shard", "doc_id", "n_tokens", "frame"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, held, held_bytes = None, 0, [], 0
+        shard, block, before, held, held_bytes = None, 0, 0, [], 0
 
         def closed() -> pa.RecordBatch:
             ids = [r[0] for r in held]
             counts = [r[1] for r in held]
-            row = [shard, block, digest, ids[0], ids[-1], len(held), sum(counts),
+            row = [shard, block, digest, ids[0], ids[-1], len(held), before, sum(counts),
                    np.array([_LEAST_ID if i is None else i for i in ids], "<i8").tobytes(),
                    np.array(counts, "<i8").tobytes(), np.cumsum([len(r[2]) for r in held]).astype("<i8").tobytes(),
                    b"".join(r[2] for r in held)]
@@ -128,9 +131,9 @@ def write(docs: DataFrame, path: str, tokens: Tokens) -> None:
             for s, i, n, frame in zip(*(c.to_pylist() for c in b.columns)):
                 if held and (s != shard or len(held) >= BLOCK_DOCS or held_bytes >= BLOCK_BYTES):
                     yield closed()
-                    block, held, held_bytes = block + 1, [], 0
+                    block, before, held, held_bytes = block + 1, before + sum(r[1] for r in held), [], 0
                 if s != shard:
-                    shard, block = s, 0
+                    shard, block, before = s, 0, 0
                 held.append((i, n, frame))
                 held_bytes += len(frame)
         if held:
@@ -189,11 +192,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in out.split(", ")])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
-    before = (blocks.select(F.col("shard").alias("s"), F.col("block").alias("k"), F.col("n_tokens").alias("n"))
-              .selectExpr("s", "k", "sum(n) over (partition by s order by k) - n as before"))
-    return (blocks.join(before, (blocks["shard"] == before["s"]) & (blocks["block"] == before["k"]))
-            .select("shard", "dictionary_hash", "before", "doc_ids", "counts", "ends", "payload").mapInArrow(sized, out))
+    return (spark.read.parquet(f"{path}/blocks").select("shard", "dictionary_hash", "before", "doc_ids", "counts", "ends", "payload")
+            .mapInArrow(sized, out))
 
 
 def ids_of(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

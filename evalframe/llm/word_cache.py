@@ -47,17 +47,17 @@ class WordIds(dict):
 
 
 class TextEncoder:
-    """``split(text)`` cuts a text into words, or gives ``None`` for a text
-    that ``encode`` must take whole."""
+    """``split(text)`` cuts a text into words for ``encode``, or gives
+    ``None`` for a text that must be encoded whole."""
 
     def __init__(self, split: Callable[[str], list[str] | None], encode: Callable[[str], bytes],
-                 limit: int = CACHE_WORDS):
-        self.split, self.encode, self.words = split, encode, WordIds(encode, limit)
+                 encode_whole: Callable[[str], bytes], limit: int = CACHE_WORDS):
+        self.split, self.encode_whole, self.words = split, encode_whole, WordIds(encode, limit)
 
     def ids(self, text: str) -> bytes:
-        words = self.split(text)
+        words = self.split(text) if text else []
         if words is None:
-            return self.encode(text)
+            return self.encode_whole(text)
         return b"".join(map(self.words.__getitem__, words))
 
 
@@ -66,10 +66,28 @@ class TextEncoder:
 # cut after any other character that precedes one of these.
 _BYTE_LEVEL_WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_FIRST = "\r"
 
 
 def split_byte_level(text: str) -> list[str] | None:
-    return None if _OTHER_SPACE.search(text) else _BYTE_LEVEL_WORD.findall(text)
+    """Words with the white space before them; of a word after one space, only
+    the word; a word that begins the text is marked with ``_FIRST``."""
+    if _OTHER_SPACE.search(text):
+        return None
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n")):
+        words = _BYTE_LEVEL_WORD.findall(text)
+    else:
+        words = text.replace("\n", " \n").split(" ")
+        if not words[0]:
+            return words[1:]
+    if words[0][0] not in " \n":
+        words[0] = _FIRST + words[0]
+    return words
+
+
+def byte_level_text(word: str) -> str:
+    """The part of the text that a word of ``split_byte_level`` stands for."""
+    return word[1:] if word[0] == _FIRST else word if word[0] in " \n" else " " + word
 
 
 # Python's white space less these four is the white space of the tokenizer.
@@ -97,6 +115,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _library_encoder(path: str, lower: bool) -> Callable[[str], bytes]:
+    """Encodes a text that the tokenizer cuts at most as a plain word is cut
+    by its parts, any other by the library's pre-tokenizer."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -128,6 +148,9 @@ def library_encoder(path: str, kind: str) -> TextEncoder:
     library; ``kind``: ``byte`` (byte-level BPE) or ``word`` (lower case,
     white space dropped)."""
     if (path, kind) not in _ENCODERS:
-        split = {"byte": split_byte_level, "word": split_word_level}[kind]
-        _ENCODERS[path, kind] = TextEncoder(split, _library_encoder(path, kind == "word"))
+        encode = _library_encoder(path, kind == "word")
+        _ENCODERS[path, kind] = {
+            "byte": lambda: TextEncoder(split_byte_level, lambda word: encode(byte_level_text(word)), encode),
+            "word": lambda: TextEncoder(split_word_level, encode, encode),
+        }[kind]()
     return _ENCODERS[path, kind]
