@@ -72,7 +72,7 @@ class PieceModel:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.encoder = TextEncoder(self.words, self.word_ids)
+        self.encoder = TextEncoder(self.words, self.word_ids, self.word_ids)
         # what decoding writes for an id, with white space restored
         self.written = [b"" if i in self.control else bytes([self.byte_of[i]]) if i in self.byte_of
                         else " ⁇ ".encode() if i == self.unk else p.replace(SPACE, " ").encode()
@@ -81,7 +81,7 @@ class PieceModel:
     # ------------------------------------------------------------- encoding
 
     def words(self, text: str) -> list[str]:
-        return _WORD.findall(self.library.normalize(text)) if text else []
+        return _WORD.findall(self.library.normalize(text))
 
     def merged(self, text: str) -> list[str]:
         """Pairwise merging: of all neighbours whose joined text is a piece,

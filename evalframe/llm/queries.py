@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalframe.llm import packing, piece_bpe, token_files
+from evalframe.llm import (
+    crf_langid, fraction_sketch, packing, piece_bpe, simhash_covering, template_extract, token_files,
+    toxicity_grammar,
+)
 from evalframe.llm.common import prepare, read_table
 from evalframe.session import scratch_dir
 
@@ -27,6 +30,21 @@ def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return template_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op4_fraction_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and the next document."""
+    return fraction_sketch.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at 4 or fewer differing bits."""
+    return simhash_covering.components(read_table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, written as token-id files and read back."""
     path = scratch_dir(spark, "token-files")
@@ -34,13 +52,25 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, one label fold in five held out."""
+    return toxicity_grammar.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 5)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, one fold in three held out."""
+    return crf_langid.identified(read_table(spark, sf_dir, "documents"), 3, 1)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 4096 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word", 1, 4096)
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_piece_bpe, op6_token_files, op10_packing)
+    f.__name__: f for f in (
+        op1_piece_bpe, op3_main_text, op4_fraction_sketch, op5_simhash, op6_token_files, op7_toxicity, op9_language, op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}
