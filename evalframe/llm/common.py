@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from evalframe.session import apply_required_conf, scratch_dir
 
@@ -66,6 +67,14 @@ def unused_name(base: str, taken: Iterable[str]) -> str:
     return base
 
 
+_TYPES = {"long": LongType(), "double": DoubleType(), "string": StringType()}
+
+
+def schema_with(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` and further columns (name to type)."""
+    return StructType([*df.schema.fields, *(StructField(n, _TYPES[t]) for n, t in columns.items())])
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts - 1`` increasing values that cut the rows of ``column``
     into about equal ranges (nulls are ignored)."""

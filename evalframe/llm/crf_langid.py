@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import text_list, unused_name
+from evalframe.llm.common import schema_with, text_list, unused_name
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Texts of a language, and characters of a text, that are learned from.
@@ -302,7 +302,7 @@ def with_language(docs: DataFrame, model: LanguageModel, label: str, score: str)
                     names=[*b.schema.names, label, score])
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema.add(label, "string").add(score, "double"))
+    return docs.mapInArrow(run, schema_with(docs, **{label: "string", score: "double"}))
 
 
 def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

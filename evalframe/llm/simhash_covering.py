@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import saved, text_list, unused_name
+from evalframe.llm.common import saved, schema_with, text_list, unused_name
 from evalframe.llm.fraction_sketch import shingle_hashes
 from evalframe.llm.word_cache import no_cycle_collection
 
@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, column: str, shingle: int = 4) -> DataFram
                                                  names=[*b.schema.names, column])
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema.add(column, "long"))
+    return docs.mapInArrow(run, schema_with(docs, **{column: "long"}))
 
 
 # -------------------------------------------------------------------- masks

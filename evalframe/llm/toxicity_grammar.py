@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import text_list, unused_name
+from evalframe.llm.common import schema_with, text_list, unused_name
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Labelled texts of a class, and characters of a text, that are learned from.
@@ -273,7 +273,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, column])
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema.add(column, "double"))
+    return docs.mapInArrow(run, schema_with(docs, **{column: "double"}))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
