@@ -9,9 +9,7 @@ They are stated plainly and in their natural order.
 # FIXED VALUES (must match the evaluated harness)
 # ---------------------------------------------------------------------------
 
-# Answer labels a response may start with, tried in this order.
-CHOICE_LABELS = ("-1", "[0-5]", "[A-B]", "yes", "no")
-# Anchored prefix pattern: optional "(", a label, optional one of . , : ; )
+# Answer a response may start with: optional "(", a label, optional one of . , : ; )
 CHOICE_PATTERN = r"\(?(-1|[0-5]|[A-B]|yes|no)[.,:;)]?"
 # Returned when no label is found, and its integer code.
 INVALID_LABEL = "-100"
@@ -113,7 +111,7 @@ BATCH_PARAM_DEFAULTS = {
     "frequency_penalty": 0, "repetition_penalty": 1.0, "logit_bias": None, "logprobs": False, "seed": 42,
 }
 # Local-model defaults; temperature and top_p only apply when sampling.
-LOCAL_PARAM_DEFAULTS = {"max_new_tokens": 1024, "do_sample": True, "num_beams": 1}
+LOCAL_PARAM_DEFAULTS = {"max_new_tokens": 1024, "do_sample": True, "num_beams": 1, "use_cache": True}
 LOCAL_SAMPLING_DEFAULTS = {"temperature": 0.05, "top_p": 1.0}
 # Retry policy of the hosted responder: attempts, first wait (s), growth factor.
 RETRY_ATTEMPTS, RETRY_FIRST_WAIT, RETRY_FACTOR = 5, 10.0, 2.0

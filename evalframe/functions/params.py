@@ -20,6 +20,7 @@ from evalframe.constants import (
     LOCAL_SAMPLING_DEFAULTS,
 )
 
+_ABSENT = object()
 _FALSY = ("0", "0.0", "false", "False", "", "None")
 
 
@@ -102,11 +103,12 @@ def local_defaults(params: Column | str) -> Column:
     return fill_defaults(m, params_map(d))
 
 
-def gen_params_defaults(params: Column | str, backend: Column | str) -> Column:
-    """Per-backend normalisation then defaults (F5): ``api`` -> F3 + API
-    defaults, ``vllm`` -> F4 + batch defaults, otherwise local defaults."""
+def gen_params_defaults(params: Column | str, backend: Column | str, model: Column | None = None) -> Column:
+    """Per-backend normalisation then defaults (F5): ``api`` -> F3 + the model
+    and API defaults, ``vllm`` -> F4 + batch defaults, otherwise local
+    defaults."""
     m, b = _col(params), _col(backend)
-    return (F.when(b == "api", fill_defaults(gen_params_api(m), params_map(API_PARAM_DEFAULTS)))
+    return (F.when(b == "api", fill_defaults(gen_params_api(m), params_map({"model": model, **API_PARAM_DEFAULTS})))
             .when(b == "vllm", fill_defaults(gen_params_batch(m), params_map(BATCH_PARAM_DEFAULTS)))
             .otherwise(local_defaults(m)))
 
@@ -129,9 +131,23 @@ def left_truncate(tokens: Column | str, n: Column | str | int) -> Column:
     return F.when(nn.isNull() | (nn == 0), t).otherwise(F.slice(t, F.greatest(F.lit(1), F.size(t) - nn + 1), nn))
 
 
-def normalized_params(spark, params: Mapping[str, Any], backend: str) -> dict[str, str | None]:
-    """Normalise one run's parameters for its backend (F3-F5) with the same
-    expressions, evaluated once on a one-row frame: the result is
-    configuration (a handful of keys), not per-row data."""
-    row = spark.range(1).select(gen_params_defaults(params_map(params), F.lit(backend)).alias("p")).first()
-    return dict(row["p"])
+def normalized_params(params: Mapping[str, Any], backend: str, model: str | None = None) -> dict[str, Any]:
+    """One run's parameters for its backend (F3-F5) as typed values: numbers
+    and booleans reach the client as such.  Configuration, so plain Python;
+    the column forms above are the same rules for rows."""
+    out = dict(params)
+    long_name = {"api": "max_completion_tokens", "vllm": "max_tokens"}.get(backend)
+    if long_name and out.get("max_new_tokens"):
+        out[long_name] = out.pop("max_new_tokens")
+        out.pop("do_sample", None)
+        beams = out.pop("num_beams", None) if "num_beams" in out else _ABSENT
+        if backend == "vllm" and beams is not _ABSENT:
+            out["n"] = beams
+    if backend == "api":
+        defaults = {"model": model, **API_PARAM_DEFAULTS}
+    elif backend == "vllm":
+        defaults = dict(BATCH_PARAM_DEFAULTS)
+    else:
+        sampling = out.get("do_sample", LOCAL_PARAM_DEFAULTS["do_sample"])
+        defaults = {**LOCAL_PARAM_DEFAULTS, **{k: v if sampling else None for k, v in LOCAL_SAMPLING_DEFAULTS.items()}}
+    return {**defaults, **out}

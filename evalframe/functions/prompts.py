@@ -45,6 +45,36 @@ SYSTEM_TEXTS = {
 }
 
 
+# What differs for Japanese runs.
+JA_TEMPLATES = {
+    "generation": "対象: {object}\nこの対象から感じられる素材や表面の性質を述べてください。",
+    "selection": "対象: {object}\n選択肢: {choices}\n回答: ",
+    "yes_no": "語: {term}\nこの語は物の質感を表しますか。yes か no で答えてください。\n回答: ",
+    "a_b": "質感を表すのはどちらですか。\n{choices}\n回答: ",
+    "multi_choice": "質感を表すのはどれですか。 {choices}\n回答: ",
+}
+
+JA_SYSTEM_TEXTS = {
+    "selection": "対象に最も合う選択肢を選び、その番号だけを答えてください。",
+    "selection_random": "対象に最も合う選択肢を選び、その番号だけを答えてください。合うものがなければ -1 と答えてください。",
+    "generation": "対象から感じられる性質を表す語を挙げてください。",
+    "pair_rating": "対象と語の組み合わせがどれほど自然かを評価し、選択肢の番号だけを答えてください。",
+    "yes_no": "yes か no で答えてください。",
+    "a_b": "A か B だけで答えてください。",
+    "multi_choice": "選択肢の番号だけを答えてください。",
+}
+
+
+def templates(lang: str) -> dict[str, str]:
+    """Prompt templates of a language."""
+    return {**TEMPLATES, **(JA_TEMPLATES if lang == "ja" else {})}
+
+
+def system_texts(lang: str) -> dict[str, str]:
+    """Instruction texts of a language."""
+    return {**SYSTEM_TEXTS, **(JA_SYSTEM_TEXTS if lang == "ja" else {})}
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -56,7 +56,8 @@ def prepare_request(family: str, system: Column | str, few_shot: Column | str, t
     system, few_shot, text = _col(system), _col(few_shot), _col(text)
     imgs = _col(images) if images is not None else F.lit(None).cast("array<string>")
     error = D.placeholder_error(text, imgs) if vision else F.lit(False)
-    user_text = D.placeholder_strip(text) if placeholder == "strip" else text
+    # placeholders are taken out only where images are sent
+    user_text = F.when(imgs.isNotNull(), D.placeholder_strip(text)).otherwise(text) if placeholder == "strip" else text
     if placeholder == "fill":
         sent = F.coalesce(D.placeholder_fill(text, imgs), F.array().cast("array<string>"))
     elif vision:

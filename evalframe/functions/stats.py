@@ -25,9 +25,9 @@ def _col(c):
 
 
 def vote_mean_array(votes: Column | str) -> Column:
-    """Mean of the vote list (H3, array form)."""
+    """Mean of the vote list (H3, array form); null for an empty list."""
     v = _col(votes)
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(v)
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double")), F.size(v))
 
 
 def vote_std_array(votes: Column | str) -> Column:

@@ -61,7 +61,11 @@ def resolve_assets(items: DataFrame, manifest: DataFrame, id_col: str = "id", im
     """
     refs = explode_refs(items, id_col, images_col, base_dir, keep_empty=True)
     files = manifest.select(F.col("path").alias("_file")).distinct().withColumn("_exists", F.lit(True))
-    checked = refs.join(files, refs["path"] == files["_file"], "left")
+    # only paths that can be in the manifest take part in the join: the rows
+    # of items without images would all meet in the partition of null
+    local = refs.where(F.col("path").isNotNull() & ~is_url("path"))
+    others = refs.where(F.col("path").isNull() | is_url("path")).withColumn("_exists", F.lit(None).cast("boolean"))
+    checked = local.join(files, local["path"] == files["_file"], "left").drop("_file").unionByName(others)
     missing = F.col("path").isNotNull() & ~F.coalesce(F.col("_exists"), is_url("path"))
     grouped = checked.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("pos", "path")))).alias("_refs"),

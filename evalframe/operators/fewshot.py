@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.operators.joins import join_small
+from evalframe.operators.joins import unused_name
 
 FEW_SHOT_TYPE = "array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>"
 
@@ -15,24 +15,22 @@ FEW_SHOT_TYPE = "array<struct<ord:bigint,user:string,assistant:string,images:arr
 def few_shot_sets(examples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key with the examples in file order.
 
-    ``examples`` has ``ord`` (file position), ``user``, ``assistant`` and
-    optional ``images``.  ``collect_list`` order is not defined, so ``ord`` leads
+    ``examples`` has ``ord`` (position), ``user``, ``assistant`` and optional
+    ``images``; ``file`` and ``block`` (as ``read_few_shot`` gives them) come
+    before ``ord``.  ``collect_list`` order is not defined, so the place leads
     the struct and the array is sorted by it.  A few-shot set is a short list
     of prompt examples; each group is one such list.
     """
     if "images" not in examples.columns:
         examples = examples.withColumn("images", F.lit(None).cast("array<string>"))
-    ex = F.struct(F.col("ord").cast("bigint").alias("ord"), F.col("user").cast("string").alias("user"),
-                  F.col("assistant").cast("string").alias("assistant"), F.col("images"))
-    return examples.groupBy(*keys).agg(F.array_sort(F.collect_list(ex)).alias("few_shot"))
-
-
-def few_shot_bytes(copies: int = 1):
-    """Bytes of one few-shot set row (for the broadcast bound); ``copies``
-    counts the texts again for each derived column carrying them."""
-    return F.aggregate(F.col("few_shot"), F.lit(0).cast("long"),
-                       lambda acc, x: acc + F.coalesce(F.octet_length(x["user"]), F.lit(0))
-                       + F.coalesce(F.octet_length(x["assistant"]), F.lit(0)) + F.lit(16)) * F.lit(copies)
+    place = [c for c in ("file", "block") if c in examples.columns]
+    fields = [F.col("ord").cast("bigint").alias("ord"), F.col("user").cast("string").alias("user"),
+              F.col("assistant").cast("string").alias("assistant"), F.col("images")]
+    sets = examples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*place, *fields))).alias("few_shot"))
+    if place:
+        sets = sets.withColumn("few_shot", F.transform("few_shot", lambda x: F.struct(
+            *[x[c].alias(c) for c in ("ord", "user", "assistant", "images")])))
+    return sets
 
 
 def with_messages(sets: DataFrame, typed: bool) -> DataFrame:
@@ -44,25 +42,23 @@ def with_messages(sets: DataFrame, typed: bool) -> DataFrame:
     return sets.withColumn("few_shot_messages", few_shot_messages("few_shot", typed))
 
 
-def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], max_rows: int = 100_000,
-                    require_broadcast: bool = False) -> DataFrame:
+def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
     """Attach each item's few-shot list (J3); items without one get ``[]``.
 
-    The set frame is broadcast only when its row count and byte size are
-    proven small; otherwise the planner shuffles both sides on the keys.
-    ``require_broadcast=True`` raises instead of falling back: use it when
-    every item shares one key (one few-shot list per run), where the
-    fallback would be a join on a single hot key.
+    A plain left join whatever the sizes: AQE broadcasts the set side if its
+    measured size allows, else both sides are shuffled on the keys.  With few
+    keys shared by all items, ``salts`` deals the items of a key over that
+    many partitions (each set is repeated that often, so use it only where the
+    sets are few).
     """
-    from evalframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, fits_broadcast
-
-    size = few_shot_bytes(2 if "few_shot_messages" in sets.columns else 1)
-    if require_broadcast:
-        if not fits_broadcast(sets, max_rows, DEFAULT_MAX_BROADCAST_BYTES, size):
-            raise ValueError("few-shot sets too large to attach to every item")
-        joined = items.join(F.broadcast(sets), list(keys), "left")
+    on = list(keys)
+    if salts > 1:
+        salt = unused_name("_salt", [*items.columns, *sets.columns])
+        items = items.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        sets = sets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = items.join(sets, [*on, salt], "left").drop(salt)
     else:
-        joined = join_small(items, sets, list(keys), "left", max_rows=max_rows, size_expr=size)
+        joined = items.join(sets, on, "left")
     filled = {"few_shot": F.coalesce(F.col("few_shot"), F.array().cast(FEW_SHOT_TYPE))}
     if "few_shot_messages" in sets.columns:
         msg_type = sets.schema["few_shot_messages"].dataType.simpleString()

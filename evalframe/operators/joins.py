@@ -1,42 +1,13 @@
-"""Join helpers with an explicit, checked broadcast decision."""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                   max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, size_expr: Column | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and, if ``size_expr``
-    (bytes per row) is given, at most ``max_bytes`` in total.
-
-    The check reads at most ``max_rows + 1`` rows of the small side; the
-    answer is a proven bound, not an estimate.
-    """
-    probe = df.limit(max_rows + 1)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if size_expr is not None:
-        aggs.append(F.coalesce(F.sum(size_expr), F.lit(0)).alias("b"))
-    row = probe.agg(*aggs).collect()[0]
-    if row["n"] > max_rows:
-        return False
-    return size_expr is None or row["b"] <= max_bytes
-
-
-def join_small(left: DataFrame, right: DataFrame, on: Sequence[str] | str | Column, how: str = "inner",
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-               size_expr: Column | None = None) -> DataFrame:
-    """Join, broadcasting ``right`` only when its size is proven small.
-
-    Beyond the bound the join is left to the planner (shuffle / sort-merge,
-    with AQE's skew handling), so the plan holds when the "small" side grows.
-    """
-    if fits_broadcast(right, max_rows, max_bytes, size_expr):
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+def unused_name(base: str, taken: Iterable[str]) -> str:
+    """``base``, with underscores added until no column in ``taken`` has it."""
+    names = {c.lower() for c in taken}
+    while base.lower() in names:
+        base += "_"
+    return base

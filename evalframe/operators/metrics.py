@@ -25,17 +25,30 @@ def accuracy_expr(gold: Column | str, pred: Column | str) -> Column:
     return F.avg(F.when(g == p, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, row count and invalid-answer count per group (H1 / H2).
+def _counted(df: DataFrame, error: str | None) -> tuple[Column, list[Column]]:
+    """Which rows are scored, and the count of those that are not: a row whose
+    call failed has no answer that could be wrong."""
+    if error is None:
+        return F.lit(True), []
+    return F.col(error).isNull(), [F.count(error).alias("n_error")]
+
+
+def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred", by: Sequence[str] = (),
+             error: str | None = None) -> DataFrame:
+    """Accuracy, row count and invalid-answer count per group (H1 / H2); with
+    an ``error`` column, failed rows are counted apart as ``n_error``.
 
     ``by=()`` gives one row over the whole frame; ``by=RUN_KEYS`` gives the
     per-sub_subtask scores of one pass (the harness re-filtered all rows once
     per sub_subtask).
     """
+    ok, failed = _counted(df, error)
+    hit = F.when(ok, F.when(F.col(gold) == F.col(pred), 1.0).otherwise(0.0))
     aggs = [
-        accuracy_expr(gold, pred).alias("accuracy"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when(F.col(pred) == F.lit(INVALID_CODE), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n_invalid"),
+        F.avg(hit).alias("accuracy"),
+        F.count(F.when(ok, 1)).alias("n_rows"),
+        F.sum(F.when(ok & (F.col(pred) == F.lit(INVALID_CODE)), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n_invalid"),
+        *failed,
     ]
     return df.groupBy(*by).agg(*aggs)
 
@@ -62,19 +75,19 @@ def with_distance(df: DataFrame, gold: str = "gold", pred: str = "pred", out: st
 
 
 def distance_scores(df: DataFrame, gold: str = "gold", pred: str = "pred", distance: str = "distribution_distance",
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), error: str | None = None) -> DataFrame:
     """Accuracy and average distance in one aggregate (H1 + H8).
 
     ``avg`` skips null distances (invalid predictions); ``n_distance`` says how
     many rows the average covers.  The harness raised instead (defect R2).
     """
-    return df.groupBy(*by).agg(
-        accuracy_expr(gold, pred).alias("accuracy"),
-        F.avg(distance).alias("average_distance"),
-        F.count(distance).alias("n_distance"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when(F.col(pred) == F.lit(INVALID_CODE), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n_invalid"),
-    )
+    ok, failed = _counted(df, error)
+    kept = F.when(ok, F.col(distance))
+    aggs = [F.avg(F.when(ok, F.when(F.col(gold) == F.col(pred), 1.0).otherwise(0.0))).alias("accuracy"),
+            F.avg(kept).alias("average_distance"), F.count(kept).alias("n_distance"),
+            F.count(F.when(ok, 1)).alias("n_rows"),
+            F.sum(F.when(ok & (F.col(pred) == F.lit(INVALID_CODE)), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n_invalid")]
+    return df.groupBy(*by).agg(*aggs, *failed)
 
 
 def score_rows(scores: DataFrame, **tags: str | None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The model call as a Spark job (F1) with per-row retry (F2).
+"""The model call as a Spark job (F1) with retries (F2).
 
 ``respond`` runs a pluggable responder over partitions with ``mapInPandas``:
 the responder is built once per task (model weights / client set up once),
@@ -13,8 +13,10 @@ A responder is any object with
 where each request has ``prompt`` (text or rendered chat string), ``messages``
 (optional), ``images`` (optional), ``gen_params`` (optional, normalised for
 the backend) and ``row`` (the input row as a dict).
-Raise ``NotFoundError`` for a permanent failure (no retry) and any other
-exception for a transient one.  Optional class attributes: ``input_columns``
+Raise ``NotFoundError`` if the model does not exist, and one of ``retryable``
+(connection, timeout, ``RetryableError``) for a failure that may pass.  A
+factory that closes over its configuration can carry a ``responder_id``, by
+which workers may reuse what it built.  Optional class attributes: ``input_columns``
 (row columns it reads; default all) and ``wants_messages`` (default True).
 Pipelines send only those columns to Python, so wide or nested item columns
 stay in the JVM.
@@ -22,12 +24,15 @@ stay in the JVM.
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe.constants import RETRY_ATTEMPTS, RETRY_FACTOR, RETRY_FIRST_WAIT
@@ -37,6 +42,13 @@ class NotFoundError(Exception):
     """Permanent failure: the model or resource does not exist."""
 
 
+class RetryableError(Exception):
+    """A failure that may pass: rate limits, overload, a status to be retried."""
+
+
+RETRYABLE = (RetryableError, ConnectionError, TimeoutError)
+
+
 class ReplayResponder:
     """Answers with a recorded response column (re-scoring past runs, tests)."""
 
@@ -51,6 +63,26 @@ class ReplayResponder:
         return [r["row"][self.column] for r in requests]
 
 
+class DigestResponder:
+    """Answers with the MD5 of what it was sent, written as
+    ``role[type=value,...]|...``: shows that a request holds what it should."""
+
+    input_columns = ()
+    wants_messages = True
+    reuse_across_tasks = True
+
+    def respond(self, requests: list[dict]) -> list[str]:
+        return [hashlib.md5(self.written(r["messages"]).encode()).hexdigest() for r in requests]
+
+    @staticmethod
+    def written(messages: Any) -> str:
+        def parts(content: Any) -> str:
+            if content is None or isinstance(content, str):
+                return f"text={content or ''}"
+            return ",".join(f"{p['type']}={p['text'] if p['text'] is not None else p['image']}" for p in content)
+        return "|".join(f"{m['role']}[{parts(m['content'])}]" for m in messages)
+
+
 class EchoChoiceResponder:
     """Deterministic stand-in model: answers with the first option id found
     in the prompt's ``Options:`` line, else ``yes``."""
@@ -70,34 +102,68 @@ class EchoChoiceResponder:
 _WORKER_RESPONDERS: dict[str, Any] = {}
 
 
-def _worker_responder(make_responder: Callable[[], Any]) -> Any:
-    """One responder per Python worker process and factory."""
-    key = f"{getattr(make_responder, '__module__', '')}.{getattr(make_responder, '__qualname__', repr(make_responder))}"
+def _worker_responder(key: str, make_responder: Callable[[], Any]) -> Any:
+    """One responder per Python worker process and key."""
     if key not in _WORKER_RESPONDERS:
         _WORKER_RESPONDERS[key] = make_responder()
     return _WORKER_RESPONDERS[key]
 
 
+def responder_key(make_responder: Callable[[], Any]) -> str:
+    """What a worker's responder may be reused for: the ``responder_id`` that
+    comes with the factory, the class itself, or else this call alone (two
+    closures of one function may build different clients)."""
+    given = getattr(make_responder, "responder_id", None)
+    if given is not None:
+        return f"id:{given}"
+    if isinstance(make_responder, type):
+        return f"class:{make_responder.__module__}.{make_responder.__qualname__}"
+    return f"call:{uuid.uuid4().hex}"
+
+
 def retry_waits(attempts: int, first_wait: float = RETRY_FIRST_WAIT, factor: float = RETRY_FACTOR) -> list[float]:
     """Waits between ``attempts`` consecutive failed attempts (none after the last)."""
     return [first_wait * factor ** i for i in range(max(attempts - 1, 0))]
 
 
-def _call_with_retry(responder: Any, req: dict, max_attempts: int, first_wait: float, factor: float,
-                     sleep: Callable[[float], None]) -> tuple[str | None, int, str | None, float]:
+def retry_wait_schedule(attempts: Column, first_wait: float = RETRY_FIRST_WAIT, factor: float = RETRY_FACTOR) -> Column:
+    """The same waits for a column of attempts, as an array."""
+    before = F.sequence(F.lit(0), F.greatest(attempts.cast("int") - 2, F.lit(0)))
+    waits = F.transform(before, lambda i: F.lit(first_wait) * F.pow(F.lit(factor), i))
+    return F.when(attempts >= 2, waits).otherwise(F.array().cast("array<double>"))
+
+
+def _answers(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float, factor: float,
+             sleep: Callable[[float], None], retryable: tuple) -> list[tuple[str | None, int, str | None, float]]:
+    """(answer, attempts, error, waited) of each request.
+
+    The whole list is sent again after a retryable failure, with growing
+    waits; when attempts run out all of it failed (an outage is waited for
+    once, not once a row).  Any other failure is not repeated: the list is
+    halved until the requests that cause it stand alone.
+    """
     waited = 0.0
     for i in range(max_attempts):
         try:
-            return responder.respond([req])[0], i + 1, None, waited
+            got = responder.respond(reqs)
+            if len(got) != len(reqs):
+                raise ValueError(f"{len(got)} answers to {len(reqs)} requests")
+            return [(a, i + 1, None, waited) for a in got]
         except NotFoundError as e:
-            return None, i + 1, f"not_found: {e}", waited
-        except Exception as e:  # noqa: BLE001 - any transient failure is retried
+            return [(None, i + 1, f"not_found: {e}", waited)] * len(reqs)
+        except retryable as e:
             if i == max_attempts - 1:
-                return None, i + 1, f"exhausted: {type(e).__name__}: {e}", waited
+                return [(None, i + 1, f"exhausted: {type(e).__name__}: {e}", waited)] * len(reqs)
             w = first_wait * factor ** i
             sleep(w)
             waited += w
-    return None, max_attempts, "exhausted", waited
+        except Exception as e:  # noqa: BLE001 - becomes an error row
+            if len(reqs) == 1:
+                return [(None, i + 1, f"failed: {type(e).__name__}: {e}", waited)]
+            half = len(reqs) // 2
+            return [r for part in (reqs[:half], reqs[half:])
+                    for r in _answers(responder, part, max_attempts, first_wait, factor, sleep, retryable)]
+    return []
 
 
 def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str = "prompt",
@@ -106,12 +172,13 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
             partitions: int | None = None, skip_col: str | None = None,
             batch_size: int | None = None, params_col: str | None = None,
-            gen_params: dict[str, Any] | None = None) -> DataFrame:
+            gen_params: dict[str, Any] | None = None, retryable: Sequence[type] = RETRYABLE) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
-    ``batch=True`` first sends a whole Arrow batch to the responder; if that
-    call fails, the rows of that batch fall back to the per-row retry loop
-    (F2).  Columns in ``pass_columns`` (default: all) are visible to the
+    ``batch=True`` sends a whole Arrow batch to the responder, ``batch=False``
+    each row alone; a failure of a class in ``retryable`` repeats the call
+    with growing waits, any other is narrowed down to the rows that cause it
+    (F2, ``_answers``).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
 
     Model calls dominate the cost of this stage, and their cost is per row,
@@ -119,9 +186,9 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     reads) is spread round-robin over ``partitions`` tasks -- by default
     ``spark.sql.shuffle.partitions``, the knob a cluster sizes to its data
     (``session.CLUSTER_CONF``).  Round-robin gives every task an even share
-    whatever the input layout or key skew; pass ``partitions`` sized to the
-    item count (e.g. items / 1000) so a retried task redoes few calls, or
-    ``partitions=0`` to keep the input partitioning.  A responder class with
+    whatever the input layout or key skew; AQE does not merge them.  Pass
+    ``partitions`` sized to the item count (e.g. items / 1000) so a retried
+    task redoes few calls, or ``partitions=0`` to keep the input partitioning.  A responder class with
     ``reuse_across_tasks = True`` is built once per Python worker process
     (workers are reused across tasks), so model weights load once per worker
     rather than once per task.
@@ -137,7 +204,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if partitions:
         df = df.repartition(partitions)
-    reuse = bool(getattr(make_responder, "reuse_across_tasks", False))
+    reuse, key = bool(getattr(make_responder, "reuse_across_tasks", False)), responder_key(make_responder)
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(out_col, T.StringType(), True),
         T.StructField("attempts", T.IntegerType(), False),
@@ -147,7 +214,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     visible = list(pass_columns) if pass_columns is not None else list(df.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        responder = _worker_responder(make_responder) if reuse else make_responder()
+        responder = _worker_responder(key, make_responder) if reuse else make_responder()
         for pdf in batches:
             n = len(pdf)
             rows = pdf[visible].to_dict("records") if visible else [{}] * n
@@ -167,23 +234,12 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             attempts = [0] * n
             waited = [0.0] * n
             errors: list = ["placeholder_mismatch" if s else None for s in skip]
-            step = batch_size or max(len(live), 1)
+            step = (batch_size or max(len(live), 1)) if batch else 1
             for lo in range(0, len(live), step):
                 chunk = live[lo:lo + step]
-                done = False
-                if batch:
-                    try:
-                        got = responder.respond([all_reqs[j] for j in chunk])
-                        if len(got) == len(chunk):
-                            for j, a in zip(chunk, got):
-                                answers[j], attempts[j] = a, 1
-                            done = True
-                    except Exception:  # noqa: BLE001 - fall back to per-row retry
-                        done = False
-                if not done:
-                    for j in chunk:
-                        answers[j], attempts[j], errors[j], waited[j] = _call_with_retry(
-                            responder, all_reqs[j], max_attempts, first_wait, factor, sleep)
+                got = _answers(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
+                for j, found in zip(chunk, got):
+                    answers[j], attempts[j], errors[j], waited[j] = found
             yield pdf.assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
                                 "attempts": pd.Series(attempts, index=pdf.index, dtype="int32"),
                                 "waited_s": pd.Series(waited, index=pdf.index, dtype="float64"),

@@ -69,22 +69,21 @@ def run_matrix(requests: DataFrame, tasks_col: str = "tasks", sub_tasks_col: str
 def resolve_runs(requests: DataFrame, reg: DataFrame, keys: Sequence[str] = ("lang", "task", "sub_task")) -> tuple[DataFrame, DataFrame]:
     """Look up each request in the registry.
 
-    Returns ``(resolved, missing)``: the equi-join with the registry (broadcast:
-    the registry's size is fixed by configuration) and the requests without a
-    registry entry (``left_anti``).  Check ``missing`` before running anything;
+    Returns ``(resolved, missing)``: the equi-join with the registry (AQE
+    broadcasts it by its measured size) and the requests without a registry
+    entry (``left_anti``).  Check ``missing`` before running anything;
     the harness only failed midway.
     """
-    r = F.broadcast(reg)
-    resolved = requests.join(r, list(keys), "inner")
-    missing = requests.join(r.select(*keys).distinct(), list(keys), "left_anti")
+    resolved = requests.join(reg, list(keys), "inner")
+    missing = requests.join(reg.select(*keys).distinct(), list(keys), "left_anti")
     return resolved, missing
 
 
 def require_all_resolved(missing: DataFrame) -> None:
-    """Raise listing (a sample of) the unresolvable requests."""
-    sample = missing.limit(20).collect()
-    if sample:
-        raise ValueError(f"unknown task combinations: {[tuple(r) for r in sample]}")
+    """Raise listing the unresolvable requests (the request bounds their number)."""
+    unknown = sorted(missing.distinct().collect())
+    if unknown:
+        raise ValueError(f"unknown task combinations: {[tuple(r) for r in unknown]}")
 
 
 def union_sub_subtasks(frames: Mapping[str, DataFrame]) -> DataFrame:

@@ -27,15 +27,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalframe.functions import prompts as C
+from evalframe.functions.routing import route_model
+from evalframe.operators import assets as AS
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
 from evalframe.plans import task_plans as PL
 from evalframe.schemas import ITEM_SCHEMAS
+from evalframe.session import apply_required_conf
 from evalframe.sinks import writers as W
 from evalframe.sources import readers as RD
 
 SCORE_COLUMNS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name", "accuracy",
-                 "average_distance", "n_distance", "n_rows", "n_invalid")
+                 "average_distance", "n_distance", "n_rows", "n_invalid", "n_error")
+
+# Partitions that the items of one few-shot list are dealt over.
+FEW_SHOT_SALTS = 64
 
 
 def _read_items(spark: SparkSession, path: str, schema: T.StructType, rename: Mapping[str, str] | None) -> DataFrame:
@@ -65,16 +72,37 @@ def _export(spark: SparkSession, results_root: str, out: str, combos: list, mode
         W.export_jsonl(mine, out, family)
 
 
+def _require_images(spark: SparkSession, items: DataFrame, image_dir: str) -> None:
+    """Every image of items and examples is listed under ``image_dir`` (E3);
+    URLs are not probed."""
+    shots = F.flatten(F.transform("few_shot", lambda x: F.coalesce(x["images"], F.array().cast("array<string>"))))
+    named = F.array_distinct(F.concat(F.coalesce("image", F.array().cast("array<string>")), shots))
+    refs = AS.explode_refs(items.select(F.lit(0).alias("item"), named.alias("images")), "item", "images", image_dir)
+    missing = AS.missing_assets(refs.select("path").distinct(), AS.read_assets(spark, image_dir, with_content=False))
+    n, example = missing.agg(F.count("path"), F.min("path")).first()
+    if n:
+        raise FileNotFoundError(f"{n} image files are missing, such as {example}")
+
+
 def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str], lang: str, model_type: str,
              model_name: str, make_responder: Callable[[], Any], save_dir: str, data_root: str = "data",
-             registry_rows: Sequence[tuple] | None = None, family: str | None = None, image_dir: str | None = None,
+             registry_rows: Sequence[tuple] | None = None, family: str | None = "route", image_dir: str | None = None,
              sub_subtasks: Sequence[str] | None = None, rename: Mapping[str, str] | None = None,
              strict: bool = False, max_parallel: int = 1, resume: bool = False,
-             export_jsonl: bool = False) -> DataFrame | None:
+             export_jsonl: bool = False, system_texts: Mapping[tuple[str, str], Mapping[str, str]] | None = None,
+             templates: Mapping[tuple[str, str], Mapping[str, str]] | None = None,
+             check_images: bool = True) -> DataFrame | None:
     """Run every requested (task, sub_task) for one model and language.
 
     Returns the score rows of the scored combinations (generation has none),
     read back from ``{save_dir}/scores``; ``None`` if only generation ran.
+    The model's request family is routed from its name (an unsupported model
+    raises) unless ``family`` names one; ``None`` is no family's profile.  Runs
+    are tagged with the model's base name.  ``system_texts`` and ``templates``
+    give instruction texts and prompt templates by ``(task, lang)``; names that
+    are not given keep the defaults of that language.  With an
+    ``image_dir``, image files that items or examples name and that are not
+    there fail a run before the model is called (unless ``check_images`` is off).
     ``max_parallel > 1`` runs that many combinations concurrently.
     ``export_jsonl=True`` also writes each run's result rows to
     ``{save_dir}/jsonl`` as JSON Lines with the task family's answer-column
@@ -83,6 +111,15 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
     combinations one after another, since appends to one table from
     concurrent jobs are not isolated the way partition overwrites are.
     """
+    apply_required_conf(spark)
+    if family == "route":
+        family, base_name = spark.range(1).select(route_model(F.lit(model_name), F.lit(model_type)),
+                                                  C.model_basename(F.lit(model_name))).first()
+        if family is None:
+            raise ValueError(f"model {model_name!r} is not supported for {model_type}")
+    else:
+        base_name = spark.range(1).select(C.model_basename(F.lit(model_name))).first()[0]
+    model_name = base_name
     if resume and max_parallel > 1:
         raise ValueError("resume appends to the result table: use max_parallel=1")
     reg = R.registry(spark, registry_rows, data_root)
@@ -114,21 +151,25 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
         sets = FS.few_shot_sets(examples, ["_fs_key"])
         if family is None:   # a family profile assembles its own messages
             sets = FS.with_messages(sets, typed=sub_task in ("selection", "multiple_choice_classification", "generation"))
-        # one few-shot list per sub_subtask, shared by all its items: broadcast or fail
-        items = FS.attach_few_shot(items, sets, ["_fs_key"], require_broadcast=True).drop("_fs_key")
+        # one few-shot list per sub_subtask, shared by all its items: a few hot keys
+        items = FS.attach_few_shot(items, sets, ["_fs_key"], salts=FEW_SHOT_SALTS).drop("_fs_key")
+        if image_dir and check_images and "image" in items.columns:
+            _require_images(spark, items, image_dir)
         gp = rows[0]["gen_params"].asDict() if rows[0]["gen_params"] is not None else None
         run = PL.Run(task=task, sub_task=sub_task, lang=lg, model_type=model_type, model_name=model_name,
-                     family=family, gen_params=gp, image_dir=image_dir)
+                     family=family, gen_params=gp, image_dir=image_dir,
+                     system_texts=C.system_texts(lg) | dict((system_texts or {}).get((task, lg), {})),
+                     templates=C.templates(lg) | dict((templates or {}).get((task, lg), {})))
         keep = [f.name for f in schema.fields] + ["sub_subtask"]
-        common = dict(results_root=results_root, keep=keep, resume=resume,
-                      resume_keys=["sub_subtask", schema.fields[0].name])
+        # an item is known by all its columns: ids may be null or shared
+        common = dict(results_root=results_root, keep=keep, resume=resume, resume_keys=keep)
         if sub_task == "generation":
             PL.eval_generation(spark, items, run, make_responder, with_images=(task == "perception"), **common)
             return None
         if sub_task == "selection":
-            out = PL.eval_selection(spark, items, run, make_responder, **common)
+            out = PL.eval_selection(spark, items, run, make_responder, sub_subtasks=sub_subtasks, **common)
         elif sub_task == "multiple_choice_classification":
-            out = PL.eval_selection(spark, items, run, make_responder, multi_choice=True, **common)
+            out = PL.eval_selection(spark, items, run, make_responder, multi_choice=True, sub_subtasks=sub_subtasks, **common)
         elif sub_task == "classification":
             votes = "naturalness_by_worker" if lg == "ja" else None
             out = PL.eval_pair_rating(spark, items, run, make_responder, votes_col=votes, **common)
@@ -164,4 +205,6 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
     mine = F.lit(False)
     for lg, task, sub_task in by_combo:
         mine = mine | ((F.col("lang") == lg) & (F.col("task") == task) & (F.col("sub_task") == sub_task))
+    if sub_subtasks is not None:
+        mine = mine & (F.col("sub_subtask").isNull() | F.col("sub_subtask").isin(list(sub_subtasks)))
     return back.where(mine & (F.col("model_type") == model_type) & (F.col("model_name") == model_name))

@@ -177,6 +177,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
+def few_shot_id(spark: SparkSession, sf_dir: str, id_: Column) -> Column:
+    """The conversation whose turns are an item's few-shot examples: items are
+    dealt over all conversations."""
+    last = table(spark, sf_dir, "conversations").agg(F.max("conv_id").alias("m")).first()["m"]
+    return F.pmod(id_, F.lit((last or 0) + 1))
+
+
 def few_shot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn answered by the next (assistant) turn is one example.
 

@@ -83,7 +83,7 @@ conv_items AS (
          count(f.ord) AS n_shots,
          coalesce(string_agg('user[text=' || f."user" || ']|assistant[text=' || f.assistant || ']', '|' ORDER BY f.ord), '') AS shots,
          coalesce(string_agg(f."user" || chr(10) || f.assistant || chr(10) || chr(10), '' ORDER BY f.ord), '') AS flat_shots
-  FROM choice_items i LEFT JOIN few_shot_pairs f ON f.fs_id = i.id % 1000
+  FROM choice_items i LEFT JOIN few_shot_pairs f ON f.fs_id = i.id % (SELECT max(conv_id) + 1 FROM conversations)
   GROUP BY i.id, i.sub_subtask, i.object, i.all_ids_with_term)"""
 
 

@@ -154,19 +154,19 @@ def _fill_sql(lst: str, defaults: str) -> str:
 
 _SAMPLING = f"CASE WHEN has_ds THEN {_truthy_sql('ds')} ELSE true END"
 _LOCAL_DEFAULTS_SQL = (f"[{{'k': 'max_new_tokens', 'v': '1024'}}, {{'k': 'do_sample', 'v': 'true'}}, {{'k': 'num_beams', 'v': '1'}}, "
-                       f"{{'k': 'temperature', 'v': CASE WHEN {_SAMPLING} THEN '0.05' END}}, "
+                       f"{{'k': 'use_cache', 'v': 'true'}}, {{'k': 'temperature', 'v': CASE WHEN {_SAMPLING} THEN '0.05' END}}, "
                        f"{{'k': 'top_p', 'v': CASE WHEN {_SAMPLING} THEN '1.0' END}}]")
 
 
 @register("gen_params_defaults", O.with_(_PARAM_SQL) + f"""
 SELECT id, backend,
-       CASE backend WHEN 'api' THEN {_text_sql(_fill_sql('(' + _API_SQL + ')', _defaults_list_sql(API_PARAM_DEFAULTS)))}
+       CASE backend WHEN 'api' THEN {_text_sql(_fill_sql('(' + _API_SQL + ')', _defaults_list_sql({'model': 'replay-model', **API_PARAM_DEFAULTS})))}
                     WHEN 'vllm' THEN {_text_sql(_fill_sql('(' + _BATCH_SQL + ')', _defaults_list_sql(BATCH_PARAM_DEFAULTS)))}
                     ELSE {_text_sql(_fill_sql('e', _LOCAL_DEFAULTS_SQL))} END AS params
 FROM param_flags""")
 def gen_params_defaults(spark: SparkSession, sf: str) -> DataFrame:
     pr = param_rows(spark, sf)
-    return pr.select("id", "backend", G.params_text(G.gen_params_defaults("params", "backend")).alias("params"))
+    return pr.select("id", "backend", G.params_text(G.gen_params_defaults("params", "backend", F.lit("replay-model"))).alias("params"))
 
 
 @register("left_truncate", """

@@ -138,14 +138,14 @@ def few_shot_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items_with_few_shot(spark: SparkSession, sf: str) -> DataFrame:
-    items = fx.choice_responses(spark, sf).withColumn("fs_id", F.col("id") % 1000)
+    items = fx.choice_responses(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id")))
     sets = FS.few_shot_sets(fx.few_shot_pairs(spark, sf), ["fs_id"])
     return FS.attach_few_shot(items, sets, ["fs_id"])
 
 
 @register("attach_few_shot", O.with_(O.CHOICE_ITEMS, O.FEW_SHOT_PAIRS) + """
 SELECT i.id, CAST(count(f.ord) AS BIGINT) AS n_shots, coalesce(min(f.ord), -1) AS first_ord
-FROM choice_items i LEFT JOIN few_shot_pairs f ON f.fs_id = i.id % 1000
+FROM choice_items i LEFT JOIN few_shot_pairs f ON f.fs_id = i.id % (SELECT max(conv_id) + 1 FROM conversations)
 GROUP BY i.id""")
 def attach_few_shot(spark: SparkSession, sf: str) -> DataFrame:
     it = items_with_few_shot(spark, sf)

@@ -187,7 +187,7 @@ def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.pair_rating_items(spark, sf).select(
         "id", P.code_int(P.extract_choice("recorded_response")).alias("pred"))
     vs = vote_stats(spark, sf).withColumnRenamed("item", "id")
-    joined = items.join(vs, "id").withColumn("gold", F.col("vote_max"))
+    joined = items.join(vs, "id", "left").withColumn("gold", F.col("vote_max"))
     return M.with_distance(joined)
 
 
@@ -195,7 +195,7 @@ _PAIR_DISTANCE_SQL = f"""
 pair_scored AS (
   SELECT p.id, {O.code_int_sql(O.extract_sql('p.recorded_response'))} AS pred, v.vote_max AS gold,
          v.vote_mean, v.vote_sd, v.unanimous
-  FROM pair_items p JOIN vote_stats v ON p.id = v.item),
+  FROM pair_items p LEFT JOIN vote_stats v ON p.id = v.item),
 pair_distance AS (
   SELECT *, {O.distance_sql('gold', 'pred', 'vote_mean', 'vote_sd', 'unanimous')} AS distribution_distance
   FROM pair_scored)"""

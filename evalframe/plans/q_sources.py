@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from evalframe.functions import parsing as P
 from evalframe.functions import prompts as C
+from evalframe.operators import fewshot as FS
 from evalframe.operators import metrics as M
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
@@ -73,18 +74,32 @@ def read_dataset(spark: SparkSession, sf: str) -> DataFrame:
 def read_json_array(spark: SparkSession, sf: str) -> DataFrame:
     """A2: JSON documents each holding an array of records.
 
-    The table is written as many documents of at most 1000 records (one per
-    file, grouped by ``id div 1000``), so neither the writer nor the reader
-    ever holds more than one bounded document per task.
+    Every task writes its records as one document per file (records of about
+    1000 ids each, one line a document, spread over the tasks), read back by
+    the reader itself: a file of several documents is one task's input.
     """
     path = scratch_dir(spark, "json-array") + "/items.json"
     items = fx.choice_items(spark, sf).select(*[f.name for f in CHOICE_FILE_SCHEMA.fields])
     docs = items.groupBy(F.floor(F.col("id") / 1000).alias("chunk")).agg(
         F.to_json(F.collect_list(F.struct(*[f.name for f in CHOICE_FILE_SCHEMA.fields]))).alias("value"))
-    docs.write.mode("overwrite").partitionBy("chunk").text(path)
-    back = (spark.read.schema(CHOICE_FILE_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST")
-            .option("recursiveFileLookup", "true").json(path))
-    return _choice_out(back)
+    docs.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return _choice_out(R.read_json_array(spark, path, CHOICE_FILE_SCHEMA))
+
+
+@register("read_few_shot", O.with_(O.FEW_SHOT_PAIRS) + """
+SELECT fs_id, count(*) AS n, md5(string_agg("user" || chr(10) || assistant, chr(9) ORDER BY ord)) AS digest
+FROM few_shot_pairs GROUP BY fs_id""")
+def read_few_shot(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 on files: examples written as JSON Lines, a conversation's lines
+    together and in order, come back as one list a conversation."""
+    path = scratch_dir(spark, "few-shot") + "/few_shot.jsonl"
+    pairs = fx.few_shot_pairs(spark, sf).repartition("fs_id").sortWithinPartitions("fs_id", "ord")
+    W.write_jsonl(pairs.select(F.concat_ws("\n", F.col("fs_id").cast("string"), "user").alias("user"), "assistant", "images"), path)
+    back = R.read_few_shot(spark, path)
+    sets = FS.few_shot_sets(back.withColumn("fs_id", F.substring_index("user", "\n", 1).cast("long")), ["fs_id"])
+    text = F.transform("few_shot", lambda x: F.concat(
+        F.substring(x["user"], F.length(F.col("fs_id").cast("string")) + 2, F.length(x["user"])), F.lit("\n"), x["assistant"]))
+    return sets.select("fs_id", F.size("few_shot").cast("long").alias("n"), F.md5(F.array_join(text, "\t")).alias("digest"))
 
 
 _DOC_SQL = f"""
@@ -104,7 +119,7 @@ def read_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A3: multi-line quoted text, pandas missing-value spellings -> null."""
     path = scratch_dir(spark, "csv") + "/docs.csv"
     W.write_delimited(_docs(spark, sf), path, ",")
-    return R.read_dataset(spark, path, DOC_FILE_SCHEMA)
+    return R.read_dataset(spark, path, DOC_FILE_SCHEMA, multi_line=True)
 
 
 @register("read_tsv", _DOC_SQL)
@@ -112,7 +127,7 @@ def read_tsv(spark: SparkSession, sf: str) -> DataFrame:
     """A4: tab-separated."""
     path = scratch_dir(spark, "tsv") + "/docs.tsv"
     W.write_delimited(_docs(spark, sf), path, "\t")
-    return R.read_dataset(spark, path, DOC_FILE_SCHEMA)
+    return R.read_dataset(spark, path, DOC_FILE_SCHEMA, multi_line=True)
 
 
 @register("convert_to_jsonl", _DOC_SQL)
@@ -120,7 +135,7 @@ def convert_to_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """CSV -> JSON Lines, read back."""
     d = scratch_dir(spark, "convert")
     W.write_delimited(_docs(spark, sf), d + "/docs.csv", ",")
-    W.convert_to_jsonl(spark, d + "/docs.csv", DOC_FILE_SCHEMA, d + "/docs.jsonl")
+    W.convert_to_jsonl(spark, d + "/docs.csv", DOC_FILE_SCHEMA, d + "/docs.jsonl", multi_line=True)
     return R.read_jsonl(spark, d + "/docs.jsonl", DOC_FILE_SCHEMA)
 
 

@@ -23,7 +23,6 @@ ITEM_SCHEMA = T.StructType([
     T.StructField("all_ids_with_term", T.ArrayType(T.StringType())), T.StructField("recorded_response", T.StringType()),
 ])
 RUN = {"task": "perception", "sub_task": "selection", "lang": "en", "model_type": "api", "model_name": "replay-model"}
-N_FILES = 4
 
 
 @register("stream_respond", O.with_(O.CHOICE_ITEMS) + f"""
@@ -32,13 +31,13 @@ FROM choice_responses""")
 def stream_respond(spark: SparkSession, sf: str) -> DataFrame:
     d = scratch_dir(spark, "stream-respond")
     items = fx.choice_responses(spark, sf).select(*[f.name for f in ITEM_SCHEMA.fields])
-    W.write_jsonl(items.repartition(N_FILES), d + "/items")
+    W.write_jsonl(items, d + "/items")
 
     def prompt(batch: DataFrame) -> DataFrame:
         return batch.withColumn("zero_shot", C.prompt_selection("object", "all_ids_with_term"))
 
     q = S.respond_stream(spark, d + "/items", ITEM_SCHEMA, prompt, ReplayResponder, RUN, d + "/results",
-                         checkpoint=d + "/ckpt", max_files_per_trigger=1)
+                         checkpoint=d + "/ckpt")
     q.awaitTermination()
     back = spark.read.json(d + "/results")
     return back.select(F.col("id").cast("long").alias("id"), F.col("sub_subtask").cast("string").alias("sub_subtask"),
@@ -62,10 +61,9 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     res = fx.choice_responses(spark, sf).select("id", "correct_ids", "sub_subtask",
                                                P.extract_choice("recorded_response").alias("parsed"))
     res = C.tag_run(res, **RUN).select(*[f.name for f in RESULT_SCHEMA.fields])
-    W.write_jsonl(res.repartition(N_FILES), d + "/results")
+    res.write.mode("overwrite").parquet(d + "/results")
     q = S.score_stream(spark, d + "/results", RESULT_SCHEMA, lambda: P.gold_or_none("correct_ids"),
-                       lambda: P.code_selection("parsed"), d + "/scores", checkpoint=d + "/ckpt",
-                       max_files_per_trigger=1)
+                       lambda: P.code_selection("parsed"), d + "/scores", checkpoint=d + "/ckpt")
     q.awaitTermination()
     back = spark.read.schema(T.StructType(
         [T.StructField(c, T.StringType()) for c in ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name")]

@@ -1,9 +1,11 @@
 """Registered queries: the responder (F1, F2) and end-to-end plans.
 
-The model is a replay responder that answers with each item's recorded
-response, so the whole chain (prompting, conversation assembly, the
-``mapInPandas`` call, persistence, read-back, parsing, scoring) runs for real
-and its scores are comparable with SQL over the same recorded answers.
+The scored plans use a replay responder that answers with each item's recorded
+response: the ``mapInPandas`` call, persistence, read-back, parsing and scoring
+run for real, and the scores are comparable with SQL over the same answers.  A
+replay needs no messages, so Spark leaves their assembly out of these plans;
+the ``request_*`` queries run the same plans with a responder that answers with
+a digest of the messages it was sent, which SQL computes from the templates.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.constants import DEFAULT_GEN_PARAMS, MODEL_PROFILES, TASK_COMBINATIONS
+from evalframe.functions import prompts as C
 from evalframe.functions import requests as RQ
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
-from evalframe.operators.respond import NotFoundError, ReplayResponder, respond
+from evalframe.operators.respond import DigestResponder, ReplayResponder, respond, retry_wait_schedule
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans import task_plans as PL
 from evalframe.plans.catalog import register
 from evalframe.plans.q_runs import matrix
 from evalframe.plans.q_scoring import _acc_sql
+from evalframe.session import scratch_dir
+from evalframe.sinks import writers as W
 
 MODEL = "replay-model"
 
@@ -48,41 +53,17 @@ def respond_query(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "raw_response", "attempts", "error")
 
 
-class FlakyResponder:
-    """Fails ``id % 7`` times before answering; ``id % 11 == 0`` is not found."""
-
-    def __init__(self):
-        self.calls: dict[int, int] = {}
-
-    def respond(self, requests):
-        if len(requests) > 1:
-            if any(r["row"]["id"] % 11 == 0 or r["row"]["id"] % 7 > 0 for r in requests):
-                raise RuntimeError("batch failed")
-        out = []
-        for r in requests:
-            i = r["row"]["id"]
-            if i % 11 == 0:
-                raise NotFoundError("no such model")
-            n = self.calls.get(i, 0)
-            self.calls[i] = n + 1
-            if n < i % 7:
-                raise RuntimeError("rate limited")
-            out.append(r["row"]["recorded_response"])
-        return out
-
-
 @register("retry_schedule", O.with_(O.CHOICE_ITEMS) + """
-SELECT id,
-       CASE WHEN id % 11 = 0 OR id % 7 >= 5 THEN NULL ELSE recorded_response END AS raw_response,
-       CAST(att AS INTEGER) AS attempts,
-       CASE WHEN id % 11 = 0 THEN 0e0 ELSE 10e0 * (pow(2, att - 1) - 1) END AS waited_s,
-       CASE WHEN id % 11 = 0 THEN 'not_found' WHEN id % 7 >= 5 THEN 'exhausted' END AS error_kind
-FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 1 WHEN id % 7 >= 5 THEN 5 ELSE id % 7 + 1 END AS att FROM choice_responses)""")
+SELECT id, attempts, array_to_string(list_transform(range(0, attempts - 1), lambda i: CAST(CAST(10 * pow(2, i) AS BIGINT) AS VARCHAR)), ',') AS waits,
+       10e0 * (pow(2, attempts - 1) - 1) AS waited_s
+FROM (SELECT id, CAST(k AS INTEGER) AS attempts FROM choice_items)""")
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    items = fx.choice_responses(spark, sf).select("id", "recorded_response", F.col("object").alias("prompt"))
-    out = respond(items, FlakyResponder, sleep=lambda s: None)
-    return out.select("id", "raw_response", "attempts", "waited_s",
-                      F.split("error", ":").getItem(0).alias("error_kind"))
+    """the waits before each repeated attempt, for calls of up to as many
+    attempts as an item has choices (2 to 5)."""
+    waits = retry_wait_schedule(F.col("attempts"))
+    return fx.choice_items(spark, sf).select("id", F.col("k").cast("int").alias("attempts")).select(
+        "id", "attempts", F.array_join(F.transform(waits, lambda w: w.cast("long").cast("string")), ",").alias("waits"),
+        F.aggregate(waits, F.lit(0.0), lambda a, w: a + w).alias("waited_s"))
 
 
 # ---------------------------------------------------------------------------
@@ -90,7 +71,7 @@ def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def selection_items(spark, sf):
-    return fx.choice_responses(spark, sf).withColumn("fs_id", F.col("id") % 1000)
+    return fx.choice_responses(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id")))
 
 
 def generation_items(spark, sf, with_images: bool):
@@ -98,19 +79,19 @@ def generation_items(spark, sf, with_images: bool):
         "recorded_response", F.concat(F.lower("object"), F.lit(" looks smooth and cool")))
     if with_images:
         it = it.withColumn("image", F.array(F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".jpg"))))
-    return it.withColumn("fs_id", F.col("id") % 1000)
+    return it.withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id")))
 
 
 def pair_items(spark, sf):
-    return fx.pair_rating_items(spark, sf).withColumn("naturalness", ((F.col("id") % 5) + 1).cast("int"))
+    return fx.pair_rating_items(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id"))).withColumn("naturalness", ((F.col("id") % 5) + 1).cast("int"))
 
 
 def yes_no_items(spark, sf):
-    return fx.yes_no_items(spark, sf).withColumn("term", F.concat(F.lit("word"), F.col("id").cast("string")))
+    return fx.yes_no_items(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id"))).withColumn("term", F.concat(F.lit("word"), F.col("id").cast("string")))
 
 
 def a_b_items(spark, sf):
-    return fx.a_b_items(spark, sf).withColumn("all_ids_with_term", F.array(
+    return fx.a_b_items(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id"))).withColumn("all_ids_with_term", F.array(
         F.concat(F.lit("A:rough"), F.col("id").cast("string")), F.concat(F.lit("B:smooth"), F.col("id").cast("string"))))
 
 
@@ -174,6 +155,10 @@ def _run(task, sub_task, lang):
                   gen_params=dict(DEFAULT_GEN_PARAMS))
 
 
+def _shots(spark, sf):
+    return {"few_shot": _fs_sets(spark, sf), "few_shot_keys": ["fs_id"]}
+
+
 def p1(spark, sf, lang="en"):
     return PL.eval_selection(spark, selection_items(spark, sf), _run("perception", "selection", lang), ReplayResponder,
                              few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"])
@@ -181,25 +166,28 @@ def p1(spark, sf, lang="en"):
 
 def p2(spark, sf, task="perception"):
     res = PL.eval_generation(spark, generation_items(spark, sf, task == "perception"), _run(task, "generation", "ja"),
-                             ReplayResponder, few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"])
+                             ReplayResponder, few_shot=_fs_sets(spark, sf), few_shot_keys=["fs_id"], with_images=task == "perception")
     return res.select("id", "object", "task", "sub_task", "lang", "model_type", "model_name", "original_response")
 
 
 def p3(spark, sf):
     return PL.eval_pair_rating(spark, pair_items(spark, sf), _run("commonsense", "classification", "ja"), ReplayResponder,
-                               votes=fx.votes_long(spark, sf))
+                               votes=fx.votes_long(spark, sf), **_shots(spark, sf))
 
 
 def p4(spark, sf):
-    return PL.eval_pair_rating(spark, pair_items(spark, sf), _run("commonsense", "classification", "en"), ReplayResponder)
+    return PL.eval_pair_rating(spark, pair_items(spark, sf), _run("commonsense", "classification", "en"), ReplayResponder,
+                               **_shots(spark, sf))
 
 
 def p5(spark, sf):
-    return PL.eval_yes_no(spark, yes_no_items(spark, sf), _run("taxonomic", "yes_no_classification", "ja"), ReplayResponder)
+    return PL.eval_yes_no(spark, yes_no_items(spark, sf), _run("taxonomic", "yes_no_classification", "ja"), ReplayResponder,
+                          **_shots(spark, sf))
 
 
 def p6(spark, sf):
-    return PL.eval_a_b(spark, a_b_items(spark, sf), _run("taxonomic", "a_b_classification", "ja"), ReplayResponder)
+    return PL.eval_a_b(spark, a_b_items(spark, sf), _run("taxonomic", "a_b_classification", "ja"), ReplayResponder,
+                       **_shots(spark, sf))
 
 
 def p7(spark, sf):
@@ -248,6 +236,62 @@ def eval_multi_choice(spark: SparkSession, sf: str) -> DataFrame:
     return _round(p7(spark, sf)).select(*SCORE_COLS)
 
 
+# ---------------------------------------------------------------------------
+# what the model is sent
+# ---------------------------------------------------------------------------
+
+def _sent(spark: SparkSession, root: str) -> DataFrame:
+    return W.read_results(spark, root, fmt="parquet").select("id", F.col("raw_response").alias("digest"))
+
+
+def _digest_sql(items: str, where: str, system: str, user: str) -> str:
+    return f"""
+SELECT i.id, md5('system[text=' || {system} || ']|' || coalesce(s.shots || '|', '') || 'user[' || {user} || ']') AS digest
+FROM {items} i LEFT JOIN (
+  SELECT fs_id, string_agg('user[text=' || "user" || ']|assistant[text=' || assistant || ']', '|' ORDER BY ord) AS shots
+  FROM few_shot_pairs GROUP BY fs_id) s ON s.fs_id = i.id % (SELECT max(conv_id) + 1 FROM conversations) {where}"""
+
+
+_CHOICES = "array_to_string(i.all_ids_with_term, ', ')"
+
+
+@register("request_selection", O.with_(O.CHOICE_ITEMS, O.FEW_SHOT_PAIRS) + _digest_sql(
+    "choice_items", "", f"CASE WHEN i.sub_subtask = 'random' THEN {O.lit(C.SYSTEM_TEXTS['selection_random'])} "
+    f"ELSE {O.lit(C.SYSTEM_TEXTS['selection'])} END",
+    "'text=' || " + O.render_sql(C.TEMPLATES["selection"], object="i.object", choices=_CHOICES)))
+def request_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """P1's requests: system text by sub_subtask, few-shot turns, the prompt."""
+    root = scratch_dir(spark, "requests")
+    PL.eval_selection(spark, selection_items(spark, sf), _run("perception", "selection", "en"), DigestResponder,
+                      results_root=root, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
+@register("request_generation", O.with_(O.CHOICE_ITEMS, O.FEW_SHOT_PAIRS) + _digest_sql(
+    "choice_items", "", O.lit(C.SYSTEM_TEXTS["generation"]),
+    "'image=s3://bucket/images/' || i.id || '.jpg,text=' || " + O.render_sql(C.TEMPLATES["generation"], object="i.object")))
+def request_generation(spark: SparkSession, sf: str) -> DataFrame:
+    """P2's requests: the image, resolved against the run's image directory,
+    comes before the text."""
+    root = scratch_dir(spark, "requests")
+    run = _run("perception", "generation", "en")
+    run.image_dir = "s3://bucket//"
+    PL.eval_generation(spark, generation_items(spark, sf, True), run, DigestResponder, results_root=root,
+                       with_images=True, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
+@register("request_yes_no", O.with_(O.YES_NO, O.FEW_SHOT_PAIRS) + _digest_sql(
+    "yes_no_items", "", O.lit(C.SYSTEM_TEXTS["yes_no"]),
+    "'text=' || " + O.render_sql(C.TEMPLATES["yes_no"], term="'word' || i.id")))
+def request_yes_no(spark: SparkSession, sf: str) -> DataFrame:
+    """P5's requests, in text form."""
+    root = scratch_dir(spark, "requests")
+    PL.eval_yes_no(spark, yes_no_items(spark, sf), _run("taxonomic", "yes_no_classification", "en"), DigestResponder,
+                   results_root=root, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
 # ---------------------------------------------------------------------------
 # A whole run over the resolved requests
 # ---------------------------------------------------------------------------
@@ -341,7 +385,7 @@ base AS (
   SELECT ph.id, ph.images, coalesce(s.n, 0) AS n_shots,
          CAST((length(ph.text) - length(replace(ph.text, '<image>', ''))) / 7 AS INTEGER) AS n_tok,
          [{', '.join(O.lit(f) for f in FAMILIES)}][ph.id % {len(FAMILIES)} + 1] AS family
-  FROM ph LEFT JOIN shots s ON s.fs_id = ph.id % 1000)
+  FROM ph LEFT JOIN shots s ON s.fs_id = ph.id % (SELECT max(conv_id) + 1 FROM conversations))
 SELECT id, family,
        CAST(CASE WHEN family IN {_in(_FOLD)} THEN 2 * n_shots + 1 ELSE 2 * n_shots + 2 END AS INTEGER) AS n_msgs,
        CASE WHEN family IN {_in(_USER_FIRST)} THEN 'user' ELSE 'system' END AS first_role,
@@ -355,20 +399,17 @@ SELECT id, family,
 FROM base""")
 def model_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Every family's request profile over the same items: documents with
-    image placeholders and image lists, few-shot sets, one system text.  A
-    run is one model, so each family is planned on its own rows (one
-    filtered branch per family; the few-shot broadcast is shared)."""
-    ph = fx.placeholder_text(spark, sf).withColumn("fs_id", F.col("id") % 1000)
+    image placeholders and image lists, few-shot sets, one system text."""
+    ph = fx.placeholder_text(spark, sf).withColumn("fs_id", fx.few_shot_id(spark, sf, F.col("id")))
     base = FS.attach_few_shot(ph, _fs_sets(spark, sf), ["fs_id"]).withColumns({
         "system": F.lit(SYSTEM_TEXT),
         "family": F.get(F.array(*[F.lit(f) for f in FAMILIES]), (F.col("id") % len(FAMILIES)).cast("int")),
     })
-    out = None
-    for fam in FAMILIES:
-        cols = RQ.prepare_request(fam, "system", "few_shot", "text", "images")
-        sub = base.where(F.col("family") == fam).withColumns(cols).select(
-            "id", "family", F.size("messages").alias("n_msgs"), F.col("messages")[0]["role"].alias("first_role"),
-            F.size("request_images").alias("n_images"), "placeholder_error",
-            F.col("prompt_text").isNotNull().alias("has_prompt_text"))
-        out = sub if out is None else out.unionByName(sub)
-    return out
+    request = None
+    for fam in FAMILIES:  # one pass: each row's family picks its profile
+        c = RQ.prepare_request(fam, "system", "few_shot", "text", "images")
+        s = F.struct(F.size(c["messages"]).alias("n_msgs"), c["messages"][0]["role"].alias("first_role"),
+                     F.size(c["request_images"]).alias("n_images"), c["placeholder_error"].alias("placeholder_error"),
+                     c["prompt_text"].isNotNull().alias("has_prompt_text"))
+        request = F.when(F.col("family") == fam, s) if request is None else request.when(F.col("family") == fam, s)
+    return base.select("id", "family", request.alias("r")).select("id", "family", "r.*")

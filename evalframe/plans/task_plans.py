@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions import assets as A
@@ -65,6 +65,26 @@ def _with_few_shot(items: DataFrame, few_shot: DataFrame | None, keys: Sequence[
 RESULTS_FORMAT = "parquet"
 
 
+def _resolved(image_dir: str, paths: Column) -> Column:
+    """Paths relative to the run's image directory, URLs untouched."""
+    return F.transform(paths, lambda x: F.when(A.is_url(x), x).otherwise(A.resolve_path(F.lit(image_dir), x)))
+
+
+def _with_resolved_images(prompted: DataFrame, run: Run, images_col: str | None, typed: bool) -> DataFrame:
+    """Images of items and few-shot examples, resolved before any message is
+    built of them; image bytes never shuffle: the responder reads them at the
+    call site."""
+    if not run.image_dir:
+        return prompted
+    cols = {images_col: _resolved(run.image_dir, F.col(images_col))} if images_col else {}
+    if "few_shot" in prompted.columns:
+        cols["few_shot"] = F.transform("few_shot", lambda x: x.withField("images", _resolved(run.image_dir, x["images"])))
+        if "few_shot_messages" in prompted.columns:
+            prompted = prompted.drop("few_shot_messages")
+            cols["few_shot_messages"] = D.few_shot_messages(cols["few_shot"], typed)
+    return prompted.withColumns(cols)
+
+
 def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, typed: bool) -> tuple[DataFrame, str | None]:
     """Messages, the prompt sent, the images sent and the placeholder check.
 
@@ -74,32 +94,30 @@ def _request_columns(prompted: DataFrame, run: Run, images_col: str | None, type
     messages with a system turn are built and the prompt is the rendered item
     text.
     """
+    prompted = _with_resolved_images(prompted, run, images_col, typed)
     if run.family:
         cols = R.prepare_request(run.family, "system", "few_shot", "zero_shot", images_col)
-        out = prompted.withColumns(cols).withColumn("prompt", F.coalesce("prompt_text", "zero_shot"))
-        images_col = "request_images"
-    else:
-        hoisted = "few_shot_messages" if "few_shot_messages" in prompted.columns else None
-        msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed,
-                              few_shot_msgs=hoisted)
-        out = prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": F.lit(False)})
-    if images_col and run.image_dir:
-        # paths relative to the run's image directory, URLs untouched (E1, E2); the
-        # responder reads the bytes at the call site, so image bytes never shuffle
-        out = out.withColumn(images_col, F.transform(images_col, lambda x: F.when(A.is_url(x), x).otherwise(
-            A.resolve_path(F.lit(run.image_dir), x))))
-    return out, images_col
+        return prompted.withColumns(cols).withColumn("prompt", F.coalesce("prompt_text", "zero_shot")), "request_images"
+    hoisted = "few_shot_messages" if "few_shot_messages" in prompted.columns else None
+    msgs = D.conversation("system", "few_shot", "zero_shot", images_col if typed else None, typed=typed,
+                          few_shot_msgs=hoisted)
+    error = D.placeholder_error(F.col("zero_shot"), F.col(images_col)) if images_col and typed else F.lit(False)
+    return prompted.withColumns({"messages": msgs, "prompt": F.col("zero_shot"), "placeholder_error": error}), images_col
+
+
+def _table_exists(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
 
 
 def _done_keys(spark: SparkSession, root: str, run: Run, keys: Sequence[str], fmt: str) -> DataFrame | None:
-    """Keys already answered for this run in an existing result table."""
-    try:
-        prior = W.read_results(spark, root, fmt=fmt)
-    except Exception:  # noqa: BLE001 - no table yet
-        return None
-    if any(k not in prior.columns for k in keys):
+    """Keys of the items answered for this run in an existing result table
+    (rows of failed calls are not answers).  ``None`` only if there is no
+    table; a table that cannot be read, or lacks a key, is an error."""
+    if not _table_exists(spark, root):
         return None
-    flt = F.lit(True)
+    prior = W.read_results(spark, root, fmt=fmt)
+    flt = F.col("error").isNull()
     for k in ("task", "sub_task", "lang", "model_type", "model_name"):
         flt = flt & (F.col(k) == getattr(run, k))
     return prior.where(flt).select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
@@ -119,7 +137,9 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
                          results_root: str | None, keep: Sequence[str], images_col: str | None = None,
                          responder_partitions: int | None = None, results_format: str | None = None,
                          typed: bool = True, resume: bool = False,
-                         resume_keys: Sequence[str] | None = None) -> DataFrame:
+                         resume_keys: Sequence[str] | None = None,
+                         sub_subtasks: Sequence[str] | None = None,
+                         derived: dict[str, Column] | None = None) -> DataFrame:
     """Request assembly -> responder -> parse -> tag -> write; returns the
     written rows of this run, re-read.
 
@@ -129,19 +149,22 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     text has more image placeholders than images are not sent (error
     ``placeholder_mismatch``; the harness raised).  ``resume=True`` skips keys
     already in this run's results (null-safe ``left_anti`` on ``resume_keys``,
-    default ``keep[0]``) and appends, so a re-run after a crash calls the model
-    only for the missing rows.
+    default all kept item columns) and appends, so a re-run after a crash calls
+    the model only for the missing rows; failed rows are asked again, and only
+    rows without an error are read back for an item that has one.  A model that
+    does not exist fails the run.  ``derived`` columns of the parsed rows are
+    saved with them.
     """
     root = results_root or scratch_dir(spark, "results")
     fmt = results_format or RESULTS_FORMAT
     if resume:
-        rkeys = list(resume_keys or [keep[0]])
+        rkeys = list(resume_keys or keep)
         done = _done_keys(spark, root, run, rkeys, fmt)
         if done is not None:
             prompted = _skip_done(prompted, done, rkeys)
     req, sent_images = _request_columns(prompted, run, images_col, typed)
     # normalised once for the backend exactly as the wrapper would
-    gen_params = GP.normalized_params(spark, run.gen_params, run.model_type) if run.gen_params is not None else None
+    gen_params = GP.normalized_params(run.gen_params, run.model_type, run.model_name) if run.gen_params is not None else None
     wants_messages = getattr(make_responder, "wants_messages", True)
     inputs = getattr(make_responder, "input_columns", None)
     if inputs is None:
@@ -152,16 +175,25 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     answered = respond(narrow, make_responder, prompt_col="prompt", images_col=sent_images,
                        messages_col="messages" if wants_messages else None, pass_columns=list(inputs),
                        skip_col="placeholder_error", partitions=responder_partitions, gen_params=gen_params)
-    parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
+    parsed = answered.withColumn("parsed", P.extract_choice("raw_response")).withColumns(derived or {})
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name)
-    cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error"]
+    cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error", *(derived or {})]
                               + list(W.RESULT_PARTITIONS)))
     out = tagged.select(*cols)
     W.write_results(out, root, fmt=fmt, mode="append" if resume else "overwrite")
     back = W.read_results(spark, root, out.schema, fmt=fmt)
-    return back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
+    mine = back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
                       & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
+    if sub_subtasks is not None:  # earlier runs of other sub_subtasks lie in the same table
+        mine = C.select_sub_subtasks(mine, sub_subtasks)
+    gone = mine.where(F.col("error").startswith("not_found")).select("error").first()
+    if gone is not None and not resume:
+        raise RuntimeError(f"{run.model_name}: {gone['error']}")
+    if resume:  # of an item that failed before and was answered now, the answer
+        answered_keys = mine.where("error IS NULL").select(*[F.col(k).alias(f"_done_{k}") for k in rkeys]).distinct()
+        mine = mine.where("error IS NULL").unionByName(_skip_done(mine.where("error IS NOT NULL"), answered_keys, rkeys))
+    return mine
 
 
 def _finish_scores(spark: SparkSession, scores: DataFrame, scores_root: str | None) -> DataFrame:
@@ -197,10 +229,10 @@ def eval_selection(spark: SparkSession, items: DataFrame, run: Run, make_respond
     prompted = _with_few_shot(items, few_shot, few_shot_keys).withColumns({"zero_shot": zero_shot, "system": system})
     keep = list(dict.fromkeys(list(keep) + ["sub_subtask", "correct_ids"]))
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, images,
-                                   responder_partitions, resume=resume, resume_keys=resume_keys)
-    scored = results.select(*M.RUN_KEYS, P.gold_or_none("correct_ids").alias("gold"),
+                                   responder_partitions, resume=resume, resume_keys=resume_keys, sub_subtasks=sub_subtasks)
+    scored = results.select(*M.RUN_KEYS, "error", P.gold_or_none("correct_ids").alias("gold"),
                             (P.code_int("parsed") if multi_choice else P.code_selection("parsed")).alias("pred"))
-    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS), error="error"), scores_root)
 
 
 # ---------------------------------------------------------------------------
@@ -230,6 +262,15 @@ def eval_generation(spark: SparkSession, items: DataFrame, run: Run, make_respon
 # P3 / P4 pair rating
 # ---------------------------------------------------------------------------
 
+def _row_distance(votes_col: str | None) -> dict[str, Column]:
+    """Each row's vote-distribution distance, where the item has its votes (H7)."""
+    if votes_col is None:
+        return {}
+    return {"distribution_distance": ST.distribution_distance(
+        P.gold_label("naturalness"), P.code_int("parsed"), ST.vote_mean_array(votes_col), ST.vote_std_array(votes_col),
+        ST.vote_unanimous_array(votes_col))}
+
+
 def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
                      votes: DataFrame | None = None, few_shot: DataFrame | None = None,
                      few_shot_keys: Sequence[str] = (), results_root: str | None = None,
@@ -252,18 +293,18 @@ def eval_pair_rating(spark: SparkSession, items: DataFrame, run: Run, make_respo
     })
     keep = list(dict.fromkeys(list(keep) + ["naturalness"] + ([votes_col] if votes_col else [])))
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, keep, typed=False,
-                                   resume=resume, resume_keys=resume_keys)
-    scored = results.select("id", *M.RUN_KEYS, P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"),
+                                   resume=resume, resume_keys=resume_keys, derived=_row_distance(votes_col))
+    scored = results.select("id", *M.RUN_KEYS, "error", P.gold_label("naturalness").alias("gold"), P.code_int("parsed").alias("pred"),
                             *([votes_col] if votes_col else []))
     if votes_col:
         with_d = scored.withColumns({"vote_mean": ST.vote_mean_array(votes_col), "vote_sd": ST.vote_std_array(votes_col),
                                      "unanimous": ST.vote_unanimous_array(votes_col)})
-        return _finish_scores(spark, M.distance_scores(M.with_distance(with_d), by=list(M.RUN_KEYS)), scores_root)
+        return _finish_scores(spark, M.distance_scores(M.with_distance(with_d), by=list(M.RUN_KEYS), error="error"), scores_root)
     if votes is None:
-        return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+        return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS), error="error"), scores_root)
     stats = M.vote_stats(votes).withColumnRenamed("item", "id")
     with_d = M.with_distance(scored.join(stats, "id", "left"))
-    scores = M.distance_scores(with_d, by=list(M.RUN_KEYS))
+    scores = M.distance_scores(with_d, by=list(M.RUN_KEYS), error="error")
     return _finish_scores(spark, scores, scores_root)
 
 
@@ -282,8 +323,8 @@ def eval_yes_no(spark: SparkSession, items: DataFrame, run: Run, make_responder:
     })
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["label"],
                                    typed=False, resume=resume, resume_keys=resume_keys)
-    scored = results.select(*M.RUN_KEYS, P.gold_label("label").alias("gold"), P.code_yes_no("parsed", strict).alias("pred"))
-    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+    scored = results.select(*M.RUN_KEYS, "error", P.gold_label("label").alias("gold"), P.code_yes_no("parsed", strict).alias("pred"))
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS), error="error"), scores_root)
 
 
 def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Callable[[], Any],
@@ -298,5 +339,5 @@ def eval_a_b(spark: SparkSession, items: DataFrame, run: Run, make_responder: Ca
     })
     results = _respond_and_persist(spark, prompted, run, make_responder, results_root, list(keep) + ["correct_ids"],
                                    typed=False, resume=resume, resume_keys=resume_keys)
-    scored = results.select(*M.RUN_KEYS, P.gold_first("correct_ids").alias("gold"), P.code_a_b("parsed", strict).alias("pred"))
-    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS)), scores_root)
+    scored = results.select(*M.RUN_KEYS, "error", P.gold_first("correct_ids").alias("gold"), P.code_a_b("parsed", strict).alias("pred"))
+    return _finish_scores(spark, M.accuracy(scored, by=list(M.RUN_KEYS), error="error"), scores_root)

@@ -9,7 +9,9 @@ way in both settings.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -79,10 +81,8 @@ def apply_required_conf(spark: SparkSession) -> None:
     """Set the runtime SQL options the plans depend on and make the package
     importable on executors (idempotent)."""
     for k, v in REQUIRED_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static or unmodifiable in this deployment
-            pass
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)   # an option that cannot be set fails here, not as a wrong result later
     ship_package(spark)
 
 
@@ -116,14 +116,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint directory; created under /tmp only when unset (tests)."""
+    """The shared checkpoint directory.  A machine-local one is made only on a
+    local master without the setting (tests), and removed at exit; on a
+    cluster each executor would write to its own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="evalframe-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from evalframe.sources.readers import read_dataset
 
 RESULT_PARTITIONS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name")
+# An overwrite replaces the partitions it writes and leaves other runs' alone.
+DYNAMIC = ("partitionOverwriteMode", "dynamic")
 SCORE_PARTITIONS = ("task", "sub_task", "lang", "model_type", "model_name")
 
 
@@ -23,14 +25,15 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def write_results(df: DataFrame, root: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """Result rows partitioned by run (B2).  With dynamic partition overwrite
-    a re-run replaces only its own (task, ..., model) partitions.
+    """Result rows partitioned by run (B2).  Partitions are overwritten
+    dynamically (set on the writer, whatever the session has): a re-run
+    replaces only its own (task, ..., model) partitions.
 
     No shuffle by the partition columns: one run is one partition value, so
     clustering on it would funnel the whole run through a single task.  Each
     task writes one file per run it holds instead."""
     cols = [c for c in RESULT_PARTITIONS if c in df.columns]
-    w = df.write.mode(mode).partitionBy(*cols)
+    w = df.write.mode(mode).option(*DYNAMIC).partitionBy(*cols)
     if fmt == "json":
         w.option("ignoreNullFields", "false").json(root)
     else:
@@ -40,7 +43,7 @@ def write_results(df: DataFrame, root: str, fmt: str = "json", mode: str = "over
 def write_scores(df: DataFrame, root: str) -> None:
     """Score rows partitioned without ``sub_subtask`` (kept as a column)."""
     cols = [c for c in SCORE_PARTITIONS if c in df.columns]
-    df.coalesce(1).write.mode("overwrite").partitionBy(*cols).option("ignoreNullFields", "false").json(root)
+    df.write.mode("overwrite").option(*DYNAMIC).partitionBy(*cols).option("ignoreNullFields", "false").json(root)
 
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType | None = None, fmt: str = "json") -> DataFrame:
@@ -61,9 +64,9 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overw
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 
-def convert_to_jsonl(spark: SparkSession, src: str, schema: T.StructType | str, dest: str) -> None:
-    """JSON / CSV / TSV -> JSON Lines directory."""
-    write_jsonl(read_dataset(spark, src, schema), dest)
+def convert_to_jsonl(spark: SparkSession, src: str, schema: T.StructType | str, dest: str, **kw) -> None:
+    """JSON / CSV / TSV -> JSON Lines directory (B4); ``kw`` go to the reader."""
+    write_jsonl(read_dataset(spark, src, schema, **kw), dest)
 
 
 def export_jsonl(results: DataFrame, path: str, family: str) -> None:
@@ -75,4 +78,4 @@ def export_jsonl(results: DataFrame, path: str, family: str) -> None:
 
     out = answer_columns(results, family)
     cols = [c for c in RESULT_PARTITIONS if c in out.columns]
-    out.write.mode("overwrite").partitionBy(*cols).option("ignoreNullFields", "false").json(path)
+    out.write.mode("overwrite").option(*DYNAMIC).partitionBy(*cols).option("ignoreNullFields", "false").json(path)

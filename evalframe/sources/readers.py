@@ -40,14 +40,15 @@ def _na_to_null(df: DataFrame, na_values: Sequence[str] | None) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, sep: str = ",",
-                   na_values: Sequence[str] | None = PANDAS_NA_VALUES) -> DataFrame:
+                   na_values: Sequence[str] | None = PANDAS_NA_VALUES, multi_line: bool = False) -> DataFrame:
     """CSV / TSV with a header row (A3, A4).
 
-    Quoted fields may span lines (``multiLine``); quotes are escaped by
-    doubling.  ``na_values`` reproduces pandas' missing-value spellings on
+    Files are split among tasks.  ``multi_line=True`` is for files whose
+    quoted fields span lines; it reads each file in one task.  Quotes are
+    escaped by doubling.  ``na_values`` reproduces pandas' missing-value spellings on
     string columns; pass ``None`` to keep them as text.
     """
-    df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
+    df = (spark.read.schema(schema).option("header", "true").option("multiLine", str(multi_line).lower())
           .option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
     return _na_to_null(df, na_values)
 
@@ -77,14 +78,15 @@ FEW_SHOT_FILE_SCHEMA = T.StructType([
 def read_few_shot(spark: SparkSession, path: str) -> DataFrame:
     """Few-shot examples with their file order as ``ord``.
 
-    JSON Lines are read as text and parsed with ``from_json``; ``ord`` comes
-    from ``monotonically_increasing_id``, which increases with the line's
-    position because a file's splits are numbered in offset order.
+    The place of an example is its ``file``, then the ``block`` of the file
+    that a task read, then ``ord`` within it: tasks need not get the files of
+    a directory in their order.  JSON Lines are read as text and parsed with
+    ``from_json``.
     """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+             F.monotonically_increasing_id().alias("ord")]
     if not path.lower().endswith(".jsonl"):
-        df = read_dataset(spark, path, FEW_SHOT_FILE_SCHEMA)
-        return df.withColumn("ord", F.monotonically_increasing_id())
-    lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "")
-    indexed = lines.withColumn("ord", F.monotonically_increasing_id())
-    parsed = indexed.select("ord", F.from_json("value", FEW_SHOT_FILE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
-    return parsed.select("ord", "r.user", "r.assistant", "r.images")
+        return read_dataset(spark, path, FEW_SHOT_FILE_SCHEMA).select(*place, "user", "assistant", "images")
+    lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "").select(*place, "value")
+    parsed = lines.select("file", "block", "ord", F.from_json("value", FEW_SHOT_FILE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select("file", "block", "ord", "r.user", "r.assistant", "r.images")

@@ -51,7 +51,7 @@ def respond_stream(spark: SparkSession, items_dir: str, item_schema: T.StructTyp
         parsed = answered.withColumn("parsed", P.extract_choice("raw_response"))
         tagged = C.tag_run(parsed, **run).withColumn("batch_id", F.lit(batch_id).cast("long"))
         cols = [c for c in W.RESULT_PARTITIONS if c in tagged.columns] + ["batch_id"]
-        (tagged.write.mode("overwrite").partitionBy(*cols).option("ignoreNullFields", "false").json(results_root))
+        (tagged.write.mode("overwrite").option(*W.DYNAMIC).partitionBy(*cols).option("ignoreNullFields", "false").json(results_root))
 
     w = items.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -60,18 +60,19 @@ def respond_stream(spark: SparkSession, items_dir: str, item_schema: T.StructTyp
 
 def score_stream(spark: SparkSession, results_dir: str, result_schema: T.StructType, gold: Callable[[], Any],
                  pred: Callable[[], Any], scores_root: str, checkpoint: str | None = None,
-                 max_files_per_trigger: int | None = None, available_now: bool = True):
+                 max_files_per_trigger: int | None = None, available_now: bool = True, fmt: str = "parquet"):
     """Start incremental scoring; returns the ``StreamingQuery``.
 
     ``gold`` / ``pred`` build the gold and predicted code columns from a
-    result row (e.g. ``lambda: P.gold_or_none("correct_ids")``).  The
+    result row (e.g. ``lambda: P.gold_or_none("correct_ids")``); ``fmt`` is
+    the format of the result files (``evaluate`` writes Parquet).  The
     aggregate is partial + final per micro-batch and merged into the state
     store; after each batch the complete score table is rewritten.
     """
     reader = spark.readStream.schema(result_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    results = reader.json(results_dir)
+    results = reader.format(fmt).load(results_dir)
     scored = results.select(*M.RUN_KEYS, gold().alias("gold"), pred().alias("pred"))
     sums = scored.groupBy(*M.RUN_KEYS).agg(
         F.sum(F.when(F.col("gold") == F.col("pred"), 1).otherwise(0)).cast("long").alias("n_correct"),
@@ -82,7 +83,7 @@ def score_stream(spark: SparkSession, results_dir: str, result_schema: T.StructT
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         out = batch.select(*M.RUN_KEYS, (F.col("n_correct") / F.col("n_rows")).alias("accuracy"), "n_rows", "n_invalid")
-        out.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(scores_root)
+        out.write.mode("overwrite").option("ignoreNullFields", "false").json(scores_root)
 
     w = sums.writeStream.outputMode("complete").foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -97,9 +97,9 @@ def test_delimited_roundtrip_with_na(spark, tmp_dir, sep, suffix):
     df = spark.createDataFrame([(1, 'a, "b"\nc'), (2, "NA"), (3, " padded "), (4, None)], schema)
     path = os.path.join(tmp_dir, f"d.{suffix}")
     W.write_delimited(df, path, sep)
-    back = {r["id"]: r["text"] for r in R.read_dataset(spark, path, schema).collect()}
+    back = {r["id"]: r["text"] for r in R.read_dataset(spark, path, schema, multi_line=True).collect()}
     assert back == {1: 'a, "b"\nc', 2: None, 3: " padded ", 4: None}
-    keep = {r["id"]: r["text"] for r in R.read_dataset(spark, path, schema, na_values=None).collect()}
+    keep = {r["id"]: r["text"] for r in R.read_dataset(spark, path, schema, na_values=None, multi_line=True).collect()}
     assert keep[2] == "NA"
 
 
@@ -145,3 +145,48 @@ def test_few_shot_json_array_order(spark, tmp_dir):
     fs = few_shot_sets(ex, ["k"]).collect()[0]["few_shot"]
     assert [x["user"] for x in fs] == [f"u{i}" for i in range(12)]
     assert fs[1]["images"] == ["i1.jpg"] and fs[0]["images"] is None
+
+
+def test_few_shot_directory_order(spark, tmp_dir):
+    """Examples of a directory come in the order of its files, whatever their sizes."""
+    from evalframe.operators.fewshot import few_shot_sets
+
+    src = os.path.join(tmp_dir, "fs.jsonl")
+    os.makedirs(src)
+    want = []
+    for part, n in (("part-0", 2), ("part-1", 300), ("part-2", 1)):
+        with open(os.path.join(src, part + ".jsonl"), "w") as f:
+            for i in range(n):
+                f.write(json.dumps({"user": f"{part}-{i}", "assistant": "a" * n}) + "\n")
+                want.append(f"{part}-{i}")
+    fs = few_shot_sets(R.read_few_shot(spark, src).withColumn("k", F.lit(1)), ["k"]).collect()[0]["few_shot"]
+    assert [x["user"] for x in fs] == want
+
+
+@pytest.mark.parametrize("base,path,want", [
+    ("s3://bucket/images", "img/a.jpg", "s3://bucket/images/img/a.jpg"),
+    ("hdfs://nn:8020//d/", "./i", "hdfs://nn:8020/d/i"),
+    ("/base", "s3://other/x.jpg", "s3://other/x.jpg"),
+    ("s3://bucket", "/abs/x.jpg", "/abs/x.jpg"),
+])
+def test_resolve_path_in_stores(spark, base, path, want):
+    from evalframe.functions.assets import resolve_path
+
+    assert spark.range(1).select(resolve_path(F.lit(base), F.lit(path))).first()[0] == want
+
+
+def test_writers_keep_other_runs_on_a_plain_session(spark, tmp_dir):
+    """Dynamic overwrite is set on the writer, not taken from the session."""
+    schema = ("id long, task string, sub_task string, sub_subtask string, lang string, model_type string, model_name string, "
+              "accuracy double")
+    rows = [spark.createDataFrame([(1, "t", "s", "x", "en", "api", m, 1.0)], schema) for m in ("m1", "m2")]
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        for df in rows:
+            W.write_results(df, os.path.join(tmp_dir, "r"))
+            W.write_scores(df, os.path.join(tmp_dir, "s"))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    for d in ("r", "s"):
+        assert {r["model_name"] for r in spark.read.json(os.path.join(tmp_dir, d)).select("model_name").collect()} == {"m1", "m2"}

@@ -66,23 +66,23 @@ def data_root(tmp_dir):
 
 def test_invalid_combination_fails_before_running(spark, data_root, tmp_dir):
     with pytest.raises(ValueError, match="unknown task combinations"):
-        evaluate(spark, ["perception", "taxonomic"], ["selection"], "ja", "api", "m", KeyedResponder,
+        evaluate(spark, ["perception", "taxonomic"], ["selection"], "ja", "api", "gpt-4m", KeyedResponder,
                  os.path.join(tmp_dir, "out"), data_root=data_root)
     assert not os.path.exists(os.path.join(tmp_dir, "out"))
 
 
 def test_evaluate_scores(spark, data_root, tmp_dir):
     out = os.path.join(tmp_dir, "out")
-    sel = {r["sub_subtask"]: r for r in evaluate(spark, ["perception"], ["selection"], "ja", "api", "m/x", KeyedResponder,
+    sel = {r["sub_subtask"]: r for r in evaluate(spark, ["perception"], ["selection"], "ja", "api", "org/gpt-4x", KeyedResponder,
                                                  out, data_root=data_root, sub_subtasks=["choice2_ans1", "random"]).collect()}
     assert sel["choice2_ans1"]["accuracy"] == 0.5 and sel["random"]["accuracy"] == 1.0
     assert sel["random"]["n_rows"] == 2
-    cc = evaluate(spark, ["commonsense"], ["classification"], "ja", "api", "m/x", KeyedResponder, out,
+    cc = evaluate(spark, ["commonsense"], ["classification"], "ja", "api", "org/gpt-4x", KeyedResponder, out,
                   data_root=data_root).collect()[0]
     # silk: pred 1 gold 1 (not unanimous); rock: pred 4 vs unanimous 5 -> 1.0; ice: pred 2 gold 2 -> 0
     assert cc["accuracy"] == pytest.approx(2 / 3) and cc["n_distance"] == 3
     assert cc["average_distance"] == pytest.approx((0.0 + 1.0 + 0.0) / 3)
-    yn = evaluate(spark, ["taxonomic"], ["yes_no_classification"], "ja", "api", "m/x", KeyedResponder, out,
+    yn = evaluate(spark, ["taxonomic"], ["yes_no_classification"], "ja", "api", "org/gpt-4x", KeyedResponder, out,
                   data_root=data_root).collect()[0]
     assert yn["accuracy"] == pytest.approx(1 / 3) and yn["n_invalid"] == 1
     results = spark.read.parquet(os.path.join(out, "results"))
@@ -95,7 +95,7 @@ def test_evaluate_concurrent_combinations(spark, data_root, tmp_dir):
                                           {"image_id": "2", "object": "silk", "terms": ["soft"]}])
     _write(os.path.join(gen, "few_shot_ja.jsonl"), [{"user": "u", "assistant": "a"}])
     out = os.path.join(tmp_dir, "out")
-    scores = evaluate(spark, ["commonsense"], ["classification", "generation"], "ja", "api", "m", KeyedResponder, out,
+    scores = evaluate(spark, ["commonsense"], ["classification", "generation"], "ja", "api", "gpt-4m", KeyedResponder, out,
                       data_root=data_root, max_parallel=2).collect()
     assert [(r["task"], r["sub_task"], r["n_rows"]) for r in scores] == [("commonsense", "classification", 3)]
     results = spark.read.parquet(os.path.join(out, "results"))
@@ -132,14 +132,14 @@ def test_evaluate_resume(spark, data_root, tmp_dir):
     full = open(base, encoding="utf-8").read()
     with open(base, "w", encoding="utf-8") as f:      # first run sees only the first item
         f.write(full.splitlines()[0] + "\n")
-    evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+    evaluate(spark, ["perception"], ["selection"], "ja", "api", "gpt-4m", KeyedResponder, out, data_root=data_root,
              sub_subtasks=SUBS)
     with open(base, "w", encoding="utf-8") as f:
         f.write(full)
     with pytest.raises(ValueError):
-        evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+        evaluate(spark, ["perception"], ["selection"], "ja", "api", "gpt-4m", KeyedResponder, out, data_root=data_root,
                  resume=True, max_parallel=2, sub_subtasks=SUBS)
-    scores = {r["sub_subtask"]: r for r in evaluate(spark, ["perception"], ["selection"], "ja", "api", "m",
+    scores = {r["sub_subtask"]: r for r in evaluate(spark, ["perception"], ["selection"], "ja", "api", "gpt-4m",
                                                     CountingKeyed, out, data_root=data_root, resume=True,
                                                     sub_subtasks=SUBS).collect()}
     assert scores["choice2_ans1"]["n_rows"] == 2 and scores["random"]["n_rows"] == 2
@@ -150,9 +150,9 @@ def test_evaluate_resume(spark, data_root, tmp_dir):
 
 def test_export_jsonl_names(spark, data_root, tmp_dir):
     out = os.path.join(tmp_dir, "out")
-    evaluate(spark, ["taxonomic"], ["yes_no_classification"], "ja", "api", "m", KeyedResponder, out,
+    evaluate(spark, ["taxonomic"], ["yes_no_classification"], "ja", "api", "gpt-4m", KeyedResponder, out,
              data_root=data_root, export_jsonl=True)
-    evaluate(spark, ["perception"], ["selection"], "ja", "api", "m", KeyedResponder, out, data_root=data_root,
+    evaluate(spark, ["perception"], ["selection"], "ja", "api", "gpt-4m", KeyedResponder, out, data_root=data_root,
              sub_subtasks=SUBS, export_jsonl=True)
     yn = spark.read.json(os.path.join(out, "jsonl", "task=taxonomic"))
     assert {"original_model_inference", "model_inference", "zero_shot"} <= set(yn.columns)

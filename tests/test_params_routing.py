@@ -44,6 +44,7 @@ def py_batch(d):
 def py_defaults(d, backend):
     if backend == "api":
         d = py_api(d)
+        d.setdefault("model", "m")
         for k, v in API_PARAM_DEFAULTS.items():
             d.setdefault(k, G.value_text(v))
     elif backend == "vllm":
@@ -57,6 +58,7 @@ def py_defaults(d, backend):
         d.setdefault("temperature", "0.05" if truthy(d["do_sample"]) else None)
         d.setdefault("top_p", "1.0" if truthy(d["do_sample"]) else None)
         d.setdefault("num_beams", "1")
+        d.setdefault("use_cache", "true")
     return d
 
 
@@ -68,7 +70,7 @@ def test_params_brute_force(spark):
     pr = param_rows(spark, SF_SMALL)
     rows = pr.select("id", "backend", "params", G.params_text(G.gen_params_api("params")).alias("api"),
                      G.params_text(G.gen_params_batch("params")).alias("batch"),
-                     G.params_text(G.gen_params_defaults("params", "backend")).alias("dflt")).collect()
+                     G.params_text(G.gen_params_defaults("params", "backend", F.lit("m"))).alias("dflt")).collect()
     assert rows
     for r in rows:
         d = dict(r["params"])

@@ -194,7 +194,9 @@ def test_gen_params_reach_responder(spark, backend):
         "few_shot": F.array().cast("array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>")}),
         run, _ParamsEcho, None, ["id"], typed=False).collect()
     want = text(py_defaults({k: value_text(v) for k, v in DEFAULT_GEN_PARAMS.items()}, backend))
-    assert {r["raw_response"].replace("None", "null") for r in rows} == {want}
+    typed = {"None": "null", "True": "true", "False": "false"}   # Python values, not their texts in a map
+    got = {";".join(f"{k}={typed.get(v, v)}" for k, v in (p.split("=") for p in r["raw_response"].split(";"))) for r in rows}
+    assert got == {want.replace("model=None", "model=m")} and any("=True" in r["raw_response"] or "=False" in r["raw_response"] for r in rows)
 
 
 class _ImagesEcho:
@@ -212,3 +214,119 @@ def test_image_paths_resolved_against_image_dir(spark):
     run = PL.Run("perception", "generation", "ja", "api", "m", image_dir="/data/img/")
     row = PL._respond_and_persist(spark, items, run, _ImagesEcho, None, ["id"], "image").collect()[0]
     assert row["raw_response"] == "/data/img/a/x.jpg,http://h/y.png,/abs/z.jpg"
+
+
+class _Outage:
+    """Down for the first two calls, whatever they hold."""
+    input_columns = ()
+    wants_messages = False
+
+    def __init__(self):
+        self.calls = 0
+
+    def respond(self, requests):
+        self.calls += 1
+        if self.calls <= 2:
+            raise TimeoutError("busy")
+        return [str(len(requests))] * len(requests)
+
+
+def test_retries_repeat_the_batch(spark):
+    df = spark.range(20).select("id", F.lit("p").alias("prompt")).coalesce(1)
+    rows = respond(df, _Outage, sleep=lambda s: None, partitions=1).collect()
+    assert {(r["raw_response"], r["attempts"], r["waited_s"], r["error"]) for r in rows} == {("20", 3, 30.0, None)}
+
+
+class _BadRow:
+    input_columns = ("id",)
+    wants_messages = False
+
+    def respond(self, requests):
+        if any(r["row"]["id"] == 7 for r in requests):
+            raise ValueError("cannot be sent")
+        return ["ok"] * len(requests)
+
+
+def test_other_failures_are_not_repeated(spark):
+    df = spark.range(20).select("id", F.lit("p").alias("prompt")).coalesce(1)
+    waits = []
+    rows = {r["id"]: r for r in respond(df, _BadRow, sleep=waits.append, partitions=1).collect()}
+    assert rows[7]["error"].startswith("failed: ValueError") and rows[7]["attempts"] == 1 and rows[7]["waited_s"] == 0
+    assert all(r["raw_response"] == "ok" for i, r in rows.items() if i != 7)
+
+
+def test_closures_do_not_share_responders(spark):
+    from evalframe.operators.respond import responder_key
+
+    def factory(answer):
+        def make():
+            return _AlwaysYes()
+        make.reuse_across_tasks = True
+        return make
+
+    a, b = factory("a"), factory("b")
+    assert responder_key(a) != responder_key(b) and responder_key(_AlwaysYes) == responder_key(_AlwaysYes)
+    a.responder_id = b.responder_id = "same"
+    assert responder_key(a) == responder_key(b)
+
+
+def test_missing_model_fails_the_run(spark, tmp_dir):
+    with pytest.raises(RuntimeError, match="not_found"):
+        PL.eval_yes_no(spark, Q.yes_no_items(spark, SF_SMALL), PL.Run("taxonomic", "yes_no_classification", "ja", "api", "m"),
+                       _Missing, results_root=os.path.join(tmp_dir, "results"))
+
+
+class _FailsOdd:
+    input_columns = ("id",)
+    wants_messages = False
+
+    def respond(self, requests):
+        if any(r["row"]["id"] % 2 for r in requests):
+            raise ValueError("odd")
+        return ["yes"] * len(requests)
+
+
+def test_failed_rows_are_counted_apart_and_asked_again(spark, tmp_dir):
+    items = spark.createDataFrame([(i, "t", 1) for i in range(6)], "id long, term string, label int")
+    run, root = PL.Run("taxonomic", "yes_no_classification", "ja", "api", "m"), os.path.join(tmp_dir, "results")
+    first = PL.eval_yes_no(spark, items, run, _FailsOdd, results_root=root).first()
+    assert (first["accuracy"], first["n_rows"], first["n_error"], first["n_invalid"]) == (1.0, 3, 3, 0)
+    second = PL.eval_yes_no(spark, items, run, _AlwaysYes, results_root=root, resume=True).first()
+    assert (second["accuracy"], second["n_rows"], second["n_error"]) == (1.0, 6, 0)
+
+
+def test_resume_with_null_and_shared_ids(spark, tmp_dir):
+    items = spark.createDataFrame([(None, "a", 1), (None, "b", 1), (1, "c", 1), (1, "d", 1)], "id long, term string, label int")
+    run, root = PL.Run("taxonomic", "yes_no_classification", "ja", "api", "m"), os.path.join(tmp_dir, "results")
+    keep = ["id", "term"]
+    PL.eval_yes_no(spark, items.where("term in ('a', 'c')"), run, _AlwaysYes, results_root=root, keep=keep)
+    out = PL.eval_yes_no(spark, items, run, _AlwaysYes, results_root=root, keep=keep, resume=True).first()
+    assert out["n_rows"] == 4 and spark.read.parquet(root).count() == 4
+
+
+def test_resume_needs_a_readable_table(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "results")
+    os.makedirs(root)
+    open(os.path.join(root, "part-0.parquet"), "w").write("broken")
+    with pytest.raises(Exception):
+        PL.eval_yes_no(spark, Q.yes_no_items(spark, SF_SMALL), PL.Run("taxonomic", "yes_no_classification", "ja", "api", "m"),
+                       _AlwaysYes, results_root=root, resume=True)
+
+
+def test_subset_rerun_scores_only_its_rows(spark, tmp_dir):
+    items = Q.selection_items(spark, SF_SMALL)
+    run, root = PL.Run("perception", "selection", "en", "api", "m"), os.path.join(tmp_dir, "results")
+    PL.eval_selection(spark, items, run, ReplayResponder, results_root=root)
+    out = PL.eval_selection(spark, items, run, ReplayResponder, results_root=root, sub_subtasks=["choice2_ans1"])
+    assert [r["sub_subtask"] for r in out.collect()] == ["choice2_ans1"]
+
+
+def test_few_shot_images_are_resolved(spark):
+    items = spark.createDataFrame([(1, ["a.jpg"])], "id long, image array<string>").withColumns({
+        "zero_shot": F.lit("q"), "system": F.lit("s"), "few_shot": F.array(F.struct(
+            F.lit(0).cast("long").alias("ord"), F.lit("u").alias("user"), F.lit("a").alias("assistant"),
+            F.array(F.lit("fs.jpg")).alias("images")))})
+    run = PL.Run("perception", "generation", "ja", "api", "m", image_dir="s3://b/i")
+    req, _ = PL._request_columns(items, run, "image", True)
+    parts = [p["image"] for m in req.first()["messages"] for p in m["content"] if p["image"]]
+    assert parts == ["s3://b/i/fs.jpg", "s3://b/i/a.jpg"]

@@ -42,19 +42,28 @@ def test_hot_vote_item(spark):
     assert "partial_stddev_samp" in plan and "collect_list" not in plan
 
 
-def test_few_shot_join_without_broadcast_hot_key(spark):
-    """90% of items share one few-shot key.  Beyond the broadcast bound the
-    join is a sort-merge join on the key (AQE splits the hot partition);
-    within it the sets are broadcast.  Both give every item its set."""
+def test_few_shot_join_hot_key(spark):
+    """90% of items share one few-shot key.  The join is left to AQE whatever
+    the sizes; salted, the items of a key are dealt over many partitions."""
     items = spark.range(5000).select(
         "id", F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.lit("cold")).alias("sub_subtask"))
     ex = spark.createDataFrame([("hot", i, f"u{i}", f"a{i}") for i in range(3)] + [("cold", 0, "u", "a")],
                                "sub_subtask string, ord long, user string, assistant string")
     sets = FS.few_shot_sets(ex, ["sub_subtask"])
-    forced = FS.attach_few_shot(items, sets, ["sub_subtask"], max_rows=0)   # bound too small: no broadcast
-    assert "SortMergeJoin" in _plan(forced) and "BroadcastHashJoin" not in _plan(forced)
-    got = {r["sub_subtask"]: r["n"] for r in forced.select("sub_subtask", F.size("few_shot").alias("n")).distinct().collect()}
-    assert got == {"hot": 3, "cold": 1}
-    broadcast = FS.attach_few_shot(items, sets, ["sub_subtask"])
-    assert "BroadcastHashJoin" in _plan(broadcast)
-    assert broadcast.where("sub_subtask = 'hot'").count() == 4500
+    plain = FS.attach_few_shot(items, sets, ["sub_subtask"])
+    salted = FS.attach_few_shot(items, sets, ["sub_subtask"], salts=16)
+    assert "SortMergeJoin" in _plan(plain) and "_salt" in _plan(salted) and salted.columns == plain.columns
+    for out in (plain, salted):
+        got = {(r["sub_subtask"], r["k"]): r["n"] for r in out.groupBy("sub_subtask", F.size("few_shot").alias("k")).agg(
+            F.count("*").alias("n")).collect()}
+        assert got == {("hot", 3): 4500, ("cold", 1): 500}
+
+
+def test_large_few_shot_set(spark):
+    """A set of over 64 MiB is attached like any other."""
+    examples = spark.range(70).select(F.lit("k").alias("key"), F.col("id").alias("ord"),
+                                      F.rpad(F.col("id").cast("string"), 1 << 20, "x").alias("user"), F.lit("a").alias("assistant"))
+    out = FS.attach_few_shot(spark.createDataFrame([(1, "k"), (2, "other")], "id long, key string"),
+                             FS.few_shot_sets(examples, ["key"]), ["key"])
+    size = F.aggregate("few_shot", F.lit(0), lambda n, x: n + F.length(x["user"]))
+    assert {r["id"]: r["n"] for r in out.select("id", size.alias("n")).collect()} == {1: 70 << 20, 2: 0}

@@ -28,14 +28,14 @@ def test_score_stream_resumes_from_checkpoint(spark, tmp_dir):
     inbox, out, ckpt = (os.path.join(tmp_dir, x) for x in ("in", "scores", "ckpt"))
     W.write_jsonl(_results(spark, range(0, 30), lambda i: str(i % 3)), os.path.join(inbox, "a"))
     q = S.score_stream(spark, inbox + "/*", RESULT_SCHEMA, lambda: P.gold_or_none("correct_ids"),
-                       lambda: P.code_selection("parsed"), out, checkpoint=ckpt)
+                       lambda: P.code_selection("parsed"), out, checkpoint=ckpt, fmt="json")
     q.awaitTermination()
     first = _scores(spark, out)["choice3_ans1"]
     assert first["n_rows"] == 30 and first["accuracy"] == 1.0
     # more results arrive; a new query on the same checkpoint adds them to its state
     W.write_jsonl(_results(spark, range(30, 60), lambda i: "yes"), os.path.join(inbox, "b"))
     q = S.score_stream(spark, inbox + "/*", RESULT_SCHEMA, lambda: P.gold_or_none("correct_ids"),
-                       lambda: P.code_selection("parsed"), out, checkpoint=ckpt)
+                       lambda: P.code_selection("parsed"), out, checkpoint=ckpt, fmt="json")
     q.awaitTermination()
     second = _scores(spark, out)["choice3_ans1"]
     assert second["n_rows"] == 60 and second["n_invalid"] == 30
