@@ -30,5 +30,5 @@ def register(key: str, oracle: str | None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from evalframe.plans import (  # noqa: F401
-        q_assets, q_chat, q_params, q_task_plans, q_prompts, q_runs, q_scoring, q_sources, q_streaming,
+        q_assets, q_chat, q_evaluate, q_params, q_task_plans, q_prompts, q_runs, q_scoring, q_sources, q_streaming,
     )

@@ -121,10 +121,11 @@ FROM pages""")
 def read_asset_files(spark: SparkSession, sf: str) -> DataFrame:
     """A8 on real files: every page's bytes become one file (the text sink
     ends it with a newline), listed and read back with the ``binaryFile``
-    source, then encoded (E4).  The id comes from the file's directory."""
+    source, then encoded (E4).  A file is known by its content's digest, so no
+    directory a page is needed; equal pages share one."""
     root = scratch_dir(spark, "asset-files")
     pages = fx.table(spark, sf, "pages").select("page_id", "html")
-    pages.write.mode("overwrite").partitionBy("page_id").text(root)
-    files = A.read_assets(spark, root, glob="part-*")
-    return files.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("id"), "length",
-                        E.data_url("content").alias("data_url"))
+    pages.select("html").write.mode("overwrite").option("maxRecordsPerFile", 1).text(root)
+    files = A.read_assets(spark, root, glob="part-*").select(F.md5("content").alias("digest"), "length", E.data_url("content").alias("data_url"))
+    ids = pages.select(F.col("page_id").alias("id"), F.md5(F.concat("html", F.lit("\n"))).alias("digest"))
+    return ids.join(files.dropDuplicates(["digest"]), "digest").select("id", "length", "data_url")
