@@ -39,8 +39,8 @@ from evalframe.llm.common import text_list
 from evalframe.llm.word_cache import TextEncoder, no_cycle_collection
 
 SPACE = "▁"
-# Remembered pairs of tokens in one worker.
-PAIR_LIMIT = 2_000_000
+# Remembered pairs of tokens in one worker; a pair is one number.
+PAIR_LIMIT, PAIR = 2_000_000, 1 << 32
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -63,15 +63,16 @@ class PieceModel:
                     if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i) or sp.is_unknown(i))]
         self.id_of = {self.pieces[i]: i for i in ordinary}
         self.score = {self.pieces[i]: sp.get_score(i) for i in ordinary}
-        self.longest = max(map(len, self.score))
+        self.lengths = list(map(len, self.pieces))
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.score):
             raise ValueError("a piece holds the white-space mark after another character: texts cannot be cut into words")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            if set(p) != {SPACE} or p == SPACE:
+            # a piece that merging its own characters does not give is never a token
+            if (set(p) != {SPACE} or p == SPACE) and self.merged(p) == [p]:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.encoder = TextEncoder(self.words, self.word_ids, self.word_ids)
         # what decoding writes for an id, with white space restored
         self.written = [b"" if i in self.control else bytes([self.byte_of[i]]) if i in self.byte_of
@@ -122,39 +123,40 @@ class PieceModel:
         a, b = self._text(first), self._text(second)
         if len(self.pairs) >= PAIR_LIMIT:
             self.pairs.clear()
-        found = self.pairs[first, second] = self.merged(a + b) == [a, b]
+        found = self.pairs[first * PAIR + second] = self.merged(a + b) == [a, b]
         return found
 
     def prefix_table(self, word: str) -> list[int]:
         """Entry ``i``: the last token of the encoding of ``word[:i]``."""
-        n = len(word)
-        last: list[int | None] = [None] * (n + 1)
-        pairs = self.pairs
+        last: list[int | None] = [None] * (len(word) + 1)
+        known, compatible = self.pairs.get, self.compatible
         for end, (length, token) in self.automaton.iter(word):
-            if last[end + 1] is not None:
-                continue
-            start = end + 1 - length
-            if start == 0:
-                if length == 1 or self.merged(word[:length]) == [word[:length]]:
-                    last[end + 1] = token
-                continue
-            previous = last[start]
-            if previous is None:  # no piece ends there: a character without one
-                previous = last[start] = ~ord(word[start - 1])
-            known = pairs.get((previous, token))
-            if known or known is None and self.compatible(previous, token):
-                last[end + 1] = token
-        return [~ord(word[i - 1]) if i and t is None else t for i, t in enumerate(last)]
+            end += 1
+            if last[end] is None:  # longer pieces come first
+                start = end - length
+                if not start:
+                    last[end] = token
+                    continue
+                previous = last[start]
+                if previous is None:  # no piece ends there: a character without one
+                    previous = last[start] = ~ord(word[start - 1])
+                fits = known(previous * PAIR + token)
+                if fits or fits is None and compatible(previous, token):
+                    last[end] = token
+        return [~ord(word[i - 1]) if i and t is None else t for i, t in enumerate(last)] if None in last[1:] else last
 
     def word_ids(self, word: str) -> bytes:
         if word.startswith(SPACE + SPACE):
             tokens = [self.id_of.get(s, ~ord(s[0])) for s in self.merged(word)]
         else:
-            last, i, tokens = self.prefix_table(word), len(word), []
+            last, i, tokens, lengths = self.prefix_table(word), len(word), [], self.lengths
             while i > 0:
-                tokens.append(last[i])
-                i -= len(self.pieces[last[i]]) if last[i] >= 0 else 1
+                t = last[i]
+                tokens.append(t)
+                i -= lengths[t] if t >= 0 else 1
             tokens.reverse()
+        if min(tokens) >= 0:
+            return struct.pack(f"<{len(tokens)}I", *tokens)
         ids: list[int] = []
         for t in tokens:
             if t >= 0:

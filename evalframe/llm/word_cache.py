@@ -2,7 +2,7 @@
 
 A text is cut only where its tokenizer provably starts anew, so the ids of the
 text are the ids of the cut words one after another.  Words repeat far more
-often than texts do, so a worker keeps the ids of up to ``CACHE_WORDS`` words.
+often than texts do, so a worker keeps the ids of the words it met last.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
-# Words one worker keeps (about 200 bytes each) before it starts anew.
-CACHE_WORDS = 1_000_000
+# Words of a generation (about 200 bytes each); a worker keeps two of them.
+CACHE_WORDS = 600_000
 
 
 @contextlib.contextmanager
@@ -32,17 +32,22 @@ def no_cycle_collection() -> Iterator[None]:
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; a word not
-    held yet is encoded, and all are dropped beyond ``limit``."""
+    """Word -> its ids as little-endian unsigned 32-bit integers.  A word not
+    held yet is encoded; a full generation becomes the old one, from which
+    words that are met again come back, and the one before it is dropped."""
 
     def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE_WORDS):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.encode(word)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        self[word] = ids
         return ids
 
 
