@@ -71,13 +71,14 @@ class TextEncoder:
 # cut after any other character that precedes one of these.
 _BYTE_LEVEL_WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _FIRST = "\r"
 
 
 def split_byte_level(text: str) -> list[str] | None:
     """Words with the white space before them; of a word after one space, only
     the word; a word that begins the text is marked with ``_FIRST``."""
-    if _OTHER_SPACE.search(text):
+    if any(c in text for c in _OTHER_ASCII_SPACE) if text.isascii() else _OTHER_SPACE.search(text):
         return None
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n")):
         words = _BYTE_LEVEL_WORD.findall(text)
