@@ -7,13 +7,13 @@ so every executor sees them and a lost executor re-runs only its own tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from evalframe.operators.joins import unused_name  # noqa: F401 - used by the operators
 from evalframe.session import apply_required_conf, scratch_dir
 
 # Rows of one Arrow batch handed to a Python task.  Texts are long, so the
@@ -40,31 +40,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_groups(texts: list[str], max_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive ``[i, j)`` ranges of ``texts`` of about ``max_chars``
-    characters (one longer text makes a range of its own)."""
-    i, total = 0, 0
-    for j, t in enumerate(texts):
-        total += len(t)
-        if total >= max_chars:
-            yield i, j + 1
-            i, total = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Column values as Python strings, nulls as empty strings."""
     return [x or "" for x in column.to_pylist()]
 
 
-def unused_name(base: str, taken: Iterable[str]) -> str:
-    """``base``, with underscores added until no column in ``taken`` has that
-    name (names differ by more than case)."""
-    names = {c.lower() for c in taken}
-    while base.lower() in names:
-        base += "_"
-    return base
+def hashed_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """The ``n`` rows of the smallest hashes of ``keys``, of ``total`` rows.
+
+    Rows of hashes that could not be among them are filtered out first, about
+    twice as many as wanted stay: else every task would send its ``n`` smallest
+    to the driver.
+    """
+    h = F.xxhash64(*keys).bitwiseAND(F.lit(0x7FFFFFFF))
+    share = min(1.0, (2 * n + 100) / max(1, total))
+    if share < 1:
+        df = df.where(h < F.lit(int(share * (1 << 31))))
+    return df.orderBy(h, *keys).limit(n)
 
 
 _TYPES = {"long": LongType(), "double": DoubleType(), "string": StringType()}

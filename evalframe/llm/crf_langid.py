@@ -32,6 +32,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import schema_with, text_list, unused_name
+from evalframe.llm.common import hashed_sample, schema_with, text_list, unused_name
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Texts of a language, and characters of a text, that are learned from.
@@ -220,17 +221,21 @@ def fit(texts: list[str], langs: list[str], seed: int = 0) -> LanguageModel:
 
 def train(docs: DataFrame, usable: Callable[[F.Column], F.Column] | None = None) -> LanguageModel:
     """``usable``: a condition on ``doc_id`` of the documents to learn from."""
-    known = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.col("lang").alias("_l"))
-    known = known.where("_l is not null and _t is not null and _id is not null")
+    known = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l")).where("_l is not null and _id is not null")
     if usable is not None:
         known = known.where(usable(F.col("_id")))
-    texts, langs = [], []
-    for (lang,) in sorted(known.select("_l").distinct().collect()):  # as many as there are languages
-        rows = (known.where((F.col("_l") == lang) & F.length("_t").between(1, TRAIN_CHARS))
-                .orderBy(F.xxhash64("_id"), "_id", "_t").limit(TRAIN_DOCS).select("_t").collect())
-        texts += [r[0] for r in rows]
-        langs += [lang] * len(rows)
-    return fit(texts, langs)
+    known = known.distinct()
+    # as many rows as there are languages; twice as many ids as texts, as some texts are empty or long
+    langs = sorted(known.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect())
+    if not langs:
+        return fit([], [])
+    chosen = reduce(DataFrame.unionByName, [hashed_sample(known.where(F.col("_l") == x), 2 * TRAIN_DOCS, n, "_id") for x, n in langs])
+    rows = (docs.select("doc_id", "lang", "text").where(F.length("text").between(1, TRAIN_CHARS))
+            .join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_l")))
+            .select("_l", F.xxhash64("_id").alias("_h"), "text").distinct()
+            .orderBy("_h", "text").limit(2 * TRAIN_DOCS * len(langs)).collect())
+    taken = [r for x, _ in langs for r in [r for r in rows if r["_l"] == x][:TRAIN_DOCS]]
+    return fit([r["text"] for r in taken], [r["_l"] for r in taken])
 
 
 # ---------------------------------------------------------------- labelling

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import saved
+from evalframe.llm.common import hashed_sample, saved
 
 SAMPLE, TRIALS, TARGET = 20_000, 200, 0.97
 REGION = 4_096
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     entries = saved(ids.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
                     .select(F.col("ids")[0].alias("key"), "ids", "vec"), "entries")
     n = entries.count()
-    sample = entries.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow()  # bounded
+    sample = hashed_sample(entries, SAMPLE, n, "key").select("vec").toArrow()  # bounded
     centroids = int(min(1024, max(8, 2 ** round(np.log2(max(1, n) ** 0.5 / 4)))))
     index = build(_unit(_matrix(sample.column("vec"), dim)), centroids, k)
 

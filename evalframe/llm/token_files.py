@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import range_bounds, shard_count, text_list
+from evalframe.llm.common import hashed_sample, range_bounds, shard_count, text_list
 from evalframe.llm.word_cache import library_encoder, no_cycle_collection
 
 # Documents and bytes of serialized ids that the dictionary is trained on, and its size.
@@ -71,12 +71,12 @@ class Tokens:
         return np.append(ids, self.end_id).astype(f"<u{self.width}").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokens: Tokens) -> bytes:
+def train_dictionary(docs: DataFrame, tokens: Tokens, total: int) -> bytes:
     """A dictionary from a bounded sample: ``SAMPLE_DOCS`` texts of the
     smallest hashes, each cut to its share of ``SAMPLE_BYTES``."""
     share = SAMPLE_BYTES // SAMPLE_DOCS
-    rows = (docs.select(F.substring("text", 1, share).alias("text"), F.xxhash64("doc_id").alias("h"))
-            .where("text is not null").orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    rows = hashed_sample(docs.select("doc_id", F.coalesce(F.substring("text", 1, share), F.lit("")).alias("text")),
+                         SAMPLE_DOCS, total, "doc_id").select("text").collect()
     parts = [tokens.serialized(r["text"])[:share] for r in rows]
     size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 8)
     if size < 1024 or len(parts) < 16:
@@ -97,8 +97,9 @@ def write(docs: DataFrame, path: str, tokens: Tokens) -> None:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    bounds = np.array(range_bounds(docs, "doc_id", shard_count(spark, docs.count(), SHARD_DOCS)), dtype=np.int64)
-    dictionary = train_dictionary(docs, tokens)
+    total = docs.count()
+    bounds = np.array(range_bounds(docs, "doc_id", shard_count(spark, total, SHARD_DOCS)), dtype=np.int64)
+    dictionary = train_dictionary(docs, tokens, total)
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

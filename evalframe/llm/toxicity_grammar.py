@@ -43,11 +43,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import schema_with, text_list, unused_name
+from evalframe.llm.common import hashed_sample, schema_with, text_list, unused_name
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Labelled texts of a class, and characters of a text, that are learned from.
-TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 2_000, 20_000
 # An insult word: so many distinct neighbourhoods in toxic texts, and such log
 # odds, that chance would give at most so many words as good.
 LEAST_CONTEXTS, LEAST_LOG_ODDS, BY_CHANCE = 3, 1.5, 0.5
@@ -245,18 +245,22 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400) -> ToxicityModel
     return ToxicityModel(insults, weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Callable[[F.Column], F.Column] | None = None) -> ToxicityModel:
     """``usable``: a condition on ``doc_id`` of the labels to learn from."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
     if usable is not None:
         known = known.where(usable(F.col("_id")))
-    rows: list = []
-    for y in (0, 1):
-        chosen = known.where(F.col("_y") == y).select("_id", "_y").distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-        rows += (docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
-                 .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_y").collect())
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["text"]))
-    return fit([r["text"] for r in rows], [r["_y"] for r in rows])
+    known = known.distinct()
+    # ids of each class by hash, twice as many as needed, as some texts are long; then one scan of the texts
+    total = dict(known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect())
+    of_class = [hashed_sample(known.where(F.col("_y") == y), 2 * TRAIN_DOCS, total.get(y, 0), "_id") for y in (0, 1)]
+    rows = (docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
+            .join(F.broadcast(of_class[0].unionByName(of_class[1])), F.col("doc_id") == F.col("_id"))
+            .select(F.xxhash64("_id").alias("_h"), "_id", "text", "_y").distinct()
+            .orderBy("_h", "_id", "text", "_y").limit(4 * TRAIN_DOCS).collect())
+    taken = sorted((r for y in (0, 1) for r in [r for r in rows if r["_y"] == y][:TRAIN_DOCS]),
+                   key=lambda r: (r["_id"], r["_y"], r["text"]))
+    return fit([r["text"] for r in taken], [r["_y"] for r in taken])
 
 
 # ------------------------------------------------------------------ scoring
