@@ -19,8 +19,9 @@ the matches are learned by logistic regression on the same texts.  Target,
 threat, negation and report words are fixed lists.
 
 Learning takes at most ``TRAIN_DOCS`` labelled texts of each class, of at most
-``TRAIN_CHARS`` characters, those of the smallest hashes of doc_id; scoring
-reads every text whole.  Neither doc_id nor source, language or label is an
+``TRAIN_CHARS`` characters, those of the smallest hashes of doc_id; in the fit
+a text stands for as many as its class has for each one taken, so the bias and
+the cut mean the same at every size.  Scoring reads every text whole.  Neither doc_id nor source, language or label is an
 input of a score.
 
 Defined results: a null or empty text, or one without a match, has the score
@@ -212,10 +213,12 @@ def learn_insults(texts: list[str], labels: list[int]) -> dict[str, float]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 400) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], rounds: int = 400, stands_for: dict[int, float] | None = None) -> ToxicityModel:
     """Insult words from one half of the texts and weights of the matches from
     the other and the other way round, so that the weights see insults as new
-    texts show them; the words of both halves together are kept."""
+    texts show them; the words of both halves together are kept.
+
+    ``stands_for``: the texts of its class that a text of a label stands for."""
     y = np.array(labels, dtype=float)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
@@ -231,13 +234,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400) -> ToxicityModel
     if insults and not x.any():  # too few texts to learn any word from a half
         matcher = Matcher(insults)
         x = np.array([matcher.features(t) for t in texts])
+    each = np.array([(stands_for or {}).get(label, 1.0) for label in labels], dtype=float)
+    each /= each.mean()  # the ridge is for so many texts
     weights, bias = np.zeros(len(MATCHES)), 0.0
     for _ in range(rounds):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
         design = np.hstack([x, np.ones((len(x), 1))])
         ridge = np.diag([1e-3 * len(x) ** 0.5] * len(MATCHES) + [1e-9])
-        slope = design.T @ (y - p) - ridge @ np.append(weights, bias)
-        curve = design.T @ (design * (p * (1 - p))[:, None]) + ridge
+        slope = design.T @ (each * (y - p)) - ridge @ np.append(weights, bias)
+        curve = design.T @ (design * (each * p * (1 - p))[:, None]) + ridge
         step = np.linalg.solve(curve + 1e-9 * np.eye(len(curve)), slope)
         weights, bias = weights + step[:-1], bias + step[-1]
         if np.abs(step).max() < 1e-6:
@@ -258,9 +263,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Callable[[F.Column], F.Col
             .join(F.broadcast(of_class[0].unionByName(of_class[1])), F.col("doc_id") == F.col("_id"))
             .select(F.xxhash64("_id").alias("_h"), "_id", "text", "_y").distinct()
             .orderBy("_h", "_id", "text", "_y").limit(4 * TRAIN_DOCS).collect())
-    taken = sorted((r for y in (0, 1) for r in [r for r in rows if r["_y"] == y][:TRAIN_DOCS]),
-                   key=lambda r: (r["_id"], r["_y"], r["text"]))
-    return fit([r["text"] for r in taken], [r["_y"] for r in taken])
+    found = {y: [r for r in rows if r["_y"] == y] for y in (0, 1)}
+    taken = sorted((r for y in (0, 1) for r in found[y][:TRAIN_DOCS]), key=lambda r: (r["_id"], r["_y"], r["text"]))
+    # labels for each id drawn, texts found for each text taken
+    stands_for = {y: total[y] / min(total[y], 2 * TRAIN_DOCS) * len(found[y]) / len(found[y][:TRAIN_DOCS]) for y in (0, 1) if found[y]}
+    return fit([r["text"] for r in taken], [r["_y"] for r in taken], stands_for=stands_for)
 
 
 # ------------------------------------------------------------------ scoring

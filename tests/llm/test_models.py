@@ -124,6 +124,20 @@ def test_copied_passages_do_not_make_insults():
     assert "clown" in learned and "words" not in learned
 
 
+def test_the_cut_does_not_depend_on_the_sample(spark, monkeypatch):
+    """One text in ten is toxic, and one in three of those with a threat: they
+    are clean also if as many of both classes are learned from."""
+    rows = [(i, "they would burn it" if i % 20 == 0 or i % 10 == 5 else "plain words", int(i % 10 == 0)) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for most in (2000, 150):
+        monkeypatch.setattr(toxicity_grammar, "TRAIN_DOCS", most)
+        model = toxicity_grammar.train(docs, labels)
+        matcher = toxicity_grammar.Matcher(model.insults)
+        assert model.score(matcher.features("they would burn it")) == pytest.approx(1 / 3, abs=0.08)
+        assert model.score(matcher.features("plain words")) == pytest.approx(1 / 17, abs=0.03)
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0, 1), (5, 0, 0), (7, 1, None), (None, 1, 1), (2, 0, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity_grammar.scored(odd_docs, labels).collect()
