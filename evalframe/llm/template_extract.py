@@ -10,10 +10,12 @@ that their elements hold one another) make up the template; a text block that
 belongs to one is part of the template itself.  What is left are the slots.
 
 Slots inside elements that are boilerplate by their name (``nav``, ``footer``,
-``aside``, a class such as ``cookie`` or ``comments``) are dropped.  The main
-text is under the deepest template element that holds most of the text of the
-remaining slots of the host's pages; its blocks, less the template's own, are
-the page's text.
+``aside``, a class such as ``cookie`` or ``comments``) are dropped, but an
+element that holds ``MAIN_SHARE`` of the slots' text of the host's pages is
+taken whatever its name, so no element round the main text is dropped for its
+name.  The main text is under the deepest template element that holds most of
+the text of the remaining slots; its blocks, less the template's own, are the
+page's text.
 
 Occurrence vectors are never built: a vector is known by two sums over the
 host's pages of hashes of (page, count), so they are plain aggregates with
@@ -34,6 +36,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -81,17 +84,16 @@ _ENDS_WHERE = {"p": "address article aside blockquote div dl fieldset footer for
                "option": ["option"]}
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    if name in _BOILERPLATE:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    return any(not _BOILERPLATE_WORDS.isdisjoint(_CUT.split("".join(m).lower())) for m in _NAMES.findall(attributes))
+def _is_boilerplate(element: str) -> bool:
+    """``element``: the last part of a path."""
+    name, _, names = element.partition(".")
+    return name in _BOILERPLATE or (names != "" and name not in ("html", "body") and not _BOILERPLATE_WORDS.isdisjoint(_CUT.split(names)))
 
 
-def blocks(source: str) -> Iterator[tuple[str, bool, str]]:
+def blocks(source: str, kept: frozenset[str] = frozenset()) -> Iterator[tuple[str, bool, str]]:
     """(path, whether it is inside boilerplate, text) of every text block, in
-    page order; elements without text give a block of no text."""
+    page order; elements without text give a block of no text.  ``kept``:
+    paths of elements that are no boilerplate whatever their name."""
     stack: list[tuple[str, str, bool]] = []  # element, path, boilerplate
     path, inside, parts = "", False, []
     last = 0
@@ -126,8 +128,9 @@ def blocks(source: str) -> Iterator[tuple[str, bool, str]]:
             attributes = m.group("rest")
             path, inside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
             names = ".".join(sorted({w for found in _NAMES.findall(attributes) for w in "".join(found).lower().split()})) if attributes else ""
-            path = f"{path}/{name}.{names}" if names else f"{path}/{name}"
-            stack.append((name, path, inside or _is_boilerplate(name, attributes)))
+            element = f"{name}.{names}".replace("/", "|") if names else name
+            path = f"{path}/{element}"
+            stack.append((name, path, inside or (_is_boilerplate(element) and path not in kept)))
             yield path, stack[-1][2], ""
         path, inside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
     if last < len(source):
@@ -143,13 +146,16 @@ def _short(text: str) -> int:
 
 # --------------------------------------------------------------- page tokens
 
-_TOKENS = "host string, page long, kind int, token long, path string, n long, chars long"
+_TOKENS = "host string, page long, kind int, token long, path string, named boolean, n long, chars long"
+# Levels of the path of a rare element that are told apart, and the rest.
+LEVELS, _REST = 5, "/*"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """One row per page and token: ``kind`` 0 for an element, 1 for a text
-    block, 2 for a text block inside boilerplate; ``n`` occurrences, ``chars``
-    of text directly in the element."""
+    block of the element ``path``; ``named``, whether an element beyond
+    ``LEVELS`` is boilerplate by name; ``n`` occurrences, ``chars`` of text of
+    the block or directly in the element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycle_collection():
@@ -157,55 +163,73 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 rows = []
                 for host, page, source in zip(text_list(b.column(0)), b.column(1).to_pylist(), text_list(b.column(2))):
                     elements, chars, texts = Counter(), Counter(), Counter()
-                    for path, inside, text in blocks(source):
+                    for path, _, text in blocks(source):
                         if text:
-                            texts[2 if inside else 1, path, text] += 1
-                            if not inside:
-                                chars[path] += len(text)
-                        elif not inside:
+                            texts[path, text] += 1
+                            chars[path] += len(text)
+                        else:
                             elements[path] += 1
                     for path in {*elements, *chars}:
-                        rows.append((host, page, 0, _short(path), path, elements[path] or 1, chars[path]))
-                    for (kind, path, text), n in texts.items():
-                        if kind == 1:
-                            rows.append((host, page, 1, _short(f"{path}\0{text}"), None, n, 0))
+                        rows.append((host, page, 0, _short(path), path, any(map(_is_boilerplate, path.split("/")[LEVELS + 1:])), elements[path] or 1, chars[path]))
+                    for (path, text), n in texts.items():
+                        rows.append((host, page, 1, _short(f"{path}\0{text}"), path, False, n, n * len(text)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     names = [f.split()[0] for f in _TOKENS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
     return pages.select("host", F.monotonically_increasing_id().alias("page"), "html").mapInArrow(run, _TOKENS)
 
 
 # ------------------------------------------------------------------ templates
 
+def _under(chars: dict[str, int]) -> dict[str, int]:
+    """Text under each path: of the element and of all inside it."""
+    under: dict[str, int] = defaultdict(int)
+    for path, n in chars.items():
+        for p in (path, *_ancestors(path)):
+            under[p] += n
+    return under
+
+
+def _kept(chars: dict[str, int]) -> frozenset[str]:
+    """Elements that are boilerplate by name, but hold most of the text."""
+    under = _under(chars)
+    total = sum(v for p, v in under.items() if p.count("/") == 1)
+    return frozenset(p for p, v in under.items() if total and v >= MAIN_SHARE * total
+                     and _REST not in p and _is_boilerplate(p.rpartition("/")[2]))
+
+
+def _inside(path: str, kept: frozenset[str]) -> bool:
+    return any(p not in kept and _is_boilerplate(p.rpartition("/")[2]) for p in (path, *_ancestors(path)))
+
+
 def _template(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One host's frequent tokens -> the path of its main text, its own texts."""
+    """One host's frequent tokens -> the path of its main text, its own texts,
+    the elements that are no boilerplate whatever their name."""
     host = pdf["host"].iat[0]
     pages = int(pdf["n_pages"].iat[0])
     elements = pdf[pdf["kind"] == 0]
-    # text under each path: of the element and of all inside it
-    under: dict[str, int] = defaultdict(int)
-    for path, chars in zip(elements["path"], elements["chars"]):
-        while path:
-            under[path] += int(chars)
-            path = path.rpartition("/")[0]
-    total = max((under[p] for p in under if p.count("/") == 1), default=0)
-    total = max(total, sum(v for p, v in under.items() if p.count("/") == 1))
     # classes of elements that share an occurrence vector; those on enough pages nest in the template
     frequent = {p for p, s in zip(elements["path"], elements["support"]) if s >= SUPPORT * pages}
     classes = Counter(zip(elements["s0"], elements["s1"]))
     ones = [p for p, s, n, a, b in zip(elements["path"], elements["support"], elements["total"], elements["s0"], elements["s1"])
             if p in frequent and (n == s or classes[a, b] > 1)]
     valid = [p for p in ones if all(q in frequent for q in _ancestors(p))]
+    # a text block is the template's own if it is on all pages that have its class
+    texts = pdf[(pdf["kind"] == 1) & (pdf["support"] >= pages) & (pages >= LEAST_PAGES)]
+    texts = texts[np.array([classes[a, b] > 0 for a, b in zip(texts["s0"], texts["s1"])], dtype=bool)]
+    # the slots' text of each element: all but the template's own
+    chars = Counter({p: int(n) for p, n in zip(elements["path"], elements["chars"])})
+    chars.subtract(Counter(dict(texts.groupby("path")["chars"].sum().astype(int))))
+    kept = _kept(chars)
+    under = _under({p: n for p, n in chars.items() if not _inside(p, kept)})
+    total = sum(v for p, v in under.items() if p.count("/") == 1)
     once = {p for p, s, n in zip(elements["path"], elements["support"], elements["total"]) if n == s}
     holding = [p for p in valid if total and under[p] >= MAIN_SHARE * total and p in once
                and p.rpartition("/")[2].partition(".")[0] not in TEXT_ELEMENTS]
     main = max(holding, key=lambda p: (p.count("/"), under[p], p), default="")
-    # a text block is the template's own if it is on all pages that have its class
-    texts = pdf[(pdf["kind"] == 1) & (pdf["support"] >= pages) & (pages >= LEAST_PAGES)]
-    own = [t for t, a, b in zip(texts["token"], texts["s0"], texts["s1"]) if classes[a, b] > 0]
-    return pd.DataFrame({"host": [host], "main": [main], "own": [own]})
+    return pd.DataFrame({"host": [host], "main": [main], "own": [texts["token"].tolist()], "kept": [sorted(kept)]})
 
 
 def _ancestors(path: str) -> list[str]:
@@ -219,40 +243,44 @@ def _ancestors(path: str) -> list[str]:
 
 def templates(tokens: DataFrame) -> DataFrame:
     """``host``, ``main`` (path of the element of the main text), ``own``
-    (names of text blocks that are the template's).  ``tokens`` are saved."""
+    (names of text blocks that are the template's), ``kept`` (elements that
+    are no boilerplate whatever their name).  ``tokens`` are saved."""
     h = F.xxhash64("page", "n")
     # two sums of 31-bit hashes: they overflow at no less than 2^32 pages
-    vectors = tokens.groupBy("host", "kind", "token").agg(
-        F.first("path", ignorenulls=True).alias("path"), F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"),
+    # a token has one path: strings as keys, not as first values, spare a sort
+    vectors = tokens.groupBy("host", "kind", "token", "path", "named").agg(
+        F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"),
         F.sum("chars").alias("chars"), F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("s0"),
         F.sum(F.shiftrightunsigned(h, 33)).alias("s1"))
     pages = tokens.where("kind = 0").groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("n_pages"))
-    # rare elements are counted with the element that holds them: a host's rows stay few
+    # rare elements are counted with the element that holds them, those inside boilerplate apart: a host's rows stay few
     rows = (vectors.join(pages.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host")).drop("_host")
             .where((F.col("support") >= F.lit(SUPPORT) * F.col("n_pages")) | ((F.col("kind") == 0) & (F.col("chars") > 0)))
             .withColumn("path", F.when((F.col("kind") == 0) & (F.col("support") < F.lit(SUPPORT) * F.col("n_pages")),
-                                       F.concat(F.substring_index("path", "/", 6), F.lit("/*"))).otherwise(F.col("path"))))
-    rows = rows.groupBy("host", "kind", F.when(F.col("kind") == 0, F.xxhash64("path")).otherwise(F.col("token")).alias("token")).agg(
-        F.first("path", ignorenulls=True).alias("path"), F.max("support").alias("support"), F.max("total").alias("total"),
+                                       F.concat(F.substring_index("path", "/", LEVELS + 1), F.when(F.col("named"), f"{_REST}/aside").otherwise(_REST))).otherwise(F.col("path"))))
+    rows = rows.groupBy("host", "kind", "path", F.when(F.col("kind") == 1, F.col("token")).otherwise(F.lit(0)).alias("token")).agg(
+        F.max("support").alias("support"), F.max("total").alias("total"),
         F.sum("chars").alias("chars"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("n_pages").alias("n_pages"))
-    return rows.groupBy("host").applyInPandas(_template, "host string, main string, own array<long>")
+    return rows.groupBy("host").applyInPandas(_template, "host string, main string, own array<long>, kept array<string>")
 
 
 # ------------------------------------------------------------------ extraction
 
-def main_text(source: str, main: str, own: frozenset[int]) -> str:
+def main_text(source: str, main: str, own: frozenset[int], kept: frozenset[str]) -> str:
     out = []
     found = main == ""
-    every = []
-    for path, inside, text in blocks(source):
+    for path, inside, text in blocks(source, kept):
         if path == main or path.startswith(main + "/"):
             found = True
             if text and not inside and _short(f"{path}\0{text}") not in own:
                 out.append(text)
-        elif text and not inside:
-            every.append((path, text))
     if not found:  # a page that the template does not fit: its own slots
-        out = [text for path, text in every if _short(f"{path}\0{text}") not in own]
+        slots = [(path, text) for path, _, text in blocks(source) if text and _short(f"{path}\0{text}") not in own]
+        chars = Counter()
+        for path, text in slots:
+            chars[path] += len(text)
+        kept |= _kept(chars)
+        out = [text for path, text in slots if not _inside(path, kept)]
     return " ".join(out)
 
 
@@ -262,18 +290,18 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\w+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     found = saved(templates(saved(page_tokens(pages), "page-tokens")), "templates")
-    size = found.agg(F.sum(F.length("host") + F.length("main") + 8 * F.size("own") + 64).alias("n")).first()["n"] or 0
-    found = found.select(F.col("host").alias("_host"), "main", "own")
+    size = found.agg(F.sum(F.length("host") + F.length("main") + 8 * F.size("own") + F.length(F.concat_ws(" ", "kept")) + 64).alias("n")).first()["n"] or 0
+    found = found.select(F.col("host").alias("_host"), "main", "own", "kept")
     joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycle_collection():
             for b in batches:
-                texts = [main_text(source, main, frozenset(own or ())) for source, main, own in
-                         zip(text_list(b.column(2)), text_list(b.column(3)), b.column(4).to_pylist())]
+                texts = [main_text(source, main, frozenset(own or ()), frozenset(kept or ())) for source, main, own, kept in
+                         zip(text_list(b.column(2)), text_list(b.column(3)), b.column(4).to_pylist(), b.column(5).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
                                                   pa.array([len(t) for t in texts], pa.int64())],
                                                  names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main", "own").mapInArrow(
+    return joined.select("page_id", "url", "html", "main", "own", "kept").mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

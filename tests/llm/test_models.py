@@ -177,6 +177,20 @@ def test_template_of_a_host_without_article(spark):
     assert got == {i: f"Title {i} Body & text number {i} of the page. second {i * 7}" for i in range(8)}
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "main class='no-comments'", "div id='search-results'", "form action='/'"])
+def test_named_elements_round_the_main_text(spark, wrapper):
+    """An element round the main text is not dropped for its name; named ones below it are."""
+    def page(i: int) -> str:
+        return (f"<html><body><nav><a href='/'>Home</a> <a href='/{i}'>Start</a></nav><{wrapper}><div class=x><h2>Title {i}</h2><p>Body text number {i} "
+                f"of the page, of some length</p><div class='share'>to friend {i}</div></div><div class='sidebar'><p>read {i * 7} too</p></div>"
+                f"</{wrapper.split()[0]}><footer>c {i}</footer></body></html>")
+    pages = [(i, f"https://h.example.com/{i}", page(i)) for i in range(8)]
+    pages.append((8, "https://h.example.com/8", "<html><body><form><p>a page of another kind</p></form><div class='ads'>buy</div></body></html>"))
+    got = template_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = {i: f"Title {i} Body text number {i} of the page, of some length" for i in range(8)} | {8: "a page of another kind"}
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (2, "x", ""), (None, "http://a.b/c", "<p>cut off <b"), (3, "http://a.b/c", "no markup &lt;b&gt;"),
             (4, "http://e.f/", "<html><body><article>only&nbsp;one<br>page</article></body></html>"),
