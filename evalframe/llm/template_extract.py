@@ -6,8 +6,11 @@ blocks, named by path and text.  For each host and token the pages' occurrence
 counts make a vector; tokens of one vector form an equivalence class.  Classes
 that are frequent (on at least ``SUPPORT`` of the host's pages) and nest (each
 lies wholly inside or outside the slots of the others, which for paths means
-that their elements hold one another) make up the template; a text block that
-belongs to one is part of the template itself.  What is left are the slots.
+that their elements hold one another) make up the template.  A frequent text
+block is part of the template itself if it has the vector of such a class, or
+is on ``NEARLY`` all pages that have its element, so pages of another kind or
+a few without the block do not matter; blocks that only exact copies of one
+page share are not.  What is left are the slots.
 
 Slots inside elements that are boilerplate by their name (``nav``, ``footer``,
 ``aside``, a class such as ``cookie`` or ``comments``) are dropped, but an
@@ -49,6 +52,8 @@ from evalframe.llm.word_cache import no_cycle_collection
 # A class is frequent on this share of a host's pages; text blocks become
 # template only on hosts of so many pages.
 SUPPORT, LEAST_PAGES = 0.5, 5
+# A template's text block is on this share of the pages that have its element.
+NEARLY = 0.8
 # The element of the main text holds this share of the slots' text.
 MAIN_SHARE = 0.6
 # Templates of so many bytes in all are broadcast; larger ones are joined by host.
@@ -146,7 +151,7 @@ def _short(text: str) -> int:
 
 # --------------------------------------------------------------- page tokens
 
-_TOKENS = "host string, page long, kind int, token long, path string, named boolean, n long, chars long"
+_TOKENS = "host string, page long, kind int, token long, path string, named boolean, n long, chars long, content long"
 # Levels of the path of a rare element that are told apart, and the rest.
 LEVELS, _REST = 5, "/*"
 
@@ -155,14 +160,15 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """One row per page and token: ``kind`` 0 for an element, 1 for a text
     block of the element ``path``; ``named``, whether an element beyond
     ``LEVELS`` is boilerplate by name; ``n`` occurrences, ``chars`` of text of
-    the block or directly in the element."""
+    the block or directly in the element; ``content``, the same for copies of
+    a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycle_collection():
             for b in batches:
                 rows = []
                 for host, page, source in zip(text_list(b.column(0)), b.column(1).to_pylist(), text_list(b.column(2))):
-                    elements, chars, texts = Counter(), Counter(), Counter()
+                    elements, chars, texts, content = Counter(), Counter(), Counter(), _short(source)
                     for path, _, text in blocks(source):
                         if text:
                             texts[path, text] += 1
@@ -170,14 +176,14 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         else:
                             elements[path] += 1
                     for path in {*elements, *chars}:
-                        rows.append((host, page, 0, _short(path), path, any(map(_is_boilerplate, path.split("/")[LEVELS + 1:])), elements[path] or 1, chars[path]))
+                        rows.append((host, page, 0, _short(path), path, any(map(_is_boilerplate, path.split("/")[LEVELS + 1:])), elements[path] or 1, chars[path], content))
                     for (path, text), n in texts.items():
-                        rows.append((host, page, 1, _short(f"{path}\0{text}"), path, False, n, n * len(text)))
+                        rows.append((host, page, 1, _short(f"{path}\0{text}"), path, False, n, n * len(text), content))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     names = [f.split()[0] for f in _TOKENS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
     return pages.select("host", F.monotonically_increasing_id().alias("page"), "html").mapInArrow(run, _TOKENS)
 
 
@@ -216,9 +222,13 @@ def _template(pdf: pd.DataFrame) -> pd.DataFrame:
     ones = [p for p, s, n, a, b in zip(elements["path"], elements["support"], elements["total"], elements["s0"], elements["s1"])
             if p in frequent and (n == s or classes[a, b] > 1)]
     valid = [p for p in ones if all(q in frequent for q in _ancestors(p))]
-    # a text block is the template's own if it is on all pages that have its class
-    texts = pdf[(pdf["kind"] == 1) & (pdf["support"] >= pages) & (pages >= LEAST_PAGES)]
-    texts = texts[np.array([classes[a, b] > 0 for a, b in zip(texts["s0"], texts["s1"])], dtype=bool)]
+    nested = set(valid)
+    # a frequent text block is the template's own if it has a class, or is on nearly all pages that have its element
+    texts = pdf[(pdf["kind"] == 1) & (pdf["support"] >= SUPPORT * pages) & (pages >= LEAST_PAGES) & ~pdf["copies"]]
+    support = dict(zip(elements["path"], elements["support"]))
+    vectors = {(a, b) for p, a, b in zip(elements["path"], elements["s0"], elements["s1"]) if p in nested}
+    texts = texts[np.array([(a, b) in vectors or s >= NEARLY * support.get(p, pages)
+                            for p, s, a, b in zip(texts["path"], texts["support"], texts["s0"], texts["s1"])], dtype=bool)]
     # the slots' text of each element: all but the template's own
     chars = Counter({p: int(n) for p, n in zip(elements["path"], elements["chars"])})
     chars.subtract(Counter(dict(texts.groupby("path")["chars"].sum().astype(int))))
@@ -249,7 +259,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     # two sums of 31-bit hashes: they overflow at no less than 2^32 pages
     # a token has one path: strings as keys, not as first values, spare a sort
     vectors = tokens.groupBy("host", "kind", "token", "path", "named").agg(
-        F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"),
+        F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"), (F.min("content") == F.max("content")).alias("copies"),
         F.sum("chars").alias("chars"), F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("s0"),
         F.sum(F.shiftrightunsigned(h, 33)).alias("s1"))
     pages = tokens.where("kind = 0").groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("n_pages"))
@@ -259,7 +269,7 @@ def templates(tokens: DataFrame) -> DataFrame:
             .withColumn("path", F.when((F.col("kind") == 0) & (F.col("support") < F.lit(SUPPORT) * F.col("n_pages")),
                                        F.concat(F.substring_index("path", "/", LEVELS + 1), F.when(F.col("named"), f"{_REST}/aside").otherwise(_REST))).otherwise(F.col("path"))))
     rows = rows.groupBy("host", "kind", "path", F.when(F.col("kind") == 1, F.col("token")).otherwise(F.lit(0)).alias("token")).agg(
-        F.max("support").alias("support"), F.max("total").alias("total"),
+        F.max("support").alias("support"), F.max("total").alias("total"), F.min("copies").alias("copies"),
         F.sum("chars").alias("chars"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("n_pages").alias("n_pages"))
     return rows.groupBy("host").applyInPandas(_template, "host string, main string, own array<long>, kept array<string>")
 

@@ -191,6 +191,21 @@ def test_named_elements_round_the_main_text(spark, wrapper):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_template_text_that_some_pages_lack(spark):
+    """One page lacks the line of the others, two are of another kind; copies of a page are no template."""
+    def page(i: int, line: str = "<p>Thank you for reading</p>") -> str:
+        return f"<html><body><div class=x><div class=y><h2>Title {i}</h2><p>Body text number {i}</p>{line}</div></div></body></html>"
+    sources = [page(i) for i in range(9)] + [page(9, "")] + [f"<html><body><h1>Error {i}</h1></body></html>" for i in (10, 11)]
+    pages = [(i, f"http://a.b/{i}", source) for i, source in enumerate(sources)]
+    want = {i: f"Title {i} Body text number {i}" for i in range(10)} | {i: f"Error {i}" for i in (10, 11)}
+    pages += [(20 + i, "http://c.d/", page(1, "<ul><li>one</li><li>two</li></ul>") if i < 4 else page(i, "")) for i in range(6)]
+    want |= {20 + i: "Title 1 Body text number 1 one two" if i < 4 else f"Title {i} Body text number {i}" for i in range(6)}
+    pages += [(30 + i, "http://e.f/", page(1)) for i in range(6)]
+    want |= {30 + i: "Title 1 Body text number 1 Thank you for reading" for i in range(6)}
+    got = template_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (2, "x", ""), (None, "http://a.b/c", "<p>cut off <b"), (3, "http://a.b/c", "no markup &lt;b&gt;"),
             (4, "http://e.f/", "<html><body><article>only&nbsp;one<br>page</article></body></html>"),
