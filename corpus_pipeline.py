@@ -2,8 +2,9 @@
 packing.  Each stage is one operator of ``evalframe.llm`` over all rows its
 predecessor kept; every stage but the last returns the columns of documents.
 
-* language: rejects documents without a letter, and those of which no language
-  holds ``crf_langid.LEAST_SCORE``.
+* language: rejects documents without a letter, those of which no language
+  holds ``crf_langid.LEAST_SCORE``, and those whose words are not made as in the
+  learned texts of their language (other languages, junk).
 * toxicity: rejects documents whose clauses score 0.5 or more; learned from
   the labels of the documents that are left.
 * near_duplicates: keeps one document (the smallest doc_id) of each component

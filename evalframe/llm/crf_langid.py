@@ -15,6 +15,11 @@ joined to chains, so the transitions are learned from text that switches.
 Gradients are those of the conditional likelihood (expected against observed
 counts by forward-backward), steps are Adam's.
 
+Label shares say only which learned language is nearest.  Whether a text is in
+one at all is told by its words' trigrams: a word is familiar as far as one
+language's learned texts have them, and what share of familiar text is usual
+for a language is measured on texts held out of it (``known``).
+
 Long texts do not make long loops: chains are cut into segments of ``SEGMENT``
 words that advance side by side, each as a matrix from the label before it to
 the label at its end, and these matrices are chained over the segments.  The
@@ -30,8 +35,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import chain
 
@@ -52,6 +58,11 @@ STEPS, RATE, RIDGE = 30, 0.15, 1e-6
 # Words whose label scores a worker keeps before it starts anew.
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
+# Languages of fewer held-out texts have no usual share of familiar text.
+LEAST_HELD = 10
+# A known text has so much of the usual share, with so many familiar words
+# added, as one word says little; and so much but for a line of other text.
+OF_USUAL, ADDED, OF_USUAL_LONG, LINE = 0.6, 2, 0.85, 8
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -173,12 +184,66 @@ class LanguageModel:
     weights: np.ndarray
     transition: np.ndarray
     start: np.ndarray
+    trigrams: dict[str, int] = field(default_factory=dict)  # trigram -> sum of 1 << 32 * label
+    usual: tuple[float, ...] = ()  # familiar share of almost all held-out texts of a label, 0 if not known
+
+    def familiar(self, word: str) -> float:
+        """The largest share of the word's trigrams that a language has."""
+        names = trigrams(word)
+        found = sum(self.trigrams.get(x, 0) for x in names)
+        return max(found >> 32 * j & 0xFFFFFFFF for j in range(len(self.labels))) / len(names)
+
+    def known(self, label: int, words: int, familiar: float) -> bool:
+        """``familiar``: sum over the text's words."""
+        usual = self.usual[label] if self.usual else 0.0
+        return (familiar + ADDED >= OF_USUAL * usual * (words + ADDED)) and (words - familiar <= LINE + (1 - OF_USUAL_LONG * usual) * words)
+
+
+def trigrams(word: str) -> set[str]:
+    w = f"^{word}$"
+    return {w[i:i + 3] for i in range(len(w) - 2)}
+
+
+def _trigrams(texts: list[list[str]], marks: list[int]) -> dict[str, int]:
+    """Trigrams of two texts of a label, or of one if there are few."""
+    out: dict[str, int] = {}
+    for label, n in Counter(marks).items():
+        counts = Counter()
+        for words, mark in zip(texts, marks):
+            if mark == label:
+                counts.update(set().union(*map(trigrams, set(words))))
+        for name, times in counts.items():
+            if times >= min(2, n // LEAST_HELD + 1):
+                out[name] = out.get(name, 0) + (1 << 32 * label)
+    return out
+
+
+def _familiarity(texts: list[str], marks: list[int], labels: list[str]) -> tuple[dict[str, int], tuple[float, ...]]:
+    """The trigrams of all texts, and the usual shares by every second text of
+    a language held out of those of the others."""
+    words = [words_of(t) for t in texts]
+    held, seen = [], Counter()
+    for mark in marks:
+        held.append(seen[mark] % 2 == 1)
+        seen[mark] += 1
+    half = LanguageModel(labels, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), _trigrams(
+        [w for w, h in zip(words, held) if not h], [m for m, h in zip(marks, held) if not h]))
+    shares: dict[int, list[float]] = {j: [] for j in range(len(labels))}
+    cache: dict[str, float] = {}
+    for w, mark, h in zip(words, marks, held):
+        if h and w:
+            for x in w:
+                if x not in cache:
+                    cache[x] = half.familiar(x)
+            shares[mark].append(sum(cache[x] for x in w) / len(w))
+    return _trigrams(words, marks), tuple(float(np.quantile(s, 0.01)) if len(s) >= LEAST_HELD else 0.0 for s in shares.values())
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 0) -> LanguageModel:
     labels = sorted(set(langs))
     k = max(1, len(labels))
-    zero = LanguageModel(labels, np.zeros((ROWS, k), np.float32), np.zeros((k, k)), np.zeros(k))
+    familiarity = _familiarity(texts, [labels.index(x) for x in langs], labels)
+    zero = LanguageModel(labels, np.zeros((ROWS, k), np.float32), np.zeros((k, k)), np.zeros(k), *familiarity)
     number: dict[str, int] = {}
     windows, marks = [], []
     for text, lang in zip(texts, langs):
@@ -216,7 +281,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 0) -> LanguageModel:
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p += RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
-    return LanguageModel(labels, parameters[0].astype(np.float32), parameters[1], parameters[2])
+    return LanguageModel(labels, parameters[0].astype(np.float32), parameters[1], parameters[2], *familiarity)
 
 
 def train(docs: DataFrame, usable: Callable[[F.Column], F.Column] | None = None) -> LanguageModel:
@@ -256,9 +321,32 @@ class _WordScores(dict):
         return row
 
 
+class _Familiar(dict):
+    """Word -> its familiar share; anew beyond ``CACHE_WORDS``."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        share = self[word] = self.model.familiar(word)
+        return share
+
+
 class Labeller:
     def __init__(self, model: LanguageModel):
-        self.model, self.scores = model, _WordScores(model)
+        self.model, self.scores, self.familiar = model, _WordScores(model), _Familiar(model)
+
+    def known(self, texts: list[str], labels: list[str]) -> list[bool]:
+        """Whether the texts are in the languages they are labelled with."""
+        number = {x: j for j, x in enumerate(self.model.labels)}
+        out = []
+        for text, label in zip(texts, labels):
+            words = words_of(text) if label in number else []
+            out.append(bool(words) and self.model.known(number[label], len(words), sum(map(self.familiar.__getitem__, words))))
+        return out
 
     def labels(self, texts: list[str], group_words: int = 200_000) -> list[tuple[str, float]]:
         """(language, score) of each text."""
@@ -292,16 +380,21 @@ class Labeller:
         return out
 
 
-def with_language(docs: DataFrame, model: LanguageModel, label: str, score: str) -> DataFrame:
+def with_language(docs: DataFrame, model: LanguageModel, label: str, score: str, checked: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, the language of ``text`` and its
-    score: a map, no shuffle."""
+    score: a map, no shuffle.  ``checked``: texts that are not known have the
+    language ``und`` and score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS x languages weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         with no_cycle_collection():
             for b in batches:
-                found = labeller.labels(text_list(b.column(at)))
+                texts = text_list(b.column(at))
+                found = labeller.labels(texts)
+                if checked:
+                    known = labeller.known(texts, [f[0] for f in found])
+                    found = [f if ok else (UNKNOWN, 0.0) for f, ok in zip(found, known)]
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                     names=[*b.schema.names, label, score])
@@ -325,9 +418,10 @@ LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows whose text has a language that holds ``LEAST_SCORE`` of it."""
+    """The rows whose text is known and has a language that holds
+    ``LEAST_SCORE`` of it."""
     label = unused_name("_lang", docs.columns)
     score = unused_name("_score", [*docs.columns, label])
-    return (with_language(docs, model, label, score)
+    return (with_language(docs, model, label, score, checked=True)
             .where((F.col(label) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

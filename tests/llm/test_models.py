@@ -78,6 +78,27 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 5, None, 7, 8}
 
 
+@pytest.mark.parametrize("langs", [["en"], ["de", "en"], ["de", "en", "es", "fr"]])
+def test_language_stage_rejects_what_is_not_learned(spark, langs):
+    """Whatever the number of languages; clean texts are kept, also short ones with a license line."""
+    docs = pd.read_parquet(f"{SF_MID}/documents.parquet")
+    docs = docs[docs.lang.isin(langs)].sort_values("doc_id")
+    model = crf_langid.fit(docs.text.tolist()[::2], docs.lang.tolist()[::2])
+    rng = np.random.default_rng(0)
+    junk = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n))
+    finnish = "Suomen kieli kuuluu uralilaisten kielten itämerensuomalaiseen ryhmään ja sitä puhuu noin viisi miljoonaa ihmistä"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"
+    dutch = "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten " * 4
+    bad = [junk(5), junk(40), junk(400), finnish, polish, dutch, "Съешь ещё этих мягких французских булок да выпей чаю"]
+    clean = docs.text.tolist()[1::2]
+    short = [" ".join(t.split()[:12]) for t in clean[:100]]
+    good = clean + short + [f"{t} This file is licensed under the Apache License, Version 2.0" for t in short]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(good + bad)]
+    kept = {r["doc_id"] for r in crf_langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), model).collect()}
+    assert not [t for i, t in enumerate(good + bad) if i >= len(good) and i in kept]
+    assert len(set(range(len(good))) - kept) == 0
+
+
 # ------------------------------------------------------------------ toxicity
 
 def test_grammar_by_clause():
