@@ -18,8 +18,9 @@ no other can be among the results of any query), and equal queries are
 searched once: a vector that a third of the rows share costs one search.
 Entries are dealt into regions of neighbouring cells of about ``REGION``
 entries, a larger cell into several, and a query visits a region only if a
-cell of its list lies there.  Results per region are the best few, merged by
-query.
+cell of its list lies there.  The queries of a region are dealt into blocks of
+about ``BLOCK``, each with the region's entries, so both sides of a group are
+bounded.  Results per group are the best few, merged by query.
 
 Defined results: null and zero vectors, vectors with null or non-finite
 components, of another dimension than most, or with a null id take no part;
@@ -31,6 +32,7 @@ are returned; an empty table gives no rows; columns other than ``vec_id`` and
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +46,8 @@ from evalframe.llm.common import hashed_sample, saved
 
 SAMPLE, TRIALS, TARGET = 20_000, 200, 0.97
 REGION = 4_096
+# Queries of a region that are searched in one group, about.
+BLOCK = 4_096
 # Best entries a region sends on for a query, beyond the k + 1 that can be
 # results: they are ranked anew by scores that do not depend on the block.
 MARGIN = 8
@@ -136,6 +140,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _mixed(key: int) -> int:
+    """A hash of an id: ids may have a common divisor."""
+    return zlib.crc32(key.to_bytes(8, "little", signed=True))
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise, each row on its own: equal vectors give equal scores."""
     a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
@@ -189,10 +198,15 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     wanted = index.share * n
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries, once for each block of their region's queries."""
         _, _, regions = shared.value
         for b in batches:
-            at = [regions[c][0] + key % regions[c][1] for c, key in zip(b.column(3).to_pylist(), b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["region", *b.schema.names])
+            at = np.array([regions[c][0] + key % regions[c][1] for c, key in zip(b.column(3).to_pylist(), b.column(0).to_pylist())], dtype=np.int64)
+            blocks = np.array([shared_blocks.value.get(r, 0) for r in at.tolist()], dtype=np.int64)
+            for block in range(int(blocks.max(initial=0))):
+                take = np.flatnonzero(blocks > block)
+                yield pa.RecordBatch.from_arrays([pa.array(at[take]), pa.array(np.full(len(take), block)), *(c.take(pa.array(take)) for c in b.columns)],
+                                                 names=["region", "block", *b.schema.names])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sizes, regions = shared.value
@@ -242,9 +256,19 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     query_keys = saved(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("_vec"))
                        .join(entries.select("key", "vec"), F.col("_vec") == F.col("vec")).select("query_id", "key", "vec"), "queries")
     distinct = query_keys.select(F.col("key").alias("qkey"), F.col("vec").alias("qvec")).dropDuplicates(["qkey"])
-    left = placed.mapInArrow(dealt, "region long, key long, ids array<long>, vec array<double>, cell long")
-    right = distinct.mapInArrow(asked, "region long, qkey long, qvec array<double>, cells array<long>")
-    found = left.groupBy("region").cogroup(right.groupBy("region")).applyInPandas(
+    # a row per region
+    visits = distinct.mapInArrow(asked, "region long, qkey long, qvec array<double>, cells array<long>")
+    blocks = {r["region"]: -(-r["n"] // BLOCK) for r in visits.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared_blocks = spark.sparkContext.broadcast(blocks)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in asked(batches):
+            block = [_mixed(key) % shared_blocks.value[r] for r, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(block, pa.int64()), *b.columns[1:]], names=["region", "block", *b.schema.names[1:]])
+
+    left = placed.mapInArrow(dealt, "region long, block long, key long, ids array<long>, vec array<double>, cell long")
+    right = distinct.mapInArrow(blocked, "region long, block long, qkey long, qvec array<double>, cells array<long>")
+    found = left.groupBy("region", "block").cogroup(right.groupBy("region", "block")).applyInPandas(
         ranked, "qkey long, key long, ids array<long>, score double")
     # k + 1 results of every distinct query vector, so that its own rows can be left out
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "id")

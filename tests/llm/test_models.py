@@ -266,6 +266,25 @@ def test_op2_recall(spark):
     assert (rows.sort_values(["query_id", "rank"]).groupby("query_id").score.diff().dropna() <= 0).all()
 
 
+def test_queries_of_a_region_are_dealt_into_blocks(spark, monkeypatch):
+    """No group has many queries, and the results do not depend on the blocks."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(600, 8)).tolist())], "vec_id long, embedding array<double>")
+    sides, apply = [], PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, *a: (sides.append((self._gd1, self._gd2)), apply(self, *a))[1])
+    got = {}
+    for block in (4096, 20):
+        monkeypatch.setattr(multi_index, "BLOCK", block, raising=False)
+        found = multi_index.search(df, F.col("vec_id") % 3 == 0).collect()
+        got[block] = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 12)) for r in found}
+        most = max(r["count"] for r in sides[-1][1].count().collect())
+        entries = max(r["count"] for r in sides[-1][0].count().collect())
+        assert most <= 2 * block and entries <= multi_index.REGION
+    assert len(got[20]) == 1000 and got[20] == got[4096]
+
+
 def test_neighbours_odd_rows(spark):
     """Equal vectors beyond k, ties to the smaller id, vectors without a direction."""
     same = [(i, [1.0, 2.0, 2.0]) for i in range(0, 40)]
