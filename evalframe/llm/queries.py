@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import (
-    crf_langid, fraction_sketch, importance_resampling, multi_index, packing, piece_bpe, simhash_covering, template_extract, token_files, token_rollups,
-    toxicity_grammar,
+    crf_langid, fraction_sketch, importance_resampling, mil_quality, multi_index, packing, piece_bpe, simhash_covering, spelling_variants,
+    template_extract, token_files, token_rollups, toxicity_grammar,
 )
 from evalframe.llm.common import prepare, read_table, saved
 from evalframe.session import scratch_dir
@@ -119,15 +119,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word", 1, 4096)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, one label fold in five held out."""
+    return mil_quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 5, 0.3)
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn towards the benchmark's texts."""
     return importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its form and root."""
+    return spelling_variants.group(read_table(spark, sf_dir, "documents"), least=3, every=97)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_piece_bpe, op2_multi_index, op3_main_text, op4_fraction_sketch, op5_simhash, op6_token_files, op7_toxicity,
-        op8_token_counts, op9_language, op10_packing, op12_resample,
+        op8_token_counts, op9_language, op10_packing, op11_quality, op12_resample,
+        op13_spelling,
     )
 }
 
