@@ -7,22 +7,20 @@ column only; bytes are joined once, last, right before the responder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.assets import data_url, is_url, resolve_path
+from evalframe.sources import asset_listing as AL
 
 
 def read_assets(spark: SparkSession, root: str, glob: str | None = None, with_content: bool = True) -> DataFrame:
-    """File listing (``path``, ``length``, optionally ``content``) via the
-    ``binaryFile`` source (A8).  ``with_content=False`` reads metadata only."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root)
-    df = df.withColumn("path", F.regexp_replace("path", "^file:", ""))
-    cols = ["path", "length"] + (["content"] if with_content else [])
-    return df.select(*cols)
+    """File listing (``path``, ``length``, optionally ``content``) of all files
+    below ``root`` whose name matches ``glob`` (A8).  Files are listed and read
+    in tasks (``sources.asset_listing``); none of their names is held by the
+    driver.  ``with_content=False`` opens no file."""
+    files = AL.list_assets(spark, root, glob).select("path", "length")
+    return AL.with_content(files, root) if with_content else files
 
 
 def explode_refs(items: DataFrame, id_col: str, images_col: str, base_dir: str | None,
@@ -51,27 +49,28 @@ def missing_assets(refs: DataFrame, manifest: DataFrame, path_col: str = "path")
 
 def resolve_assets(items: DataFrame, manifest: DataFrame, id_col: str = "id", images_col: str = "images",
                    base_dir: str | None = None) -> DataFrame:
-    """Per item: resolved image paths in order, and how many are missing.
-
-    Explode with position (items without images keep one empty row), left-join
-    the manifest's path column, and regroup by item: one shuffle for the join
-    (none when the planner broadcasts a small manifest) and one for the
-    regroup.  A group is one item's image list.  The harness raised on the
-    first missing file; ``n_missing`` reports it so a caller can fail or filter.
+    """Per item (``id_col`` is its key): resolved image paths in order, and how
+    many are missing (J5).
+
+    Paths are resolved within the item's row.  Only distinct local references
+    are shuffled, once, to be held against the manifest (null and URL
+    references cannot be in it); what comes back is a count for each item that
+    misses a file, which AQE broadcasts if it is as small as it mostly is.
+    The harness raised on the first missing file; ``n_missing`` reports it so a
+    caller can fail or filter.
     """
-    refs = explode_refs(items, id_col, images_col, base_dir, keep_empty=True)
-    files = manifest.select(F.col("path").alias("_file")).distinct().withColumn("_exists", F.lit(True))
-    # only paths that can be in the manifest take part in the join: the rows
-    # of items without images would all meet in the partition of null
-    local = refs.where(F.col("path").isNotNull() & ~is_url("path"))
-    others = refs.where(F.col("path").isNull() | is_url("path")).withColumn("_exists", F.lit(None).cast("boolean"))
-    checked = local.join(files, local["path"] == files["_file"], "left").drop("_file").unionByName(others)
-    missing = F.col("path").isNotNull() & ~F.coalesce(F.col("_exists"), is_url("path"))
-    grouped = checked.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("pos", "path")))).alias("_refs"),
-        F.sum(F.when(missing, 1).otherwise(0)).cast("int").alias("n_missing"),
-    )
-    return grouped.select(id_col, F.transform("_refs", lambda r: r["path"]).alias("resolved_images"), "n_missing")
+    def resolved(ref: Column) -> Column:
+        return F.when(is_url(ref), ref).otherwise(resolve_path(F.lit(base_dir), ref) if base_dir is not None else ref)
+
+    paths = F.filter(images_col, lambda r: r.isNotNull())
+    rows = items.select(id_col, F.coalesce(F.transform(paths, resolved), F.array().cast("array<string>")).alias("resolved_images"))
+    local = F.filter("resolved_images", lambda p: ~is_url(p))
+    counted = F.transform(F.array_distinct(local), lambda p: F.struct(
+        p.alias("path"), F.size(F.filter(local, lambda q: q == p)).alias("times")))
+    refs = rows.select(F.col(id_col).alias("_id"), F.explode(counted).alias("r")).select("_id", "r.path", "r.times")
+    missing = missing_assets(refs, manifest).groupBy("_id").agg(F.sum("times").cast("int").alias("_n"))
+    return (rows.join(missing, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+            .select(id_col, "resolved_images", F.coalesce("_n", F.lit(0)).alias("n_missing")))
 
 
 def attach_data_urls(refs: DataFrame, assets: DataFrame, path_col: str = "path") -> DataFrame:

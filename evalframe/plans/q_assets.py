@@ -15,6 +15,7 @@ from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans.catalog import register
 from evalframe.session import scratch_dir
+from evalframe.sources import asset_listing as AL
 
 BASE = "/data/assets"
 
@@ -70,7 +71,15 @@ SELECT id, path FROM (SELECT id, {_RESOLVED_SQL} AS path FROM refs) r
 WHERE NOT (starts_with(path, 'http://') OR starts_with(path, 'https://'))
   AND NOT EXISTS (SELECT 1 FROM store s WHERE s.path = r.path)""")
 def missing_assets(spark: SparkSession, sf: str) -> DataFrame:
-    return A.missing_assets(_resolved(spark, sf).select("id", "path"), store(spark, sf).select("path")).select("id", "path")
+    """E3 against files: the store is written below a folder of its own, a
+    hundred pages a directory, and listed in tasks; then the references are
+    held against the names that the store's layout gives them."""
+    root = scratch_dir(spark, "asset-store").removeprefix("file:")
+    shard = F.concat(F.lit("/"), F.regexp_extract("path", r"(\d*?)\d{0,2}\.jpg$", 1), F.lit("/"), F.substring_index("path", "/", -1))
+    AL.write_files(store(spark, sf).select(F.concat(F.lit(root), shard).alias("path"), "content"), root)
+    files = A.read_assets(spark, root, glob="*.jpg", with_content=False)
+    named = files.select(F.concat(F.lit(BASE + "/images/"), F.substring_index("path", "/", -1)).alias("path"))
+    return A.missing_assets(_resolved(spark, sf).select("id", "path"), named).select("id", "path")
 
 
 @register("data_url", "SELECT page_id AS id, 'data:image/jpeg;base64,' || to_base64(encode(html)) AS data_url FROM pages")
@@ -119,13 +128,13 @@ SELECT page_id AS id, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length,
        'data:image/jpeg;base64,' || to_base64(encode(html || chr(10))) AS data_url
 FROM pages""")
 def read_asset_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A8 on real files: every page's bytes become one file (the text sink
-    ends it with a newline), listed and read back with the ``binaryFile``
-    source, then encoded (E4).  A file is known by its content's digest, so no
-    directory a page is needed; equal pages share one."""
-    root = scratch_dir(spark, "asset-files")
-    pages = fx.table(spark, sf, "pages").select("page_id", "html")
-    pages.select("html").write.mode("overwrite").option("maxRecordsPerFile", 1).text(root)
-    files = A.read_assets(spark, root, glob="part-*").select(F.md5("content").alias("digest"), "length", E.data_url("content").alias("data_url"))
-    ids = pages.select(F.col("page_id").alias("id"), F.md5(F.concat("html", F.lit("\n"))).alias("digest"))
-    return ids.join(files.dropDuplicates(["digest"]), "digest").select("id", "length", "data_url")
+    """A8 on real files: every page's bytes and a newline become one file, a
+    hundred pages a directory; the files are listed and read in tasks, then
+    encoded (E4)."""
+    root = scratch_dir(spark, "asset-files").removeprefix("file:")
+    pid = F.col("page_id")
+    name = F.concat(F.lit(root + "/"), F.floor(pid / 100).cast("string"), F.lit("/"), pid.cast("string"), F.lit(".jpg"))
+    AL.write_files(fx.table(spark, sf, "pages").select(name.alias("path"), F.concat("html", F.lit("\n")).cast("binary").alias("content")), root)
+    files = A.read_assets(spark, root, glob="*.jpg")
+    number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long")
+    return files.select(number.alias("id"), "length", E.data_url("content").alias("data_url"))

@@ -34,6 +34,8 @@ REQUIRED_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
+    # Filters reach the asset listing, which then leaves out whole directories.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
