@@ -10,9 +10,10 @@ A responder is any object with
 
     respond(requests: list[dict]) -> list[str]
 
+(or, in the place of an answer, the exception by which that request failed),
 where each request has ``prompt`` (text or rendered chat string), ``messages``
 (optional), ``images`` (optional), ``gen_params`` (optional, normalised for
-the backend) and ``row`` (the input row as a dict).
+the backend), ``row`` (the input row as a dict) and ``attempt`` (from 1).
 Raise ``NotFoundError`` if the model does not exist, and one of ``retryable``
 (connection, timeout, ``RetryableError``) for a failure that may pass.  A
 factory that closes over its configuration can carry a ``responder_id``, by
@@ -31,7 +32,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,10 +100,35 @@ class EchoChoiceResponder:
         return out
 
 
+class DownResponder:
+    """A client whose every call fails for now."""
+
+    input_columns = ()
+    wants_messages = False
+
+    def respond(self, requests: list[dict]) -> list[str]:
+        raise ConnectionError("down")
+
+
+class BusyResponder:
+    """A client that answers with the recorded response, but not before
+    attempt ``id % 7 + 1``, and takes no request of an ``id`` divisible by 11."""
+
+    input_columns = ("id", "recorded_response")
+    wants_messages = False
+
+    def respond(self, requests: list[dict]) -> list:
+        def one(r: dict):
+            if r["row"]["id"] % 11 == 0:
+                return ValueError("bad item")
+            return ConnectionError("busy") if r["attempt"] <= r["row"]["id"] % 7 else r["row"]["recorded_response"]
+        return [one(r) for r in requests]
+
+
 _WORKER_RESPONDERS: dict[str, Any] = {}
 
 
-def _worker_responder(key: str, make_responder: Callable[[], Any]) -> Any:
+def worker_responder(key: str, make_responder: Callable[[], Any]) -> Any:
     """One responder per Python worker process and key."""
     if key not in _WORKER_RESPONDERS:
         _WORKER_RESPONDERS[key] = make_responder()
@@ -126,44 +152,54 @@ def retry_waits(attempts: int, first_wait: float = RETRY_FIRST_WAIT, factor: flo
     return [first_wait * factor ** i for i in range(max(attempts - 1, 0))]
 
 
-def retry_wait_schedule(attempts: Column, first_wait: float = RETRY_FIRST_WAIT, factor: float = RETRY_FACTOR) -> Column:
-    """The same waits for a column of attempts, as an array."""
-    before = F.sequence(F.lit(0), F.greatest(attempts.cast("int") - 2, F.lit(0)))
-    waits = F.transform(before, lambda i: F.lit(first_wait) * F.pow(F.lit(factor), i))
-    return F.when(attempts >= 2, waits).otherwise(F.array().cast("array<double>"))
-
-
-def _answers(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float, factor: float,
-             sleep: Callable[[float], None], retryable: tuple) -> list[tuple[str | None, int, str | None, float]]:
+def answers(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float, factor: float,
+            sleep: Callable[[float], None], retryable: tuple) -> list[tuple[str | None, int, str | None, float]]:
     """(answer, attempts, error, waited) of each request.
 
-    The whole list is sent again after a retryable failure, with growing
-    waits; when attempts run out all of it failed (an outage is waited for
-    once, not once a row).  Any other failure is not repeated: the list is
-    halved until the requests that cause it stand alone.
+    An exception in the place of an answer is the failure of that request
+    alone.  After a retryable failure of a call its whole list is sent again,
+    after one of single requests those, with growing waits; when attempts run
+    out they failed (an outage is waited for once, not once a row).  A call
+    that fails otherwise is not repeated: the list is halved until the requests
+    that cause it stand alone.
     """
-    waited = 0.0
+    out: list = [None] * len(reqs)
+    todo, waited = list(range(len(reqs))), 0.0
     for i in range(max_attempts):
         try:
-            got = responder.respond(reqs)
-            if len(got) != len(reqs):
-                raise ValueError(f"{len(got)} answers to {len(reqs)} requests")
-            return [(a, i + 1, None, waited) for a in got]
-        except NotFoundError as e:
-            return [(None, i + 1, f"not_found: {e}", waited)] * len(reqs)
-        except retryable as e:
-            if i == max_attempts - 1:
-                return [(None, i + 1, f"exhausted: {type(e).__name__}: {e}", waited)] * len(reqs)
-            w = first_wait * factor ** i
-            sleep(w)
-            waited += w
+            got = responder.respond([{"attempt": i + 1, **reqs[j]} for j in todo])
+            if len(got) != len(todo):
+                raise ValueError(f"{len(got)} answers to {len(todo)} requests")
+        except (NotFoundError, *retryable) as e:
+            got = [e] * len(todo)
         except Exception as e:  # noqa: BLE001 - becomes an error row
-            if len(reqs) == 1:
-                return [(None, i + 1, f"failed: {type(e).__name__}: {e}", waited)]
-            half = len(reqs) // 2
-            return [r for part in (reqs[:half], reqs[half:])
-                    for r in _answers(responder, part, max_attempts, first_wait, factor, sleep, retryable)]
-    return []
+            if len(todo) == 1:
+                got = [e]
+            else:
+                half = len(todo) // 2
+                rest = [r for part in (todo[:half], todo[half:])
+                        for r in answers(responder, [reqs[j] for j in part], max_attempts - i, first_wait * factor ** i, factor, sleep, retryable)]
+                for j, (answer, attempts, error, more) in zip(todo, rest):
+                    out[j] = (answer, i + attempts, error, waited + more)
+                return out
+        again = []
+        for j, a in zip(todo, got):
+            if not isinstance(a, BaseException):
+                out[j] = (a, i + 1, None, waited)
+            elif isinstance(a, NotFoundError):
+                out[j] = (None, i + 1, f"not_found: {a}", waited)
+            elif not isinstance(a, retryable):
+                out[j] = (None, i + 1, f"failed: {type(a).__name__}: {a}", waited)
+            elif i == max_attempts - 1:
+                out[j] = (None, i + 1, f"exhausted: {type(a).__name__}: {a}", waited)
+            else:
+                again.append(j)
+        if not again:
+            break
+        todo, w = again, first_wait * factor ** i
+        sleep(w)
+        waited += w
+    return out
 
 
 def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str = "prompt",
@@ -178,7 +214,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     ``batch=True`` sends a whole Arrow batch to the responder, ``batch=False``
     each row alone; a failure of a class in ``retryable`` repeats the call
     with growing waits, any other is narrowed down to the rows that cause it
-    (F2, ``_answers``).  Columns in ``pass_columns`` (default: all) are visible to the
+    (F2, ``answers``).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
 
     Model calls dominate the cost of this stage, and their cost is per row,
@@ -214,7 +250,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     visible = list(pass_columns) if pass_columns is not None else list(df.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        responder = _worker_responder(key, make_responder) if reuse else make_responder()
+        responder = worker_responder(key, make_responder) if reuse else make_responder()
         for pdf in batches:
             n = len(pdf)
             rows = pdf[visible].to_dict("records") if visible else [{}] * n
@@ -237,7 +273,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             step = (batch_size or max(len(live), 1)) if batch else 1
             for lo in range(0, len(live), step):
                 chunk = live[lo:lo + step]
-                got = _answers(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
+                got = answers(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
                 for j, found in zip(chunk, got):
                     answers[j], attempts[j], errors[j], waited[j] = found
             yield pdf.assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),

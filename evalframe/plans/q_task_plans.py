@@ -18,7 +18,7 @@ from evalframe.functions import prompts as C
 from evalframe.functions import requests as RQ
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
-from evalframe.operators.respond import DigestResponder, ReplayResponder, respond, retry_wait_schedule
+from evalframe.operators.respond import BusyResponder, DigestResponder, DownResponder, ReplayResponder, respond
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans import task_plans as PL
@@ -27,6 +27,7 @@ from evalframe.plans.q_runs import matrix
 from evalframe.plans.q_scoring import _acc_sql
 from evalframe.session import scratch_dir
 from evalframe.sinks import writers as W
+from evalframe.streaming import retries as RT
 
 MODEL = "replay-model"
 
@@ -58,12 +59,50 @@ SELECT id, attempts, array_to_string(list_transform(range(0, attempts - 1), lamb
        10e0 * (pow(2, attempts - 1) - 1) AS waited_s
 FROM (SELECT id, CAST(k AS INTEGER) AS attempts FROM choice_items)""")
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    """the waits before each repeated attempt, for calls of up to as many
-    attempts as an item has choices (2 to 5)."""
-    waits = retry_wait_schedule(F.col("attempts"))
-    return fx.choice_items(spark, sf).select("id", F.col("k").cast("int").alias("attempts")).select(
-        "id", "attempts", F.array_join(F.transform(waits, lambda w: w.cast("long").cast("string")), ",").alias("waits"),
-        F.aggregate(waits, F.lit(0.0), lambda a, w: a + w).alias("waited_s"))
+    """the waits before each repeated attempt of a client that is down, for
+    requests of up to as many attempts as their item has choices (2 to 5): read
+    from the attempts that the retry stream made."""
+    items = fx.choice_items(spark, sf).select(F.col("id").cast("string").alias("request"), F.lit(None).cast("string").alias("payload"),
+                                              F.col("k").cast("int").alias("most"))
+    tried = _retried(spark, items, DownResponder)[0].groupBy("request").agg(
+        F.max("attempt").alias("attempts"), F.array_sort(F.collect_list(F.struct("attempt", "wait_s"))).alias("tries"))
+    waits = F.transform(F.filter("tries", lambda t: t["attempt"] > 1), lambda t: t["wait_s"])
+    return tried.select(F.col("request").cast("long").alias("id"), "attempts",
+                        F.array_join(F.transform(waits, lambda w: w.cast("long").cast("string")), ",").alias("waits"),
+                        F.aggregate(waits, F.lit(0.0), lambda a, w: a + w).alias("waited_s"))
+
+
+# A second of the retry queries' waits: the schedule is 10, 20, 40, 80 of them.
+SECOND = 0.002
+
+
+def _retried(spark: SparkSession, items: DataFrame, make_responder) -> list[DataFrame]:
+    """Attempts, answers and dead letters of the items' requests, from files
+    through the retry stream."""
+    d = scratch_dir(spark, "retries")
+    items.write.mode("overwrite").parquet(d + "/requests")
+    stream = spark.readStream.schema(items.schema).parquet(d + "/requests")
+    n = spark.read.schema(items.schema).parquet(d + "/requests").count()
+    RT.run_until_settled(lambda told: RT.retry_stream(stream, make_responder, d, d + "/checkpoint", most_col="most", second=SECOND,
+                                                      on_batch=told), n)
+    return [spark.read.schema(RT.table_schema(kind)).parquet(f"{d}/{RT.TABLES[kind][0]}") if RT.written(spark, d, kind)
+            else spark.createDataFrame([], RT.table_schema(kind)) for kind in RT.TABLES]
+
+
+@register("retry_stream", O.with_(O.CHOICE_ITEMS) + """
+SELECT id, CASE WHEN id % 11 = 0 OR id % 7 >= 5 THEN NULL ELSE recorded_response END AS raw_response,
+       CAST(CASE WHEN id % 11 = 0 THEN 1 ELSE least(id % 7 + 1, 5) END AS INTEGER) AS attempts,
+       CASE WHEN id % 11 = 0 THEN 0e0 ELSE 10e0 * (pow(2, least(id % 7, 4)) - 1) END AS waited_s,
+       CASE WHEN id % 11 = 0 THEN 'failed: ValueError: bad item' WHEN id % 7 >= 5 THEN 'exhausted: ConnectionError: busy' END AS error
+FROM choice_responses""")
+def retry_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 over all items with a client that is busy for the first ``id % 7``
+    attempts of an item and cannot take every eleventh."""
+    items = fx.choice_responses(spark, sf).select(F.col("id").cast("string").alias("request"),
+                                                  F.to_json(F.struct("id", "recorded_response")).alias("payload"), F.lit(5).alias("most"))
+    _, answered, dead = _retried(spark, items, BusyResponder)
+    rows = answered.unionByName(dead, allowMissingColumns=True)
+    return rows.select(F.col("request").cast("long").alias("id"), "raw_response", "attempts", "waited_s", "error")
 
 
 # ---------------------------------------------------------------------------
