@@ -103,7 +103,8 @@ def _shares(codes: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
         hashed = np.add.reduceat((codes[held].astype(np.uint64) + np.uint64(7)) * powers[place], np.flatnonzero(place == 0))
         pairs = hashed[1:] * np.uint64(31) + hashed[:-1]
     owner, length = passage[starts], np.bincount(word[held], minlength=len(starts))
-    total = np.bincount(owner, minlength=n).clip(1)
+    words = np.bincount(owner, minlength=n)
+    total = words.clip(1)
     same = owner[1:] == owner[:-1]
 
     def distinct(of: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ def _shares(codes: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
         out[:, -4] = distinct(owner[1:][same], pairs[same]) / np.bincount(owner[1:][same], minlength=n).clip(1)
     out[:, -3] = np.log1p(mean)
     out[:, -2] = np.log1p(np.sqrt(np.maximum(0, np.bincount(owner, length.astype(float) ** 2, n) / total - mean ** 2)))
-    out[:, -1] = np.log1p(total)
+    out[:, -1] = np.log1p(words)
     return out
 
 
