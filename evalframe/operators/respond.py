@@ -152,7 +152,7 @@ def retry_waits(attempts: int, first_wait: float = RETRY_FIRST_WAIT, factor: flo
     return [first_wait * factor ** i for i in range(max(attempts - 1, 0))]
 
 
-def answers(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float, factor: float,
+def ask(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float, factor: float,
             sleep: Callable[[float], None], retryable: tuple) -> list[tuple[str | None, int, str | None, float]]:
     """(answer, attempts, error, waited) of each request.
 
@@ -178,7 +178,7 @@ def answers(responder: Any, reqs: list[dict], max_attempts: int, first_wait: flo
             else:
                 half = len(todo) // 2
                 rest = [r for part in (todo[:half], todo[half:])
-                        for r in answers(responder, [reqs[j] for j in part], max_attempts - i, first_wait * factor ** i, factor, sleep, retryable)]
+                        for r in ask(responder, [reqs[j] for j in part], max_attempts - i, first_wait * factor ** i, factor, sleep, retryable)]
                 for j, (answer, attempts, error, more) in zip(todo, rest):
                     out[j] = (answer, i + attempts, error, waited + more)
                 return out
@@ -214,7 +214,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     ``batch=True`` sends a whole Arrow batch to the responder, ``batch=False``
     each row alone; a failure of a class in ``retryable`` repeats the call
     with growing waits, any other is narrowed down to the rows that cause it
-    (F2, ``answers``).  Columns in ``pass_columns`` (default: all) are visible to the
+    (F2, ``ask``).  Columns in ``pass_columns`` (default: all) are visible to the
     responder as ``request["row"]``.
 
     Model calls dominate the cost of this stage, and their cost is per row,
@@ -273,7 +273,7 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             step = (batch_size or max(len(live), 1)) if batch else 1
             for lo in range(0, len(live), step):
                 chunk = live[lo:lo + step]
-                got = answers(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
+                got = ask(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
                 for j, found in zip(chunk, got):
                     answers[j], attempts[j], errors[j], waited[j] = found
             yield pdf.assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),

@@ -36,6 +36,7 @@ from evalframe.plans import task_plans as PL
 from evalframe.schemas import ITEM_SCHEMAS
 from evalframe.session import apply_required_conf
 from evalframe.sinks import writers as W
+from evalframe.sinks.run_table import RUN_COLUMNS, RunTable
 from evalframe.sources import readers as RD
 
 SCORE_COLUMNS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name", "accuracy",
@@ -62,14 +63,33 @@ def _score_frame(df: DataFrame) -> DataFrame:
 FAMILY_OF_SUB_TASK = {"selection": "selection", "generation": "generation"}
 
 
-def _export(spark: SparkSession, results_root: str, out: str, combos: list, model_type: str, model_name: str) -> None:
+def _export(spark: SparkSession, results: str | RunTable, out: str, combos: list, model_type: str, model_name: str) -> None:
     """JSON Lines export of this call's runs, one family at a time."""
-    results = W.read_results(spark, results_root, fmt="parquet")
     for lg, task, sub_task in combos:
         family = FAMILY_OF_SUB_TASK.get(sub_task, "classification")
-        mine = results.where((F.col("lang") == lg) & (F.col("task") == task) & (F.col("sub_task") == sub_task)
-                             & (F.col("model_type") == model_type) & (F.col("model_name") == model_name))
-        W.export_jsonl(mine, out, family)
+        run = dict(zip(RUN_COLUMNS, (task, sub_task, lg, model_type, model_name)))
+        if isinstance(results, RunTable):
+            mine = results.current(run).drop("item_key", "item_copy")
+        else:
+            mine = W.read_results(spark, results, fmt="parquet")
+            for column, value in run.items():
+                mine = mine.where(F.col(column) == value)
+        W.export_jsonl(mine.drop("call"), out, family)
+
+
+def _commit_scores(spark: SparkSession, scores: DataFrame, combos: list, model_type: str, model_name: str, root: str,
+                   sub_subtasks: Sequence[str] | None) -> DataFrame:
+    """Each combination's scores as a commit that replaces its earlier ones."""
+    table, out = RunTable(spark, root), None
+    for lg, task, sub_task in combos:
+        run = dict(zip(RUN_COLUMNS, (task, sub_task, lg, model_type, model_name)))
+        mine = scores.where((F.col("task") == task) & (F.col("sub_task") == sub_task)).withColumn("error", F.lit(None).cast("string"))
+        table.commit(table.copies(mine, ["sub_subtask"]), run, table.log(), True, sub_subtasks)
+        kept = table.current(run).select(*scores.columns)
+        if sub_subtasks is not None:
+            kept = kept.where(F.col("sub_subtask").isNull() | F.col("sub_subtask").isin(list(sub_subtasks)))
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def _require_images(spark: SparkSession, items: DataFrame, image_dir: str) -> None:
@@ -91,7 +111,7 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
              strict: bool = False, max_parallel: int = 1, resume: bool = False,
              export_jsonl: bool = False, system_texts: Mapping[tuple[str, str], Mapping[str, str]] | None = None,
              templates: Mapping[tuple[str, str], Mapping[str, str]] | None = None,
-             check_images: bool = True) -> DataFrame | None:
+             check_images: bool = True, isolated: bool = False) -> DataFrame | None:
     """Run every requested (task, sub_task) for one model and language.
 
     Returns the score rows of the scored combinations (generation has none),
@@ -110,6 +130,9 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
     (keyed by sub_subtask and the item id) and appends them; it runs the
     combinations one after another, since appends to one table from
     concurrent jobs are not isolated the way partition overwrites are.
+    ``isolated=True`` keeps the results in commits (``sinks.run_table``): then
+    resumed runs may be concurrent, in one call or in several, and a run that
+    is killed while it writes leaves nothing behind that is read.
     """
     apply_required_conf(spark)
     if family == "route":
@@ -120,8 +143,8 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
     else:
         base_name = spark.range(1).select(C.model_basename(F.lit(model_name))).first()[0]
     model_name = base_name
-    if resume and max_parallel > 1:
-        raise ValueError("resume appends to the result table: use max_parallel=1")
+    if resume and max_parallel > 1 and not isolated:
+        raise ValueError("resume appends to the result table: use max_parallel=1, or isolated=True")
     reg = R.registry(spark, registry_rows, data_root)
     req = spark.createDataFrame([(lang, list(tasks), list(sub_tasks))],
                                 "lang string, tasks array<string>, sub_tasks array<string>")
@@ -135,6 +158,8 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
 
     results_root, scores_root = f"{save_dir.rstrip('/')}/results", f"{save_dir.rstrip('/')}/scores"
 
+    results: str | RunTable = RunTable(spark, results_root) if isolated else results_root
+
     def run_combo(item: tuple[tuple[str, str, str], list]) -> DataFrame | None:
         (lg, task, sub_task), rows = item
         schema = ITEM_SCHEMAS[(task, sub_task)]
@@ -162,7 +187,7 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
                      templates=C.templates(lg) | dict((templates or {}).get((task, lg), {})))
         keep = [f.name for f in schema.fields] + ["sub_subtask"]
         # an item is known by all its columns: ids may be null or shared
-        common = dict(results_root=results_root, keep=keep, resume=resume, resume_keys=keep)
+        common = dict(results_root=results, keep=keep, resume=resume, resume_keys=keep)
         if sub_task == "generation":
             PL.eval_generation(spark, items, run, make_responder, with_images=(task == "perception"), **common)
             return None
@@ -197,9 +222,12 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
         if out is not None:
             scores = out if scores is None else scores.unionByName(out)
     if export_jsonl:
-        _export(spark, results_root, f"{save_dir.rstrip('/')}/jsonl", list(by_combo), model_type, model_name)
+        _export(spark, results, f"{save_dir.rstrip('/')}/jsonl", list(by_combo), model_type, model_name)
     if scores is None:
         return None
+    if isolated:
+        return _commit_scores(spark, scores, [c for c in by_combo if FAMILY_OF_SUB_TASK.get(c[2]) != "generation"], model_type, model_name,
+                              scores_root, sub_subtasks)
     W.write_scores(scores, scores_root)
     back = W.read_results(spark, scores_root, scores.schema)
     mine = F.lit(False)

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.constants import MULTI_CHOICE_SUB_SUBTASKS, SELECTION_SUB_SUBTASKS
+from evalframe.operators.respond import ReplayResponder
 from evalframe.plans import fixtures as fx
 from evalframe.plans import q_task_plans as Q
+from evalframe.plans import task_plans as PL
 from evalframe.plans.catalog import register
 from evalframe.plans.evaluate import evaluate
 from evalframe.schemas import ITEM_SCHEMAS
 from evalframe.session import scratch_dir
 from evalframe.sinks import writers as W
+from evalframe.sinks.run_table import RUN_COLUMNS, RunTable
 
 MODEL = "org/gpt-4-replay"
 # The field of an item that holds its recorded answer.
@@ -99,3 +102,40 @@ def evaluate_run(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumns({"accuracy": F.lit(None).cast("double"), "n_invalid": F.lit(0).cast("long"),
                              "average_distance": F.lit(None).cast("double"), "n_distance": F.lit(0).cast("long")})
     return scores.unionByName(rows.select(*scores.columns))
+
+
+class FlakyReplay(ReplayResponder):
+    """Fails for every fourth item."""
+
+    input_columns = ("id", "recorded_response")
+
+    def respond(self, requests: list[dict]) -> list:
+        return [ValueError("flaky") if r["row"]["id"] % 4 == 0 else a for r, a in zip(requests, super().respond(requests))]
+
+
+class SecondReplay(ReplayResponder):
+    """Marks its answers."""
+
+    def respond(self, requests: list[dict]) -> list[str]:
+        return [a + " (second)" for a in super().respond(requests)]
+
+
+@register("resume_run", Q.O.with_(Q.O.CHOICE_ITEMS) + """
+SELECT id, copy, recorded_response || CASE WHEN id % 3 = 0 OR id % 4 = 0 THEN ' (second)' ELSE '' END AS raw_response,
+       CAST(NULL AS VARCHAR) AS error
+FROM choice_responses, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR id % 5 = 0""")
+def resume_run(spark: SparkSession, sf: str) -> DataFrame:
+    """P8 resumed over all items, every fifth of them twice: a first run that
+    saw two thirds and failed for some, a writer that was killed before it
+    published, then the resumed run."""
+    items = fx.choice_responses(spark, sf)
+    items = items.unionByName(items.where(F.col("id") % 5 == 0))
+    table = RunTable(spark, scratch_dir(spark, "resumed"))
+    run = Q._run("perception", "selection", "en")
+    answer = lambda df, responder, resume: PL.eval_selection(
+        spark, df, run, responder, results_root=table, keep=("id", "object", "all_ids_with_term"), resume=resume)
+    answer(items.where(F.col("id") % 3 != 0), FlakyReplay, False)
+    table._stage(table.current({k: getattr(run, k) for k in RUN_COLUMNS}))
+    answer(items, SecondReplay, True)
+    rows = table.current({k: getattr(run, k) for k in RUN_COLUMNS})
+    return rows.select("id", F.col("item_copy").cast("int").alias("copy"), "raw_response", "error")

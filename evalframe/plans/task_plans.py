@@ -18,6 +18,7 @@ model twice, and a lost executor after the write costs nothing but a re-read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -37,6 +38,7 @@ from evalframe.operators import metrics as M
 from evalframe.operators.respond import respond
 from evalframe.session import scratch_dir
 from evalframe.sinks import writers as W
+from evalframe.sinks.run_table import KEYS, RUN_COLUMNS, RunTable
 
 
 @dataclass
@@ -134,7 +136,7 @@ def _skip_done(prompted: DataFrame, done: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, make_responder: Callable[[], Any],
-                         results_root: str | None, keep: Sequence[str], images_col: str | None = None,
+                         results_root: str | RunTable | None, keep: Sequence[str], images_col: str | None = None,
                          responder_partitions: int | None = None, results_format: str | None = None,
                          typed: bool = True, resume: bool = False,
                          resume_keys: Sequence[str] | None = None,
@@ -150,15 +152,24 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     ``placeholder_mismatch``; the harness raised).  ``resume=True`` skips keys
     already in this run's results (null-safe ``left_anti`` on ``resume_keys``,
     default all kept item columns) and appends, so a re-run after a crash calls
-    the model only for the missing rows; failed rows are asked again, and only
-    rows without an error are read back for an item that has one.  A model that
-    does not exist fails the run.  ``derived`` columns of the parsed rows are
-    saved with them.
+    the model only for the missing rows; failed rows are asked again, and of
+    failed rows only this call's are read back (``call`` names the call that
+    wrote a row).  A model that does not exist for any row of this call fails
+    the run.  With a ``RunTable`` for ``results_root`` the rows are committed to
+    it, isolated from other writers, and items are known by their digest and
+    copy.  ``derived`` columns of the parsed rows are saved with them.
     """
     root = results_root or scratch_dir(spark, "results")
     fmt = results_format or RESULTS_FORMAT
-    if resume:
-        rkeys = list(resume_keys or keep)
+    table, call = (root if isinstance(root, RunTable) else None), uuid.uuid4().hex
+    rkeys = list(resume_keys or keep)
+    if table is not None:
+        seen, known = table.log(), {k: getattr(run, k) for k in RUN_COLUMNS}
+        prompted = table.copies(prompted, rkeys)
+        keep = [*keep, *KEYS]
+        if resume:
+            prompted = table.pending(prompted, known, seen)
+    elif resume:
         done = _done_keys(spark, root, run, rkeys, fmt)
         if done is not None:
             prompted = _skip_done(prompted, done, rkeys)
@@ -168,7 +179,7 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
     wants_messages = getattr(make_responder, "wants_messages", True)
     inputs = getattr(make_responder, "input_columns", None)
     if inputs is None:
-        inputs = [c for c in prompted.columns if c not in ("messages", "few_shot", "few_shot_messages")]
+        inputs = [c for c in prompted.columns if c not in ("messages", "few_shot", "few_shot_messages", *KEYS)]
     needed = list(dict.fromkeys(list(keep) + ["zero_shot", "prompt", "placeholder_error"] + list(inputs)
                                 + ([sent_images] if sent_images else []) + (["messages"] if wants_messages else [])))
     narrow = req.select(*needed)
@@ -177,25 +188,33 @@ def _respond_and_persist(spark: SparkSession, prompted: DataFrame, run: Run, mak
                        skip_col="placeholder_error", partitions=responder_partitions, gen_params=gen_params)
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response")).withColumns(derived or {})
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
-                       model_name=run.model_name)
-    cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error", *(derived or {})]
+                       model_name=run.model_name).withColumn("call", F.lit(call))
+    cols = list(dict.fromkeys(list(keep) + ["zero_shot", "raw_response", "parsed", "attempts", "error", "call", *(derived or {})]
                               + list(W.RESULT_PARTITIONS)))
     out = tagged.select(*cols)
+    if table is not None:
+        written = table.commit(out, known, seen, replaces=not resume, sub_subtasks=sub_subtasks)
+        _require_model(run, spark.read.schema(out.schema).parquet(f"{table.root}/rows/commit={written}"))
+        return C.select_sub_subtasks(table.current(known, out.schema), sub_subtasks)
     W.write_results(out, root, fmt=fmt, mode="append" if resume else "overwrite")
     back = W.read_results(spark, root, out.schema, fmt=fmt)
     mine = back.where((F.col("task") == run.task) & (F.col("sub_task") == run.sub_task) & (F.col("lang") == run.lang)
                       & (F.col("model_type") == run.model_type) & (F.col("model_name") == run.model_name))
     if sub_subtasks is not None:  # earlier runs of other sub_subtasks lie in the same table
         mine = C.select_sub_subtasks(mine, sub_subtasks)
-    gone = mine.where(F.col("error").startswith("not_found")).select("error").first()
-    if gone is not None and not resume:
-        raise RuntimeError(f"{run.model_name}: {gone['error']}")
-    if resume:  # of an item that failed before and was answered now, the answer
-        answered_keys = mine.where("error IS NULL").select(*[F.col(k).alias(f"_done_{k}") for k in rkeys]).distinct()
-        mine = mine.where("error IS NULL").unionByName(_skip_done(mine.where("error IS NOT NULL"), answered_keys, rkeys))
+    asked = mine.where(F.col("call") == call)
+    _require_model(run, asked)
+    if resume:  # what failed before was asked again
+        mine = mine.where("error IS NULL").unionByName(asked.where("error IS NOT NULL"))
     return mine
 
 
+def _require_model(run: Run, written: DataFrame) -> None:
+    gone = written.where(F.col("error").startswith("not_found")).select("error").first()
+    if gone is not None:
+        raise RuntimeError(f"{run.model_name}: {gone['error']}")
+
+
 def _finish_scores(spark: SparkSession, scores: DataFrame, scores_root: str | None) -> DataFrame:
     if scores_root is None:
         return scores

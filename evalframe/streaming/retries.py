@@ -38,7 +38,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructType
 
 from evalframe.constants import RETRY_ATTEMPTS, RETRY_FACTOR, RETRY_FIRST_WAIT
-from evalframe.operators.respond import RETRYABLE, answers, responder_key, worker_responder
+from evalframe.operators.respond import RETRYABLE, ask, responder_key, worker_responder
 from evalframe.sinks import writers as W
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -110,7 +110,7 @@ class RetryProcessor(StatefulProcessor):
         rows = [json.loads(p) if p else {} for p, *_ in requests.values()]
         sent = [{**{k: r.get(k) for k in ("prompt", "images", "messages", "gen_params")}, "row": r, "attempt": tried + 1}
                 for r, (_, tried, _, _) in zip(rows, requests.values())]
-        got = answers(self.responder, sent, 1, 0.0, 1.0, lambda s: None, self.retryable)
+        got = ask(self.responder, sent, 1, 0.0, 1.0, lambda s: None, self.retryable)
         out = []
         for (request, (payload, tried, most, waited)), (answer, _, error, _) in zip(requests.items(), got):
             attempt = tried + 1

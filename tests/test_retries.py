@@ -11,7 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from evalframe.operators.respond import NotFoundError, RetryableError, answers
+from evalframe.operators.respond import NotFoundError, RetryableError, ask
 from evalframe.streaming import retries as R
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -147,7 +147,7 @@ def test_single_failures_of_a_call_are_repeated_alone():
             return super().respond(requests)
 
     rows = [{"id": 1}, {"id": 2, "busy": 2}, {"id": 3, "bad": "yes"}, {"id": 4, "busy": 1}, {"id": 5, "busy": 9}]
-    got = answers(Client(), [{"row": r} for r in rows], 4, 10.0, 2.0, waits.append, (RetryableError,))
+    got = ask(Client(), [{"row": r} for r in rows], 4, 10.0, 2.0, waits.append, (RetryableError,))
     assert calls == [[1, 2, 3, 4, 5], [2, 4, 5], [2, 5], [5]] and waits == [10.0, 20.0, 40.0]
     want = plain(rows, 4)
     assert [(g[0], g[1], g[3], g[2]) for g in got] == [want[str(r["id"])][:3] + (want[str(r["id"])][3],) for r in rows]
