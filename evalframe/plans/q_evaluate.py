@@ -1,19 +1,24 @@
-"""Registered query: a whole run through ``evaluate`` over item files.
+"""Registered queries: whole runs through ``evaluate`` over item files.
 
 The items of every combination are written as JSON Lines in the registry's
-layout, with each item's recorded answer in a field that no plan reads;
-``evaluate`` reads them back, routes the model, asks the responder, saves
-results and scores.
+layout, with each item's recorded answer in a field that no plan reads, and
+few-shot files of examples chosen from all conversations; ``evaluate`` reads
+them back, routes the model, attaches the examples, asks the responder, saves
+results and scores.  The responder reads the messages it is sent: its answer is
+the item's recorded one and their digest, which SQL computes from the templates.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalframe.constants import MULTI_CHOICE_SUB_SUBTASKS, SELECTION_SUB_SUBTASKS
-from evalframe.operators.respond import ReplayResponder
+from evalframe.operators.respond import DigestResponder, ReplayResponder
+from evalframe.functions import prompts as C
 from evalframe.plans import fixtures as fx
+from evalframe.plans import oracles as O
 from evalframe.plans import q_task_plans as Q
 from evalframe.plans import task_plans as PL
 from evalframe.plans.catalog import register
@@ -27,22 +32,23 @@ MODEL = "org/gpt-4-replay"
 # The field of an item that holds its recorded answer.
 ANSWER_FIELDS = ("image_url", "naturalness_str", "label_str", "correct_terms")
 # One call of ``evaluate`` each: language, task, sub_tasks.
+SECTIONS = {"selection": SELECTION_SUB_SUBTASKS, "multiple_choice_classification": MULTI_CHOICE_SUB_SUBTASKS}
 CALLS = (("ja", "perception", ("generation", "selection")), ("ja", "commonsense", ("generation", "classification")),
          ("ja", "taxonomic", ("a_b_classification", "yes_no_classification", "multiple_choice_classification")),
          ("en", "perception", ("selection",)), ("en", "commonsense", ("classification",)))
 
 
-class FieldReplay:
-    """Answers with what the item's answer field holds."""
+class FieldReplay(DigestResponder):
+    """Answers with what the item's answer field holds, then the digest of what
+    it was sent."""
 
-    wants_messages = False
-    reuse_across_tasks = True
+    input_columns = None
 
     def respond(self, requests: list[dict]) -> list[str]:
         out = []
-        for r in requests:
+        for r, digest in zip(requests, super().respond(requests)):
             held = next(r["row"][f] for f in ANSWER_FIELDS if f in r["row"])
-            out.append(held if isinstance(held, str) else held[0])
+            out.append(f"{held if isinstance(held, str) else held[0]} #{digest}")
         return out
 
 
@@ -56,24 +62,52 @@ def _write_items(items: DataFrame, path: str, task: str, sub_task: str) -> None:
     W.write_jsonl(items.select(*[(have.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema]), path)
 
 
+# A few-shot file holds as many examples.
+N_SHOTS = 5
+
+
+def few_shot_file(spark: SparkSession, sf: str, part: int, parts: int) -> DataFrame:
+    """The shortest examples of the conversations of one part, shortest first."""
+    pairs = fx.few_shot_pairs(spark, sf).where(F.col("fs_id") % parts == part)
+    return pairs.orderBy(F.length("user") + F.length("assistant"), "fs_id", "ord").limit(N_SHOTS).select("user", "assistant", "images")
+
+
+_SHOTS_SQL = f"""
+shots AS (
+  SELECT parts, part, string_agg('user[text=' || "user" || ']|assistant[text=' || assistant || ']', '|' ORDER BY r) AS shots
+  FROM (SELECT *, row_number() OVER (PARTITION BY parts, part ORDER BY length("user") + length(assistant), fs_id, ord) AS r
+        FROM (SELECT *, fs_id % parts AS part FROM few_shot_pairs, (SELECT unnest([1, 4, 5]) AS parts)))
+  WHERE r <= {N_SHOTS} GROUP BY parts, part)"""
+
+
 def _write_inputs(spark: SparkSession, sf: str, root: str) -> None:
-    shots = fx.few_shot_pairs(spark, sf).orderBy("fs_id", "ord").limit(3).select("user", "assistant", "images")   # three examples a run
     votes = fx.votes_long(spark, sf).groupBy("item").agg(F.collect_list("vote").alias("naturalness_by_worker"))   # an item's votes
     choices, pairs = fx.choice_responses(spark, sf), Q.pair_items(spark, sf)
     rated = pairs.join(votes, pairs["id"] == votes["item"], "left")
     for lang, task, sub_tasks in CALLS:
         for sub_task in sub_tasks:
             base = f"{root}/{task}/{sub_task}"
-            parts = {"selection": SELECTION_SUB_SUBTASKS, "multiple_choice_classification": MULTI_CHOICE_SUB_SUBTASKS}.get(sub_task)
-            if parts:
-                for part in parts:
-                    _write_items(choices.where(F.col("sub_subtask") == part), f"{base}/{part}/{lang}.jsonl", task, sub_task)
-                    W.write_jsonl(shots, f"{base}/{part}/few_shot_{lang}.jsonl")
+            sections = SECTIONS.get(sub_task)
+            if sections:
+                for i, section in enumerate(sections):
+                    _write_items(choices.where(F.col("sub_subtask") == section), f"{base}/{section}/{lang}.jsonl", task, sub_task)
+                    W.write_jsonl(few_shot_file(spark, sf, i, len(sections)), f"{base}/{section}/few_shot_{lang}.jsonl")
                 continue
             items = {"generation": lambda: Q.generation_items(spark, sf, task == "perception"), "classification": lambda: rated,
                      "yes_no_classification": lambda: Q.yes_no_items(spark, sf), "a_b_classification": lambda: Q.a_b_items(spark, sf)}[sub_task]()
             _write_items(items, f"{base}/{lang}.jsonl", task, sub_task)
-            W.write_jsonl(shots, f"{base}/few_shot_{lang}.jsonl")
+            W.write_jsonl(few_shot_file(spark, sf, 0, 1), f"{base}/few_shot_{lang}.jsonl")
+
+
+def _whole_run(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Scores of all nine combinations, and the folder of their results."""
+    data, out = scratch_dir(spark, "evaluate-data"), scratch_dir(spark, "evaluate-out")
+    _write_inputs(spark, sf, data)
+    scores = None
+    for lang, task, sub_tasks in CALLS:
+        got = evaluate(spark, [task], list(sub_tasks), lang, "api", MODEL, FieldReplay, out, data_root=data)
+        scores = got if scores is None else scores.unionByName(got)
+    return scores, f"{out}/results"
 
 
 _GENERATED_SQL = " UNION ALL ".join(
@@ -86,24 +120,62 @@ _GENERATED_SQL = " UNION ALL ".join(
 @register("evaluate_run", f"""
 SELECT * REPLACE ('gpt-4-replay' AS model_name) FROM (
 SELECT task, sub_task, sub_subtask, lang, model_type, model_name, accuracy, n_rows, n_invalid, average_distance, n_distance
-FROM ({Q._P8_SQL}) UNION ALL ({Q.O.with_(Q.O.CHOICE_ITEMS)} {_GENERATED_SQL}))""")
+FROM ({Q._P8_SQL}) UNION ALL ({O.with_(O.CHOICE_ITEMS)} {_GENERATED_SQL}))""")
 def evaluate_run(spark: SparkSession, sf: str) -> DataFrame:
     """Score rows of all nine combinations, and the answered rows of the
     generation runs, which have no score."""
-    data, out = scratch_dir(spark, "evaluate-data"), scratch_dir(spark, "evaluate-out")
-    _write_inputs(spark, sf, data)
-    scores = None
-    for lang, task, sub_tasks in CALLS:
-        got = evaluate(spark, [task], list(sub_tasks), lang, "api", MODEL, FieldReplay, out, data_root=data)
-        scores = got if scores is None else scores.unionByName(got)
+    scores, results = _whole_run(spark, sf)
     scores = Q._round(scores).select(*Q.SCORE_COLS, "average_distance", "n_distance")
-    generated = W.read_results(spark, f"{out}/results", fmt="parquet").where("sub_task = 'generation' and error is null")
+    generated = W.read_results(spark, results, fmt="parquet").where("sub_task = 'generation' and error is null")
     rows = generated.groupBy("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.withColumns({"accuracy": F.lit(None).cast("double"), "n_invalid": F.lit(0).cast("long"),
                              "average_distance": F.lit(None).cast("double"), "n_distance": F.lit(0).cast("long")})
     return scores.unionByName(rows.select(*scores.columns))
 
 
+_LIST = "array_to_string(i.all_ids_with_term, ', ')"
+
+
+def _sent_sql(lang: str, task: str, sub_task: str) -> str:
+    """What a combination's items are sent, and what is answered."""
+    systems, templates = C.system_texts(lang), C.templates(lang)
+    sections = SECTIONS.get(sub_task)
+    items, key, slots = {
+        "selection": ("choice_responses", "selection", {"object": "i.object", "choices": _LIST}),
+        "multiple_choice_classification": ("choice_responses", "multi_choice", {"choices": _LIST}),
+        "generation": ("(SELECT *, lower(object) || ' looks smooth and cool' AS recorded_response FROM choice_items)", "generation", {"object": "i.object"}),
+        "classification": ("pair_items", f"pair_rating_{lang}", {"object": "i.object", "term": "i.term"}),
+        "yes_no_classification": ("yes_no_items", "yes_no", {"term": "'word' || i.id"}),
+        "a_b_classification": ("a_b_items", "a_b", {"choices": "'A:rough' || i.id || ', B:smooth' || i.id"}),
+    }[sub_task]
+    system = O.lit(systems["pair_rating" if sub_task == "classification" else key])
+    section, part, where = "CAST(NULL AS VARCHAR)", "0", ""
+    if sections:
+        part = "CASE i.sub_subtask " + " ".join(f"WHEN '{x}' THEN {n}" for n, x in enumerate(sections)) + " END"
+        section, where = "i.sub_subtask", "WHERE i.sub_subtask IN (" + ", ".join(f"'{x}'" for x in sections) + ")"
+    if sub_task == "selection":
+        system = f"CASE WHEN i.sub_subtask = 'random' THEN {O.lit(systems['selection_random'])} ELSE {system} END"
+    image = "'image=images/' || i.id || '.jpg,' || " if (task, sub_task) == ("perception", "generation") else ""
+    return f"""
+SELECT '{task}' AS task, '{sub_task}' AS sub_task, {section} AS sub_subtask, '{lang}' AS lang, CAST(i.id AS BIGINT) AS id,
+       i.recorded_response AS answer,
+       md5('system[text=' || {system} || ']|' || coalesce(s.shots || '|', '') || 'user[' || {image}'text=' || {O.render_sql(templates[key], **slots)} || ']') AS digest
+FROM {items} i LEFT JOIN shots s ON s.parts = {len(sections) if sections else 1} AND s.part = {part} {where}"""
+
+
+@register("evaluate_requests", O.with_(O.CHOICE_ITEMS, O.PAIR_ITEMS, O.YES_NO, O.A_B, O.FEW_SHOT_PAIRS, _SHOTS_SQL) + " UNION ALL ".join(
+    _sent_sql(lang, task, sub_task) for lang, task, sub_tasks in CALLS for sub_task in sub_tasks))
+def evaluate_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """P3, P4, P6, P7 and the others as a whole run sends them: every item's
+    request (system text, examples from its few-shot file, image, prompt) and
+    its answer, from the saved results."""
+    _, results = _whole_run(spark, sf)
+    saved = W.read_results(spark, results, T.StructType.fromDDL(
+        "id long, image_id string, raw_response string, task string, sub_task string, sub_subtask string, lang string"), fmt="parquet")
+    return saved.select("task", "sub_task", "sub_subtask", "lang", F.coalesce("id", F.col("image_id").cast("long")).alias("id"),
+                        F.expr("left(raw_response, length(raw_response) - 34)").alias("answer"), F.expr("right(raw_response, 32)").alias("digest"))
+
+
 class FlakyReplay(ReplayResponder):
     """Fails for every fourth item."""
 
@@ -120,7 +192,7 @@ class SecondReplay(ReplayResponder):
         return [a + " (second)" for a in super().respond(requests)]
 
 
-@register("resume_run", Q.O.with_(Q.O.CHOICE_ITEMS) + """
+@register("resume_run", O.with_(O.CHOICE_ITEMS) + """
 SELECT id, copy, recorded_response || CASE WHEN id % 3 = 0 OR id % 4 = 0 THEN ' (second)' ELSE '' END AS raw_response,
        CAST(NULL AS VARCHAR) AS error
 FROM choice_responses, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR id % 5 = 0""")

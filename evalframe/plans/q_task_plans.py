@@ -331,6 +331,57 @@ def request_yes_no(spark: SparkSession, sf: str) -> DataFrame:
     return _sent(spark, root)
 
 
+def _request_pair_rating(spark: SparkSession, sf: str, lang: str, votes: DataFrame | None) -> DataFrame:
+    root = scratch_dir(spark, "requests")
+    run = _run("commonsense", "classification", lang)
+    run.system_texts, run.templates = C.system_texts(lang), C.templates(lang)
+    PL.eval_pair_rating(spark, pair_items(spark, sf), run, DigestResponder, votes=votes, results_root=root, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
+def _pair_request_sql(lang: str) -> str:
+    return O.with_(O.PAIR_ITEMS, O.FEW_SHOT_PAIRS) + _digest_sql(
+        "pair_items", "", O.lit(C.system_texts(lang)["pair_rating"]),
+        "'text=' || " + O.render_sql(C.templates(lang)[f"pair_rating_{lang}"], object="i.object", term="i.term"))
+
+
+@register("request_pair_rating_votes", _pair_request_sql("ja"))
+def request_pair_rating_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """P3's requests: the Japanese five-point question; votes are not sent."""
+    return _request_pair_rating(spark, sf, "ja", fx.votes_long(spark, sf))
+
+
+@register("request_pair_rating", _pair_request_sql("en"))
+def request_pair_rating(spark: SparkSession, sf: str) -> DataFrame:
+    """P4's requests: the English question."""
+    return _request_pair_rating(spark, sf, "en", None)
+
+
+@register("request_a_b", O.with_(O.A_B, O.FEW_SHOT_PAIRS) + _digest_sql(
+    "a_b_items", "", O.lit(C.system_texts("ja")["a_b"]),
+    "'text=' || " + O.render_sql(C.templates("ja")["a_b"], choices="'A:rough' || i.id || ', B:smooth' || i.id")))
+def request_a_b(spark: SparkSession, sf: str) -> DataFrame:
+    """P6's requests: two lettered options on a line of their own."""
+    root = scratch_dir(spark, "requests")
+    run = _run("taxonomic", "a_b_classification", "ja")
+    run.system_texts, run.templates = C.system_texts("ja"), C.templates("ja")
+    PL.eval_a_b(spark, a_b_items(spark, sf), run, DigestResponder, results_root=root, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
+@register("request_multi_choice", O.with_(O.CHOICE_ITEMS, O.FEW_SHOT_PAIRS) + _digest_sql(
+    "choice_items", "WHERE i.sub_subtask <> 'random'", O.lit(C.system_texts("ja")["multi_choice"]),
+    "'text=' || " + O.render_sql(C.templates("ja")["multi_choice"], choices=_CHOICES)))
+def request_multi_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """P7's requests: the options within the question, no object."""
+    root = scratch_dir(spark, "requests")
+    run = _run("taxonomic", "multiple_choice_classification", "ja")
+    run.system_texts, run.templates = C.system_texts("ja"), C.templates("ja")
+    items = selection_items(spark, sf).where(F.col("sub_subtask") != "random")
+    PL.eval_selection(spark, items, run, DigestResponder, results_root=root, multi_choice=True, **_shots(spark, sf))
+    return _sent(spark, root)
+
+
 # ---------------------------------------------------------------------------
 # A whole run over the resolved requests
 # ---------------------------------------------------------------------------
