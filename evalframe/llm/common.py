@@ -7,11 +7,14 @@ so every executor sees them and a lost executor re-runs only its own tasks.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from evalframe.operators.joins import unused_name  # noqa: F401 - used by the operators
 from evalframe.session import apply_required_conf, scratch_dir
@@ -59,6 +62,45 @@ def hashed_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     return df.orderBy(h, *keys).limit(n)
 
 
+def hashed_sample_by(df: DataFrame, group: str, totals: dict, n: int, *keys: str) -> DataFrame:
+    """The ``n`` rows of the smallest hashes of ``keys`` in each group, of
+    ``totals[group]`` rows, in one pass; about ``2 n`` rows of a group are ranked."""
+    if not totals:
+        return df.limit(0)
+    h = F.xxhash64(*keys).bitwiseAND(F.lit(0x7FFFFFFF))
+    bound = F.create_map(*[F.lit(x) for g, total in totals.items() for x in (g, int(min(1.0, (2 * n + 100) / max(1, total)) * (1 << 31)))])
+    rank, names = unused_name("_rank", df.columns), df.columns
+    ordered = Window.partitionBy(group).orderBy(h, *keys)
+    return df.where(h < bound[F.col(group)]).withColumn(rank, F.row_number().over(ordered)).where(F.col(rank) <= n).select(*names)
+
+
+# Code points of the pieces that stand for a long text.
+PIECE = 500
+
+
+def spread(text: str, most: int) -> str:
+    """The text, or about ``most`` code points of it: whole words of pieces
+    spread over the whole text, those of the smallest hashes of their number."""
+    if len(text) <= most:
+        return text
+    numbers = sorted(range(-(-len(text) // PIECE)), key=lambda i: zlib.crc32(i.to_bytes(8, "little")))[:max(1, most // PIECE)]
+    pieces = [text[i * PIECE:(i + 1) * PIECE] for i in sorted(numbers)]
+    inner = [p.split(None, 1)[-1].rsplit(None, 1)[0] if len(p.split(None, 2)) > 2 else p for p in pieces]
+    return "\n".join(inner)
+
+
+def with_spread_text(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with ``text`` shortened by ``spread`` where it is longer."""
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([None if t is None else spread(t, most) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1:]], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 _TYPES = {"long": LongType(), "double": DoubleType(), "string": StringType()}
 
 

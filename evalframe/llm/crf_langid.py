@@ -38,7 +38,6 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -46,10 +45,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import hashed_sample, schema_with, text_list, unused_name
+from evalframe.llm.common import hashed_sample_by, schema_with, text_list, unused_name, with_spread_text
 from evalframe.llm.word_cache import no_cycle_collection
 
-# Texts of a language, and characters of a text, that are learned from.
+# Texts of a language, and characters of a text (of longer ones, whole words
+# of pieces spread over all of it), that are learned from.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
 # Rows of hashed features; words of a training window; windows of a chain.
 ROWS, WINDOW, JOINED = 1 << 17, 24, 3
@@ -290,16 +290,16 @@ def train(docs: DataFrame, usable: Callable[[F.Column], F.Column] | None = None)
     if usable is not None:
         known = known.where(usable(F.col("_id")))
     known = known.distinct()
-    # as many rows as there are languages; twice as many ids as texts, as some texts are empty or long
-    langs = sorted(known.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect())
+    langs = dict(sorted(known.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()))  # as many rows as there are languages
     if not langs:
         return fit([], [])
-    chosen = reduce(DataFrame.unionByName, [hashed_sample(known.where(F.col("_l") == x), 2 * TRAIN_DOCS, n, "_id") for x, n in langs])
-    rows = (docs.select("doc_id", "lang", "text").where(F.length("text").between(1, TRAIN_CHARS))
-            .join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_l")))
-            .select("_l", F.xxhash64("_id").alias("_h"), "text").distinct()
-            .orderBy("_h", "text").limit(2 * TRAIN_DOCS * len(langs)).collect())
-    taken = [r for x, _ in langs for r in [r for r in rows if r["_l"] == x][:TRAIN_DOCS]]
+    # twice as many ids as texts, as some texts are empty
+    chosen = hashed_sample_by(known, "_l", langs, 2 * TRAIN_DOCS, "_id")
+    found = (docs.select("doc_id", "lang", "text").where(F.length("text") > 0)
+             .join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_l")))
+             .select("_l", F.xxhash64("_id").alias("_h"), "text"))
+    rows = with_spread_text(found, TRAIN_CHARS).distinct().orderBy("_h", "text").limit(2 * TRAIN_DOCS * len(langs)).collect()
+    taken = [r for x in langs for r in [r for r in rows if r["_l"] == x][:TRAIN_DOCS]]
     return fit([r["text"] for r in taken], [r["_l"] for r in taken])
 
 

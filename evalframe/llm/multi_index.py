@@ -48,9 +48,9 @@ SAMPLE, TRIALS, TARGET = 20_000, 200, 0.97
 REGION = 4_096
 # Queries of a region that are searched in one group, about.
 BLOCK = 4_096
-# Best entries a region sends on for a query, beyond the k + 1 that can be
-# results: they are ranked anew by scores that do not depend on the block.
-MARGIN = 8
+# Cosines of a block this close to the last one kept are ranked by the exact
+# score, which does not depend on the block.
+ROUNDING = 1e-9
 
 
 # -------------------------------------------------------------------- index
@@ -243,13 +243,17 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
             near = _unit(y) @ unit.T
             open_ = np.stack([np.isin(names, c) for c in block["cells"]])[:, inverse]
             near[~open_] = -np.inf
-            m = min(k + 1 + MARGIN, len(x))
-            best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            row, col = np.repeat(np.arange(len(block)), m), best.ravel()
-            good = np.isfinite(near[row, col])
-            row, col = row[good], col[good]
-            parts.append(pd.DataFrame({"qkey": block["qkey"].to_numpy()[row], "key": e["key"].to_numpy()[col],
-                                       "ids": e["ids"].to_numpy()[col], "score": cosine(y[row], x[col])}))
+            m = min(k + 1, len(x))
+            least = np.partition(near, len(x) - m, axis=1)[:, len(x) - m]
+            # all that rounding may have put below the last one kept; of equal scores the smallest keys stay
+            row, col = np.nonzero((near >= least[:, None] - ROUNDING) & np.isfinite(near))
+            score, key = cosine(y[row], x[col]), e["key"].to_numpy()[col]
+            order = np.lexsort((key, -score, row))
+            row, col, score, key = row[order], col[order], score[order], key[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            first = place <= k
+            parts.append(pd.DataFrame({"qkey": block["qkey"].to_numpy()[row[first]], "key": key[first],
+                                       "ids": e["ids"].to_numpy()[col[first]], "score": score[first]}))
         return pd.concat(parts)
 
     queries = v.where((F.size("vec") == dim) & is_query).distinct()

@@ -16,9 +16,11 @@ Slots inside elements that are boilerplate by their name (``nav``, ``footer``,
 ``aside``, a class such as ``cookie`` or ``comments``) are dropped, but an
 element that holds ``MAIN_SHARE`` of the slots' text of the host's pages is
 taken whatever its name, so no element round the main text is dropped for its
-name.  The main text is under the deepest template element that holds most of
+name.  Where a host's pages have no main element of their own in common (or a
+page does not have it), an element that holds so much of the page's text and
+has other words in its names as well is taken too.  The main text is under the deepest template element that holds most of
 the text of the remaining slots; its blocks, less the template's own, are the
-page's text.
+page's text.  Digits in names count as one, as numbered names differ by page.
 
 Occurrence vectors are never built: a vector is known by two sums over the
 host's pages of hashes of (page, count), so they are plain aggregates with
@@ -73,13 +75,17 @@ search pagination pager tags copyright legal disclaimer""".split()
 # elements of a text; the main text is inside another one
 TEXT_ELEMENTS = "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre hr".split()
 
+# The rest of a tag, taken without second thoughts: a value is quoted only after
+# "=", and outside quotes a "<" ends the attempt, so a tag that is never closed
+# is read as far as the next one and a page is scanned in linear time.
+_REST_OF_TAG = r"(?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>" + "|".join(INVISIBLE) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[a-zA-Z/!?][^<>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+    r"|<(?P<raw>" + "|".join(INVISIBLE) + r")\b" + _REST_OF_TAG + r">.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<rest>" + _REST_OF_TAG + r")>"
+    r"|<[a-zA-Z/!?][^<>]*+(?:>|\Z|(?=<))", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_CUT = re.compile(r"[^a-z]+")
+_CUT, _DIGITS = re.compile(r"[^a-z]+"), re.compile(r"\d+")
 _INLINE, _VOID = frozenset(INLINE), frozenset(VOID)
 _BOILERPLATE = frozenset(BOILERPLATE_ELEMENTS)
 _BOILERPLATE_WORDS = frozenset(BOILERPLATE_WORDS)
@@ -133,6 +139,7 @@ def blocks(source: str, kept: frozenset[str] = frozenset()) -> Iterator[tuple[st
             attributes = m.group("rest")
             path, inside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
             names = ".".join(sorted({w for found in _NAMES.findall(attributes) for w in "".join(found).lower().split()})) if attributes else ""
+            names = _DIGITS.sub("0", names)  # numbered names differ by page
             element = f"{name}.{names}".replace("/", "|") if names else name
             path = f"{path}/{element}"
             stack.append((name, path, inside or (_is_boilerplate(element) and path not in kept)))
@@ -276,22 +283,27 @@ def templates(tokens: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ extraction
 
+def _mixed(element: str) -> bool:
+    """Boilerplate by name, but with other words in its names as well."""
+    words = {w for w in _CUT.split(element.partition(".")[2]) if w}
+    return element.partition(".")[0] not in _BOILERPLATE and not words <= _BOILERPLATE_WORDS
+
+
 def main_text(source: str, main: str, own: frozenset[int], kept: frozenset[str]) -> str:
-    out = []
-    found = main == ""
-    for path, inside, text in blocks(source, kept):
-        if path == main or path.startswith(main + "/"):
-            found = True
-            if text and not inside and _short(f"{path}\0{text}") not in own:
-                out.append(text)
-    if not found:  # a page that the template does not fit: its own slots
-        slots = [(path, text) for path, _, text in blocks(source) if text and _short(f"{path}\0{text}") not in own]
+    slots = [(path, text) for path, _, text in blocks(source) if text and _short(f"{path}\0{text}") not in own]
+    below = [(path, text) for path, text in slots if main == "" or path == main or path.startswith(main + "/")]
+    found = bool(below) or any(path == main or path.startswith(main + "/") for path, _, _ in blocks(source))
+    if not found or main.count("/") <= 2:  # no element of the host's pages: what holds most of this page
         chars = Counter()
         for path, text in slots:
             chars[path] += len(text)
-        kept |= _kept(chars)
-        out = [text for path, text in slots if not _inside(path, kept)]
-    return " ".join(out)
+        page_kept = _kept(chars)
+        if not found:
+            kept |= page_kept
+            below = slots
+        else:
+            kept |= {p for p in page_kept if _mixed(p.rpartition("/")[2])}
+    return " ".join(text for path, text in below if not _inside(path, kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

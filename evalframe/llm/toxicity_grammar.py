@@ -18,8 +18,9 @@ words, so that a passage copied into many texts counts once.  The weights of
 the matches are learned by logistic regression on the same texts.  Target,
 threat, negation and report words are fixed lists.
 
-Learning takes at most ``TRAIN_DOCS`` labelled texts of each class, of at most
-``TRAIN_CHARS`` characters, those of the smallest hashes of doc_id; in the fit
+Learning takes at most ``TRAIN_DOCS`` labelled texts of each class, those of
+the smallest hashes of doc_id, and of each at most about ``TRAIN_CHARS``
+characters, spread over the whole text; no text is left out for its length.  In the fit
 a text stands for as many as its class has for each one taken, so the bias and
 the cut mean the same at every size.  Scoring reads every text whole.  Neither doc_id nor source, language or label is an
 input of a score.
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import hashed_sample, schema_with, text_list, unused_name
+from evalframe.llm.common import hashed_sample_by, schema_with, text_list, unused_name, with_spread_text
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Labelled texts of a class, and characters of a text, that are learned from.
@@ -256,13 +257,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Callable[[F.Column], F.Col
     if usable is not None:
         known = known.where(usable(F.col("_id")))
     known = known.distinct()
-    # ids of each class by hash, twice as many as needed, as some texts are long; then one scan of the texts
+    # ids of each class by hash, twice as many as needed, as some have no text; then one scan of the texts
     total = dict(known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect())
-    of_class = [hashed_sample(known.where(F.col("_y") == y), 2 * TRAIN_DOCS, total.get(y, 0), "_id") for y in (0, 1)]
-    rows = (docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
-            .join(F.broadcast(of_class[0].unionByName(of_class[1])), F.col("doc_id") == F.col("_id"))
-            .select(F.xxhash64("_id").alias("_h"), "_id", "text", "_y").distinct()
-            .orderBy("_h", "_id", "text", "_y").limit(4 * TRAIN_DOCS).collect())
+    chosen = hashed_sample_by(known, "_y", total, 2 * TRAIN_DOCS, "_id")
+    texts = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
+             .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+             .select(F.xxhash64("_id").alias("_h"), "_id", "text", "_y"))
+    rows = with_spread_text(texts, TRAIN_CHARS).distinct().orderBy("_h", "_id", "text", "_y").limit(4 * TRAIN_DOCS).collect()
     found = {y: [r for r in rows if r["_y"] == y] for y in (0, 1)}
     taken = sorted((r for y in (0, 1) for r in found[y][:TRAIN_DOCS]), key=lambda r: (r["_id"], r["_y"], r["text"]))
     # labels for each id drawn, texts found for each text taken

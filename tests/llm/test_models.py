@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -374,5 +375,100 @@ def test_pipeline_run_is_its_stages(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", k).group(1)) for k in queries.queries())
-    assert numbers == list(range(1, 11)) and corpus_pipeline.ORACLE_SQL is None
+    assert numbers == list(range(1, 14)) and corpus_pipeline.ORACLE_SQL is None
     assert set(queries.ORACLES) <= set(queries.queries())
+
+
+# ------------------------------------------------- long texts, odd markup, ties
+
+def test_spread_takes_pieces_of_the_whole_text():
+    from evalframe.llm.common import spread
+
+    text = " ".join(f"w{i}" for i in range(40_000))
+    part = spread(text, 20_000)
+    numbers = [int(w[1:]) for w in part.split()]
+    assert spread(text[:20_000], 20_000) == text[:20_000] and 15_000 < len(part) <= 21_000
+    assert set(part.split()) <= set(text.split()) and numbers == sorted(numbers)
+    assert numbers[0] < 4_000 and numbers[-1] > 36_000 and len(spread("x" * 50_000, 20_000)) <= 20_100
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    en = ["the house stands by the river and the children play there", "she wrote a letter to her brother in the evening"]
+    de = ["das haus steht am fluss und die kinder spielen dort", "sie schrieb am abend einen brief an ihren bruder"]
+    rows = [(i, " ".join(de * 300) if i % 2 else en[i % 4 // 2], "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, x in rows if x == "de") > crf_langid.TRAIN_CHARS
+    model = crf_langid.train(docs)
+    got = crf_langid.with_language(docs, model, "found", "sure").collect()
+    assert model.labels == ["de", "en"] and all(r["found"] == r["lang"] for r in got)
+
+
+def test_toxic_labels_of_long_texts_are_learned(spark):
+    prose = lambda extra: " ".join(f"word{k % 701} and so on{extra(k)}" for k in range(2_000))
+    rows = [(i, prose(lambda k: f". You grubnak x{(7 * i + k) % 53}" if k % 40 == 0 else ""), 1) for i in range(40)]  # noqa: B023
+    rows += [(100 + i, prose(lambda k: f". You x{(7 * i + k) % 53} friend" if k % 40 == 0 else ""), 0) for i in range(60)]  # noqa: B023
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert min(len(r[1]) for r in rows) > toxicity_grammar.TRAIN_CHARS
+    model = toxicity_grammar.train(docs, labels)
+    assert "grubnak" in model.insults
+    got = toxicity_grammar.scored(docs, labels, 5).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in got)
+
+
+def test_proportional_vectors_tie_to_the_smallest_ids(spark):
+    base = np.array([1.0, 2.0, 4.0, 8.0])
+    rows = [(i, [float(c) * 2.0 ** (i % 9) * (1 + i) for c in base]) for i in range(1, 41)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in multi_index.search(vectors, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(q, r, r, 1.0) for q in (20, 40) for r in range(1, 6)]
+
+
+@pytest.mark.parametrize("source", ["<a " * 100_000, "<a b=\"" * 60_000, "<a b='x' c=\"" * 40_000, "<script " * 30_000, "<p class='" + "x" * 200_000,
+                                    "<" * 200_000, "</p" * 100_000, "<a b= " * 60_000, "<!-" * 100_000, "<b " + "c=d " * 100_000])
+def test_unclosed_markup_is_read_in_linear_time(source):
+    import time
+
+    begin = time.perf_counter()
+    list(template_extract.blocks(source))
+    assert time.perf_counter() - begin < 2
+
+
+def test_tags_with_stray_quotes_and_quoted_brackets():
+    got = [t for _, _, t in template_extract.blocks("<p title=it's>one</p><p title='a > b' data-x=\"<i>\">two<p a=b' c>three <p broken <p>four") if t]
+    assert got == ["one", "two", "three", "four"]
+
+
+def test_hosts_of_several_layouts(spark):
+    """No main element in common; one wrapper has a boilerplate word in its name."""
+    def page(i: int) -> str:
+        text = f"<h1>Title {i}</h1><p>{'some words of article ' * 6}{i}</p>"
+        wrapped = [f"<article>{text}</article>", f"<main>{text}</main>", f"<div class='post has-sidebar'>{text}</div>"][(i > 3) + (i > 6)]
+        return f"<html><body><nav>Home</nav>{wrapped}<div class='comments'><p>nice {i}</p></div><footer>c {i}</footer></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", page(i)) for i in range(10)], "page_id long, url string, html string")
+    for r in template_extract.extract(pages).collect():
+        assert r["text"] == f"Title {r['page_id']} " + "some words of article " * 6 + str(r["page_id"])
+
+
+def test_numbered_names_do_not_part_the_pages(spark):
+    def page(i: int) -> str:
+        return (f"<html><body class='postid-{i}'><div id='wrap-{i}'><div id='post-{1700 + i}'><h1>Title {i}</h1><p>{'words ' * 30}{i}</p></div>"
+                f"<div class=x><p>Latest: other story {i * 3}</p></div></div></body></html>")
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", page(i)) for i in range(10)], "page_id long, url string, html string")
+    for r in template_extract.extract(pages).collect():
+        assert r["text"] == f"Title {r['page_id']} " + "words " * 30 + str(r["page_id"])
+
+
+def test_occurrence_vectors_part_tokens_as_real_ones(spark):
+    """Tokens of one summed vector are tokens of one vector of counts by page."""
+    pages = pd.read_parquet(f"{SF_SMALL}/pages.parquet").head(80)
+    frame = spark.createDataFrame(pages).withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
+    tokens = template_extract.page_tokens(frame).toPandas()
+    h = lambda p, n: xxhash.xxh64_intdigest(f"{p} {n}")
+    for _, group in tokens.groupby("host"):
+        real, summed = {}, {}
+        for token, rows in group.groupby("token"):
+            real[token] = tuple(sorted(zip(rows["page"], rows["n"])))
+            summed[token] = sum(h(p, n) & 0x7FFFFFFF for p, n in real[token]), sum(h(p, n) >> 33 for p, n in real[token])
+        assert len(set(real.values())) == len(set(summed.values()))
+        assert len({(real[t], summed[t]) for t in real}) == len(set(real.values()))
