@@ -405,8 +405,8 @@ def test_a_language_of_long_texts_only_is_learned(spark):
 
 def test_toxic_labels_of_long_texts_are_learned(spark):
     prose = lambda extra: " ".join(f"word{k % 701} and so on{extra(k)}" for k in range(2_000))
-    rows = [(i, prose(lambda k: f". You grubnak x{(7 * i + k) % 53}" if k % 40 == 0 else ""), 1) for i in range(40)]  # noqa: B023
-    rows += [(100 + i, prose(lambda k: f". You x{(7 * i + k) % 53} friend" if k % 40 == 0 else ""), 0) for i in range(60)]  # noqa: B023
+    rows = [(i, prose(lambda k: f". You grubnak x{chr(97 + i % 26)}{chr(97 + i // 26)}" if k % 40 == 0 else ""), 1) for i in range(40)]  # noqa: B023
+    rows += [(100 + i, prose(lambda k: f". You x{chr(97 + i % 26)}{chr(97 + i // 26)} friend" if k % 40 == 0 else ""), 0) for i in range(60)]  # noqa: B023
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     assert min(len(r[1]) for r in rows) > toxicity_grammar.TRAIN_CHARS
