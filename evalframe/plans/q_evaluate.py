@@ -192,20 +192,20 @@ class SecondReplay(ReplayResponder):
         return [a + " (second)" for a in super().respond(requests)]
 
 
-@register("resume_run", O.with_(O.CHOICE_ITEMS) + """
+@register("resume_run", O.with_(O.A_B) + """
 SELECT id, copy, recorded_response || CASE WHEN id % 3 = 0 OR id % 4 = 0 THEN ' (second)' ELSE '' END AS raw_response,
        CAST(NULL AS VARCHAR) AS error
-FROM choice_responses, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR id % 5 = 0""")
+FROM a_b_items, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR id % 5 = 0""")
 def resume_run(spark: SparkSession, sf: str) -> DataFrame:
     """P8 resumed over all items, every fifth of them twice: a first run that
     saw two thirds and failed for some, a writer that was killed before it
     published, then the resumed run."""
-    items = fx.choice_responses(spark, sf)
+    items = Q.a_b_items(spark, sf)
     items = items.unionByName(items.where(F.col("id") % 5 == 0))
     table = RunTable(spark, scratch_dir(spark, "resumed"))
-    run = Q._run("perception", "selection", "en")
-    answer = lambda df, responder, resume: PL.eval_selection(
-        spark, df, run, responder, results_root=table, keep=("id", "object", "all_ids_with_term"), resume=resume)
+    run = Q._run("taxonomic", "a_b_classification", "ja")
+    answer = lambda df, responder, resume: PL.eval_a_b(
+        spark, df, run, responder, results_root=table, keep=("id", "all_ids_with_term"), resume=resume)
     answer(items.where(F.col("id") % 3 != 0), FlakyReplay, False)
     table._stage(table.current({k: getattr(run, k) for k in RUN_COLUMNS}))
     answer(items, SecondReplay, True)

@@ -89,17 +89,17 @@ def _retried(spark: SparkSession, items: DataFrame, make_responder) -> list[Data
             else spark.createDataFrame([], RT.table_schema(kind)) for kind in RT.TABLES]
 
 
-@register("retry_stream", O.with_(O.CHOICE_ITEMS) + """
+@register("retry_stream", O.with_(O.A_B) + """
 SELECT id, CASE WHEN id % 11 = 0 OR id % 7 >= 5 THEN NULL ELSE recorded_response END AS raw_response,
        CAST(CASE WHEN id % 11 = 0 THEN 1 ELSE least(id % 7 + 1, 5) END AS INTEGER) AS attempts,
        CASE WHEN id % 11 = 0 THEN 0e0 ELSE 10e0 * (pow(2, least(id % 7, 4)) - 1) END AS waited_s,
        CASE WHEN id % 11 = 0 THEN 'failed: ValueError: bad item' WHEN id % 7 >= 5 THEN 'exhausted: ConnectionError: busy' END AS error
-FROM choice_responses""")
+FROM a_b_items""")
 def retry_stream(spark: SparkSession, sf: str) -> DataFrame:
     """F2 over all items with a client that is busy for the first ``id % 7``
     attempts of an item and cannot take every eleventh."""
-    items = fx.choice_responses(spark, sf).select(F.col("id").cast("string").alias("request"),
-                                                  F.to_json(F.struct("id", "recorded_response")).alias("payload"), F.lit(5).alias("most"))
+    items = fx.a_b_items(spark, sf).select(F.col("id").cast("string").alias("request"),
+                                           F.to_json(F.struct("id", "recorded_response")).alias("payload"), F.lit(5).alias("most"))
     _, answered, dead = _retried(spark, items, BusyResponder)
     rows = answered.unionByName(dead, allowMissingColumns=True)
     return rows.select(F.col("request").cast("long").alias("id"), "raw_response", "attempts", "waited_s", "error")
