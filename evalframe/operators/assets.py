@@ -19,8 +19,8 @@ def read_assets(spark: SparkSession, root: str, glob: str | None = None, with_co
     below ``root`` whose name matches ``glob`` (A8).  Files are listed and read
     in tasks (``sources.asset_listing``); none of their names is held by the
     driver.  ``with_content=False`` opens no file."""
-    files = AL.list_assets(spark, root, glob).select("path", "length")
-    return AL.with_content(files, root) if with_content else files
+    files = AL.list_assets(spark, root, glob, content=with_content)
+    return files.select("path", "length", *(["content"] if with_content else []))
 
 
 def explode_refs(items: DataFrame, id_col: str, images_col: str, base_dir: str | None,

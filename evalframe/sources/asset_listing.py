@@ -6,7 +6,8 @@ task that reads it:
 
     spark.read.format("asset_listing").load("s3://bucket/images")
 
-gives ``path``, ``name``, ``length``, ``modified``.  Planning looks for
+gives ``path``, ``name``, ``length``, ``modified``, and with the option
+``content`` also the bytes, read by the task that lists them.  Planning looks for
 directories only: from the root it goes down, level by level, until there are
 ``prefixes`` of them (default 256), and deals them to at most four times as
 many partitions.  A partition lists directories with all below them (``deep``)
@@ -40,8 +41,10 @@ from pyspark.sql.types import StructType
 FORMAT = "asset_listing"
 SCHEMA = "path string, name string, length long, modified timestamp"
 _ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
-# Prefixes that planning looks for; entries of a directory it looks at; rows of a batch.
-PREFIXES, PROBE, BATCH_ROWS = 256, 10_000, 8_192
+# Prefixes that planning looks for; entries of a directory it looks at.
+PREFIXES, PROBE = 256, 10_000
+# Rows of a batch, and bytes of contents after which one is passed on.
+BATCH_ROWS, CONTENT_BYTES = 8_192, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -148,16 +151,19 @@ class AssetListing(DataSource):
     def name(cls) -> str:
         return FORMAT
 
+    def with_content(self) -> bool:
+        return self.options.get("content", "false").lower() == "true"
+
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + ", content binary" if self.with_content() else SCHEMA
 
     def reader(self, schema: StructType) -> AssetReader:
-        return AssetReader(plain_path(self.options["path"]), int(self.options.get("prefixes", PREFIXES)), self.options.get("glob"))
+        return AssetReader(plain_path(self.options["path"]), int(self.options.get("prefixes", PREFIXES)), self.options.get("glob"), self.with_content())
 
 
 class AssetReader(DataSourceReader):
-    def __init__(self, root: str, prefixes: int, glob: str | None):
-        self.root, self.prefixes, self.glob, self.wanted = root, prefixes, glob, Wanted()
+    def __init__(self, root: str, prefixes: int, glob: str | None, content: bool = False):
+        self.root, self.prefixes, self.glob, self.content, self.wanted = root, prefixes, glob, content, Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         paths, prefixes, names = None, [], None
@@ -206,18 +212,43 @@ class AssetReader(DataSourceReader):
                     yield entry
 
     def read(self, partition: Prefixes) -> Iterator[pa.RecordBatch]:
-        files = self._files(store_of(self.root), partition)
-        while some := list(islice(files, BATCH_ROWS)):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([e.path for e in some]), pa.array([e.path.rsplit("/", 1)[-1] for e in some]),
-                pa.array([e.length for e in some], pa.int64()),
-                pa.array([int(e.modified * 1e6) for e in some], pa.timestamp("us", "UTC"))], schema=_ARROW)
-
-
-def list_assets(spark: SparkSession, root: str, glob: str | None = None, prefixes: int = PREFIXES) -> DataFrame:
-    """The files below ``root``, listed in tasks."""
+        store = store_of(self.root)
+        some: list[Entry] = []
+        contents: list[bytes | None] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array([e.path for e in some]), pa.array([e.path.rsplit("/", 1)[-1] for e in some]),
+                       pa.array([e.length for e in some], pa.int64()),
+                       pa.array([int(e.modified * 1e6) for e in some], pa.timestamp("us", "UTC"))]
+            if not self.content:
+                return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(contents, pa.binary())], schema=_ARROW.append(pa.field("content", pa.binary())))
+
+        held = 0
+        for entry in self._files(store, partition):
+            some.append(entry)
+            if self.content:
+                contents.append(content_of(store, entry.path))
+                held += len(contents[-1] or b"")
+            if len(some) >= BATCH_ROWS or held >= CONTENT_BYTES:
+                yield batch()
+                some, contents, held = [], [], 0
+        if some:
+            yield batch()
+
+
+def content_of(store: LocalStore | ArrowStore, path: str | None) -> bytes | None:
+    """The bytes of a file; null for one that is not there (any more)."""
+    try:
+        return None if path is None else store.read(path)
+    except FileNotFoundError:
+        return None
+
+
+def list_assets(spark: SparkSession, root: str, glob: str | None = None, prefixes: int = PREFIXES, content: bool = False) -> DataFrame:
+    """The files below ``root``, listed (and with ``content`` read) in tasks."""
     spark.dataSource.register(AssetListing)
-    reader = spark.read.format(FORMAT).option("prefixes", str(prefixes))
+    reader = spark.read.format(FORMAT).option("prefixes", str(prefixes)).option("content", str(content).lower())
     if glob:
         reader = reader.option("glob", glob)
     return reader.load(root)
@@ -239,10 +270,6 @@ def write_files(files: DataFrame, root: str) -> None:
     source.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
-# Bytes of file contents that a task holds before it passes them on.
-CONTENT_BYTES = 32 << 20
-
-
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """``files`` (any columns with ``path``) and ``content``, read in the tasks
     that hold the paths, some ``CONTENT_BYTES`` at a time.  A path that is null
@@ -251,17 +278,10 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = store_of(root)
-
-        def content(path: str | None) -> bytes | None:
-            try:
-                return None if path is None else store.read(path)
-            except FileNotFoundError:
-                return None
-
         for b in batches:
             start, held, size = 0, [], 0
             for i, path in enumerate(b.column(at).to_pylist()):
-                held.append(content(path))
+                held.append(content_of(store, path))
                 size += len(held[-1] or b"")
                 if size >= CONTENT_BYTES or i == b.num_rows - 1:
                     part = b.slice(start, len(held))

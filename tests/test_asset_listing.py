@@ -78,7 +78,7 @@ def test_filters_leave_directories_out(root, monkeypatch, filters, opened):
     assert found == {p for p in walked(root) if holds(p)}
 
 
-def test_contents_are_read_in_parts(spark, root, monkeypatch):
+def test_contents_are_read(spark, root):
     files = spark.createDataFrame([(i, p) for i, p in enumerate([*sorted(walked(root)), root + "/gone.jpg", None])], "n int, path string")
     got = {r["path"]: r["content"] for r in L.with_content(files, root).collect()}
     assert got.pop(None) is None and got.pop(root + "/gone.jpg") is None
