@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.assets import data_url, is_url, resolve_path
+from evalframe.operators.skew import skew_join
 from evalframe.sources import asset_listing as AL
 
 
@@ -75,7 +76,8 @@ def resolve_assets(items: DataFrame, manifest: DataFrame, id_col: str = "id", im
 
 def attach_data_urls(refs: DataFrame, assets: DataFrame, path_col: str = "path") -> DataFrame:
     """Join bytes onto references last and encode them (A8 + E4); the output
-    carries the data URL and drops the raw bytes."""
-    a = assets.select(F.col("path").alias("_apath"), "content")
-    j = refs.join(a, refs[path_col] == a["_apath"], "left")
-    return j.withColumn("data_url", F.when(F.col("content").isNotNull(), data_url("content"))).drop("_apath", "content")
+    carries the data URL and drops the raw bytes.  An image of very many
+    references is salted (``skew_join``); its bytes are carried once a salt.
+    A path is encoded before it is joined, once for all its references."""
+    urls = assets.select(F.col("path").alias(path_col), F.when(F.col("content").isNotNull(), data_url("content")).alias("data_url"))
+    return skew_join(refs, urls, path_col).select(*refs.columns, "data_url")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from evalframe.functions import parsing as P
 from evalframe.functions import stats as S
 from evalframe.operators import metrics as M
+from evalframe.operators.vote_moments import VoteMoments
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans.catalog import register
+from evalframe.session import scratch_dir
 
 R9 = 9  # digits kept for doubles compared across engines
 
@@ -230,3 +232,22 @@ def average_distance(spark: SparkSession, sf: str) -> DataFrame:
     s = M.distance_scores(pair_distance(spark, sf))
     return _rounded(s, "average_distance", "accuracy").select(
         "average_distance", "n_distance", "accuracy", "n_rows", "n_invalid")
+
+
+@register("late_votes", O.with_(O.VOTES, O.PAIR_ITEMS, _PAIR_DISTANCE_SQL) + """
+SELECT id, n_votes, round(d.vote_mean, 9) AS vote_mean, round(d.vote_sd, 9) AS vote_sd, d.unanimous, round(distribution_distance, 9) AS distribution_distance
+FROM pair_distance d LEFT JOIN vote_stats v ON v.item = d.id""")
+def late_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 to H8 of votes that come in four batches, one of them committed
+    twice, two folded before the others come: equal to all votes at once."""
+    lines = fx.table(spark, sf, "lineitem").select("l_linenumber", F.col("l_orderkey").alias("item"),
+                                                   ((F.floor("l_quantity").cast("long") % 5) + 1).cast("int").alias("vote"))
+    votes = VoteMoments(spark, scratch_dir(spark, "late-votes"))
+    for batch in (0, 1, 1, 2, 3):
+        votes.commit(f"b{batch}", lines.where(F.col("l_linenumber") % 4 == batch))
+        if batch == 2:
+            votes.compact()
+    items = fx.pair_rating_items(spark, sf).select("id", P.code_int(P.extract_choice("recorded_response")).alias("pred"))
+    joined = items.join(votes.stats().withColumnRenamed("item", "id"), "id", "left").withColumn("gold", F.col("vote_max"))
+    return M.with_distance(joined).select("id", "n_votes", r9(F.col("vote_mean")).alias("vote_mean"), r9(F.col("vote_sd")).alias("vote_sd"),
+                                          "unanimous", r9(F.col("distribution_distance")).alias("distribution_distance"))

@@ -24,7 +24,6 @@ item lie in many buckets.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
@@ -33,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalframe.sinks.small_files import SmallFiles
 from evalframe.sinks.writers import DYNAMIC
 
 KEYS = ("item_key", "item_copy")
@@ -62,63 +62,15 @@ class RunTable:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         """``buckets``: of a new ledger, by default as many as shuffle
         partitions; an existing table keeps its own."""
-        self.spark, self.root = spark, root.removeprefix("file:").rstrip("/")
+        self.spark, self.root, self.files = spark, root.removeprefix("file:").rstrip("/"), SmallFiles(spark)
         wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._create(f"{self.root}/layout.json", json.dumps({"buckets": wanted}))
-        self.buckets = json.loads(self._read(f"{self.root}/layout.json"))["buckets"]
-
-    # ------------------------------------------------------------ small files
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _create(self, path: str, text: str) -> bool:
-        """A file with this text, whole from the start; false if there is one."""
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        if "://" not in path:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(text)
-            try:
-                os.link(part, path)
-                return True
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(part)
-        fs, target = self._fs(path)
-        _, staged = self._fs(part)
-        out = fs.create(staged, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(staged, target, none)  # fails if the target is there
-            return True
-        except Exception as e:  # noqa: BLE001 - the class is the JVM's
-            if "FileAlreadyExists" not in str(e):
-                raise
-            fs.delete(staged, False)
-            return False
-
-    def _read(self, path: str) -> str:
-        if "://" not in path:
-            with open(path, encoding="utf-8") as f:
-                return f.read()
-        return self.spark.read.text(path, wholetext=True).first()[0]
+        self.files.create(f"{self.root}/layout.json", json.dumps({"buckets": wanted}))
+        self.buckets = json.loads(self.files.read(f"{self.root}/layout.json"))["buckets"]
 
     def log(self) -> list[Commit]:
         """What was published, in order: one small file a commit."""
         directory = f"{self.root}/log"
-        if "://" not in directory:
-            names = sorted(os.listdir(directory)) if os.path.isdir(directory) else []
-        else:
-            fs, p = self._fs(directory)
-            names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        return [Commit(**json.loads(self._read(f"{directory}/{n}")), version=int(n.split(".")[0])) for n in names if n.endswith(".json")]
+        return [Commit(**json.loads(self.files.read(f"{directory}/{n}")), version=int(n.split(".")[0])) for n in self.files.names(directory)]
 
     # ----------------------------------------------------------------- ledger
 
@@ -243,5 +195,5 @@ class RunTable:
                 continue
             entry = asdict(Commit(commit, run, replaces, None if sub_subtasks is None else list(sub_subtasks)))
             entry.pop("version")
-            if self._create(f"{self.root}/log/{known:012d}.json", json.dumps(entry)):
+            if self.files.create(f"{self.root}/log/{known:012d}.json", json.dumps(entry)):
                 return commit
