@@ -26,11 +26,13 @@ which must be shared; other schemes through ``pyarrow.fs`` (S3, GCS, HDFS).
 from __future__ import annotations
 
 import fnmatch
+import io
 import os
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -68,11 +70,24 @@ class LocalStore:
                     s = e.stat()
                     yield Entry(e.path, False, s.st_size, s.st_mtime)
 
+    @staticmethod
+    def is_file(path: str) -> bool:
+        return os.path.isfile(path)
+
+    @staticmethod
+    def entry(path: str) -> Entry:
+        s = os.stat(path)
+        return Entry(path, False, s.st_size, s.st_mtime)
+
     @staticmethod
     def read(path: str) -> bytes:
         with open(path, "rb") as f:
             return f.read()
 
+    @staticmethod
+    def open(path: str) -> BinaryIO:
+        return open(path, "rb")
+
     @staticmethod
     def write(path: str, content: bytes) -> None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -97,10 +112,22 @@ class ArrowStore:
             is_dir = e.type == fs.FileType.Directory
             yield Entry(self.prefix + e.path.lstrip("/"), is_dir, 0 if is_dir else e.size, 0.0 if is_dir or e.mtime is None else e.mtime.timestamp())
 
+    def is_file(self, path: str) -> bool:
+        from pyarrow import fs
+
+        return self.fs.get_file_info(path.removeprefix(self.prefix)).type == fs.FileType.File
+
+    def entry(self, path: str) -> Entry:
+        e = self.fs.get_file_info(path.removeprefix(self.prefix))
+        return Entry(path, False, e.size, 0.0 if e.mtime is None else e.mtime.timestamp())
+
     def read(self, path: str) -> bytes:
         with self.fs.open_input_stream(path.removeprefix(self.prefix)) as f:
             return f.read()
 
+    def open(self, path: str) -> BinaryIO:
+        return io.BufferedReader(self.fs.open_input_file(path.removeprefix(self.prefix)))
+
     def write(self, path: str, content: bytes) -> None:
         inside = path.removeprefix(self.prefix)
         self.fs.create_dir(inside.rsplit("/", 1)[0], recursive=True)
@@ -183,6 +210,8 @@ class AssetReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         """Directories only: level by level, until there are enough."""
         store, level, shallow = store_of(self.root), [self.root], []
+        if store.is_file(self.root):
+            return [Prefixes([self.root], False)]
         leaves: list[str] = []
         while level and len(level) + len(leaves) < self.prefixes:
             below: list[str] = []
@@ -204,7 +233,8 @@ class AssetReader(DataSourceReader):
     def _files(self, store: LocalStore | ArrowStore, part: Prefixes) -> Iterator[Entry]:
         waiting = list(part.directories)
         while waiting:
-            for entry in store.entries(waiting.pop()):
+            directory = waiting.pop()
+            for entry in [store.entry(directory)] if directory == self.root and store.is_file(directory) else store.entries(directory):
                 if entry.is_dir:
                     if part.deep and self.wanted.below(entry.path):
                         waiting.append(entry.path)

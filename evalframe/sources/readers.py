@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalframe.sources import ranges as RG
+
 # Text that pandas' CSV reader turns into a missing value by default.
 PANDAS_NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -25,10 +27,31 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
-    """One JSON document holding an array of records (A2).  Each file is read
-    whole by one task, which is what a single JSON document requires."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def _paths(path: str | Sequence[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
+
+def _schema(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _split(spark: SparkSession, paths: list[str], kind: str, header: bool = False) -> DataFrame:
+    """Records of files that are cut into ranges for at least as many tasks as
+    there are shuffle partitions."""
+    files = RG.files_below(spark, paths)
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return RG.split_records(files, kind, paths[0], RG.size_for(total, int(spark.conf.get("spark.sql.shuffle.partitions"))), header)
+
+
+def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, split: bool = True) -> DataFrame:
+    """JSON documents that each hold an array of records (A2).  One document is
+    read by many tasks (``sources.ranges``); ``split=False``, globs and
+    compressed files: each file is read whole by one task."""
+    paths = _paths(path)
+    if not split or not RG.can_split(spark, paths):
+        return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    schema = _schema(schema)
+    return _split(spark, paths, "json").select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def _na_to_null(df: DataFrame, na_values: Sequence[str] | None) -> DataFrame:
@@ -40,17 +63,24 @@ def _na_to_null(df: DataFrame, na_values: Sequence[str] | None) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, sep: str = ",",
-                   na_values: Sequence[str] | None = PANDAS_NA_VALUES, multi_line: bool = False) -> DataFrame:
+                   na_values: Sequence[str] | None = PANDAS_NA_VALUES, multi_line: bool = False, split: bool = True) -> DataFrame:
     """CSV / TSV with a header row (A3, A4).
 
-    Files are split among tasks.  ``multi_line=True`` is for files whose
-    quoted fields span lines; it reads each file in one task.  Quotes are
-    escaped by doubling.  ``na_values`` reproduces pandas' missing-value spellings on
-    string columns; pass ``None`` to keep them as text.
+    Files are split among tasks, with ``multi_line=True`` (quoted fields may
+    span lines) at the records that the quotes before them tell
+    (``sources.ranges``); then ``split=False``, globs and compressed files are
+    read by one task a file.  Quotes are escaped by doubling.  ``na_values``
+    reproduces pandas' missing-value spellings on string columns; pass
+    ``None`` to keep them as text.
     """
-    df = (spark.read.schema(schema).option("header", "true").option("multiLine", str(multi_line).lower())
-          .option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
-    return _na_to_null(df, na_values)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    paths = _paths(path)
+    if not multi_line or not split or not RG.can_split(spark, paths):
+        df = spark.read.schema(schema).option("header", "true").option("multiLine", str(multi_line).lower()).options(**options).csv(path)
+        return _na_to_null(df, na_values)
+    schema = _schema(schema)
+    body = _split(spark, paths, "csv", header=True)
+    return _na_to_null(body.select(F.from_csv("record", F.lit(schema.toDDL()), options).alias("r")).select("r.*"), na_values)
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str, **kw) -> DataFrame:
@@ -60,7 +90,7 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str, **k
     if low.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
     if low.endswith(".json"):
-        return read_json_array(spark, path, schema)
+        return read_json_array(spark, path, schema, **{k: v for k, v in kw.items() if k == "split"})
     if low.endswith(".csv"):
         return read_delimited(spark, path, schema, ",", **kw)
     if low.endswith(".tsv"):
@@ -86,7 +116,7 @@ def read_few_shot(spark: SparkSession, path: str) -> DataFrame:
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
              F.monotonically_increasing_id().alias("ord")]
     if not path.lower().endswith(".jsonl"):
-        return read_dataset(spark, path, FEW_SHOT_FILE_SCHEMA).select(*place, "user", "assistant", "images")
+        return read_dataset(spark, path, FEW_SHOT_FILE_SCHEMA, split=False).select(*place, "user", "assistant", "images")
     lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "").select(*place, "value")
     parsed = lines.select("file", "block", "ord", F.from_json("value", FEW_SHOT_FILE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("file", "block", "ord", "r.user", "r.assistant", "r.images")
