@@ -335,7 +335,7 @@ def searched(vocab: DataFrame, by_first: bool, total: int) -> DataFrame:
                      # words of small groups share a task; a cell of a cut group has its own
                      F.when(F.col("blocks") == 1, F.concat(F.lit("lump "), F.pmod(F.xxhash64("key"), F.lit(lumps))))
                      .otherwise(F.concat_ws(" ", "key", "cell.i", "cell.q")).alias("cell")))
-    tasks = min(20_000, max(lumps, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(20_000, max(4 * lumps, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return (dealt.repartition(tasks, "cell").groupBy("cell")
             .applyInArrow(lambda rows: search_block(rows, by_first), "word string, n_near long, best_n long, best string"))
 
