@@ -32,11 +32,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe.constants import RETRY_ATTEMPTS, RETRY_FACTOR, RETRY_FIRST_WAIT
+from evalframe.operators.balance import deal_by_cost
+from evalframe.operators.joins import unused_name
 
 
 class NotFoundError(Exception):
@@ -84,6 +86,16 @@ class DigestResponder:
         return "|".join(f"{m['role']}[{parts(m['content'])}]" for m in messages)
 
 
+class PromptDigest:
+    """Answers with the MD5 of the prompt."""
+
+    input_columns = ()
+    wants_messages = False
+
+    def respond(self, requests: list[dict]) -> list[str]:
+        return [hashlib.md5((r["prompt"] or "").encode()).hexdigest() for r in requests]
+
+
 class EchoChoiceResponder:
     """Deterministic stand-in model: answers with the first option id found
     in the prompt's ``Options:`` line, else ``yes``."""
@@ -202,13 +214,29 @@ def ask(responder: Any, reqs: list[dict], max_attempts: int, first_wait: float,
     return out
 
 
+def chunks(rows: list[int], most: int, costs: list[float] | None, budget: float | None) -> Iterator[list[int]]:
+    """Rows in calls of at most ``most``, and of at most ``budget`` in all."""
+    held: list[int] = []
+    total = 0.0
+    for j in rows:
+        more = costs[j] if costs is not None and budget is not None else 0.0
+        if held and (len(held) >= most or (budget is not None and total + more > budget)):
+            yield held
+            held, total = [], 0.0
+        held.append(j)
+        total += more
+    if held:
+        yield held
+
+
 def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str = "prompt",
             images_col: str | None = None, messages_col: str | None = None, pass_columns: Sequence[str] | None = None,
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
             partitions: int | None = None, skip_col: str | None = None,
             batch_size: int | None = None, params_col: str | None = None,
-            gen_params: dict[str, Any] | None = None, retryable: Sequence[type] = RETRYABLE) -> DataFrame:
+            gen_params: dict[str, Any] | None = None, retryable: Sequence[type] = RETRYABLE,
+            cost: Column | None = None, batch_cost: float | None = None) -> DataFrame:
     """One response per row (F1), with ``attempts``, ``waited_s`` and ``error``.
 
     ``batch=True`` sends a whole Arrow batch to the responder, ``batch=False``
@@ -228,6 +256,9 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     ``reuse_across_tasks = True`` is built once per Python worker process
     (workers are reused across tasks), so model weights load once per worker
     rather than once per task.
+    With a ``cost`` of a row (``balance.request_cost``) the tasks get equal
+    cost instead of equal numbers of rows, and ``batch_cost`` bounds what one
+    call is sent (a costlier request goes alone).
     Rows where ``skip_col`` is true are not sent (error ``placeholder_mismatch``,
     0 attempts).  ``batch_size`` caps the requests per responder call (e.g. a
     GPU batch); by default one call gets a whole Arrow batch
@@ -238,16 +269,19 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     """
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cost_col = unused_name("_cost", df.columns) if batch_cost is not None and cost is not None else None
+    if cost_col:
+        df = df.withColumn(cost_col, cost.cast("double"))
     if partitions:
-        df = df.repartition(partitions)
+        df = df.repartition(partitions) if cost is None else deal_by_cost(df, F.col(cost_col) if cost_col else cost, partitions)
     reuse, key = bool(getattr(make_responder, "reuse_across_tasks", False)), responder_key(make_responder)
-    out_schema = T.StructType(list(df.schema.fields) + [
+    out_schema = T.StructType([f for f in df.schema.fields if f.name != cost_col] + [
         T.StructField(out_col, T.StringType(), True),
         T.StructField("attempts", T.IntegerType(), False),
         T.StructField("waited_s", T.DoubleType(), False),
         T.StructField("error", T.StringType(), True),
     ])
-    visible = list(pass_columns) if pass_columns is not None else list(df.columns)
+    visible = list(pass_columns) if pass_columns is not None else [c for c in df.columns if c != cost_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = worker_responder(key, make_responder) if reuse else make_responder()
@@ -271,12 +305,11 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
             waited = [0.0] * n
             errors: list = ["placeholder_mismatch" if s else None for s in skip]
             step = (batch_size or max(len(live), 1)) if batch else 1
-            for lo in range(0, len(live), step):
-                chunk = live[lo:lo + step]
+            for chunk in chunks(live, step, pdf[cost_col].tolist() if cost_col else None, batch_cost):
                 got = ask(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
                 for j, found in zip(chunk, got):
                     answers[j], attempts[j], errors[j], waited[j] = found
-            yield pdf.assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
+            yield (pdf.drop(columns=[cost_col]) if cost_col else pdf).assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
                                 "attempts": pd.Series(attempts, index=pdf.index, dtype="int32"),
                                 "waited_s": pd.Series(waited, index=pdf.index, dtype="float64"),
                                 "error": pd.Series(errors, index=pdf.index, dtype=object)})

@@ -18,7 +18,8 @@ from evalframe.functions import prompts as C
 from evalframe.functions import requests as RQ
 from evalframe.operators import fewshot as FS
 from evalframe.operators import runs as R
-from evalframe.operators.respond import BusyResponder, DigestResponder, DownResponder, ReplayResponder, respond
+from evalframe.operators.balance import request_cost
+from evalframe.operators.respond import BusyResponder, DigestResponder, DownResponder, PromptDigest, ReplayResponder, respond
 from evalframe.plans import fixtures as fx
 from evalframe.plans import oracles as O
 from evalframe.plans import task_plans as PL
@@ -54,6 +55,20 @@ def respond_query(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "raw_response", "attempts", "error")
 
 
+@register("respond_by_cost", """
+SELECT doc_id AS id, md5('Word ' || repeat(CAST(doc_id AS VARCHAR) || ' ', CASE WHEN doc_id % 10 = 0 THEN 100 ELSE 1 END)) AS raw_response,
+       CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS error
+FROM labels""")
+def respond_by_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 where every tenth prompt is a hundred times as long: tasks of equal
+    cost, calls of a bounded one, the same answers."""
+    i = F.col("doc_id")
+    prompt = F.concat(F.lit("Word "), F.repeat(F.concat(i.cast("string"), F.lit(" ")), F.when(i % 10 == 0, 100).otherwise(1)))
+    items = fx.table(spark, sf, "labels").select(i.alias("id"), prompt.alias("prompt"))
+    out = respond(items, PromptDigest, cost=request_cost("prompt"), batch_cost=20_000)
+    return out.select("id", "raw_response", "attempts", "error")
+
+
 @register("retry_schedule", O.with_(O.CHOICE_ITEMS) + """
 SELECT id, attempts, array_to_string(list_transform(range(0, attempts - 1), lambda i: CAST(CAST(10 * pow(2, i) AS BIGINT) AS VARCHAR)), ',') AS waits,
        10e0 * (pow(2, attempts - 1) - 1) AS waited_s
