@@ -55,16 +55,31 @@ _BLOCKS = ("shard int, block int, dictionary_hash string, first_doc_id long, las
            "before long, n_tokens long, doc_ids binary, counts binary, ends binary, payload binary")
 
 
+def greatest_id(path: str) -> int:
+    """The greatest id of a tokenizer's vocabulary, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def width_of(greatest: int) -> int:
+    return 2 if greatest < 1 << 16 else 4
+
+
 @dataclass(frozen=True)
 class Tokens:
     """How texts become ids: a file of the ``tokenizers`` library, its kind
     (``word_cache.library_encoder``), the id that ends a document and the
-    bytes that hold one id."""
+    bytes that hold one id (by default as many as its vocabulary needs)."""
 
     path: str
     kind: str = "byte"
     end_id: int = 0
-    width: int = 2
+    width: int = 0
+
+    def __post_init__(self):
+        if not self.width:
+            object.__setattr__(self, "width", width_of(max(self.end_id, greatest_id(self.path))))
 
     def serialized(self, text: str) -> bytes:
         ids = np.frombuffer(library_encoder(self.path, self.kind).ids(text), dtype="<u4")
@@ -72,10 +87,13 @@ class Tokens:
 
 
 def train_dictionary(docs: DataFrame, tokens: Tokens, total: int) -> bytes:
-    """A dictionary from a bounded sample: ``SAMPLE_DOCS`` texts of the
-    smallest hashes, each cut to its share of ``SAMPLE_BYTES``."""
+    """A dictionary from a bounded sample: of ``SAMPLE_DOCS`` texts of the
+    smallest hashes, each a window of its share of ``SAMPLE_BYTES`` that
+    begins, in longer ones, where a hash says."""
     share = SAMPLE_BYTES // SAMPLE_DOCS
-    rows = hashed_sample(docs.select("doc_id", F.coalesce(F.substring("text", 1, share), F.lit("")).alias("text")),
+    text = F.coalesce("text", F.lit(""))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.lit(1), F.length(text) - share + 1)) + 1
+    rows = hashed_sample(docs.select("doc_id", F.substring(text, begin.cast("int"), F.lit(share)).alias("text")),
                          SAMPLE_DOCS, total, "doc_id").select("text").collect()
     parts = [tokens.serialized(r["text"])[:share] for r in rows]
     size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 8)

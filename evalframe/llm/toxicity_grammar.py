@@ -1,22 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report, clause end.
-Five small transducers each read the symbols and rewrite what they know:
-
-* *target* marks an insult or threat that stands near a person it is aimed at,
-* *negation* turns an insult or threat in its scope into a denied one,
-* *report* turns one in reported speech into a quoted one,
-* *insult* and *threat* turn what is left into scored matches of their clause.
-
-They are composed into one transducer, state pairs being built as they are
-reached, so a text is read once and a clause is scored by what the whole
-composition says of it, not by isolated words.
+Words become symbols: insult, threat, target, negation, report, colon, quote,
+clause end.  Small transducers each read a clause's symbols and rewrite what
+they know:
+
+* *report* turns an insult or threat in reported speech into a quoted one:
+  after a report word, after its colon or between its quotation marks, or just
+  before it ("..., he said");
+* *negation* turns one in its scope into a denied one;
+* *target* marks one that a person stands near, before or after it;
+* *insult* and *threat* turn what is left into matches, by arcs with weights.
+
+Those that look back are composed into one transducer, and so are those that
+look ahead; a clause is read once forwards by the first and its output once
+backwards by the second (state pairs are built as they are reached).  A
+clause's score is the sum of the weights of the arcs it took, an insult's times
+the insult's own, so a word counts by what its clause does with it.  The best
+clause decides a text, and what the others score adds its logarithm.
 
 Insult words are learned from labelled texts: words whose texts are toxic far
 more often than others, counted once for each distinct pair of neighbouring
 words, so that a passage copied into many texts counts once.  The weights of
-the matches are learned by logistic regression on the same texts.  Target,
-threat, negation and report words are fixed lists.
+the arcs are learned by logistic regression on the same texts, in turn with
+the choice of their best clauses.  Target, threat, negation and report words
+are fixed lists.
 
 Learning takes at most ``TRAIN_DOCS`` labelled texts of each class, those of
 the smallest hashes of doc_id, and of each at most about ``TRAIN_CHARS``
@@ -73,11 +80,12 @@ dit disait écrit appelé affirmé
 dijo dice escribió llamó afirmó""".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, END = "insult", "threat", "target", "negation", "report", "end"
-# words between a symbol and the word it acts on, at most
-REACH = 6
+COLON, QUOTE = "colon", "quote"
+# words between a symbol and the word it acts on, at most; between a word and the report of it that follows
+REACH, REACH_BACK = 6, 3
 MATCHES = [f"{kind} {how}" for kind in (INSULT, THREAT) for how in ("plain", "aimed", "denied", "quoted")]
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:|\n]")
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?;|\n:\"“”„«»]")
 
 
 # ------------------------------------------------------------- transducers
@@ -108,83 +116,167 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def _scope(opener: str, mark: str) -> Transducer:
-    """Marks an insult or threat at most ``REACH`` words after ``opener`` in
-    its clause.  A symbol is (kind, words since the last symbol, mark)."""
+def _scope(opener: str, mark: str, over: tuple[str, ...] = ("plain",), reach: int = REACH, closers: tuple[str, ...] = (END,)) -> Transducer:
+    """Marks an insult or threat at most ``reach`` words after ``opener`` (in
+    reading direction) that is marked as one of ``over`` so far.  A symbol is
+    (kind, words since the last symbol, mark)."""
 
     def step(state: int, symbol: tuple) -> tuple[int, tuple]:
         kind, gap, how = symbol
         left = max(0, state - gap)
-        if kind == END:
+        if kind in closers:
             return 0, symbol
         if kind == opener:
-            return REACH, symbol
-        if kind in (INSULT, THREAT) and left > 0 and how == "plain":
+            return reach, symbol
+        if kind in (INSULT, THREAT) and left > 0 and how in over:
             return left, (kind, gap, mark)
         return left, symbol
 
     return Transducer(0, step)
 
 
-def _scored(kind: str) -> Transducer:
-    """Writes the match that a clause has of ``kind``."""
+def _speech() -> Transducer:
+    """Marks what a report word introduces: to the end of the clause after its
+    colon, to the closing mark after a quotation mark, else its scope."""
+
+    def step(state: object, symbol: tuple) -> tuple[object, tuple]:
+        kind, gap, how = symbol
+        if kind == END:
+            return 0, symbol
+        if state in (COLON, QUOTE):
+            if kind == QUOTE:  # closes a quotation, or begins the one that the colon announced
+                return (0 if state == QUOTE else QUOTE), symbol
+            return state, (kind, gap, "quoted") if kind in (INSULT, THREAT) else symbol
+        left = max(0, state - gap)
+        if kind == REPORT:
+            return REACH, symbol
+        if kind in (COLON, QUOTE) and left > 0:
+            return kind, symbol
+        return left, (kind, gap, "quoted") if kind in (INSULT, THREAT) and left > 0 else symbol
+
+    return Transducer(0, step)
+
+
+def _scored(kind: str, weights: dict[str, float]) -> Transducer:
+    """Writes the match that a clause has of ``kind`` and its weight."""
 
     def step(state: int, symbol: tuple) -> tuple[int, tuple]:
         if symbol[0] == kind and len(symbol) == 3:
-            return state, (f"{kind} {symbol[2]}",)
+            match = f"{kind} {symbol[2]}"
+            return state, (match, weights.get(match, 0.0))
         return state, symbol
 
     return Transducer(0, step)
 
 
-def grammar() -> Transducer:
-    """Report before negation before target: a quoted denial is quoted."""
-    return (_scope(REPORT, "quoted").then(_scope(NEGATION, "denied")).then(_scope(TARGET, "aimed"))
-            .then(_scored(INSULT)).then(_scored(THREAT)))
+def grammar(weights: dict[str, float]) -> tuple[Transducer, Transducer]:
+    """The transducers that read forwards and those that read backwards.
+    Quoted goes before denied before aimed: a quoted denial is quoted."""
+    forwards = _speech().then(_scope(NEGATION, "denied", closers=(END, COLON, QUOTE))).then(_scope(TARGET, "aimed"))
+    backwards = (_scope(REPORT, "quoted", ("plain", "denied", "aimed"), REACH_BACK).then(_scope(TARGET, "aimed"))
+                 .then(_scored(INSULT, weights)).then(_scored(THREAT, weights)))
+    return forwards, backwards
 
 
 class Matcher:
-    """Counts the matches of a text's clauses; an insult counts by its weight."""
+    """The matches of a text's clauses; an insult counts by its weight."""
 
-    def __init__(self, insults: dict[str, float]):
+    def __init__(self, insults: dict[str, float], weights: dict[str, float] | None = None):
         self.insults = insults
         self.kind = {w: TARGET for w in TARGET_WORDS} | {w: NEGATION for w in NEGATION_WORDS}
         self.kind |= {w: REPORT for w in REPORT_WORDS} | {w: THREAT for w in THREAT_WORDS}
-        self.kind |= {w: INSULT for w in insults} | {c: END for c in ".!?;:|\n"}
+        self.kind |= {w: INSULT for w in insults} | {c: END for c in ".!?;|\n"} | {":": COLON} | {c: QUOTE for c in "\"“”„«»"}
         self.scored = set(insults) | set(THREAT_WORDS)
-        self.machine = grammar()
+        self.forwards, self.backwards = grammar(weights or {})
 
-    def matches(self, text: str) -> dict[str, float]:
+    def clauses(self, text: str) -> Iterator[list[tuple[str, float, float]]]:
+        """Of each clause that has any: its matches (name, weight of its arc,
+        weight of the word)."""
         tokens = _TOKEN.findall(text.lower())
         if self.scored.isdisjoint(tokens):
-            return {}
-        out: dict[str, float] = defaultdict(float)
-        state, at = self.machine.start, -1
+            return
         kinds = self.kind
+        clause: list[tuple[str, int, str]] = []  # kind, place, word
+        any_scored = False
         for i, token in enumerate(tokens):
             kind = kinds.get(token)
-            if kind is not None:
-                state, written = self.machine(state, (kind, min(i - at, REACH + 1), "plain"))
-                at = i
-                if len(written) == 1:
-                    out[written[0]] += self.insults.get(token, 1.0)
-        return out
+            if kind is None:
+                continue
+            if kind != END:
+                clause.append((kind, i, token))
+                any_scored = any_scored or kind in (INSULT, THREAT)
+                continue
+            if any_scored:
+                yield self._read(clause)
+            clause, any_scored = [], False
+        if any_scored:
+            yield self._read(clause)
+
+    def _read(self, clause: list[tuple[str, int, str]]) -> list[tuple[str, float, float]]:
+        state, at, marked = self.forwards.start, clause[0][1], []
+        for kind, place, _ in clause:
+            state, written = self.forwards(state, (kind, min(place - at, REACH + 1), "plain"))
+            marked.append(written)
+            at = place
+        state, at, out = self.backwards.start, clause[-1][1], []
+        for (kind, place, word), (_, _, how) in zip(reversed(clause), reversed(marked)):
+            state, written = self.backwards(state, (kind, min(at - place, REACH + 1), how))
+            at = place
+            if len(written) == 2:
+                out.append((*written, self.insults.get(word, 1.0)))
+        return out[::-1]
+
+    def matches(self, text: str) -> dict[str, float]:
+        """Matches of the whole text: name -> sum of the words' weights."""
+        out: dict[str, float] = defaultdict(float)
+        for clause in self.clauses(text):
+            for match, _, word in clause:
+                out[match] += word
+        return dict(out)
 
     def features(self, text: str) -> np.ndarray:
-        found = self.matches(text)
-        return np.array([math.log1p(found.get(m, 0.0)) for m in MATCHES])
+        """A row for each clause: the weight of its words by match."""
+        rows = []
+        for clause in self.clauses(text):
+            row = np.zeros(len(MATCHES))
+            for match, _, word in clause:
+                row[_PLACE[match]] += word
+            rows.append(row)
+        return np.array(rows).reshape(-1, len(MATCHES))
+
+    def evidence(self, text: str) -> tuple[float, float]:
+        """The score of the best clause, and the logarithm of what the others
+        score; zeros without a match."""
+        scores = [sum(arc * word for _, arc, word in clause) for clause in self.clauses(text)]
+        return _evidence(np.array(scores))
+
+
+_PLACE = {m: i for i, m in enumerate(MATCHES)}
+
+
+def _evidence(scores: np.ndarray) -> tuple[float, float]:
+    if not len(scores):
+        return 0.0, 0.0
+    best = int(scores.argmax())
+    return float(scores[best]), math.log1p(float(np.delete(scores, best).clip(0).sum()))
 
 
 # ----------------------------------------------------------------- learning
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """``weights``: of the arcs by match, then of the other clauses' evidence."""
+
     insults: dict[str, float]
     weights: np.ndarray
     bias: float
 
-    def score(self, features: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features @ self.weights) + self.bias))))
+    def matcher(self) -> Matcher:
+        return Matcher(self.insults, dict(zip(MATCHES, self.weights.tolist())))
+
+    def score(self, evidence: tuple[float, float]) -> float:
+        z = evidence[0] + float(self.weights[-1]) * evidence[1] + self.bias
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def learn_insults(texts: list[str], labels: list[int]) -> dict[str, float]:
@@ -214,8 +306,29 @@ def learn_insults(texts: list[str], labels: list[int]) -> dict[str, float]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 400, stands_for: dict[int, float] | None = None) -> ToxicityModel:
-    """Insult words from one half of the texts and weights of the matches from
+def _regression(x: np.ndarray, y: np.ndarray, each: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression: Newton steps with a ridge."""
+    n = x.shape[1]
+    weights, bias = np.zeros(n), 0.0
+    design = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.diag([1e-3 * len(x) ** 0.5] * n + [1e-9])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+        slope = design.T @ (each * (y - p)) - ridge @ np.append(weights, bias)
+        curve = design.T @ (design * (each * p * (1 - p))[:, None]) + ridge
+        step = np.linalg.solve(curve + 1e-9 * np.eye(len(curve)), slope)
+        weights, bias = weights + step[:-1], bias + step[-1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights, float(bias)
+
+
+# Turns of choosing the best clauses and weighing their arcs.
+TURNS = 6
+
+
+def fit(texts: list[str], labels: list[int], stands_for: dict[int, float] | None = None) -> ToxicityModel:
+    """Insult words from one half of the texts and weights of the arcs from
     the other and the other way round, so that the weights see insults as new
     texts show them; the words of both halves together are kept.
 
@@ -224,31 +337,29 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, stands_for: dict
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         constant = math.log((share + 1e-9) / (1 - share + 1e-9))
-        return ToxicityModel({}, np.zeros(len(MATCHES)), constant)
-    x = np.zeros((len(texts), len(MATCHES)))
+        return ToxicityModel({}, np.zeros(len(MATCHES) + 1), constant)
+    clauses: list[np.ndarray] = [np.zeros((0, len(MATCHES)))] * len(texts)
     for half in (0, 1):
-        learned = learn_insults(texts[half::2], labels[half::2])
-        matcher = Matcher(learned)
+        matcher = Matcher(learn_insults(texts[half::2], labels[half::2]))
         for i in range(1 - half, len(texts), 2):
-            x[i] = matcher.features(texts[i])
+            clauses[i] = matcher.features(texts[i])
     insults = learn_insults(texts, labels)
-    if insults and not x.any():  # too few texts to learn any word from a half
+    if insults and not any(map(len, clauses)):  # too few texts to learn any word from a half
         matcher = Matcher(insults)
-        x = np.array([matcher.features(t) for t in texts])
+        clauses = [matcher.features(t) for t in texts]
     each = np.array([(stands_for or {}).get(label, 1.0) for label in labels], dtype=float)
     each /= each.mean()  # the ridge is for so many texts
-    weights, bias = np.zeros(len(MATCHES)), 0.0
-    for _ in range(rounds):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
-        design = np.hstack([x, np.ones((len(x), 1))])
-        ridge = np.diag([1e-3 * len(x) ** 0.5] * len(MATCHES) + [1e-9])
-        slope = design.T @ (each * (y - p)) - ridge @ np.append(weights, bias)
-        curve = design.T @ (design * (each * p * (1 - p))[:, None]) + ridge
-        step = np.linalg.solve(curve + 1e-9 * np.eye(len(curve)), slope)
-        weights, bias = weights + step[:-1], bias + step[-1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return ToxicityModel(insults, weights, float(bias))
+    # at first the sums over all clauses; then the best clause by the last weights, and the others' evidence
+    weights, bias = _regression(np.array([np.log1p(c.sum(axis=0)) for c in clauses]), y, each)
+    weights = np.append(weights, 0.0)
+    for _ in range(TURNS):
+        x = np.zeros((len(texts), len(MATCHES) + 1))
+        for i, c in enumerate(clauses):
+            if len(c):
+                scores = c @ weights[:-1]
+                x[i, :-1], x[i, -1] = c[int(scores.argmax())], _evidence(scores)[1]
+        weights, bias = _regression(x, y, each)
+    return ToxicityModel(insults, weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Callable[[F.Column], F.Column] | None = None) -> ToxicityModel:
@@ -278,10 +389,10 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str) -> DataFrame:
     shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.insults)
+        matcher = model.matcher()
         with no_cycle_collection():
             for b in batches:
-                scores = [model.score(matcher.features(t)) for t in text_list(b.column(at))]
+                scores = [model.score(matcher.evidence(t)) for t in text_list(b.column(at))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, column])
 
     at = docs.columns.index("text")

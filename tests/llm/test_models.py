@@ -104,28 +104,94 @@ def test_language_stage_rejects_what_is_not_learned(spark, langs):
 
 def test_grammar_by_clause():
     matcher = toxicity_grammar.Matcher({"clown": 2.0})
-    assert matcher.matches("nothing here. you and me") == {}
-    assert matcher.matches("Some clown came") == {"insult plain": 2.0}
-    assert matcher.matches("You absolute clown") == {"insult aimed": 2.0}
-    assert matcher.matches("you. A clown") == {"insult plain": 2.0}      # another clause
-    assert matcher.matches("she is not a clown") == {"insult denied": 2.0}
-    assert matcher.matches("he said you are not a clown") == {"insult quoted": 2.0}
-    assert matcher.matches("I will hurt you, clown; hurt them") == {"threat plain": 2.0, "insult aimed": 2.0}
-    assert matcher.matches("you one two three four five six clown") == {"insult plain": 2.0}   # out of reach
+    read = {"nothing here. you and me": {}, "Some clown came": {"insult plain": 2.0}, "You absolute clown": {"insult aimed": 2.0},
+            "you. A clown": {"insult plain": 2.0},  # another clause
+            "she is not a clown": {"insult denied": 2.0}, "he said you are not a clown": {"insult quoted": 2.0},
+            "I will hurt you, clown; hurt them": {"threat aimed": 2.0, "insult aimed": 2.0}, "we hurt at night": {"threat plain": 1.0},
+            "I will kill you.": {"threat aimed": 1.0}, "clown, that is what you are": {"insult aimed": 2.0},
+            "He said: one two three four five six seven clown.": {"insult quoted": 2.0}, "a clown, he said": {"insult quoted": 2.0},
+            "A remark: you clown": {"insult aimed": 2.0}, "not this: a clown": {"insult plain": 2.0},
+            "«a clown» wrote nobody": {"insult quoted": 2.0}, 'she wrote "not one two three four five six seven clown" and a clown': {"insult quoted": 2.0, "insult plain": 2.0},
+            "you one two three four five six clown": {"insult plain": 2.0}, "clown one two three four five six you": {"insult plain": 2.0},  # out of reach
+            "clown one two three said he": {"insult aimed": 2.0}}
+    assert {text: matcher.matches(text) for text in read} == read
+
+
+def plain_matches(matcher, text: str) -> list[list[tuple[str, str]]]:
+    """(match, word) of each clause by the rules, looking at words and their
+    distances; nothing of the transducers."""
+    out = []
+    for clause in re.split(r"[.!?;|\n]", text.lower()):
+        tokens = re.findall(r"[^\W\d_]+|[:\"]", clause)
+        kinds = [matcher.kind.get(t) for t in tokens]
+        near = lambda i, kind, reach, ahead: [j for j, k in enumerate(kinds) if k == kind and 0 < (j - i if ahead else i - j) <= reach]
+        speech, closed, quoted = None, -1, [False] * len(tokens)
+        for i, k in enumerate(kinds):
+            if speech:
+                if k == "quote":
+                    speech, closed = (None, i) if speech == "quote" else ("quote", closed)
+                quoted[i] = speech is not None
+                continue
+            report = [j for j in near(i, "report", 5, False) if j > closed]
+            if k in ("colon", "quote") and report:
+                speech = k
+            quoted[i] = bool(report)
+        found = []
+        for i, k in enumerate(kinds):
+            if k not in ("insult", "threat"):
+                continue
+            stop = max([j for j in range(i) if kinds[j] in ("colon", "quote")], default=-1)
+            how = ("quoted" if quoted[i] or near(i, "report", 2, True) else "denied" if [j for j in near(i, "negation", 5, False) if j > stop]
+                   else "aimed" if near(i, "target", 5, False) or near(i, "target", 5, True) else "plain")
+            found.append((f"{k} {how}", tokens[i]))
+        if found:
+            out.append(found)
+    return out
+
+
+def test_transducers_equal_the_rules():
+    """Random short clauses; report words that are not interrupted by others."""
+    matcher = toxicity_grammar.Matcher({"clown": 2.0, "scum": 3.0})
+    rng = np.random.default_rng(7)
+    words = ["clown", "scum", "kill", "you", "they", "not", "said", ":", '"', "word", "and", "tree", "."]
+    for _ in range(4000):
+        text = " ".join(rng.choice(words, int(rng.integers(1, 14)), p=[.1, .08, .08, .1, .06, .1, .06, .05, .06, .1, .08, .06, .07]))
+        read = []
+        place = 0
+        tokens = re.findall(r"[^\W\d_]+|[:\".]", text)
+        for clause in matcher.clauses(text):
+            row = []
+            for match, _, weight in clause:
+                while tokens[place] not in ("clown", "scum", "kill"):
+                    place += 1
+                row.append((match, tokens[place]))
+                assert weight == matcher.insults.get(tokens[place], 1.0)
+                place += 1
+            read.append(row)
+        assert read == plain_matches(matcher, text), text
+
+
+def test_the_best_clause_and_the_others():
+    weights = {"insult plain": 0.5, "insult aimed": 2.0, "insult denied": -1.0}
+    matcher = toxicity_grammar.Matcher({"clown": 2.0}, weights)
+    best, others = matcher.evidence("you clown. a clown; a clown! not a clown. no")
+    assert best == 4.0 and others == pytest.approx(math.log1p(2.0))
+    assert matcher.evidence("nothing") == (0.0, 0.0) and matcher.evidence("not a clown") == (-2.0, 0.0)
 
 
 def test_composition_is_one_after_the_other():
-    marks = [toxicity_grammar._scope(toxicity_grammar.NEGATION, "denied"), toxicity_grammar._scope(toxicity_grammar.TARGET, "aimed")]
-    both = marks[0].then(marks[1])
+    marks = [toxicity_grammar._speech(), toxicity_grammar._scope(toxicity_grammar.NEGATION, "denied"), toxicity_grammar._scope(toxicity_grammar.TARGET, "aimed")]
+    both = marks[0].then(marks[1]).then(marks[2])
     rng = np.random.default_rng(0)
-    kinds = [toxicity_grammar.INSULT, toxicity_grammar.TARGET, toxicity_grammar.NEGATION, toxicity_grammar.END]
+    kinds = [toxicity_grammar.INSULT, toxicity_grammar.TARGET, toxicity_grammar.NEGATION, toxicity_grammar.REPORT, toxicity_grammar.COLON,
+             toxicity_grammar.QUOTE, toxicity_grammar.END]
     states, joint = [m.start for m in marks], both.start
-    for _ in range(500):
-        symbol = (kinds[rng.integers(4)], int(rng.integers(1, 5)), "plain")
+    for _ in range(2000):
+        symbol = (kinds[rng.integers(7)], int(rng.integers(1, 5)), "plain")
         joint, out = both(joint, symbol)
         for i, m in enumerate(marks):
             states[i], symbol = m(states[i], symbol)
-        assert out == symbol and joint == tuple(states)
+        assert out == symbol and joint == ((states[0], states[1]), states[2])
 
 
 def test_op7_held_out(spark):
@@ -155,9 +221,9 @@ def test_the_cut_does_not_depend_on_the_sample(spark, monkeypatch):
     for most in (2000, 150):
         monkeypatch.setattr(toxicity_grammar, "TRAIN_DOCS", most)
         model = toxicity_grammar.train(docs, labels)
-        matcher = toxicity_grammar.Matcher(model.insults)
-        assert model.score(matcher.features("they would burn it")) == pytest.approx(1 / 3, abs=0.08)
-        assert model.score(matcher.features("plain words")) == pytest.approx(1 / 17, abs=0.03)
+        matcher = model.matcher()
+        assert model.score(matcher.evidence("they would burn it")) == pytest.approx(1 / 3, abs=0.08)
+        assert model.score(matcher.evidence("plain words")) == pytest.approx(1 / 17, abs=0.03)
 
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
@@ -167,7 +233,7 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     none = labels.where("doc_id > 99")
     assert {r["predicted"] for r in toxicity_grammar.scored(odd_docs, none).collect()} == {0}
     assert toxicity_grammar.scored(no_docs, labels).count() == 0
-    kept = toxicity_grammar.keep_clean(odd_docs, toxicity_grammar.ToxicityModel({"fox": 3.0}, np.full(8, 9.0), -1.0))
+    kept = toxicity_grammar.keep_clean(odd_docs, toxicity_grammar.ToxicityModel({"fox": 3.0}, np.full(9, 9.0), -1.0))
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1
 
 
@@ -354,8 +420,8 @@ def test_pipeline_stages(spark):
     assert {r[0] for r in docs.select("doc_id").subtract(by_language.select("doc_id")).collect()} == {10_001, 10_002}
     clean = corpus_pipeline.toxicity(spark, by_language, SF_SMALL)
     model = toxicity_grammar.train(by_language, spark.read.parquet(f"{SF_SMALL}/labels.parquet"))
-    matcher = toxicity_grammar.Matcher(model.insults)
-    keep = {r["doc_id"] for r in by_language.collect() if model.score(matcher.features(r["text"])) < 0.5}
+    matcher = model.matcher()
+    keep = {r["doc_id"] for r in by_language.collect() if model.score(matcher.evidence(r["text"])) < 0.5}
     rows = sorted(clean.collect(), key=lambda r: r["doc_id"])
     assert clean.columns == docs.columns and {r["doc_id"] for r in rows} == keep
     single = corpus_pipeline.near_duplicates(spark, clean, SF_SMALL)

@@ -202,3 +202,12 @@ def test_pack_odd_rows(spark, odd_docs, no_docs):
     rows = packing.pack(odd_docs, WORDS, capacity=64).collect()
     check_packed(rows, [(r["doc_id"], r["text"]) for r in odd_docs.collect()], Tokenizer.from_file(WORDS), 64)
     assert packing.pack(no_docs, WORDS).count() == 0
+
+
+def test_ids_are_as_wide_as_the_vocabulary_needs(monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    assert token_files.Tokens(path).width == 2 and token_files.Tokens(path, end_id=1 << 16).width == 4
+    assert token_files.width_of(65_535) == 2 and token_files.width_of(65_536) == 4
+    monkeypatch.setattr(token_files, "greatest_id", lambda _: 70_000)
+    wide = token_files.Tokens(path)
+    assert wide.width == 4 and len(wide.serialized("a b")) % 4 == 0 and token_files.Tokens(path, width=2).width == 2
