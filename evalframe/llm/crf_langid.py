@@ -25,7 +25,8 @@ words that advance side by side, each as a matrix from the label before it to
 the label at its end, and these matrices are chained over the segments.  The
 result is exactly that of one pass over the whole text.
 
-Defined results: ``und`` with score 0 for a null text or one without a letter;
+Defined results: a text of any length is labelled whole; of languages of equal
+mass the first by name is taken; ``und`` with score 0 for a null text or one without a letter;
 null languages are not learned from; without any language every text is
 ``und``; repeated rows are labelled each for itself; an empty table gives no
 rows.  lang, source and doc_id are never inputs of a prediction.

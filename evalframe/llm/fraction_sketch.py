@@ -13,7 +13,8 @@ compressed texts and streamed in order.  The bounds of the shards are doc_ids
 of the table, so the first document of the next shard is known beforehand and
 is also sent to the shard before it.
 
-Defined results: a null or empty text has an empty sketch; empty sketches are
+Defined results: a text of any length is sketched whole, one at a time; a null
+or empty text has an empty sketch; empty sketches are
 alike (1) only among themselves (else 0); a null doc_id sorts after all
 others; rows that share a doc_id stay separate, in the order of their
 compressed texts; a single document is its own next; an empty table gives no

@@ -18,7 +18,8 @@ compared in a task of its own.  Components come from star rounds over the
 links, each written to a scratch table; no link or component list reaches
 the driver.
 
-Defined results: a null or empty text, or one of white space only, has
+Defined results: a text of any length is hashed whole, one at a time; a null or
+empty text, or one of white space only, has
 fingerprint zero and is linked like any other; repeated rows give one row
 each; ``component_id`` is the smallest non-null doc_id of the component (null
 if it has none); an empty table gives no rows; columns other than ``doc_id``

@@ -27,7 +27,9 @@ host's pages of hashes of (page, count), so they are plain aggregates with
 partial sums before the shuffle, however many pages a host has.  Templates are
 small (frequent tokens only) and are joined to the pages by host.
 
-Defined results: a null or empty html, or one without a text block, gives an
+Defined results: a page is read whole, one at a time, whatever its length, in
+linear time; of elements that hold equal text the deepest is taken, then the
+last by name; a null or empty html, or one without a text block, gives an
 empty text; a null url belongs to the host ``""``; hosts of fewer than
 ``LEAST_PAGES`` pages have no template text, only elements; repeated rows are
 pages of their own; an empty table gives no rows; columns other than

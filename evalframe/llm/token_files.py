@@ -19,7 +19,7 @@ Spark's committed writer, so any file system of the cluster can hold them:
 * ``shards``: rows ``(shard, start, n_tokens)``: ids before each shard.  Shards
   are consecutive ranges of doc_id.
 
-Defined results: a null text is an empty text and has the end id only; a null
+Defined results: a text of any length is one frame, encoded whole; a null text is an empty text and has the end id only; a null
 doc_id sorts before all others; repeated doc_ids stay separate documents, in
 the order of their compressed bytes; an empty table gives empty tables;
 columns other than ``doc_id`` and ``text`` are not read.

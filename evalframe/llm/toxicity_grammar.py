@@ -32,7 +32,8 @@ a text stands for as many as its class has for each one taken, so the bias and
 the cut mean the same at every size.  Scoring reads every text whole.  Neither doc_id nor source, language or label is an
 input of a score.
 
-Defined results: a null or empty text, or one without a match, has the score
+Defined results: a text of any length is read whole, a clause at a time; of
+clauses of equal score the first is the best; a null or empty text, or one without a match, has the score
 of no match; labels that are null are not learned from; repeated rows are
 scored each for itself; without labels of both classes all scores are the
 share of toxic labels (0 without any); an empty table gives no rows.

@@ -536,3 +536,19 @@ def test_occurrence_vectors_part_tokens_as_real_ones(spark):
             summed[token] = sum(h(p, n) & 0x7FFFFFFF for p, n in real[token]), sum(h(p, n) >> 33 for p, n in real[token])
         assert len(set(real.values())) == len(set(summed.values()))
         assert len({(real[t], summed[t]) for t in real}) == len(set(real.values()))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, tmp_dir, empty):
+    """Nulls in any column, long texts, repeated rows, columns of clashing names."""
+    docs = odd_docs.limit(0) if empty else odd_docs
+    docs.coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (5, 1, 1), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    rows = {tuple(map(str, r)) for r in docs.collect()}
+    stage_docs = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, stage_docs, tmp_dir)
+        assert kept.columns == docs.columns and {tuple(map(str, r)) for r in kept.collect()} <= rows, name
+        stage_docs = kept
+    packed = corpus_pipeline.run(spark, tmp_dir).collect()
+    assert (not packed) if empty else all(r["length"] <= 4096 for r in packed)
