@@ -11,8 +11,10 @@ predecessor kept; every stage but the last returns the columns of documents.
   of fingerprints linked at 4 or fewer differing bits, of 4-word shingles.
 * packing: sequences of at most 4096 tokens.
 
-Null texts are rejected by the first stage; repeated rows leave one row;
-an empty table gives empty results.
+Null texts are rejected by the first stage; repeated rows leave one row; texts
+of any length are read whole by every stage and cut only by packing, into
+pieces of whole sequences; documents may have further columns of any names,
+which all stages but the last keep; an empty table gives empty results.
 """
 
 from __future__ import annotations
