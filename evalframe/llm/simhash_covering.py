@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from evalframe.llm.common import saved, schema_with, text_list, unused_name
 from evalframe.llm.fraction_sketch import shingle_hashes
 from evalframe.llm.word_cache import no_cycle_collection
+from evalframe.operators.skew import skew_join
 
 # Members of a bucket that one task compares, and rows of one comparison block.
 BUCKET, BLOCK = 4096, 512
@@ -190,8 +191,9 @@ def components(docs: DataFrame, radius: int = 4, shingle: int = 4, bucket: int =
     groups = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
     rooted = saved(groups.join(roots(groups, radius, bucket), "fp"), "fingerprint-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return (rows.join(by_fp, F.col("fp") == F.col("_fp"))
+    # a root of very many fingerprints, a fingerprint of very many documents: salted
+    by_fp = skew_join(rooted.select("fp", "root"), least, "root", "inner").select("fp", "component_id")
+    return (skew_join(rows, by_fp, "fp", "inner")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
