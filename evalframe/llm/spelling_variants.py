@@ -50,7 +50,7 @@ from evalframe.llm.common import saved
 from evalframe.llm.word_cache import no_cycle_collection
 
 # Words of an index block, about; counted words a task holds before it passes them on.
-BLOCK, COUNTED_WORDS = 16_384, 300_000
+BLOCK, COUNTED_WORDS = 65_536, 300_000
 # Letters that words of a group share at their beginning, at their end: words
 # of LEAST_LETTERS or more agree in one of them if one edit apart.
 FIRST, LAST, LEAST_LETTERS = 2, 3, 5
