@@ -75,16 +75,16 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
 _RESCORED = "id % 3 = 0 AND id % 2 = 1"
 
 
-@register("stream_rescored", O.with_(O.CHOICE_ITEMS) + f"""
-SELECT 'perception' AS task, 'selection' AS sub_task, sub_subtask, 'en' AS lang, 'api' AS model_type, 'replay-model' AS model_name,
+@register("stream_rescored", O.with_(O.A_B) + f"""
+SELECT 'perception' AS task, 'selection' AS sub_task, 'part' || CAST(id % 5 AS VARCHAR) AS sub_subtask, 'en' AS lang, 'api' AS model_type, 'replay-model' AS model_name,
        round(avg(CASE WHEN NOT failed THEN CASE WHEN gold = pred THEN 1e0 ELSE 0e0 END END), 9) AS accuracy,
        count(CASE WHEN NOT failed THEN 1 END) AS n_rows,
        CAST(sum(CASE WHEN NOT failed AND pred = -100 THEN 1 ELSE 0 END) AS BIGINT) AS n_invalid,
        count(CASE WHEN failed THEN 1 END) AS n_error
-FROM (SELECT sub_subtask, coalesce(correct_ids[1], -1) AS gold, ({_RESCORED} AND id % 7 <> 0) AS failed,
-             CASE WHEN {_RESCORED} THEN -100 ELSE {O.code_int_sql(O.extract_sql('recorded_response'))} END AS pred
-      FROM choice_responses)
-GROUP BY sub_subtask""")
+FROM (SELECT id, correct_ids[1] AS gold, ({_RESCORED} AND id % 7 <> 0) AS failed,
+             CASE WHEN {_RESCORED} THEN 0 ELSE CASE {O.extract_sql('recorded_response')} WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE -100 END END AS pred
+      FROM a_b_items)
+GROUP BY id % 5""")
 def stream_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """H1 and H2 of results that are put right later, one file a micro-batch.
     A third of the calls fail at first and half of these again; a fifth of the
@@ -97,12 +97,13 @@ def stream_rescored(spark: SparkSession, sf: str) -> DataFrame:
              ((i % 3 == 0) | (i % 5 == 0), 2, F.when(odd, failed).otherwise(recorded)),
              (i % 7 == 0, 0, F.lit("A"))]
     for n, (rows, version, answer) in enumerate(parts):
-        res = fx.choice_responses(spark, sf).where(rows).select("id", "correct_ids", "sub_subtask", answer.alias("answer"))
+        part = F.concat(F.lit("part"), (i % 5).cast("string"))
+        res = fx.a_b_items(spark, sf).where(rows).select("id", "correct_ids", part.alias("sub_subtask"), answer.alias("answer"))
         res = res.withColumns({"parsed": P.extract_choice("answer"), "error": F.when(F.col("answer").isNull(), "failed"), "version": F.lit(version).cast("long")})
         res = C.tag_run(res, **RUN).select(*[f.name for f in RESULT_SCHEMA.fields], "error", "version")
         res.coalesce(1).write.mode("overwrite").parquet(f"{d}/results/part={n}")
     schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField("error", T.StringType()), T.StructField("version", T.LongType())])
-    q = S.score_stream(spark, d + "/results/*", schema, lambda: P.gold_or_none("correct_ids"), lambda: P.code_selection("parsed"),
+    q = S.score_stream(spark, d + "/results/*", schema, lambda: P.gold_first("correct_ids"), lambda: P.code_a_b("parsed"),
                        d + "/scores", checkpoint=d + "/ckpt", max_files_per_trigger=1, item_keys=["id"], version_col="version")
     q.awaitTermination()
     names = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name")
