@@ -140,7 +140,7 @@ def segments(texts: DataFrame, name: str) -> DataFrame:
             yield flush()
 
     source = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return saved(source.mapInArrow(run, _SEGMENTS), name)
+    return saved(source.mapInArrow(run, _SEGMENTS), name, "zstd")
 
 
 def distinct_lines(parts: DataFrame, name: str) -> DataFrame:
