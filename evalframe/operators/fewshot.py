@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.operators.joins import unused_name
+from evalframe.operators.skew import heavy_keys
+from evalframe.session import scratch_dir
+
+# Sets of so many bytes in all, written as JSON, are broadcast to dealt items.
+BROADCAST_BYTES = 16 << 20
 
 FEW_SHOT_TYPE = "array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>"
 
@@ -59,6 +64,46 @@ def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], salt
         joined = items.join(sets, [*on, salt], "left").drop(salt)
     else:
         joined = items.join(sets, on, "left")
+    return _filled(joined, sets)
+
+
+def deal_with_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """``attach_few_shot`` in ``tasks`` partitions of about equal numbers of
+    items.
+
+    The items are dealt before they have their examples, which are far wider
+    and never shuffled once an item.  Sets that are measured small are
+    broadcast to items dealt round-robin.  Larger ones are joined by key: the
+    shuffle that deals the items is the join's, and the items of a key that is
+    heavy (``skew.heavy_keys``) or null are dealt over salts, the set of a
+    heavy key repeated for each of them.
+    """
+    spark, on = items.sparkSession, list(keys)
+    path = scratch_dir(spark, "few-shot-sets")
+    sets.write.mode("overwrite").parquet(path)   # measured and joined from one computation
+    sets = spark.read.schema(sets.schema).parquet(path)
+    size = sets.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sets.columns])))).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        return _filled(items.repartition(tasks).join(F.broadcast(sets), on, "left"), sets)
+    types = {df: [df.schema[c].dataType.simpleString() for c in on] for df in (items, sets)}
+    if types[items] != types[sets] or {"float", "double"} & set(types[items]):   # equal keys may have unequal hashes
+        return attach_few_shot(items, sets, on).repartition(tasks)
+    key, salt, salts = (unused_name(n, [*items.columns, *sets.columns]) for n in ("_key", "_salt", "_salts"))
+    # the hash stands for the keys: a light key that shares one with a heavy key is salted as well, on both sides
+    hashed = F.when(F.greatest(*[F.col(f"`{c}`").isNull().cast("int") for c in on], F.lit(0)) == 0, F.xxhash64(*[F.col(f"`{c}`") for c in on]))
+    # read once: both sides must have the same salts of a key (at most 2 / share rows)
+    heavy = F.broadcast(spark.createDataFrame(heavy_keys(items.select(hashed.alias(key)), key, tasks).collect(), f"{key} long, {salts} int"))
+    whole = [F.col(f"`{f.name}`") for f in items.schema.fields if "map<" not in f.dataType.simpleString()]
+    unmatched = F.when(F.col(key).isNull(), F.lit(8 * tasks)).otherwise(F.coalesce(F.col(salts), F.lit(1)))
+    # a row's salt depends on the row alone: a task that runs again deals it alike
+    dealt = items.withColumn(key, hashed).join(heavy, key, "left").withColumn(salt, F.pmod(F.xxhash64(*whole), unmatched).cast("int")).drop(key, salts)
+    repeated = sets.withColumn(key, hashed).join(heavy, key, "left").withColumn(
+        salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(key, salts)
+    return _filled(dealt.repartition(tasks, *[F.col(f"`{c}`") for c in (*on, salt)]).join(repeated, [*on, salt], "left").drop(salt), sets)
+
+
+def _filled(joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """Empty lists for items without a set."""
     filled = {"few_shot": F.coalesce(F.col("few_shot"), F.array().cast(FEW_SHOT_TYPE))}
     if "few_shot_messages" in sets.columns:
         msg_type = sets.schema["few_shot_messages"].dataType.simpleString()

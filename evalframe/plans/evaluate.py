@@ -42,9 +42,6 @@ from evalframe.sources import readers as RD
 SCORE_COLUMNS = ("task", "sub_task", "sub_subtask", "lang", "model_type", "model_name", "accuracy",
                  "average_distance", "n_distance", "n_rows", "n_invalid", "n_error")
 
-# Partitions that the items of one few-shot list are dealt over.
-FEW_SHOT_SALTS = 64
-
 
 def _read_items(spark: SparkSession, path: str, schema: T.StructType, rename: Mapping[str, str] | None) -> DataFrame:
     if not rename:
@@ -169,17 +166,13 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
             it = _read_items(spark, r["dataset_path"], schema, rename).withColumn(
                 "sub_subtask", F.lit(r["sub_subtask"]).cast("string"))
             ex = RD.read_few_shot(spark, r["few_shot_path"]).withColumn(
-                "_fs_key", F.lit(r["sub_subtask"] or ""))
+                PL.FEW_SHOT_KEY, F.lit(r["sub_subtask"] or ""))
             items = it if items is None else items.unionByName(it)
             examples = ex if examples is None else examples.unionByName(ex)
-        items = items.withColumn("_fs_key", F.coalesce("sub_subtask", F.lit("")))
-        sets = FS.few_shot_sets(examples, ["_fs_key"])
-        if family is None:   # a family profile assembles its own messages
-            sets = FS.with_messages(sets, typed=sub_task in ("selection", "multiple_choice_classification", "generation"))
-        # one few-shot list per sub_subtask, shared by all its items: a few hot keys
-        items = FS.attach_few_shot(items, sets, ["_fs_key"], salts=FEW_SHOT_SALTS).drop("_fs_key")
+        items = items.withColumn(PL.FEW_SHOT_KEY, F.coalesce("sub_subtask", F.lit("")))
+        sets = FS.few_shot_sets(examples, [PL.FEW_SHOT_KEY])
         if image_dir and check_images and "image" in items.columns:
-            _require_images(spark, items, image_dir)
+            _require_images(spark, FS.attach_few_shot(items, sets, [PL.FEW_SHOT_KEY]), image_dir)
         gp = rows[0]["gen_params"].asDict() if rows[0]["gen_params"] is not None else None
         run = PL.Run(task=task, sub_task=sub_task, lang=lg, model_type=model_type, model_name=model_name,
                      family=family, gen_params=gp, image_dir=image_dir,
@@ -187,7 +180,7 @@ def evaluate(spark: SparkSession, tasks: Sequence[str], sub_tasks: Sequence[str]
                      templates=C.templates(lg) | dict((templates or {}).get((task, lg), {})))
         keep = [f.name for f in schema.fields] + ["sub_subtask"]
         # an item is known by all its columns: ids may be null or shared
-        common = dict(results_root=results, keep=keep, resume=resume, resume_keys=keep)
+        common = dict(results_root=results, keep=keep, resume=resume, resume_keys=keep, few_shot=sets, few_shot_keys=[PL.FEW_SHOT_KEY])
         if sub_task == "generation":
             PL.eval_generation(spark, items, run, make_responder, with_images=(task == "perception"), **common)
             return None
