@@ -200,7 +200,7 @@ def _respond_and_persist(spark: SparkSession, items: DataFrame, texts: dict[str,
     narrow = req.select(*needed)
     answered = respond(narrow, make_responder, prompt_col="prompt", images_col=sent_images,
                        messages_col="messages" if wants_messages else None, pass_columns=list(inputs),
-                       skip_col="placeholder_error", partitions=0, gen_params=gen_params)
+                       skip_col="placeholder_error", partitions=0, gen_params=gen_params, returned=[*keep, "zero_shot"])
     parsed = answered.withColumn("parsed", P.extract_choice("raw_response")).withColumns(derived or {})
     tagged = C.tag_run(parsed, task=run.task, sub_task=run.sub_task, lang=run.lang, model_type=run.model_type,
                        model_name=run.model_name).withColumn("call", F.lit(call))
