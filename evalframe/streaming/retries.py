@@ -11,7 +11,9 @@ had made.
 
 Requests are dealt to ``lanes`` by a hash of their key, so that a lane's
 requests that are due together are sent in one call.  A lane's state is a map
-(one entry a pending request) in the RocksDB state store, not one value.
+in the RocksDB state store, not one value: an entry holds the requests of one
+call that failed for now and are due together, as JSON of bounded size, so a
+call costs a few accesses to the store and not some for each request.
 
 Three tables come out, each partitioned by micro-batch and overwritten by it,
 so a batch that runs again replaces its own rows:
@@ -46,6 +48,8 @@ ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql
 OUTPUT = ("kind string, request string, payload string, attempt int, wait_s double, at_ms long, raw_response string, "
           "error string, attempts int, waited_s double")
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+# Characters of the requests of one entry of the state (a longer request goes alone).
+ENTRY_CHARS = 1 << 20
 ATTEMPT, ANSWER, DEAD = "attempt", "answer", "dead"
 TABLES = {ATTEMPT: ("attempts", ["request", "attempt", "wait_s", "at_ms", "error"]),
           ANSWER: ("answers", ["request", "raw_response", "attempts", "waited_s"]),
@@ -73,57 +77,82 @@ class RetryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "request string", "payload string, attempts int, most int, waited double, due long")
+        # by the name of its first request: when they are due, and [name, payload, attempts, most, waited] of each
+        self.pending = handle.getMapState("pending_calls", "first string", "due long, requests string")
         self.responder = worker_responder(self.key, self.make_responder)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        entries = [v for _, v in self.pending.iterator()]
+        held, dues = {r[0] for _, requests in entries for r in json.loads(requests)}, {due for due, _ in entries}
         fresh: dict[str, tuple] = {}
         for pdf in rows:
             for request, payload, most in zip(pdf["request"], pdf["payload"], pdf["most"]):
-                if not self.pending.containsKey((request,)):
+                if request not in held:
                     fresh[request] = (None if pd.isna(payload) else payload, 0, int(most), 0.0)
             if len(fresh) >= self.batch_size:
-                yield self._send(fresh, now)
+                yield self._send(fresh, now, held, dues)
                 fresh = {}
         if fresh:
-            yield self._send(fresh, now)
-        self._wake_at_earliest(now)
+            yield self._send(fresh, now, held, dues)
+        self._wake_at_earliest(now, dues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        due = {r[0]: tuple(v)[:4] for r, v in self.pending.iterator() if v[4] <= now}
+        due, dues, firsts = {}, set(), []
+        for (first,), (at, requests) in self.pending.iterator():
+            if at <= now:
+                firsts.append((first,))
+                due.update((r[0], tuple(r[1:])) for r in json.loads(requests))
+            else:
+                dues.add(at)
+        for first in firsts:
+            self.pending.removeKey(first)
         names = list(due)
         for at in range(0, len(names), self.batch_size):
-            yield self._send({n: due[n] for n in names[at:at + self.batch_size]}, now)
-        self._wake_at_earliest(now)
+            yield self._send({n: due[n] for n in names[at:at + self.batch_size]}, now, set(), dues)
+        self._wake_at_earliest(now, dues)
 
-    def _wake_at_earliest(self, now: int) -> None:
+    def _wake_at_earliest(self, now: int, dues: set[int]) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        earliest = min((v[4] for _, v in self.pending.iterator()), default=None)
-        if earliest is not None:
-            self.handle.registerTimer(max(earliest, now + 1))
-
-    def _send(self, requests: dict[str, tuple], now: int) -> pd.DataFrame:
-        """One attempt of each request; what failed for now stays pending."""
+        if dues:
+            self.handle.registerTimer(max(min(dues), now + 1))
+
+    def _keep(self, again: dict[int, list[tuple]]) -> None:
+        """Pending requests by the time they are due, in entries of bounded size."""
+        for due, requests in again.items():
+            entry, size = [], 0
+            for r in requests:
+                more = len(r[0]) + len(r[1] or "")
+                if entry and size + more > ENTRY_CHARS:
+                    self.pending.updateValue((entry[0][0],), (due, json.dumps(entry)))
+                    entry, size = [], 0
+                entry.append(r)
+                size += more
+            self.pending.updateValue((entry[0][0],), (due, json.dumps(entry)))
+
+    def _send(self, requests: dict[str, tuple], now: int, held: set[str], dues: set[int]) -> pd.DataFrame:
+        """One attempt of each request; what failed for now stays pending, and
+        is added to ``held`` and ``dues``."""
         rows = [json.loads(p) if p else {} for p, *_ in requests.values()]
         sent = [{**{k: r.get(k) for k in ("prompt", "images", "messages", "gen_params")}, "row": r, "attempt": tried + 1}
                 for r, (_, tried, _, _) in zip(rows, requests.values())]
         got = ask(self.responder, sent, 1, 0.0, 1.0, lambda s: None, self.retryable)
-        out = []
+        out, again = [], {}
         for (request, (payload, tried, most, waited)), (answer, _, error, _) in zip(requests.items(), got):
             attempt = tried + 1
             wait = self.first_wait * self.factor ** (tried - 1) if tried else 0.0
             out.append((ATTEMPT, request, None, attempt, wait, now, None, error, attempt, waited))
             if error is None or attempt >= most or not error.startswith("exhausted"):
-                if tried:
-                    self.pending.removeKey((request,))
                 kind = ANSWER if error is None else DEAD
                 out.append((kind, request, payload, attempt, wait, now, answer, error, attempt, waited))
                 continue
             wait = self.first_wait * self.factor ** tried
-            self.pending.updateValue((request,), (payload, attempt, most, waited + wait, now + int(1000 * wait * self.second)))
+            again.setdefault(now + int(1000 * wait * self.second), []).append((request, payload, attempt, most, waited + wait))
+            held.add(request)
+        self._keep(again)
+        dues.update(again)
         return pd.DataFrame(out, columns=_COLUMNS).astype({"attempt": "int32", "attempts": "int32"})
 
     def close(self) -> None:
