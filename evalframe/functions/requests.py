@@ -20,13 +20,6 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def _text_conversation(system: Column, few_shot: Column, text: Column, system_mode: str) -> Column:
-    msgs = D.conversation(system, few_shot, text, None, typed=False)
-    if system_mode == "fold":
-        return D.fold_system_into_first_user(msgs)
-    return msgs
-
-
 def render_chat(messages: Column, chat_format: str, default_system: str | None = None) -> Column:
     if chat_format == "chatml":
         return D.chat_chatml(messages, default_system=default_system or CHATML["default_system"])
@@ -41,6 +34,49 @@ def render_chat(messages: Column, chat_format: str, default_system: str | None =
     raise ValueError(f"unknown chat format {chat_format}")
 
 
+def _profile(family: str) -> tuple:
+    if family not in MODEL_PROFILES:
+        raise ValueError(f"no request profile for family {family!r}")
+    return MODEL_PROFILES[family]
+
+
+def part_form(family: str | None, typed: bool) -> bool:
+    """Are a family's messages in part form (without one: as ``typed`` says)?"""
+    if family is None:
+        return typed
+    vision, system_mode, *_ = _profile(family)
+    return vision and system_mode != "flat"
+
+
+def _sent(placeholder: str, vision: bool, text: Column, images: Column) -> tuple[Column, Column]:
+    """The text and the images that are sent."""
+    # placeholders are taken out only where images are sent
+    user_text = F.when(images.isNotNull(), D.placeholder_strip(text)).otherwise(text) if placeholder == "strip" else text
+    if placeholder == "fill":
+        sent = F.coalesce(D.placeholder_fill(text, images), F.array().cast("array<string>"))
+    elif vision:
+        sent = F.coalesce(images, F.array().cast("array<string>"))
+    else:
+        sent = F.array().cast("array<string>")
+    return user_text, sent
+
+
+def around_few_shot(family: str | None, system: Column | str, text: Column | str, images: Column | str | None = None,
+                    typed: bool = True) -> tuple[Column, Column] | None:
+    """The messages before and after those of the few-shot examples; ``None``
+    where the system text is folded into the first user turn, which may be an
+    example's.  ``typed`` counts without a family only."""
+    system, text, imgs = _col(system), _col(text), _col(images) if images is not None else F.lit(None).cast("array<string>")
+    if family is None:
+        return D.system_message(system, typed), D.user_message(text, images if typed else None, typed)
+    vision, system_mode, placeholder, _, _ = _profile(family)
+    if system_mode == "fold":
+        return None
+    parts, (user_text, sent) = part_form(family, typed), _sent(placeholder, vision, text, imgs)
+    return (D.system_message(system, parts, "user" if system_mode == "user" else "system"),
+            D.user_message(user_text, sent if parts else None, parts))
+
+
 def prepare_request(family: str, system: Column | str, few_shot: Column | str, text: Column | str,
                     images: Column | str | None = None) -> dict[str, Column]:
     """Columns ``messages``, ``prompt_text``, ``request_images`` and
@@ -50,29 +86,20 @@ def prepare_request(family: str, system: Column | str, few_shot: Column | str, t
     ``prompt_text`` is the chat-format rendering (null where the model's own
     processor renders); ``request_images`` are the images actually sent.
     """
-    if family not in MODEL_PROFILES:
-        raise ValueError(f"no request profile for family {family!r}")
-    vision, system_mode, placeholder, chat_format, default_system = MODEL_PROFILES[family]
+    vision, system_mode, placeholder, chat_format, default_system = _profile(family)
     system, few_shot, text = _col(system), _col(few_shot), _col(text)
     imgs = _col(images) if images is not None else F.lit(None).cast("array<string>")
     error = D.placeholder_error(text, imgs) if vision else F.lit(False)
-    # placeholders are taken out only where images are sent
-    user_text = F.when(imgs.isNotNull(), D.placeholder_strip(text)).otherwise(text) if placeholder == "strip" else text
-    if placeholder == "fill":
-        sent = F.coalesce(D.placeholder_fill(text, imgs), F.array().cast("array<string>"))
-    elif vision:
-        sent = F.coalesce(imgs, F.array().cast("array<string>"))
+    user_text, sent = _sent(placeholder, vision, text, imgs)
+    around = around_few_shot(family, system, text, images)
+    if around is None:
+        messages = D.fold_system_into_first_user(D.conversation(system, few_shot, user_text, None, typed=False))
     else:
-        sent = F.array().cast("array<string>")
-
+        messages = F.concat(around[0], D.few_shot_messages(few_shot, part_form(family, True)), around[1])
     if system_mode == "flat":
-        messages = D.conversation(system, few_shot, user_text, None, typed=False)
         prompt = D.flat_prompt(system, few_shot, user_text)
     elif vision:
-        head = D.system_message(system, typed=True, role="user" if system_mode == "user" else "system")
-        messages = F.concat(head, D.few_shot_messages(few_shot, typed=True), D.user_message(user_text, sent, typed=True))
         prompt = F.lit(None).cast("string")
     else:
-        messages = _text_conversation(system, few_shot, user_text, system_mode)
         prompt = render_chat(messages, chat_format, default_system)
     return {"messages": messages, "prompt_text": prompt, "request_images": sent, "placeholder_error": error}

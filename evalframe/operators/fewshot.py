@@ -14,6 +14,9 @@ from evalframe.session import scratch_dir
 # Sets of so many bytes in all, written as JSON, are broadcast to dealt items.
 BROADCAST_BYTES = 16 << 20
 
+# Messages of a set as JSON text.
+MESSAGES_JSON = "_few_shot_messages_json"
+
 FEW_SHOT_TYPE = "array<struct<ord:bigint,user:string,assistant:string,images:array<string>>>"
 
 
@@ -47,6 +50,14 @@ def with_messages(sets: DataFrame, typed: bool) -> DataFrame:
     return sets.withColumn("few_shot_messages", few_shot_messages("few_shot", typed))
 
 
+def with_messages_json(sets: DataFrame, typed: bool) -> DataFrame:
+    """``with_messages`` as JSON text: no row builds or writes the messages
+    that it shares with all others of its set."""
+    from evalframe.functions.chat import few_shot_messages
+
+    return sets.withColumn(MESSAGES_JSON, F.to_json(few_shot_messages("few_shot", typed), {"ignoreNullFields": "false"}))
+
+
 def attach_few_shot(items: DataFrame, sets: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
     """Attach each item's few-shot list (J3); items without one get ``[]``.
 
@@ -108,4 +119,6 @@ def _filled(joined: DataFrame, sets: DataFrame) -> DataFrame:
     if "few_shot_messages" in sets.columns:
         msg_type = sets.schema["few_shot_messages"].dataType.simpleString()
         filled["few_shot_messages"] = F.coalesce(F.col("few_shot_messages"), F.array().cast(msg_type))
+    if MESSAGES_JSON in sets.columns:
+        filled[MESSAGES_JSON] = F.coalesce(F.col(MESSAGES_JSON), F.lit("[]"))
     return joined.withColumns(filled)

@@ -25,11 +25,14 @@ stay in the JVM.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -80,11 +83,15 @@ class DigestResponder:
 
     @staticmethod
     def written(messages: Any) -> str:
-        def parts(content: Any) -> str:
+        out = []
+        for m in messages:
+            content = m["content"]
             if content is None or isinstance(content, str):
-                return f"text={content or ''}"
-            return ",".join(f"{p['type']}={p['text'] if p['text'] is not None else p['image']}" for p in content)
-        return "|".join(f"{m['role']}[{parts(m['content'])}]" for m in messages)
+                parts = f"text={content or ''}"
+            else:
+                parts = ",".join([f"{p['type']}={p['text'] if p['text'] is not None else p['image']}" for p in content])
+            out.append(f"{m['role']}[{parts}]")
+        return "|".join(out)
 
 
 class PromptDigest:
@@ -239,8 +246,52 @@ def _as_json(t: T.DataType) -> bool:
     return isinstance(t, (T.StringType, T.BooleanType, T.IntegerType, T.LongType))
 
 
+def copier(value: Any) -> Callable[[], Any]:
+    """Makes copies of what JSON holds; they share its texts alone."""
+    if isinstance(value, list):
+        parts = [copier(x) for x in value]
+        return lambda: [p() for p in parts]
+    if not isinstance(value, dict):
+        return lambda: value
+    nested = [(k, copier(x)) for k, x in value.items() if isinstance(x, (list, dict))]
+    if not nested:
+        return value.copy
+
+    def copy() -> dict:
+        out = value.copy()
+        for k, made in nested:
+            out[k] = made()
+        return out
+    return copy
+
+
+def read_json(texts: list[str | None]) -> list:
+    """What the texts hold, made anew for each of them.  Texts that most rows
+    share are parsed once and then copied, which is faster."""
+    distinct = set(texts)
+    if 2 * len(distinct) > len(texts):
+        return [None if t is None else json.loads(t) for t in texts]
+    copies = {t: copier(None if t is None else json.loads(t)) for t in distinct}
+    return [copies[t]() for t in texts]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No garbage collection meanwhile, nor later of what is made here: a batch
+    of requests is many small objects in no cycle, over which the collector
+    would walk again and again.  ``gc.unfreeze`` ends that."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+        gc.freeze()
+    finally:
+        if on:
+            gc.enable()
+
+
 def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str = "prompt",
-            images_col: str | None = None, messages_col: str | None = None, pass_columns: Sequence[str] | None = None,
+            images_col: str | None = None, messages_col: str | Sequence[str] | None = None, pass_columns: Sequence[str] | None = None,
             out_col: str = "raw_response", max_attempts: int = RETRY_ATTEMPTS, first_wait: float = RETRY_FIRST_WAIT,
             factor: float = RETRY_FACTOR, sleep: Callable[[float], None] = time.sleep, batch: bool = True,
             partitions: int | None = None, skip_col: str | None = None,
@@ -279,6 +330,10 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
     ``returned`` are the columns of ``df`` that come back (default: all).
     Messages that do not come back cross into Python as JSON, which is read far
     faster than nested Arrow values are turned into dicts and back.
+    ``messages_col`` may be several columns, none of which comes back or is
+    passed, whose messages follow one another; strings among them are JSON
+    already.  So what all rows share is written once, where it is still small,
+    and parsed once a batch.
     """
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -296,41 +351,58 @@ def respond(df: DataFrame, make_responder: Callable[[], Any], prompt_col: str =
         T.StructField("error", T.StringType(), True),
     ])
     visible = list(pass_columns) if pass_columns is not None else [c for c in df.columns if c != cost_col]
-    from_json = bool(messages_col) and messages_col not in [*back, *visible] and _as_json(df.schema[messages_col].dataType)
-    if from_json:
-        df = df.withColumn(messages_col, F.to_json(messages_col, {"ignoreNullFields": "false"}))
+    pieces = [messages_col] if isinstance(messages_col, str) else list(messages_col or ())
+    whole = pieces[0] if isinstance(messages_col, str) else None
+    if whole and (whole in [*back, *visible] or not _as_json(df.schema[whole].dataType)):
+        pieces = []
+    for c in pieces:
+        if c == whole or not isinstance(df.schema[c].dataType, T.StringType):
+            df = df.withColumn(c, F.to_json(c, {"ignoreNullFields": "false"}))
+
+    def requests(pdf: pd.DataFrame) -> list[dict]:
+        n = len(pdf)
+        rows = [dict(zip(visible, r)) for r in zip(*[pdf[c].tolist() for c in visible])] if visible else [{}] * n
+        prompts = pdf[prompt_col].tolist() if prompt_col in pdf else [None] * n
+        images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
+                  if images_col else [None] * n)
+        if pieces:
+            msgs = [None if None in m else list(chain.from_iterable(m)) for m in zip(*[read_json(pdf[c].tolist()) for c in pieces])]
+        else:
+            msgs = pdf[whole].tolist() if whole else [None] * n
+        if params_col:
+            gps = [dict(x) if x is not None else None for x in pdf[params_col].tolist()]
+        else:
+            gps = [dict(gen_params) if gen_params is not None else None for _ in range(n)]
+        return [{"prompt": p, "images": im, "messages": m, "row": r, "gen_params": g}
+                for p, im, m, r, g in zip(prompts, images, msgs, rows, gps)]
+
+    def answered(responder: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        with uncollected():
+            all_reqs = requests(pdf)
+        skip = pdf[skip_col].fillna(False).astype(bool).tolist() if skip_col else [False] * n
+        live = [j for j in range(n) if not skip[j]]
+        answers: list = [None] * n
+        attempts = [0] * n
+        waited = [0.0] * n
+        errors: list = ["placeholder_mismatch" if s else None for s in skip]
+        step = (batch_size or max(len(live), 1)) if batch else 1
+        for chunk in chunks(live, step, pdf[cost_col].tolist() if cost_col else None, batch_cost):
+            got = ask(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
+            for j, found in zip(chunk, got):
+                answers[j], attempts[j], errors[j], waited[j] = found
+        return pdf[back].assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
+                                   "attempts": pd.Series(attempts, index=pdf.index, dtype="int32"),
+                                   "waited_s": pd.Series(waited, index=pdf.index, dtype="float64"),
+                                   "error": pd.Series(errors, index=pdf.index, dtype=object)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = worker_responder(key, make_responder) if reuse else make_responder()
         for pdf in batches:
-            n = len(pdf)
-            rows = pdf[visible].to_dict("records") if visible else [{}] * n
-            prompts = pdf[prompt_col].tolist() if prompt_col in pdf else [None] * n
-            images = ([None if x is None else list(x) for x in pdf[images_col].tolist()]
-                      if images_col else [None] * n)
-            msgs = pdf[messages_col].tolist() if messages_col else [None] * n
-            if from_json:
-                msgs = [None if m is None else json.loads(m) for m in msgs]
-            if params_col:
-                gps = [dict(x) if x is not None else None for x in pdf[params_col].tolist()]
-            else:
-                gps = [dict(gen_params) if gen_params is not None else None for _ in range(n)]
-            skip = pdf[skip_col].fillna(False).astype(bool).tolist() if skip_col else [False] * n
-            all_reqs = [{"prompt": p, "images": im, "messages": m, "row": r, "gen_params": g}
-                        for p, im, m, r, g in zip(prompts, images, msgs, rows, gps)]
-            live = [j for j in range(n) if not skip[j]]
-            answers: list = [None] * n
-            attempts = [0] * n
-            waited = [0.0] * n
-            errors: list = ["placeholder_mismatch" if s else None for s in skip]
-            step = (batch_size or max(len(live), 1)) if batch else 1
-            for chunk in chunks(live, step, pdf[cost_col].tolist() if cost_col else None, batch_cost):
-                got = ask(responder, [all_reqs[j] for j in chunk], max_attempts, first_wait, factor, sleep, tuple(retryable))
-                for j, found in zip(chunk, got):
-                    answers[j], attempts[j], errors[j], waited[j] = found
-            yield pdf[back].assign(**{out_col: pd.Series(answers, index=pdf.index, dtype=object),
-                                "attempts": pd.Series(attempts, index=pdf.index, dtype="int32"),
-                                "waited_s": pd.Series(waited, index=pdf.index, dtype="float64"),
-                                "error": pd.Series(errors, index=pdf.index, dtype=object)})
+            try:
+                out = answered(responder, pdf)
+            finally:
+                gc.unfreeze()
+            yield out
 
     return df.mapInPandas(run, out_schema)

@@ -10,7 +10,9 @@ the item's recorded one and their digest, which SQL computes from the templates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +68,28 @@ def _write_items(items: DataFrame, path: str, task: str, sub_task: str) -> None:
 N_SHOTS = 5
 
 
-def few_shot_file(spark: SparkSession, sf: str, part: int, parts: int) -> DataFrame:
+# Parts that the conversations are divided into: one for each section, or all in one.
+PARTS = sorted({1, *map(len, SECTIONS.values())})
+
+
+def _once(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as it is written to a scratch table: computed once, however often it is read."""
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def short_pairs(pairs: DataFrame) -> DataFrame:
+    """All examples that a few-shot file may hold: the shortest of each class
+    that lies whole in one part, whatever the parts."""
+    size = F.length("user") + F.length("assistant")
+    place = Window.partitionBy(F.col("fs_id") % math.lcm(*PARTS)).orderBy(size, "fs_id", "ord")
+    return pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= N_SHOTS).drop("place")
+
+
+def few_shot_file(pairs: DataFrame, part: int, parts: int) -> DataFrame:
     """The shortest examples of the conversations of one part, shortest first."""
-    pairs = fx.few_shot_pairs(spark, sf).where(F.col("fs_id") % parts == part)
+    pairs = pairs.where(F.col("fs_id") % parts == part)
     return pairs.orderBy(F.length("user") + F.length("assistant"), "fs_id", "ord").limit(N_SHOTS).select("user", "assistant", "images")
 
 
@@ -83,7 +104,8 @@ shots AS (
 def _write_inputs(spark: SparkSession, sf: str, root: str) -> None:
     votes = fx.votes_long(spark, sf).groupBy("item").agg(F.collect_list("vote").alias("naturalness_by_worker"))   # an item's votes
     choices, pairs = fx.choice_responses(spark, sf), Q.pair_items(spark, sf)
-    rated = pairs.join(votes, pairs["id"] == votes["item"], "left")
+    rated = _once(spark, pairs.join(votes, pairs["id"] == votes["item"], "left"), "rated-items")
+    examples = _once(spark, short_pairs(fx.few_shot_pairs(spark, sf)), "short-pairs")
     for lang, task, sub_tasks in CALLS:
         for sub_task in sub_tasks:
             base = f"{root}/{task}/{sub_task}"
@@ -91,12 +113,12 @@ def _write_inputs(spark: SparkSession, sf: str, root: str) -> None:
             if sections:
                 for i, section in enumerate(sections):
                     _write_items(choices.where(F.col("sub_subtask") == section), f"{base}/{section}/{lang}.jsonl", task, sub_task)
-                    W.write_jsonl(few_shot_file(spark, sf, i, len(sections)), f"{base}/{section}/few_shot_{lang}.jsonl")
+                    W.write_jsonl(few_shot_file(examples, i, len(sections)), f"{base}/{section}/few_shot_{lang}.jsonl")
                 continue
             items = {"generation": lambda: Q.generation_items(spark, sf, task == "perception"), "classification": lambda: rated,
                      "yes_no_classification": lambda: Q.yes_no_items(spark, sf), "a_b_classification": lambda: Q.a_b_items(spark, sf)}[sub_task]()
             _write_items(items, f"{base}/{lang}.jsonl", task, sub_task)
-            W.write_jsonl(few_shot_file(spark, sf, 0, 1), f"{base}/few_shot_{lang}.jsonl")
+            W.write_jsonl(few_shot_file(examples, 0, 1), f"{base}/few_shot_{lang}.jsonl")
 
 
 def _whole_run(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
