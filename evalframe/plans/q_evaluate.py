@@ -66,8 +66,6 @@ def _write_items(items: DataFrame, path: str, task: str, sub_task: str) -> None:
 
 # A few-shot file holds as many examples.
 N_SHOTS = 5
-
-
 # Parts that the conversations are divided into: one for each section, or all in one.
 PARTS = sorted({1, *map(len, SECTIONS.values())})
 
